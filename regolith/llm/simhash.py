@@ -103,30 +103,37 @@ def hamming(a: Column, b: Column, params: SimHash) -> Column:
     return sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(1, params.bits // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def _keys(fp: Column, params: SimHash) -> Column:
+def _keys(params: SimHash):
+    """A row for each table: the node, and the table's number with its choice of blocks."""
     width = params.bits // params.blocks
+    mask = np.uint64((1 << width) - 1)
 
-    def block(j: int) -> Column:
-        return F.shiftrightunsigned(fp[j * width // 64], 64 - width - j * width % 64).bitwiseAND((1 << width) - 1)
-
-    def key(t: int, table: tuple[int, ...]) -> Column:
-        out = F.lit(t).cast("bigint")
-        for j in table:
-            out = F.shiftleft(out, width).bitwiseOR(block(j))
-        return out
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, lanes = batch.num_rows, params.bits // 64
+            fp = np.asarray(batch.column(1).flatten()).view(np.uint64).reshape(n, lanes)
+            blocks = [fp[:, j * width // 64] >> np.uint64(64 - width - j * width % 64) & mask for j in range(params.blocks)]
+            keys = np.empty((n, len(params.tables)), np.uint64)
+            for t, table in enumerate(params.tables):
+                key = np.full(n, t, np.uint64)
+                for j in table:
+                    key = key << np.uint64(width) | blocks[j]
+                keys[:, t] = key
+            nodes = batch.column(0).take(pa.array(np.repeat(np.arange(n), len(params.tables))))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
 
-    return F.array(*(key(t, table) for t, table in enumerate(params.tables)))
+    return run
 
 
 def links(nodes: DataFrame, params: SimHash) -> DataFrame:
     """(a, b): verified links that connect what all links connect. nodes: (node, fp), each fp once.
 
-    A block shared by up to params.small fingerprints is joined with itself; singles are dropped before. In larger blocks pairs would grow as their
-    square, so their members are linked by way of near_in_large(), whose groups are bounded.
+    A block shared by up to params.small fingerprints is joined with itself; singles are dropped before, by keys alone, and only then do fingerprints
+    move. In larger blocks pairs would grow as their square, so their members are linked by way of near_in_large(), whose groups are bounded.
     """
-    keyed = nodes.select("node", "fp", F.explode(_keys(F.col("fp"), params)).alias("key"))
+    keyed = nodes.select("node", "fp").mapInArrow(_keys(params), f"node {nodes.schema['node'].dataType.simpleString()}, key bigint")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(keyed.join(shared, "key"))
+    members = written(keyed.join(shared, "key").join(nodes, "node").select("key", "node", "fp", "n", "leader"))
     few = members.where(F.col("n") <= params.small)
     a, b = few.alias("a"), few.alias("b")
     pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (hamming(F.col("a.fp"), F.col("b.fp"), params) <= params.distance))

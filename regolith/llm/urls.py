@@ -15,7 +15,7 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 @dataclass(frozen=True)
 class Rule:
-    """pattern: a regular expression that is looked for in host + path, with '|' between the two. literals: tokens (runs of letters and digits, lower
+    """pattern: a regular expression that is looked for in host + path; the first '/' begins the path. literals: tokens (runs of letters and digits, lower
     case) of which every matching URL has each one. rank: of fitting rules, the highest wins; then the first of the list."""
 
     name: str
@@ -29,12 +29,12 @@ def place_rule(verdict: str, place: str) -> Rule:
     """A rule for a host and its subdomains and the paths that start with the given one: `example.net/en/`. Longer places outrank shorter ones, and any
     place outranks a word."""
     host, _, path = place.partition("/")
-    return Rule(place, verdict, rf"^(?:[^|]*\.)?{re.escape(host)}\|{re.escape('/' + path)}", tuple(_tokens(f"{host} {path.rpartition('/')[0]}")), 1000 + len(place))
+    return Rule(place, verdict, rf"^(?:[^/]*\.)?{re.escape(host)}{re.escape('/' + path)}", tuple(_tokens(f"{host} {path.rpartition('/')[0]}")), 1000 + len(place))
 
 
 def word_rule(word: str) -> Rule:
     """Blocks hosts with the word, or words joined by '-', between other signs."""
-    return Rule(word, "block", rf"^(?:[^|]*[^a-z0-9|])?{re.escape(word)}(?:[^a-z0-9][^|]*)?\|", tuple(_tokens(word)))
+    return Rule(word, "block", rf"^(?:[^/]*[^a-z0-9/])?{re.escape(word)}(?:[^a-z0-9/][^/]*)?(?:/|\z)", tuple(_tokens(word)))
 
 
 def _tokens(text: str) -> list[str]:
@@ -69,7 +69,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", defa
         raise ValueError(f"{len(rules)} rules; the index in the plan is made for {most_rules}")
     mine = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     base = pages.select(*mine, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat_ws("|", "host", "path")), F.lit("[a-z0-9]+"), F.lit(0)))
+    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit("[a-z0-9]+"), F.lit(0)))
     literals = sorted({x for r in rules for x in r.literals})
     counted = base.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals)) if literals else F.array().cast("array<string>"))).alias("token"))
     urls = dict(counted.groupBy("token").count().collect())
@@ -82,7 +82,7 @@ def judged(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", defa
     table = F.array(*(F.struct(F.lit(r.rank).alias("rank"), F.lit(-k).alias("turn"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for k, r in enumerate(rules)))
     fetched, best = fresh_name(base, "fetched"), fresh_name(base, "best")
     found = F.flatten(F.filter(F.transform(F.concat(tokens, F.array(F.lit(""))), lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
-    subject = F.concat(F.col("host"), F.lit("|"), F.col("path"))
+    subject = F.concat("host", "path")
     out = base.withColumn(fetched, F.transform(F.array_distinct(found), lambda k: F.element_at(table, k + 1)))
     out = out.withColumn(best, F.array_max(F.transform(F.filter(fetched, lambda r: F.regexp_like(subject, r["pattern"])), lambda r: F.struct(r["rank"], r["turn"], r["name"], r["verdict"]))))
     return out.withColumns({"rule": F.col(best)["name"], "verdict": F.coalesce(F.col(best)["verdict"], F.lit(default))}).drop(fetched, best)
