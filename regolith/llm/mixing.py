@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._scratch import fresh_name
+from ._scratch import fresh_name, written
 
 #: Poisson draws are made in parts with means up to this, so that exp(-mean) stays exact; a part's distribution reaches 1 within _STEPS.
 _PART, _STEPS = 16.0, 100
@@ -50,12 +50,13 @@ def mixed(docs: DataFrame, weights: DataFrame, id_col: str = "doc_id", source_co
     (1, 2, ...) and shuffle_key, by which the partitions' rows are sorted.
 
     The number is the inverse of the source's distribution at a hash of seed, id and part, so a rerun, in any partitioning, draws the same; rows with the
-    same id, or a null id, draw the same number. Distributions are made once for each source, and joined as Spark finds cheapest by size; where a third of
-    all rows has one source and the table of sources is large, the adaptive join splits them. Rows then go to partitions by the hash of their key: each
+    same id, or a null id, draw the same number. Distributions are made once for each source and written, so that Spark knows their size: below its broadcast
+    threshold they go to the documents, which then move once only; where a third of all rows has one source and the table of sources is large, the adaptive
+    join splits them. Rows then go to partitions by the hash of their key: each
     partition is a random part of the whole, in random order, and large sources or repeated rows spread evenly.
     """
     table = rates(docs, weights, source_col, total).withColumn("parts", F.ceil(F.col("rate") / F.lit(_PART)).cast("int"))
-    table = table.withColumn("steps", _distribution(F.col("rate") / F.greatest("parts", F.lit(1)))).withColumnRenamed("source", "mixed_source")
+    table = written(table.withColumn("steps", _distribution(F.col("rate") / F.greatest("parts", F.lit(1)))).withColumnRenamed("source", "mixed_source"))
     base = docs.drop(*(c for c in ("rate", "copy", "shuffle_key") if c in docs.columns))
     key = fresh_name(base, "packed")
     packed = base.select(F.struct("*").alias(key))
