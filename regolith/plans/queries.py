@@ -97,17 +97,18 @@ def point_in_circle(s: SparkSession, d: str) -> DataFrame:
     return spatial.smallest_around(points, _ref(s, d))
 
 
-_TRI = ["image_id", "lo", "mid", "hi", "v0", "v1", "v2", *(fixed(x).alias(x) for x in triangles.DIMS)]
+def _shown(tri: DataFrame) -> DataFrame:
+    return tri.select("image_id", "lo", "mid", "hi", "v0", "v1", "v2", *(fixed(x).alias(x) for x in triangles.DIMS))
 
 
 @query
 def triangles_knn(s: SparkSession, d: str) -> DataFrame:
-    return triangles.knn_triangles(_ref(s, d)).select(*_TRI)
+    return _shown(triangles.knn_triangles(_ref(s, d)))
 
 
 @query
 def triangles_all(s: SparkSession, d: str) -> DataFrame:
-    return triangles.all_triangles(_ref(s, d)).select(*_TRI)
+    return _shown(triangles.all_triangles(_ref(s, d)))
 
 
 def _alike(s: SparkSession, d: str) -> DataFrame:
