@@ -2,7 +2,8 @@
 
 A fingerprint is cut into equal blocks; a table is a choice of blocks, and two fingerprints are compared if they agree on all blocks of some
 table. With 4 blocks and all tables of 2, fingerprints within 2 bits always share a table: at most 2 of 4 blocks differ. For wider distances
-the tables are many choices of few bits, which pairs at the wanted similarity miss with a small, stated probability.
+the tables are many choices of few bits, which pairs at the wanted similarity miss with a small, stated probability. Their keys are as long as the
+logarithm of the number of fingerprints asks, so that each fingerprint meets about as many unrelated ones by chance, fewer than one, at any size.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ import itertools
 import math
 import random
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import BLANK, list_array, mix, text_chunks
+from ._arrow import BLANK, flat_list, list_array, mix, text_chunks
 from ._scratch import written
 from .graph import components
 
@@ -27,31 +28,48 @@ from .graph import components
 @dataclass(frozen=True)
 class SimHash:
     """bits: of a fingerprint, a multiple of 64. distance: bits in which linked fingerprints differ at most. blocks: into which it is cut; tables:
-    choices of blocks. small: a table's members with equal blocks are compared pairwise up to this number, beyond it as near_in_large() says."""
+    choices of blocks, or none if they follow from flip, the probability that a bit of a wanted pair differs, and recall. small: a table's members
+    with equal blocks are compared with each other up to this number, beyond it as in_large() says."""
 
     shingle: int
     bits: int
     distance: int
     blocks: int
-    tables: tuple[tuple[int, ...], ...]
+    tables: tuple[tuple[int, ...], ...] = ()
+    flip: float = 0.0
+    recall: float = 0.97
     small: int = 64
 
+    def with_keys(self, key_bits: int) -> SimHash:
+        """With tables of so many bits, as many as the recall asks: a table is shared by a wanted pair with probability (1 - flip)**key_bits."""
+        width, pick = self.bits // self.blocks, random.Random(17)
+        n = math.ceil(math.log(1 - self.recall) / math.log1p(-((1 - self.flip) ** key_bits)))
+        return replace(self, tables=tuple(tuple(sorted(pick.sample(range(self.blocks), key_bits // width))) for _ in range(n)))
 
+    def for_nodes(self, n: int) -> SimHash:
+        """With keys 8 bits longer than the logarithm of the number of fingerprints: in a table, one in 256 meets another by chance."""
+        return self if self.tables else self.with_keys(min(2 * math.ceil((math.log2(max(n, 1)) + 8) / 2), LONGEST_KEY))
+
+
+#: Bits of a key, beside which the table's number has room in 64.
+LONGEST_KEY = 48
+#: So many tables are tried before the others, if there are more than twice as many.
+AHEAD = 16
+#: By so many bits keys grow where blocks are too large to compare all members.
+LONGER = 6
 #: Exact to 2 of 64 bits.
 CLOSE = SimHash(3, 64, 2, 4, tuple(itertools.combinations(range(4), 2)))
 
 
-def similar(shingle: int = 5, similarity: float = 0.8, bits: int = 256, tables: int = 96, key_bits: int = 20) -> SimHash:
+def similar(shingle: int = 5, similarity: float = 0.8, bits: int = 256) -> SimHash:
     """For texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
     Sets with similarity s have the cosine 2s/(1+s), so a bit differs with probability p = acos(2s/(1+s))/pi: 0.15 at 0.8, 39 of 256 bits, give or
-    take 6. The distance allowed lies one such deviation higher. A table of 20 bits is shared with probability (1-p)**20 = 0.038; of 96 such
-    tables, at least one by 97 of 100 pairs at 0.8, and by all but one in ten thousand at 0.9. Unrelated texts differ in 128 bits, give or take 8.
+    take 6. The distance allowed lies one such deviation higher. At 50,000 fingerprints, keys have 24 bits, each shared with probability
+    (1-p)**24 = 0.02, and 97 of 100 pairs at 0.8 share one of 163 tables, nearly all at 0.9. Unrelated texts differ in 128 bits, give or take 8.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    pick = random.Random(17)
-    chosen = tuple(tuple(sorted(pick.sample(range(bits // 4), key_bits // 4))) for _ in range(tables))
-    return SimHash(shingle, bits, round(bits * p + math.sqrt(bits * p * (1 - p))), bits // 4, chosen)
+    return SimHash(shingle, bits, round(bits * p + math.sqrt(bits * p * (1 - p))), bits // 2, flip=p, small=512)
 
 
 def _fingerprints(shingle: int, bits: int):
@@ -104,12 +122,13 @@ def hamming(a: Column, b: Column, params: SimHash) -> Column:
 
 
 def _keys(params: SimHash):
-    """A row for each table: the node, and the table's number with its choice of blocks."""
+    """A row for each table: the node, its component, and the table's number with its choice of blocks."""
     width = params.bits // params.blocks
     mask = np.uint64((1 << width) - 1)
+    step = max(1, (1 << 21) // len(params.tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
             n, lanes = batch.num_rows, params.bits // 64
             fp = np.asarray(batch.column(1).flatten()).view(np.uint64).reshape(n, lanes)
             blocks = [fp[:, j * width // 64] >> np.uint64(64 - width - j * width % 64) & mask for j in range(params.blocks)]
@@ -119,43 +138,94 @@ def _keys(params: SimHash):
                 for j in table:
                     key = key << np.uint64(width) | blocks[j]
                 keys[:, t] = key
-            nodes = batch.column(0).take(pa.array(np.repeat(np.arange(n), len(params.tables))))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array(keys.ravel().view(np.int64))], names=["node", "key"])
+            rows = pa.array(np.repeat(np.arange(n), len(params.tables)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(keys.ravel().view(np.int64))], names=["node", "component", "key"])
+
+    return run
+
+
+def _within(params: SimHash):
+    """From lists of (node, fp), smallest first: a link from each node to the smallest that it reaches within its list, over links of near fingerprints."""
+    lanes = params.bits // 64
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, members = flat_list(batch.column(0))
+            nodes, fp = members.field("node"), np.asarray(members.field("fp").flatten()).view(np.uint64).reshape(-1, lanes)
+            sizes = np.diff(at)
+            firsts, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for n in np.unique(sizes[sizes > 1]).tolist():
+                begin, step = at[:-1][sizes == n], max(1, (1 << 20) // (n * n * lanes))
+                for k in range(0, len(begin), step):
+                    index = begin[k : k + step, None] + np.arange(n)
+                    f = fp[index]
+                    near = np.bitwise_count(f[:, :, None] ^ f[:, None]).sum(-1, dtype=np.int64) <= params.distance
+                    root, before = np.tile(np.arange(n), (len(index), 1)), None
+                    while before is None or not np.array_equal(root, before):
+                        root, before = np.where(near, root[:, None], n).min(-1), root
+                    linked = root != np.arange(n)
+                    firsts.append(np.take_along_axis(index, root, 1)[linked])
+                    others.append(index[linked])
+            yield pa.RecordBatch.from_arrays([nodes.take(pa.array(np.concatenate(x))) for x in (firsts, others)], names=["a", "b"])
 
     return run
 
 
-def links(nodes: DataFrame, params: SimHash) -> DataFrame:
-    """(a, b): verified links that connect what all links connect. nodes: (node, fp), each fp once.
+def links(nodes: DataFrame, params: SimHash, key_bits: int = 0) -> DataFrame:
+    """(a, b): verified links that connect what all links connect. nodes: (node, fp), a written table with each fp once. key_bits: of tables that are
+    not given, if not as for_nodes() has it.
+
+    The first tables go ahead: most copies in large groups are connected by them, and blocks that lie within one component need no comparing later.
+    """
+    filed = params.with_keys(key_bits) if key_bits else params.for_nodes(nodes.count())
+    bits = len(filed.tables[0]) * filed.bits // filed.blocks
+    alone = nodes.select("node", "fp", F.col("node").alias("component"))
+    if len(filed.tables) <= 2 * AHEAD:
+        return _links_by(alone, filed, bits).distinct()
+    found = components(_links_by(alone, replace(filed, tables=filed.tables[:AHEAD]), LONGEST_KEY))
+    part = written(nodes.join(found, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")))
+    return found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_links_by(part, filed, bits)).distinct()
+
+
+def _links_by(nodes: DataFrame, params: SimHash, key_bits: int) -> DataFrame:
+    """Links in the blocks of params.tables that hold nodes of two or more components.
 
-    A block shared by up to params.small fingerprints is joined with itself; singles are dropped before, by keys alone, and only then do fingerprints
-    move. In larger blocks pairs would grow as their square, so their members are linked by way of near_in_large(), whose groups are bounded.
+    Blocks are judged by keys alone; keys of such blocks are few, and only then do fingerprints move. Up to params.small members are compared with
+    each other in one list, which leaves a link for each member and not for each pair. Larger blocks go by in_large().
     """
-    keyed = nodes.select("node", "fp").mapInArrow(_keys(params), f"node {nodes.schema['node'].dataType.simpleString()}, key bigint")
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("leader")).where("n > 1")
-    members = written(keyed.join(shared, "key").join(nodes, "node").select("key", "node", "fp", "n", "leader"))
-    few = members.where(F.col("n") <= params.small)
-    a, b = few.alias("a"), few.alias("b")
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a.node") < F.col("b.node")) & (hamming(F.col("a.fp"), F.col("b.fp"), params) <= params.distance))
-    return pairs.select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).union(near_in_large(members.where(F.col("n") > params.small), params)).distinct()
+    kind = nodes.schema["node"].dataType.simpleString()
+    keyed = nodes.select("node", "fp", "component").mapInArrow(_keys(params), f"node {kind}, component {kind}, key bigint")
+    open_keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    shared = written(open_keys.select("key", "n"))
+    members = written(keyed.drop("component").join(shared, "key").join(nodes.select("node", "fp"), "node").select("key", "node", "fp", "n"))
+    lists = members.where(F.col("n") <= params.small).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("members"))
+    near = lists.select("members").mapInArrow(_within(params), f"a {kind}, b {kind}")
+    return near.union(in_large(members.where(F.col("n") > params.small), params, key_bits))
 
 
-def near_in_large(members: DataFrame, params: SimHash) -> DataFrame:
-    """Links among the members of large blocks.
+def in_large(members: DataFrame, params: SimHash, key_bits: int) -> DataFrame:
+    """Links among the members of blocks that are too large to compare all.
 
     To 2 bits, exactly: two fingerprints are within 2 bits if and only if some number is within 1 bit of both. Each member is therefore filed under
     itself and under its 64 one-bit neighbours, a file holds 65 fingerprints at most, and its members are linked to the smallest of them.
 
-    For wider distances: each member is compared with the block's smallest member, in every table in which it shares a large block.
+    For wider distances each member is compared with the block's smallest. If all are near, the block is one group, and no pair is missed.
+    Members of the other large blocks are filed again, under keys that are longer by LONGER bits, in as many more tables as the recall asks. Of blocks
+    with keys of LONGEST_KEY bits only links to the smallest member are found.
     """
     if params.bits == 64 and params.distance <= 2:
         flips = [0, *(1 << j if j < 63 else -(1 << 63) for j in range(64))]
         filed = members.select("node", F.col("fp")[0].alias("f")).distinct().select("node", F.explode(F.array(*(F.col("f").bitwiseXOR(F.lit(x)) for x in flips))).alias("file"))
         first = filed.groupBy("file").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         return filed.join(first, "file").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
-    heads = members.where("node = leader").select("key", F.col("fp").alias("head"))
-    near = members.where("node <> leader").join(heads, "key").where(hamming(F.col("fp"), F.col("head"), params) <= params.distance)
-    return near.select(F.col("leader").alias("a"), F.col("node").alias("b"))
+    heads = members.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"))
+    judged = written(members.join(heads, "key").where("node <> head.node").select("key", "node", "fp", F.col("head.node").alias("first"), (hamming(F.col("fp"), F.col("head.fp"), params) <= params.distance).alias("near")))
+    found = judged.where("near").select(F.col("first").alias("a"), F.col("node").alias("b"))
+    if key_bits + LONGER > LONGEST_KEY:
+        return found
+    mixed = judged.where("not near").select("key").distinct()
+    rest = written(judged.join(mixed, "key", "left_semi").groupBy("node").agg(F.any_value("fp").alias("fp")))
+    return found.union(links(rest, params, key_bits + LONGER)) if not rest.isEmpty() else found
 
 
 def grouped(docs: DataFrame, params: SimHash, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:

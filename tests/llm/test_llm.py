@@ -104,7 +104,7 @@ def test_large_blocks_lose_no_link(spark):
     from regolith.llm.graph import components
 
     def groups(small):
-        p = simhash.SimHash(3, 64, 2, 4, simhash.CLOSE.tables, small)
+        p = simhash.SimHash(3, 64, 2, 4, simhash.CLOSE.tables, small=small)
         return {(r.node, r.component) for r in components(simhash.links(nodes, p)).collect()}
 
     assert groups(10) == groups(1000)
