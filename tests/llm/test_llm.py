@@ -193,3 +193,23 @@ def test_stages_keep_columns_and_bear_empty_tables(spark, k):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     out = corpus_pipeline.STAGES[k][1](spark, docs.limit(0), "/root/testdata/sf0.001")
     assert out.count() == 0 and (k == len(corpus_pipeline.STAGES) - 1 or out.columns == docs.columns)
+
+
+def test_wide_blocks_keep_groups(spark):
+    """Groups of fingerprints within a few bits of a centre: each is found whole, whether blocks are listed or go by their smallest member."""
+    g = np.random.default_rng(3)
+    rows = []
+    for c in range(4):
+        centre = g.integers(0, 2, 256)
+        for _ in range(30):
+            bits = centre.copy()
+            bits[g.choice(256, 12, replace=False)] ^= 1
+            rows.append((c * 30 + len(rows) % 30, np.packbits(bits).view(">i8").astype(int).tolist()))
+    nodes = simhash.written(spark.createDataFrame(rows, "node bigint, fp array<bigint>"))
+    from dataclasses import replace
+
+    from regolith.llm.graph import components
+
+    for small in (512, 5):
+        got = {r.node: r.component for r in components(simhash.links(nodes, replace(corpus_pipeline.NEAR, small=small))).collect()}
+        assert got == {i: i // 30 * 30 for i in range(120) if i % 30}
