@@ -1,9 +1,10 @@
-"""SimHash fingerprints, joined on shared blocks of bits, verified by Hamming distance.
+"""SimHash fingerprints, joined on shared blocks of bits, verified by Hamming distance or, for a wanted similarity, by the sets of shingles.
 
 A fingerprint is cut into equal blocks; a table is a choice of blocks, and two fingerprints are compared if they agree on all blocks of some
 table. With 4 blocks and all tables of 2, fingerprints within 2 bits always share a table: at most 2 of 4 blocks differ. For wider distances
 the tables are many choices of few bits, which pairs at the wanted similarity miss with a small, stated probability. Their keys are as long as the
 logarithm of the number of fingerprints asks, so that each fingerprint meets about as many unrelated ones by chance, fewer than one, at any size.
+There the distance only finds candidates: families of texts that may be near copies. verified() links those whose sets of shingles are.
 """
 
 from __future__ import annotations
@@ -29,7 +30,8 @@ from .graph import components
 class SimHash:
     """bits: of a fingerprint, a multiple of 64. distance: bits in which linked fingerprints differ at most. blocks: into which it is cut; tables:
     choices of blocks, or none if they follow from flip, the probability that a bit of a wanted pair differs, and recall. small: a table's members
-    with equal blocks are compared with each other up to this number, beyond it as in_large() says."""
+    with equal blocks are compared with each other up to this number, beyond it as in_large() says. similarity: of the sets of shingles of linked
+    texts, at least, or 0 if fingerprints decide."""
 
     shingle: int
     bits: int
@@ -39,6 +41,7 @@ class SimHash:
     flip: float = 0.0
     recall: float = 0.97
     small: int = 64
+    similarity: float = 0.0
 
     def with_keys(self, key_bits: int) -> SimHash:
         """With tables of so many bits, as many as the recall asks: a table is shared by a wanted pair with probability (1 - flip)**key_bits."""
@@ -57,6 +60,8 @@ LONGEST_KEY = 48
 AHEAD = 16
 #: By so many bits keys grow where blocks are too large to compare all members.
 LONGER = 6
+#: Shingles of a family that one task holds on either side, about.
+FAMILY = 1 << 21
 #: Exact to 2 of 64 bits.
 CLOSE = SimHash(3, 64, 2, 4, tuple(itertools.combinations(range(4), 2)))
 
@@ -65,48 +70,59 @@ def similar(shingle: int = 5, similarity: float = 0.8, bits: int = 256) -> SimHa
     """For texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
     Sets with similarity s have the cosine 2s/(1+s), so a bit differs with probability p = acos(2s/(1+s))/pi: 0.15 at 0.8, 39 of 256 bits, give or
-    take 6. The distance allowed lies one such deviation higher. At 50,000 fingerprints, keys have 24 bits, each shared with probability
+    take 6. The distance allowed lies three such deviations higher, as it only finds candidates. At 50,000 fingerprints, keys have 24 bits, each shared with probability
     (1-p)**24 = 0.02, and 97 of 100 pairs at 0.8 share one of 163 tables, nearly all at 0.9. Unrelated texts differ in 128 bits, give or take 8.
     """
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return SimHash(shingle, bits, round(bits * p + math.sqrt(bits * p * (1 - p))), bits // 2, flip=p, small=512)
+    return SimHash(shingle, bits, round(bits * p + 3 * math.sqrt(bits * p * (1 - p))), bits // 2, flip=p, small=512, similarity=similarity)
+
+
+def _hashes(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of each row that has words, and the XXH64 (seed 42) of its shingles, in order."""
+    h64 = xxhash.xxh64_intdigest
+    for w in text_chunks(column, BLANK, lower=True):
+        # The words of each row with one blank between them: a shingle is then one slice.
+        data = w.data.tobytes()
+        for r in np.flatnonzero(np.diff(w.word_at)):
+            a, b = int(w.word_at[r]), int(w.word_at[r + 1])
+            body = b" ".join(data[w.byte_at[r] : w.byte_at[r + 1]].split())
+            ends = np.cumsum(w.end[a:b] - w.start[a:b] + 1) - 1
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            k = min(shingle, b - a)
+            yield w.first + int(r), np.array([h64(body[s:e], 42) for s, e in zip(starts[: b - a - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
+
+
+def _digest(shingles: np.ndarray) -> np.uint64:
+    """Of a set of shingles."""
+    return mix(shingles).sum(dtype=np.uint64)
 
 
 def _fingerprints(shingle: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h64 = xxhash.xxh64_intdigest
         n = bits // 64
         for batch in batches:
-            out = []
-            for w in text_chunks(batch.column(0), BLANK, lower=True):
-                rows = np.zeros((w.last - w.first, n * 8), np.uint8)
-                # The words of each row with one blank between them: a shingle is then one slice.
-                data = w.data.tobytes()
-                for r in np.flatnonzero(np.diff(w.word_at)):
-                    a, b = int(w.word_at[r]), int(w.word_at[r + 1])
-                    body = b" ".join(data[w.byte_at[r] : w.byte_at[r + 1]].split())
-                    ends = np.cumsum(w.end[a:b] - w.start[a:b] + 1) - 1
-                    starts = np.concatenate([[0], ends[:-1] + 1])
-                    k = min(shingle, b - a)
-                    h = np.array([h64(body[s:e], 42) for s, e in zip(starts[: b - a - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
-                    if n > 1:
-                        h = np.unique(h)
-                    votes = np.zeros(bits, np.int64)
-                    for at in range(0, len(h), 1 << 16):
-                        part = h[at : at + (1 << 16)]
-                        lanes = part[:, None] if n == 1 else np.stack([mix(part + np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1))) for j in range(n)], 1)
-                        votes += np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
-                    rows[r] = np.packbits(2 * votes > len(h))
-                out.append(rows.view(">u8").astype(np.uint64).view(np.int64))
-            lanes = np.concatenate(out) if out else np.zeros((0, n), np.int64)
+            rows, digests = np.zeros((batch.num_rows, n * 8), np.uint8), np.zeros(batch.num_rows, np.uint64)
+            for r, h in _hashes(batch.column(0), shingle):
+                if n > 1:
+                    h = np.unique(h)
+                    digests[r] = _digest(h)
+                votes = np.zeros(bits, np.int64)
+                for at in range(0, len(h), 1 << 16):
+                    part = h[at : at + (1 << 16)]
+                    lanes = part[:, None] if n == 1 else np.stack([mix(part + np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1))) for j in range(n)], 1)
+                    votes += np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
+                rows[r] = np.packbits(2 * votes > len(h))
+            lanes = rows.view(">u8").astype(np.uint64).view(np.int64)
             fp = list_array(np.arange(len(lanes) + 1) * n, pa.array(lanes.ravel()))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), fp], names=[*batch.schema.names[1:], "fp"])
+            more = {"digest": pa.array(digests.view(np.int64))} if n > 1 else {}
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), fp, *more.values()], names=[*batch.schema.names[1:], "fp", *more])
 
     return run
 
 
 def fingerprints(docs: DataFrame, params: SimHash, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """The columns in keep, and fp: array of bits/64 longs, the highest bits first. A bit is set if it is in over half of the shingles' hashes.
+    With more than 64 bits also digest, of the set of shingles.
 
     With 64 bits, shingles count as often as they occur and their XXH64 (seed 42) is the hash; with more, each distinct shingle counts once and
     further hashes are mixed from it. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer words than a shingle is one shingle; an
@@ -114,7 +130,7 @@ def fingerprints(docs: DataFrame, params: SimHash, text_col: str = "text", keep:
     """
     slim = docs.select(F.col(text_col).alias("text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
-    return slim.mapInArrow(_fingerprints(params.shingle, params.bits), f"{kinds}, fp array<bigint>")
+    return slim.mapInArrow(_fingerprints(params.shingle, params.bits), f"{kinds}, fp array<bigint>" + ", digest bigint" * (params.bits > 64))
 
 
 def hamming(a: Column, b: Column, params: SimHash) -> Column:
@@ -228,17 +244,112 @@ def in_large(members: DataFrame, params: SimHash, key_bits: int) -> DataFrame:
     return found.union(links(rest, params, key_bits + LONGER)) if not rest.isEmpty() else found
 
 
+def _sets(shingle: int):
+    """From (text, node): the node, and its set of shingles with its digest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
+            sets = [np.zeros(0, np.uint64)] * batch.num_rows
+            for r, h in _hashes(batch.column(0), shingle):
+                sets[r] = np.unique(h)
+            at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+            digests = np.array([_digest(x) for x in sets], np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests.view(np.int64)), list_array(at, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "digest", "shingles"])
+
+    return run
+
+
+def _alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, similarity: float):
+    """Sets of a and b members, of which so many are common, have the similarity; two empty sets are equal."""
+    return common >= similarity * (a + b - common) - 1e-9
+
+
+def _near_head(similarity: float):
+    """From (component, node, digest, shingles, head): near, whether the sets are alike."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (at, own), (head_at, head) = (flat_list(batch.column(k)) for k in (3, 4))
+            own, head, near = np.asarray(own), np.asarray(head), np.zeros(batch.num_rows, bool)
+            for r in range(batch.num_rows):
+                x, y = own[at[r] : at[r + 1]], head[head_at[r] : head_at[r + 1]]
+                near[r] = _alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(near)], names=[*batch.schema.names[:4], "near"])
+
+    return run
+
+
+def _in_family(similarity: float):
+    """From a unit's rows (left, near, node, shingles): links that connect what the links of its left rows with its right rows connect. Near rows are connected."""
+
+    def run(unit: pa.Table) -> pa.Table:
+        unit = unit.combine_chunks()
+        left, near = (np.asarray(unit[c]) for c in ("left", "near"))
+        at, flat = flat_list(unit["shingles"].combine_chunks())
+        flat, sizes, right = np.asarray(flat), np.diff(at), np.flatnonzero(~left)
+        # Numbers for groups of rows that are connected; equal nodes and near rows are from the start.
+        group = np.unique(np.asarray(unit["node"].combine_chunks().dictionary_encode().indices), return_inverse=True)[1]
+        if near.any():
+            group[np.isin(group, group[near])] = group[near][0]
+        firsts, others = [], []
+        for i in np.flatnonzero(left):
+            mine = flat[at[i] : at[i + 1]]
+            small, large = np.minimum(sizes[right], sizes[i]), np.maximum(sizes[right], sizes[i])
+            todo, step = right[_alike(small, small, large, similarity)], 4
+            while len(todo := todo[group[todo] != group[i]]):
+                some, todo, step = todo[:step], todo[step:], min(4 * step, 256)
+                for j in some:
+                    if group[j] != group[i] and _alike(len(np.intersect1d(mine, flat[at[j] : at[j + 1]], assume_unique=True)), sizes[i], sizes[j], similarity):
+                        group[group == group[j]] = group[i]
+                        firsts.append(i)
+                        others.append(j)
+        take = lambda x: unit["node"].take(pa.array(np.array(x, np.int64)))
+        return pa.table([take(firsts), take(others)], names=["a", "b"])
+
+    return run
+
+
+def verified(families: DataFrame, docs: DataFrame, params: SimHash) -> DataFrame:
+    """(a, b): links that connect what all pairs of a family connect whose sets of shingles are alike. families: (node, digest, component), a written table of
+    candidates, each component named by its smallest node; docs: (id, text).
+
+    Each member is compared with its family's smallest first, in a join that the planner can split. Members that aren't near it are compared with all
+    others of the family to which nothing connects them yet. Families are dealt out to tasks in pieces of about FAMILY shingles on either side.
+    """
+    kind = families.schema["node"].dataType.simpleString()
+    texts = docs.join(families.select(F.col("node").alias("id")).distinct(), "id", "left_semi").select("text", F.col("id").alias("node"))
+    sets = texts.mapInArrow(_sets(params.shingle), f"node {kind}, digest bigint, shingles array<bigint>").dropDuplicates(["node", "digest"])
+    members = written(families.join(sets, ["node", "digest"]).select("component", "node", "digest", "shingles"))
+    heads = members.where("node = component").groupBy("component").agg(F.min_by("shingles", "digest").alias("head"))
+    judged = written(members.join(heads, "component").select("component", "node", "digest", "shingles", "head").mapInArrow(_near_head(params.similarity), f"component {kind}, node {kind}, digest bigint, shingles array<bigint>, near boolean"))
+    found = judged.where("near and node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+    size = F.size("shingles").cast("bigint") + 8
+    piece = lambda n: F.ceil(n / F.lit(float(FAMILY)))
+    mixed = judged.groupBy("component").agg(F.count("*").alias("n"), piece(F.sum(size)).alias("rights"), piece(F.sum(F.when(~F.col("near"), size))).alias("lefts")).where("n > 2 and lefts is not null").drop("n")
+    open_ = judged.join(mixed, "component").withColumn("at", F.xxhash64("node", "digest"))
+    side = lambda df, left: df.select("component", F.lit(left).alias("left"), "near", "node", "shingles", F.pmod("at", "lefts" if left else "rights").alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rights" if left else "lefts") - 1)).alias("other"))
+    rows = [side(df, left).select("component", (F.col("own") if left else F.col("other")).alias("i"), (F.col("other") if left else F.col("own")).alias("j"), "left", "near", "node", "shingles") for df, left in ((open_.where("not near"), True), (open_, False))]
+    rest = rows[0].union(rows[1]).groupBy("component", "i", "j").applyInArrow(_in_family(params.similarity), f"a {kind}, b {kind}")
+    return found.union(rest)
+
+
 def grouped(docs: DataFrame, params: SimHash, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of docs: id, the columns in keep, fp and component, the smallest id in reach over links.
 
     Rows without an id have the component of their fingerprint's group; they are never its name. Repeated rows and exact copies share a fingerprint,
-    which is one node however many rows have it. An empty table gives an empty result.
+    which is one node however many rows have it. An empty table gives an empty result. With a similarity, nodes are sets of shingles.
     """
-    prints = written(fingerprints(docs.withColumnRenamed(id_col, "id") if id_col != "id" else docs, params, text_col, ("id", *keep)))
-    nodes = written(prints.groupBy("fp").agg(F.min("id").alias("node")))
-    found = components(links(nodes.where("node is not null"), params))
-    named = nodes.join(found, "node", "left").select("fp", F.coalesce("component", "node").alias("component"))
-    return prints.join(named, "fp").select("id", *keep, "fp", "component")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
+    prints = written(fingerprints(slim, params, "text", ("id", *keep)))
+    same = ["fp", "digest"] if params.similarity else ["fp"]
+    nodes = written(prints.groupBy(*same).agg(F.min("id").alias("node")))
+    found = components(links(nodes.where("node is not null").select("node", "fp"), params))
+    if params.similarity:
+        roots = found.select(F.col("component").alias("node"), "component").distinct()
+        families = written(nodes.join(found.union(roots), "node").select("node", "digest", "component"))
+        found = components(verified(families, slim.select("id", "text"), params))
+    named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
+    return prints.join(named, same).select("id", *keep, "fp", "component")
 
 
 def keep_one(docs: DataFrame, params: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -213,3 +213,30 @@ def test_wide_blocks_keep_groups(spark):
     for small in (512, 5):
         got = {r.node: r.component for r in components(simhash.links(nodes, replace(corpus_pipeline.NEAR, small=small))).collect()}
         assert got == {i: i // 30 * 30 for i in range(120) if i % 30}
+
+
+@pytest.mark.parametrize("family", [simhash.FAMILY, 600])
+def test_near_copies_are_judged_by_their_sets_of_shingles(spark, monkeypatch, family):
+    """Families of pages from one template with different bodies, around the limit, against a brute-force reading; whole and dealt out in pieces."""
+    monkeypatch.setattr(simhash, "FAMILY", family)
+    g, rows = np.random.default_rng(11), []
+    for c in range(6):
+        base = words(200, 300 + c).split()
+        for k in range(12):
+            cut = int(g.choice([8, 18, 26, 30, 40]))
+            rows.append((len(rows), " ".join(base[: 200 - cut] + words(cut, 1000 + len(rows)).split()), "s"))
+        ring = base[100:] + words(100, 400 + c).split()
+        for k in range(8):  # a chain: neighbours are near copies, its ends are not
+            rows.append((len(rows), " ".join(ring[k * 10 : k * 10 + 120]), "s"))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for _, t, _ in rows]
+    alike = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, b in itertools.combinations(range(len(rows)), 2)}
+    name = list(range(len(rows)))
+    for (a, b), s in alike.items():
+        if s >= 0.8:
+            low, high = sorted((name[a], name[b]))
+            name = [low if x == high else x for x in name]
+    assert sum(0.65 < s < 0.8 for s in alike.values()) > 100 and len(set(name)) < len(rows) - 30
+    got = {r.id: r.component for r in simhash.grouped(frame(spark, rows), corpus_pipeline.NEAR).collect()}
+    # No link is false; candidates may miss 3 of 100.
+    assert len(got) == len(rows) and all(name[i] == name[c] for i, c in got.items())
+    assert sum(got[i] != n for i, n in enumerate(name)) <= 0.03 * len(rows)
