@@ -12,8 +12,8 @@ from ..operators import fits, geo, labels, learning, matching, metrics, patterns
 from ..sources import adapters
 
 FRAME = 900.0
-#: Of the driver's pairs, so many hypotheses are tried: all of them are true ones here. The engine's own default is 7000.
-HYPOTHESES = 50
+#: So many hypotheses of a pair are tried, the engine's default; SQL takes it from here.
+HYPOTHESES = 7000
 KEY = ["image_id"]
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -396,12 +396,12 @@ def _examples(s: SparkSession, d: str) -> DataFrame:
 @query
 def train_eval_rf(s: SparkSession, d: str) -> DataFrame:
     examples = _examples(s, d)
-    return learning.scored(learning.train(examples, trees=50), examples).select("vec_id", "label", "p")
+    return learning.scored(learning.train(examples), examples).select("vec_id", "label", "p")
 
 
 @query
 def cv_report(s: SparkSession, d: str) -> DataFrame:
-    return learning.report(lambda df: learning.train(df, trees=20), _examples(s, d), 3, "vec_id")
+    return learning.report(learning.train, _examples(s, d), 3, "vec_id")
 
 
 @query

@@ -155,3 +155,11 @@ def test_crater_files(spark, tmp_path):
     (tmp_path / "g.csv").write_text(" longitude ,LATITUDE,pixel\n1,2,3\n")
     with pytest.raises(ValueError, match="Scan"):
         tables.geo_grid(spark, str(tmp_path / "g.csv"))
+
+
+def test_registered_queries_try_all_hypotheses_up_to_the_default(spark):
+    from regolith.plans.queries import QUERIES
+
+    at = "/root/testdata/sf0.001"
+    alike, tried = ({r.image_id: r["count"] for r in QUERIES[q](spark, at).groupBy("image_id").count().collect()} for q in ("lookalike_join", "top_hypotheses"))
+    assert tried == {i: min(n, 7000) for i, n in alike.items()} and max(tried.values()) > 50
