@@ -23,7 +23,6 @@ from ._scratch import shared_dir, written
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _BLOCK = 1 << 20
-_HEADER_MOST = 1 << 16
 _BATCH_BYTES = 8 << 20
 
 
@@ -135,20 +134,24 @@ class _Source:
 
 
 def _looks_valid(source: _Source, at: int) -> bool:
-    """A candidate's first bytes inflate to a WARC header."""
-    inflate, got, n = zlib.decompressobj(31), b"", 0
-    while n < _HEADER_MOST:
-        piece = source.piece(at + n, 4096)
+    """A candidate inflates to a WARC header, however long."""
+    inflate, got, where = zlib.decompressobj(31), bytearray(), at
+    while True:
+        piece = source.piece(where, 4096)
         if not piece:
             return False
         try:
-            got += inflate.decompress(piece)
+            new = inflate.decompress(piece)
         except zlib.error:
             return False
-        n += len(piece)
-        if not b"WARC/1.".startswith(got[:7]) or b"\r\n\r\n" in got or inflate.eof:
-            break
-    return _head(got) is not None
+        # The end may begin in what came before.
+        seen = max(len(got) - 3, 0)
+        got += new
+        where += len(piece)
+        if not b"WARC/1.".startswith(got[:7]):
+            return False
+        if got.find(b"\r\n\r\n", seen) >= 0 or inflate.eof:
+            return _head(bytes(got)) is not None
 
 
 def _member(source: _Source, at: int) -> tuple[bytes, int] | None:
@@ -250,13 +253,17 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     """Writes archives of pages and reads them back: page_id, payload_bytes, payload_digest, record_type and refers_to, and target_uri and declared_digest,
     one row for each row of pages.
 
-    Digests and lengths are those of the payloads as read; a revisit has its response's, joined by the page it refers to.
+    Digests and lengths are those of the payloads as read; a revisit has its response's, joined by the page it refers to. It fails if other than all
+    records are read back.
     """
     manifest = write_archives(pages, least=least)
     lanes = pages.sparkSession.sparkContext.defaultParallelism
     read = read_archives(manifest, least_splits=2 * lanes)
     read = read.select("page_id", F.octet_length("payload").cast("bigint").alias("own_bytes"), F.sha2("payload", 256).alias("own_digest"), F.col("warc_type").alias("record_type"), "refers_to", "target_uri", "declared_digest")
     read = written(read)
+    wrote, found = manifest.agg(F.coalesce(F.sum("records"), F.lit(0)).alias("n")).first()["n"], read.count()
+    if wrote != found:
+        raise RuntimeError(f"{wrote} records were written and {found} read back")
     revisited = read.where("record_type = 'response'").join(read.where("refers_to is not null").groupBy(F.col("refers_to").alias("page_id"), F.col("declared_digest").alias("own_digest")).agg(F.count("*").alias("n")), ["page_id", "own_digest"])
     revisited = revisited.groupBy("page_id", "own_digest").agg(F.max("own_bytes").alias("bytes"), F.max("own_digest").alias("digest")).select(F.col("page_id").alias("of"), F.col("own_digest").alias("of_digest"), "bytes", "digest")
     joined = read.join(revisited, (F.col("refers_to") == F.col("of")) & (F.col("declared_digest") == F.col("of_digest")), "left")

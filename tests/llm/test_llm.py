@@ -240,3 +240,15 @@ def test_near_copies_are_judged_by_their_sets_of_shingles(spark, monkeypatch, fa
     # No link is false; candidates may miss 3 of 100.
     assert len(got) == len(rows) and all(name[i] == name[c] for i, c in got.items())
     assert sum(got[i] != n for i, n in enumerate(name)) <= 0.03 * len(rows)
+
+
+def test_warc_reads_headers_of_any_length_and_misses_no_record(spark, monkeypatch):
+    g = np.random.default_rng(6)
+    url = "data:text/html;base64," + "".join(map(chr, g.integers(65, 91, 300_000)))
+    pages = spark.createDataFrame([(1, url, "x" * 200), (2, "u", "x" * 200), (3, "v", "short")], "page_id bigint, url string, html string")
+    got = {r.page_id: r for r in warc.round_trip(pages).collect()}
+    assert sorted(got) == [1, 2, 3] and got[1].target_uri == url and got[2].refers_to == 1 and got[1].payload_bytes == got[2].payload_bytes == 200
+    all_of = warc.read_archives
+    monkeypatch.setattr(warc, "read_archives", lambda *a, **k: all_of(*a, **k).where("page_id <> 3"))
+    with pytest.raises(RuntimeError, match="3 records were written and 2 read"):
+        warc.round_trip(pages)
