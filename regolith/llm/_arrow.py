@@ -8,7 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 
-_CHUNK = 4 << 20
+_CHUNK = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 _U = np.uint64
 
@@ -41,15 +41,15 @@ class Words(NamedTuple):
     word_at: np.ndarray
 
 
-def text_chunks(column: pa.Array, table: np.ndarray, lower: bool = False) -> Iterator[Words]:
-    """The words of a string column, a few MB of whole rows at a time; a null has none."""
+def text_chunks(column: pa.Array, table: np.ndarray, lower: bool = False, size: int = _CHUNK) -> Iterator[Words]:
+    """The words of a string column, about `size` bytes of whole rows at a time; a null has none."""
     column = column.cast(pa.large_string()).fill_null("")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     body = column.buffers()[2]
     body = np.frombuffer(body, np.uint8) if body is not None else np.zeros(0, np.uint8)
     first = 0
     while first < len(column):
-        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + _CHUNK, side="right")) - 1)
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + size, side="right")) - 1)
         data = body[offsets[first] : offsets[last]]
         at = offsets[first : last + 1] - offsets[first]
         if lower:
