@@ -18,7 +18,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import shared_dir, written
+from ._scratch import set_apart, shared_dir, written
 
 MAGIC = b"\x1f\x8b\x08"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,7 +91,7 @@ def write_archives(pages: DataFrame, id_col: str = "page_id", url_col: str = "ur
     a third of all rows has one payload.
     """
     folder = folder or shared_dir(pages.sparkSession)
-    slim = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    slim = set_apart(pages, (id_col, url_col, html_col), pages.columns)[0].toDF("page_id", "url", "html").withColumn("page_id", F.col("page_id").cast("bigint"))
     slim = slim.withColumn("digest", F.sha2(F.coalesce(F.col("html"), F.lit("")).cast("binary"), 256))
     large = slim.where(F.octet_length("html") >= least)
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null").select(F.col("digest").alias("of"), "first")
@@ -232,7 +232,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(files: DataFrame, split_bytes: int = 32 << 20, least_splits: int = 1) -> DataFrame:
     """The records of the files named in files (path, bytes), with their payloads; a revisit has an empty one. No file at all gives no rows.
 
-    Ranges are of split_bytes, or smaller if that gives fewer than least_splits of them; each is a task's unit, whatever the files' sizes.
+    Ranges are of split_bytes, or smaller if that gives fewer than least_splits of them; each is a task's unit, whatever the files' sizes. A file that is
+    listed twice is read twice. Damaged and cut members give no row, and what stands behind them is found again; headers may have any length. Records come
+    as they are: one without a page's id has null there.
     """
     total = files.agg(F.sum("bytes").alias("n"), F.count("*").alias("files")).first()
     if least_splits > 1 and total["n"]:
@@ -253,8 +255,8 @@ def round_trip(pages: DataFrame, least: int = 100) -> DataFrame:
     """Writes archives of pages and reads them back: page_id, payload_bytes, payload_digest, record_type and refers_to, and target_uri and declared_digest,
     one row for each row of pages.
 
-    Digests and lengths are those of the payloads as read; a revisit has its response's, joined by the page it refers to. It fails if other than all
-    records are read back.
+    Digests and lengths are those of the payloads as read; a revisit has its response's, joined by the page it refers to. Null ids, urls and payloads, repeated
+    rows, ties and empty tables are as write_archives() says; other columns of pages don't matter. It fails if other than all records are read back.
     """
     manifest = write_archives(pages, least=least)
     lanes = pages.sparkSession.sparkContext.defaultParallelism
