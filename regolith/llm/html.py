@@ -1,25 +1,27 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
 Markup is stripped and each block element becomes a line. What is never article text (menus, page headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments) is stripped along with its content and leaves a gap of empty lines. A line weighs as much as its text outside links;
-in an article or main element it weighs at least the surge, and if a page has such an element, lines outside of it weigh nothing. Weights are summed
-over sliding windows of lines: text is kept from where the sum surges to where it dives to zero.
+scripts, styles, reader comments) is stripped along with its content. Page headers, footers and menus leave a gap of empty lines, as do the borders of
+article and main elements; what is stripped inside those leaves none. A line weighs as much as its text outside links, and weights are summed over sliding windows of lines. The sums rise from zero and dive back to zero; the lines
+between are a stretch, and stretches whose sums surge are text. If none surges, the one with the highest sum is.
 """
 
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html import unescape
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from ._scratch import fresh_name
+from ._scratch import kinds, set_apart
 
 WINDOW, SURGE = 3, 86
+#: Lines of a gap: so many that some window's reach ends on either side.
+_GAP = 2 * WINDOW - 1
 
 _TOKEN = re.compile(r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*(?:"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))|[^>])*+)(>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.S)
 _NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
@@ -34,12 +36,15 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _SPACE = frozenset("br td th img".split())
 #: Elements that are stripped with their content.
 _STRIPPED = frozenset("aside button canvas dialog footer form head menu nav noscript object search select svg template".split())
-#: Elements with one of these words in class, id or role are stripped with their content.
+#: Stripped elements that part what stands before them from what stands behind.
+_PARTING = frozenset("footer header menu nav".split())
+#: Elements are stripped with their content if a name in class, id or role consists of these words, with or without words of _PLAIN; `related-work` doesn't.
 _WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments complementary consent contentinfo cookie cookies disqus footer "
     "login masthead menu modal nav navbar navigation newsletter notice notices pagination popup promo promoted related share sharing sidebar signup social "
     "sponsor sponsored subscribe toolbar widget".split()
 )
+_PLAIN = frozenset("area article bar block bottom box buttons container entry form global group inner item items left links list main outer page panel post reader right section site slot top user wrap wrapper".split())
 _COMMENT = frozenset("comment comments".split())
 _CLOSED_BY_BLOCK = {"p": _BLOCK, "li": frozenset(["li"]), "dt": frozenset(["dt", "dd"]), "dd": frozenset(["dt", "dd"]), "tr": frozenset(["tr"])}
 
@@ -49,52 +54,61 @@ def _stripped(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if not attributes or name in ("html", "body", "main"):
         return False
-    found = {w.lower() for m in _NAMED.finditer(attributes) for w in _PART.findall(m[1] or m[2] or m[3] or "")}
-    return bool(found & (_COMMENT if name == "article" else _WORDS)) or not in_article and name != "article" and "header" in found
+    listed = _COMMENT if name == "article" else _WORDS if in_article or name == "article" else _WORDS | {"header"}
+    for m in _NAMED.finditer(attributes):
+        for whole in (m[1] or m[2] or m[3] or "").split():
+            parts = {w.lower() for w in _PART.findall(whole)}
+            if parts & listed and parts <= listed | _PLAIN:
+                return True
+    return False
 
 
 class _Lines:
-    """The lines of a page so far: text, weight outside links, inside an article or main element."""
+    """The lines of a page so far: text, and weight outside links. A gap is a line without text that no stretch spans."""
 
     def __init__(self) -> None:
         self.text: list[str] = []
         self.weight: list[int] = []
-        self.inside: list[bool] = []
         self.pieces: list[str] = []
         self.linked = 0
 
-    def end(self, inside: bool) -> None:
+    def end(self) -> None:
         if self.pieces:
             if line := " ".join("".join(self.pieces).split()):
                 self.text.append(line)
                 self.weight.append(max(0, len(line) - self.linked))
-                self.inside.append(inside)
             self.pieces, self.linked = [], 0
 
     def gap(self) -> None:
-        self.text += [""] * WINDOW
-        self.weight += [0] * WINDOW
-        self.inside += [False] * WINDOW
+        self.end()
+        if self.text and self.text[-1]:
+            self.text += [""] * _GAP
+            self.weight += [0] * _GAP
 
 
 def _lines(page: str) -> _Lines:
     out = _Lines()
     stack: list[tuple[str, bool]] = []  # open elements, each with whether it is stripped; inline ones only if they are
-    at, dropped, article, links = 0, 0, 0, 0
+    open_of: Counter[str] = Counter()
+    stripped: list[int] = []  # where in the stack those are
+    at, article, links = 0, 0, 0
 
     def close(upto: int) -> None:
-        nonlocal dropped, article
+        nonlocal article
         while len(stack) > upto:
             name, strip = stack.pop()
+            open_of[name] -= 1
             if strip:
-                dropped -= 1
-                if not dropped and name in _BLOCK:
+                stripped.pop()
+                if not stripped and not article and name in _PARTING:
                     out.gap()
             elif name in ("article", "main"):
                 article -= 1
+                if not stripped:
+                    out.gap()
 
     def add(text: str) -> None:
-        if not dropped:
+        if not stripped:
             text = unescape(text) if "&" in text else text
             out.pieces.append(text)
             if links:
@@ -113,13 +127,15 @@ def _lines(page: str) -> _Lines:
         if ending:
             if name == "a":
                 links = max(0, links - 1)
-            elif name in _BLOCK or any(n == name for n, _ in stack):
-                if not dropped:
-                    out.end(article > 0)
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == name:
-                        close(k)
-                        break
+            elif name in _BLOCK or open_of[name]:
+                if not stripped:
+                    out.end()
+                if open_of[name]:
+                    # What is above it is closed too, so no element is looked at twice.
+                    k = len(stack) - 1
+                    while stack[k][0] != name:
+                        k -= 1
+                    close(k)
             continue
         if name in _RAW:
             end = _RAW[name].search(page, at)
@@ -133,40 +149,52 @@ def _lines(page: str) -> _Lines:
             links += 1
         if name in _BLOCK:
             links = 0
-            if not dropped:
-                out.end(article > 0)
+            if not stripped:
+                out.end()
             if stack and name in _CLOSED_BY_BLOCK.get(stack[-1][0], ()):
                 close(len(stack) - 1)
         if name in _VOID or name == "svg" and m[3].endswith("/"):
             continue
-        if name in ("article", "main") and dropped:
+        if name in ("article", "main") and stripped and stack[stripped[0]][0] in ("form", "nav", "header", "head"):
             # Such an element can't stand in a menu or page header: those were left open; and a form may wrap a whole page.
-            outer = next(k for k, (_, strip) in enumerate(stack) if strip)
-            if stack[outer][0] in ("form", "nav", "header", "head"):
-                close(outer)
+            close(stripped[0])
         strip = _stripped(name, m[3], article > 0)
         if strip or name in _BLOCK:
-            stack.append((name, strip))
-            if strip:
-                dropped += 1
-            elif name in ("article", "main"):
+            if name in ("article", "main") and not strip:
                 article += 1
+                if not stripped:
+                    out.gap()
+            if strip:
+                stripped.append(len(stack))
+            stack.append((name, strip))
+            open_of[name] += 1
     if at < len(page):
         add(page[at:])
-    if not dropped:
-        out.end(article > 0)
+    if not stripped:
+        out.end()
     return out
 
 
-def _between(weight: np.ndarray, surge: int) -> np.ndarray:
-    """Whether each line lies between a surge and the next dive of the windows' sums."""
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[WINDOW - 1 :]
-    high, low = sums >= surge, sums == 0
-    if not high.any():
-        high = (sums == sums.max()) & ~low
-    change = np.where(high, 1, np.where(low, -1, 0))
-    last = np.maximum.accumulate(np.where(change != 0, np.arange(len(change)), -1))
-    return (last >= 0) & (change[last] == 1)
+def _between(weight: np.ndarray, gap: np.ndarray, surge: int) -> np.ndarray:
+    """Whether each line lies in a stretch of text. gap: of each line, whether it is one."""
+    n = len(weight)
+    sums = np.convolve(weight, np.ones(WINDOW, np.int64))  # sums[k]: of the window that ends with line k
+    near = np.convolve(sums > 0, np.ones(WINDOW, np.int64))[WINDOW - 1 : WINDOW - 1 + n] > 0  # some window with the line in it isn't empty
+    stretch = np.cumsum(np.diff(near.astype(np.int8), prepend=0) == 1) - 1
+    if not near.any():
+        return near
+    peak = np.zeros(stretch.max() + 1, np.int64)
+    # The window that ends with line k belongs to the stretch of that line, or ends in the last lines of the one before.
+    np.maximum.at(peak, np.maximum(stretch[near], 0), sums[:n][near])
+    text = peak >= surge if (peak >= surge).any() else peak == peak.max()
+    kept = near & text[np.maximum(stretch, 0)]
+    # Lines of links alone between two kept stretches are part of the text, unless something was stripped there.
+    ends = np.flatnonzero(np.diff(kept.astype(np.int8), prepend=0, append=0))
+    upto = np.concatenate([[0], np.cumsum(gap)])
+    for a, b in zip(ends[1::2], ends[2::2]):
+        if upto[a] == upto[b]:
+            kept[a:b] = True
+    return kept
 
 
 def main_text(page: str | None) -> str:
@@ -176,12 +204,7 @@ def main_text(page: str | None) -> str:
     lines = _lines(page)
     if not lines.text:
         return ""
-    weight = np.array(lines.weight, np.int64)
-    if any(lines.inside):
-        weight = np.where(lines.inside, np.maximum(weight, SURGE), 0)
-    kept = _between(weight, SURGE)
-    if any(lines.inside):
-        kept &= np.array(lines.inside)
+    kept = _between(np.array(lines.weight, np.int64), np.array([not t for t in lines.text]), SURGE)
     return "\n\n".join(t for t, k in zip(lines.text, kept) if k and t)
 
 
@@ -196,14 +219,14 @@ def _extract(names: list[str]):
 
 
 def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
-    """pages without the html, with text and n_chars (its code points); columns of pages that have one of these names are replaced.
+    """pages without the html, with text and n_chars (its code points); columns of pages that have one of these names, in any case, are replaced.
 
-    Pages are read whole, each for itself and where it lies: nothing is shuffled, and memory follows the longest page. A null or empty page, or one that
-    is cut anywhere, gives what there is; repeated rows give equal rows; an empty table gives an empty result. White space inside a block, `br` and
-    cells' borders become one space; character references are decoded; nothing else is dropped or shortened.
+    Pages are read whole, each for itself and where it lies: nothing is shuffled, and time and memory follow the page's length. A null or empty page, or one
+    that is cut anywhere, gives what there is; repeated rows give equal rows; an empty table gives an empty result; stretches with equal highest sums
+    are all text. White space inside a block, `br` and cells' borders become one space; character references are decoded; nothing else is
+    dropped or shortened.
     """
-    rest = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
-    packed = pages.select(F.col(html_col).alias("html"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(rest)))
-    names = [*(f"c{k}" for k in range(len(rest))), fresh_name(pages, "text"), fresh_name(pages, "n_chars")]
-    kinds = [f"c{k} {pages.schema[c].dataType.simpleString()}" for k, c in enumerate(rest)]
-    return packed.mapInArrow(_extract(names), ", ".join([*kinds, f"`{names[-2]}` string", f"`{names[-1]}` bigint"])).toDF(*rest, "text", "n_chars")
+    packed, rest = set_apart(pages, (html_col,), ("text", "n_chars"))
+    held = [f"c{k}" for k in range(len(rest))]
+    out = packed.mapInArrow(_extract([*held, "text", "n_chars"]), ", ".join([*kinds(packed, held), "text string, n_chars bigint"]))
+    return out.toDF(*rest, "text", "n_chars")
