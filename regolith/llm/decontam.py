@@ -1,12 +1,14 @@
 """Benchmark passages in a corpus, by a positional inverted index that is stored with the documents' shards.
 
-The index holds, for each document, the positions of each benchmark term in it. It is distributed by document, so a search intersects lists of
-the same document within one task: nothing but the index itself, a fraction of the texts, is ever moved, and no term or passage is a hot key.
+The index holds, for each document, the positions of each of its terms. It is distributed by document, so a search intersects lists of the same
+document within one task: the corpus is never moved, no term or passage is a hot key, and a stored index serves any later benchmark. A benchmark is searched
+block by block, so that what the driver and a task hold of it has a bound.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -15,88 +17,117 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ._arrow import PUNCT, flat_list, list_array, row_of, text_chunks, word_hashes
-from ._scratch import written
+from ._scratch import kinds, set_apart, written
 
 _PAD = 64  # free numbers between the positions of neighbouring lists, so that a tolerance never reaches into the next
 
 
-def _index(terms, names: list[str]):
-    """terms: a broadcast, sorted array of term hashes."""
+def _index(names: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in text_chunks(batch.column(0), PUNCT, lower=True):
+                n_rows = w.last - w.first
+                coded = pa.array(word_hashes(w)).dictionary_encode()
+                code, n_codes, n = np.asarray(coded.indices).astype(np.int64), len(coded.dictionary), len(coded)
+                bits = max(n, 1).bit_length()
+                # One number for row, term and place: sorting the numbers sorts the postings.
+                order = np.sort((row_of(w.word_at) * n_codes + code) << bits | np.arange(n))
+                at, group = order & (1 << bits) - 1, order >> bits
+                begins = np.flatnonzero(np.diff(group, prepend=-1))
+                row = group[begins] // max(n_codes, 1)
+                list_at = np.searchsorted(row, np.arange(n_rows + 1))
+                position_at = np.concatenate([begins, [n]])[list_at]
+                sizes = np.diff(np.concatenate([begins, [n]]))
+                positions = at - np.repeat(w.word_at[:-1], np.diff(w.word_at))
+                terms = coded.dictionary.take(pa.array(code[at[begins]]))
+                rest = [batch.column(k).slice(w.first, n_rows) for k in range(1, batch.num_columns)]
+                lists = [list_array(list_at, terms.cast(pa.uint64()).view(pa.int64())), list_array(list_at, pa.array(sizes.astype(np.int32))), list_array(position_at, pa.array(positions.astype(np.int32)))]
+                yield pa.RecordBatch.from_arrays([*rest, pa.array(np.diff(w.word_at).astype(np.int64)), *lists], names=names)
+
+    return run
+
+
+def indexed(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The index, written: row_id, the columns in keep as k0, k1, ..., n_words, terms (their hashes), counts (of each term's places) and positions (word numbers,
+    term after term). Words are `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+` after A-Z have been lower-cased, of whole texts."""
+    slim, _ = set_apart(docs, (text_col, *keep), docs.columns)
+    slim = slim.toDF("text", *(f"k{k}" for k in range(len(keep))))
+    names = [*slim.columns[1:], "n_words", "terms", "counts", "positions"]
+    made = slim.mapInArrow(_index(names), ", ".join([*kinds(slim, slim.columns[1:]), "n_words bigint, terms array<bigint>, counts array<int>, positions array<int>"]))
+    return written(made.withColumn("row_id", F.monotonically_increasing_id()))
+
+
+class Queries(NamedTuple):
+    """Windows of benchmark items. terms: sorted hashes; of each window: item (a number), length, and its offsets and term numbers from the rarest term to the
+    commonest; by_rarest, first: the windows by their rarest term, and where each term's begin. Sent to tasks as a plain tuple."""
+
+    terms: np.ndarray
+    item: np.ndarray
+    length: np.ndarray
+    offset: np.ndarray
+    term: np.ndarray
+    by_rarest: np.ndarray
+    first: np.ndarray
+
+
+def _item_words(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The word hashes of all texts, and where each text's begin."""
+    hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for w in text_chunks(pa.array(texts, pa.string()), PUNCT, lower=True):
+        hashes.append(word_hashes(w))
+        sizes.append(np.diff(w.word_at))
+    return np.concatenate(hashes), np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+
+
+def _queries(h: np.ndarray, at: np.ndarray, terms: np.ndarray, frequency: np.ndarray, window: int) -> Queries:
+    """frequency: of each term in the corpus."""
+    n = np.diff(at)
+    windows = np.where(n > 0, np.maximum(n - window + 1, 1), 0)
+    item = np.repeat(np.arange(len(n)), windows)
+    start = at[:-1][item] + np.arange(len(item)) - np.repeat(np.cumsum(windows) - windows, windows)
+    length = np.minimum(n[item], window)
+    places = np.minimum(start[:, None] + np.arange(window), max(len(h) - 1, 0))
+    inside = np.arange(window) < length[:, None]
+    term = np.searchsorted(terms, h)[places] if len(h) else np.zeros((0, window), np.int64)
+    order = np.argsort(np.where(inside, frequency[term] if len(h) else 0, np.iinfo(np.int64).max), axis=1, kind="stable")
+    term = np.where(np.take_along_axis(inside, order, 1), np.take_along_axis(term, order, 1), -1).astype(np.int32)
+    by_rarest = np.argsort(term[:, 0], kind="stable").astype(np.int32)
+    return Queries(terms, item.astype(np.int32), length.astype(np.int16), order.astype(np.int16), term, by_rarest, np.searchsorted(term[by_rarest, 0], np.arange(len(terms) + 1)))
+
+
+def _frequencies(terms):
+    """From an index's terms and counts: how often each known term occurs, a row for each that a task has seen."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = terms.value
+        total = np.zeros(len(known), np.int64)
         for batch in batches:
-            n_words, counts, found_terms, found_counts, positions = [], [0], [], [], []
-            for w in text_chunks(batch.column(0), PUNCT, lower=True):
-                h = word_hashes(w)
-                row = row_of(w.word_at)
-                n_words.append(np.diff(w.word_at))
-                at = np.minimum(np.searchsorted(known, h), len(known) - 1)
-                hit = np.flatnonzero(known[at] == h)
-                order = hit[np.lexsort((hit, at[hit], row[hit]))]
-                r, t = row[order], at[order]
-                new = np.ones(len(order), bool)
-                new[1:] = (r[1:] != r[:-1]) | (t[1:] != t[:-1])
-                begins = np.flatnonzero(new)
-                found_terms.append(known[t[begins]])
-                found_counts.append(np.diff(np.concatenate([begins, [len(order)]])))
-                positions.append(order - w.word_at[r])
-                per_row = np.bincount(r[begins], minlength=w.last - w.first)
-                counts.append(per_row)
-            if len(counts) == 1:
-                continue
-            list_at = np.concatenate([[0], np.cumsum(np.concatenate(counts[1:]))])
-            sizes = np.concatenate(found_counts)
-            position_at = np.concatenate([[0], np.cumsum(sizes)])[list_at]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in range(1, batch.num_columns)), pa.array(np.concatenate(n_words).astype(np.int64)),
-                 list_array(list_at, pa.array(np.concatenate(found_terms).view(np.int64))), list_array(list_at, pa.array(sizes.astype(np.int32))),
-                 list_array(position_at, pa.array(np.concatenate(positions).astype(np.int32)))], names=names)
+            found, counts = (np.asarray(batch.column(k).flatten()) for k in (0, 1))
+            found = found.view(np.uint64)
+            at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+            hit = known[at] == found
+            total += np.bincount(at[hit], weights=counts[hit], minlength=len(known)).astype(np.int64)
+        have = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(have), pa.array(total[have])], names=["term", "n"])
 
     return run
 
 
-class Queries:
-    """Windows of benchmark items: term numbers, and for each window its offsets from the rarest term to the commonest."""
-
-    def __init__(self, terms: np.ndarray, texts: list[tuple[int, str | None]], frequency: dict[int, int], window: int):
-        """texts: (item number, text)."""
-        items, windows = [], []
-        column = pa.array([t for _, t in texts], pa.string())
-        for w in text_chunks(column, PUNCT, lower=True):
-            t = np.searchsorted(terms, word_hashes(w))
-            for r in range(w.last - w.first):
-                own = t[w.word_at[r] : w.word_at[r + 1]]
-                for at in range(max(1, len(own) - window + 1) if len(own) else 0):
-                    items.append(texts[w.first + r][0])
-                    windows.append(own[at : at + window])
-        self.item = np.array(items, np.int64)
-        self.length = np.array([len(x) for x in windows], np.int64)
-        rarity = np.array([frequency.get(int(t.view(np.int64)), 0) for t in terms], np.int64) if len(terms) else np.zeros(0, np.int64)
-        self.offset = np.zeros((len(windows), window), np.int64)
-        self.term = np.full((len(windows), window), -1, np.int64)
-        for k, x in enumerate(windows):
-            order = np.argsort(rarity[x], kind="stable")
-            self.offset[k, : len(x)], self.term[k, : len(x)] = order, x[order]
-        self.by_rarest = np.argsort(self.term[:, 0], kind="stable") if windows else np.zeros(0, np.int64)
-        self.first = np.searchsorted(self.term[self.by_rarest, 0], np.arange(len(terms) + 1)) if windows else np.zeros(len(terms) + 1, np.int64)
-
-
-def _matches(q: Queries, n_terms: int, row: np.ndarray, term: np.ndarray, position: np.ndarray, slack: int):
+def _matches(q: Queries, row: np.ndarray, term: np.ndarray, position: np.ndarray, slack: int):
     """Yields (row, window, start) of matches, a bounded number of whole rows at a time; the postings come sorted."""
-    at, rows = 0, max(1, (1 << 28) // n_terms)
+    at, rows = 0, max(1, (1 << 28) // len(q.terms))
     while at < len(row):
         to = int(np.searchsorted(row, row[at] + rows))
         to = max(int(np.searchsorted(row, row[at], side="right")), min(to, int(np.searchsorted(row, row[min(at + (1 << 20), len(row) - 1)]))) if at + (1 << 20) < len(row) else to)
-        for r, win, start in _intersected(q, n_terms, row[at:to] - row[at], term[at:to], position[at:to], slack):
+        for r, win, start in _intersected(q, row[at:to] - row[at], term[at:to], position[at:to], slack):
             yield r + row[at], win, start
         at = to
 
 
-def _intersected(q: Queries, n_terms: int, row: np.ndarray, term: np.ndarray, position: np.ndarray, slack: int, most: int = 1 << 20):
+def _intersected(q: Queries, row: np.ndarray, term: np.ndarray, position: np.ndarray, slack: int, most: int = 1 << 20):
     """The lists' intersection, each shifted by its term's offset, from the rarest term on, to a tolerance of slack."""
-    lists = (row * n_terms + term) << 34
-    held = lists + position + _PAD
+    n_terms = len(q.terms)
+    held = ((row * n_terms + term) << 34) + position + _PAD
     fanout = q.first[term + 1] - q.first[term]
     upto = np.concatenate([[0], np.cumsum(fanout)])
     at = 0
@@ -122,86 +153,97 @@ def _intersected(q: Queries, n_terms: int, row: np.ndarray, term: np.ndarray, po
         at = to
 
 
-def _search(blocks: list, ids, n_kept: int, slack: int, names: list[str]):
-    """blocks: broadcasts of (sorted term hashes, Queries); ids: of the items' ids by number."""
+def _pairs(found: list[np.ndarray], n_rows: int, ids: pa.Array) -> pa.Array:
+    """For each row the distinct items, from arrays of (row, item number)."""
+    pairs = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *found], axis=1), axis=1)
+    return list_array(np.searchsorted(pairs[0], np.arange(n_rows + 1)), ids.take(pa.array(pairs[1])))
+
+
+def _search(block, slack: int):
+    """block: a broadcast of (Queries as a tuple, the items' ids). Rows of the index with a match: row_id, items, near_items, and spans, the union of the exact matches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        q, ids = Queries(*block.value[0]), block.value[1]
         for batch in batches:
             n_rows = batch.num_rows
-            n_words = np.asarray(batch.column(n_kept))
-            list_at, terms = flat_list(batch.column(n_kept + 1))
-            _, sizes = flat_list(batch.column(n_kept + 2))
-            position_at, positions = flat_list(batch.column(n_kept + 3))
-            terms, sizes, positions = np.asarray(terms).view(np.uint64), np.asarray(sizes, np.int64), np.asarray(positions, np.int64)
+            n_words = np.asarray(batch.column(1))
+            list_at, terms = flat_list(batch.column(2))
+            terms, sizes, positions = np.asarray(terms).view(np.uint64), np.asarray(batch.column(3).flatten(), np.int64), np.asarray(batch.column(4).flatten(), np.int64)
             list_row = row_of(list_at)
-            word_at = np.concatenate([[0], np.cumsum(n_words)])
-            exact = [(np.zeros(0, np.int64),) * 4]
-            near = [(np.zeros(0, np.int64),) * 2]
-            for block in blocks:
-                known, q = block.value
-                t = np.minimum(np.searchsorted(known, terms), len(known) - 1)
-                mine = known[t] == terms
-                own = np.repeat(mine, sizes)
-                row, term, position = np.repeat(list_row[mine], sizes[mine]), np.repeat(t[mine], sizes[mine]), positions[own]
-                for r, w, s in _matches(q, len(known), row, term, position, 0):
-                    exact.append((r, q.item[w], s, s + q.length[w]))
-                if slack:
-                    for r, w, _ in _matches(q, len(known), row, term, position, slack):
-                        near.append(tuple(np.unique(np.stack([r, q.item[w]]), axis=1)))
-            r, item, begin, end = (np.concatenate(x) for x in zip(*exact))
+            t = np.minimum(np.searchsorted(q.terms, terms), len(q.terms) - 1)
+            mine = q.terms[t] == terms
+            place = np.repeat(mine, sizes)
+            row, term, position = np.repeat(list_row[mine], sizes[mine]), np.repeat(t[mine], sizes[mine]), positions[place]
+            # The index has a row's terms in any order; a search wants them by number.
+            order = np.argsort(row * len(q.terms) + term, kind="stable")
+            row, term, position = row[order], term[order], position[order]
+            items, near, spans = [], [], [np.zeros((3, 0), np.int64)]
+            for r, win, start in _matches(q, row, term, position, 0):
+                items.append(np.stack([r, q.item[win]]))
+                spans.append(np.stack([r, start, start + q.length[win]]))
+            if slack:
+                near = [np.unique(np.stack([r, q.item[win]]), axis=1) for r, win, _ in _matches(q, row, term, position, slack)]
+            # Begins and ends counted on a line of all rows' words, with one place between rows.
+            r, begin, end = np.concatenate(spans, axis=1)
+            word_at = np.concatenate([[0], np.cumsum(n_words + 1)])
             change = np.bincount(word_at[r] + begin, minlength=word_at[-1] + 1) - np.bincount(word_at[r] + end, minlength=word_at[-1] + 1)
-            hit = np.concatenate([[0], np.cumsum(np.cumsum(change[:-1]) > 0)])
-            n_hit = hit[word_at[1:]] - hit[word_at[:-1]]
-            lists = []
-            for rows, values in ((r, item), tuple(np.concatenate(x) for x in zip(*near))):
-                pairs = np.unique(np.stack([rows, values]), axis=1)
-                lists.append(list_array(np.searchsorted(pairs[0], np.arange(n_rows + 1)), ids.value.take(pa.array(pairs[1]))))
-            spans = np.unique(np.stack([r, begin, end]), axis=1)
-            span_list = list_array(np.searchsorted(spans[0], np.arange(n_rows + 1)), pa.StructArray.from_arrays([pa.array(spans[1]), pa.array(spans[2])], names=["begin", "end"]))
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(n_kept)), pa.array(n_words), pa.array(n_hit.astype(np.int64)), *lists, span_list], names=names)
+            hit = (np.cumsum(change) > 0).astype(np.int8)
+            begins, ends = np.flatnonzero(np.diff(hit, prepend=0) == 1), np.flatnonzero(np.diff(hit, prepend=0) == -1)
+            owner = np.searchsorted(word_at, begins, side="right") - 1
+            span_list = list_array(np.searchsorted(owner, np.arange(n_rows + 1)), pa.StructArray.from_arrays([pa.array(begins - word_at[owner]), pa.array(ends - word_at[owner])], names=["begin", "end"]))
+            out = pa.RecordBatch.from_arrays([batch.column(0), _pairs(items, n_rows, ids), _pairs(near, n_rows, ids), span_list], names=["row_id", "items", "near_items", "spans"])
+            some = np.zeros(n_rows, bool)
+            for x in (*items, *near):
+                some[x[0]] = True
+            yield out.filter(pa.array(some))
 
     return run
 
 
-def searched(docs: DataFrame, bench: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slack: int = 0, block_words: int = 1_000_000) -> DataFrame:
+def searched(docs: DataFrame, bench: DataFrame, keep: tuple[str, ...] = ("doc_id",), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = 10, slack: int = 0, block_words: int = 500_000, index: DataFrame | None = None) -> DataFrame:
     """The columns in keep, and n_words, n_hit (words inside exact matches), items (ids of items with an exact match), near_items (ids of items of
-    which all words of a window occur, each within `slack` of its place; empty without slack) and spans (the exact matches' word numbers).
+    which all words of a window occur, each within `slack` (under 64) of its place; empty without slack) and spans (maximal intervals of the words that are hit).
 
     A window is `window` consecutive words of an item; an item of fewer words, but not none, is one window. A null text has no words. Items with a null
     id are searched and listed as null. Repeated rows of docs are searched each for itself; an item that occurs twice, with whatever texts, is listed
-    once. Empty tables give empty results or no hits.
+    once. Empty tables give empty results or no hits. index: of indexed(), where it has been made before.
 
-    Benchmark words reach the driver and the executors in blocks of about block_words, so memory has a bound; the corpus is read once for the index
-    and the index once for the search, however many blocks there are. Of the corpus, only a frequency for each benchmark term reaches the driver.
+    Benchmark items are dealt out, by hash, to blocks of about block_words, or one item; only one block at a time is held by the driver and by tasks, and its
+    hits are written before the next. Each block reads the index once, and the corpus only for the index. Of the corpus, only a frequency for each of the
+    block's terms reaches the driver.
     """
     spark = docs.sparkSession
     sc = spark.sparkContext
-    n_bytes = bench.agg(F.sum(F.octet_length(item_text_col)).alias("n")).first()["n"] or 0
+    index = indexed(docs, text_col, keep) if index is None else index
+    items, _ = set_apart(bench, (item_col, item_text_col), bench.columns)
+    n_bytes = items.agg(F.sum(F.octet_length("in1")).alias("n")).first()["n"] or 0
     n_blocks = max(1, -(-n_bytes // (6 * block_words)))
-    parts = bench.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("text")).withColumn("block", F.pmod(F.xxhash64("item", "text"), F.lit(n_blocks)))
-    parts = written(parts)
-    numbers: dict = {}
-    vocabularies, texts = [], []
-    for b in range(n_blocks):
-        rows = [(numbers.setdefault(x["item"], len(numbers)), x["text"]) for x in parts.where(F.col("block") == b).select("item", "text").collect()]
-        hashes = [word_hashes(w) for w in text_chunks(pa.array([t for _, t in rows], pa.string()), PUNCT, lower=True)]
-        vocabularies.append(np.unique(np.concatenate(hashes)) if hashes else np.zeros(0, np.uint64))
-        texts.append(rows)
-    terms = np.unique(np.concatenate(vocabularies))
-    if not len(terms):
-        terms = np.zeros(1, np.uint64)
-    fields = [f"k{k} {docs.schema[c].dataType.simpleString()}" for k, c in enumerate(keep)]
-    index_names = [*(f"k{k}" for k in range(len(keep))), "n_words", "terms", "counts", "positions"]
-    slim = docs.select(F.col(text_col).alias("text"), *(F.col(c).alias(f"k{k}") for k, c in enumerate(keep)))
-    index = written(slim.mapInArrow(_index(sc.broadcast(terms), index_names), ", ".join([*fields, "n_words bigint, terms array<bigint>, counts array<int>, positions array<int>"])))
-    frequency = {x["term"]: x["n"] for x in index.select(F.explode(F.arrays_zip("terms", "counts")).alias("x")).groupBy(F.col("x.terms").alias("term")).agg(F.sum("x.counts").alias("n")).collect()}
-    blocks = []
-    for known, rows in zip(vocabularies, texts):
-        if len(known):
-            blocks.append(sc.broadcast((known, Queries(known, rows, frequency, window))))
-    names = [*index_names[: len(keep)], "n_words", "n_hit", "items", "near_items", "spans"]
-    kind = bench.schema[item_col].dataType
-    ids = sc.broadcast(pa.array(list(numbers), to_arrow_type(kind)))
+    parts = written(items.withColumn("block", F.pmod(F.xxhash64("in0", "in1"), F.lit(n_blocks))))
+    kind = items.schema["in0"].dataType
     listed = f"array<{kind.simpleString()}>"
-    out = index.mapInArrow(_search(blocks, ids, len(keep), slack, names), ", ".join([*fields, f"n_words bigint, n_hit bigint, items {listed}, near_items {listed}, spans array<struct<begin:bigint,end:bigint>>"]))
-    return out.toDF(*keep, *names[len(keep) :])
+    hits = spark.createDataFrame([], f"row_id bigint, items {listed}, near_items {listed}, spans array<struct<begin:bigint,end:bigint>>")
+    for b in range(n_blocks):
+        rows = parts.where(F.col("block") == b).select("in0", "in1").collect()
+        h, at = _item_words([x["in1"] for x in rows])
+        terms = np.unique(h)
+        if not len(terms):
+            continue
+        known = sc.broadcast(terms)
+        counted = index.select("terms", "counts").mapInArrow(_frequencies(known), "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+        known.destroy()
+        frequency = np.zeros(len(terms), np.int64)
+        frequency[[x["term"] for x in counted]] = [x["n"] for x in counted]
+        block = sc.broadcast((tuple(_queries(h, at, terms, frequency, window)), pa.array([x["in0"] for x in rows], to_arrow_type(kind))))
+        found = index.select("row_id", "n_words", "terms", "counts", "positions").mapInArrow(_search(block, slack), hits.schema)
+        hits = hits.union(written(found))
+        block.destroy()
+    union = F.aggregate(
+        F.array_sort(F.flatten(F.collect_list("spans"))), F.array().cast("array<struct<begin:bigint,end:bigint>>"),
+        lambda a, x: F.when((F.size(a) > 0) & (F.element_at(a, -1)["end"] >= x["begin"]), F.concat(F.slice(a, 1, F.size(a) - 1), F.array(F.struct(F.element_at(a, -1)["begin"].alias("begin"), F.greatest(F.element_at(a, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(a, F.array(x))))
+    merged = hits.groupBy("row_id").agg(F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"), F.array_distinct(F.flatten(F.collect_list("near_items"))).alias("near_items"), union.alias("spans")) if n_blocks > 1 else hits
+    held = [f"k{k}" for k in range(len(keep))]
+    out = index.select("row_id", *held, "n_words").join(merged, "row_id", "left")
+    none = F.array().cast(listed)
+    n_hit = F.coalesce(F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, x: a + x["end"] - x["begin"]), F.lit(0).cast("bigint"))
+    out = out.select(*held, "n_words", n_hit.alias("n_hit"), F.coalesce("items", none).alias("items"), F.coalesce("near_items", none).alias("near_items"), F.coalesce("spans", F.array().cast("array<struct<begin:bigint,end:bigint>>")).alias("spans"))
+    return out.toDF(*keep, "n_words", "n_hit", "items", "near_items", "spans")
