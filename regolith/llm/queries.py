@@ -20,7 +20,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return mixing.mixed(docs, mixing.tempered(docs)).select("doc_id", "source", F.col("copy").cast("bigint").alias("copy"), "n_chars")
+    return mixing.mixed(docs, 0.5).select("doc_id", "text", "lang", "source", "n_chars", F.col("copy").cast("bigint").alias("copy"))
 
 
 def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,7 +39,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = quality.judged(table(spark, sf_dir, "documents"))
+    found = quality.judged(table(spark, sf_dir, "documents"), keep=("doc_id",))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
@@ -51,7 +51,7 @@ def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chat.messages(table(spark, sf_dir, "conversations"))
-    return found.select("conv_id", "turn", "anchor_turn", F.col("step").cast("bigint").alias("step"), "n_calls", "n_invalid", "n_malformed", "linked", "message")
+    return found.select("conv_id", "turn", "anchor_turn", "step", "n_calls", "n_invalid", "n_malformed", "linked", "message")
 
 
 def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +98,10 @@ rates AS (SELECT source, (SELECT sum(n) FROM counts)::DOUBLE * weight / (SELECT
 parted AS (SELECT source, greatest(CAST(ceil(rate / 16) AS BIGINT), 1) AS parts, rate / greatest(ceil(rate / 16), 1) AS mean FROM rates),
 steps AS (SELECT source, parts, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS upto FROM parted, range(100) r(k)),
 lists AS (SELECT source, parts, list(upto) AS steps FROM steps GROUP BY source, parts),
-draws AS (SELECT d.doc_id, d.source, d.n_chars, l.steps, unnest(range(1, l.parts + 1)) AS j FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
-copies AS (SELECT doc_id, source, n_chars, sum(len(list_filter(steps, lambda c: c <= CAST('0x' || substr(md5('7|' || doc_id || '|' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE))) AS n
+draws AS (SELECT d.doc_id, d.source, l.steps, unnest(range(1, l.parts + 1)) AS j FROM documents d JOIN lists l ON d.source IS NOT DISTINCT FROM l.source),
+copies AS (SELECT doc_id, source, sum(len(list_filter(steps, lambda c: c <= CAST('0x' || substr(md5('7|' || doc_id || '|' || j), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE))) AS n
            FROM draws GROUP BY ALL)
-SELECT doc_id, source, unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy, n_chars FROM copies""",
+SELECT doc_id, d.text, d.lang, d.source, d.n_chars, unnest(range(1, CAST(n AS BIGINT) + 1)) AS copy FROM documents d JOIN copies c USING (doc_id)""",
     "op4_decontamination": rf"""
 WITH d AS (SELECT doc_id, {_ITEM_WORDS} AS ws FROM documents),
 i AS (SELECT item_id, {_ITEM_WORDS} AS ws FROM benchmark),
@@ -125,9 +125,12 @@ m AS (SELECT doc_id, source, len(ws) AS n_words, length(regexp_replace(t, '[\x20
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m),
 a AS (SELECT *, base_failed OR 10 * n_symbols > n_words OR 10 * n_dup_lines > n_words OR word_chars < 2 * n_words OR word_chars > 15 * n_words AS any_failed FROM b),
 h AS (SELECT source, count(*) AS n, count(*) FILTER (any_failed) AS f FROM a GROUP BY source),
-s AS (SELECT coalesce(avg(f / n), 0) AS mean, coalesce(var_samp(f / n), 0) AS v FROM h),
-p AS (SELECT mean, CASE WHEN v > 0 THEN least(greatest(mean * (1 - mean) / v - 1, 2.0), 200.0) ELSE 200.0 END AS w FROM s),
-bad AS (SELECT source FROM h, p WHERE (f + mean * w) / (n + w) > 0.8)
+s AS (SELECT count(*) AS h, sum(n)::DOUBLE AS n, sum(f)::DOUBLE AS f, sum(f::DOUBLE * f / n) AS ff, sum(n::DOUBLE * n) AS nn FROM h),
+v AS (SELECT f / n AS mean, (ff - f * f / n - f / n * (1 - f / n) * (h - 1)) / nullif(f / n * (1 - f / n) * (n - nn / n - (h - 1)), 0) AS spread FROM s),
+p AS (SELECT mean, CASE WHEN spread > 0 THEN least(greatest(1 / spread - 1, 2.0), 200.0) ELSE 200.0 END AS w FROM v),
+g AS (SELECT k, exp((mean * w - 1) * ln((k + 0.5) / 1000) + ((1 - mean) * w - 1) * ln(1 - (k + 0.5) / 1000)) AS d FROM p, range(1000) r(k)),
+q AS (SELECT greatest(0.5, (min(k) + 1) / 1000.0) AS lim FROM (SELECT k, sum(d) OVER (ORDER BY k) / sum(d) OVER () AS upto FROM g) WHERE upto >= 0.95),
+bad AS (SELECT source FROM h, p, q WHERE (f + mean * w) / (n + w) > lim)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars, CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
        CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed, NOT base_failed AND NOT EXISTS (SELECT 1 FROM bad WHERE bad.source IS NOT DISTINCT FROM a.source) AS kept
 FROM a""",
