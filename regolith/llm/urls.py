@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._scratch import fresh_name
+from ._scratch import set_apart, written
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -57,32 +57,47 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def judged(pages: DataFrame, rules: tuple[Rule, ...], url_col: str = "url", default: str = "allow", most_rules: int = 20_000) -> DataFrame:
-    """pages with host, path, rule (the winner's name, null if none fits) and verdict; columns of pages with these names are replaced.
+RULES = "rule_id bigint, name string, verdict string, pattern string, literals array<string>, rank int"
 
-    Each rule is filed under that literal of its own which the fewest URLs have, counted over all pages. A URL's tokens fetch the rules filed under
-    them, and only those run their expressions; rules without literals run on every URL. The counts are bounded by the rules' literals; pages are
-    neither shuffled nor exploded for the verdict. Null URLs and URLs without '://' have an empty host and path, which no place fits. Rows that repeat
-    are judged alike. The index is part of the plan, so a list of over most_rules is refused rather than broadcast.
+
+def rule_table(spark: SparkSession, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rules in order as a table, as judged() takes it."""
+    return spark.createDataFrame([(k, r.name, r.verdict, r.pattern, list(r.literals), r.rank) for k, r in enumerate(rules)], RULES)
+
+
+def filed(rules: DataFrame, tokens: DataFrame) -> DataFrame:
+    """(token, rule_id, name, verdict, pattern, rank): each rule under that literal of its own which the fewest URLs have; without literals, under ''.
+    tokens: (token, n). Rules are few beside URLs, and their literals are counted in one join."""
+    each = rules.select("rule_id", F.explode(F.array_distinct("literals")).alias("literal"))
+    rarity = each.join(tokens, each["literal"] == tokens["token"], "left").groupBy("rule_id").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "literal")).alias("rarest"))
+    return rules.join(rarity, "rule_id", "left").select(F.coalesce("rarest.literal", F.lit("")).alias("token"), "rule_id", "name", "verdict", "pattern", "rank")
+
+
+def judged(pages: DataFrame, rules: DataFrame | tuple[Rule, ...], url_col: str = "url", default: str = "allow") -> DataFrame:
+    """pages with host, path, rule (the winner's name, null if none fits) and verdict; columns of pages with these names, in any case, are replaced.
+    rules: any number, as a table of the columns RULES, or a tuple; of fitting rules the highest rank wins, then the lowest rule_id.
+
+    Each rule is filed under that literal of its own which the fewest URLs have, counted over all URLs. Tokens of the distinct hosts and paths fetch the rules filed
+    under them, in a join that the planner broadcasts while the rules are few and splits where a token is in many URLs; only fetched rules run their expressions,
+    and only URLs that a rule fits are joined back. Rules without literals run on every URL. Null URLs and URLs without '://' have an empty host and path,
+    which no place fits. Rows that repeat are judged alike; an empty table, or no rules, gives an empty result, or the default.
     """
-    if len(rules) > most_rules:
-        raise ValueError(f"{len(rules)} rules; the index in the plan is made for {most_rules}")
-    mine = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    base = pages.select(*mine, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    tokens = F.array_distinct(F.regexp_extract_all(F.lower(F.concat("host", "path")), F.lit("[a-z0-9]+"), F.lit(0)))
-    literals = sorted({x for r in rules for x in r.literals})
-    counted = base.select(F.explode(F.array_intersect(tokens, F.array(*map(F.lit, literals)) if literals else F.array().cast("array<string>"))).alias("token"))
-    urls = dict(counted.groupBy("token").count().collect())
-    filed: dict[str, list[int]] = {}
-    for k, r in enumerate(rules):
-        filed.setdefault(min(r.literals, key=lambda x: (urls.get(x, 0), x)) if r.literals else "", []).append(k)
-    index = F.create_map(*(x for token, ks in filed.items() for x in (F.lit(token), F.array(*map(F.lit, ks))))) if filed else None
-    if index is None:
-        return base.withColumns({"rule": F.lit(None).cast("string"), "verdict": F.lit(default)})
-    table = F.array(*(F.struct(F.lit(r.rank).alias("rank"), F.lit(-k).alias("turn"), F.lit(r.name).alias("name"), F.lit(r.verdict).alias("verdict"), F.lit(r.pattern).alias("pattern")) for k, r in enumerate(rules)))
-    fetched, best = fresh_name(base, "fetched"), fresh_name(base, "best")
-    found = F.flatten(F.filter(F.transform(F.concat(tokens, F.array(F.lit(""))), lambda t: F.try_element_at(index, t)), lambda x: x.isNotNull()))
+    spark = pages.sparkSession
+    rules = rule_table(spark, rules) if isinstance(rules, tuple) else rules.select(*(x.split()[0] for x in RULES.split(", ")))
+    added = ("host", "path", "rule", "verdict")
+    apart, rest = set_apart(pages, (url_col,), added)
+    base = apart.withColumns({"host": host_of(F.col("in0")), "path": path_of(F.col("in0"))})
     subject = F.concat("host", "path")
-    out = base.withColumn(fetched, F.transform(F.array_distinct(found), lambda k: F.element_at(table, k + 1)))
-    out = out.withColumn(best, F.array_max(F.transform(F.filter(fetched, lambda r: F.regexp_like(subject, r["pattern"])), lambda r: F.struct(r["rank"], r["turn"], r["name"], r["verdict"]))))
-    return out.withColumns({"rule": F.col(best)["name"], "verdict": F.coalesce(F.col(best)["verdict"], F.lit(default))}).drop(fetched, best)
+    tokens = F.array_union(F.regexp_extract_all(F.lower(subject), F.lit("[a-z0-9]+"), F.lit(0)), F.array(F.lit("")))
+    each = written(base.select("host", "path").distinct().select("host", "path", tokens.alias("tokens")))
+    literals = rules.select(F.explode("literals").alias("token")).distinct()
+    counts = each.select(F.explode("tokens").alias("token")).join(literals, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    index = written(filed(rules, counts))
+    fetched = each.select("host", "path", F.explode("tokens").alias("token")).join(index, "token").where(F.regexp_like(subject, F.col("pattern")))
+    best = fetched.groupBy("host", "path").agg(F.max(F.struct("rank", (-F.col("rule_id")).alias("turn"), "name", "verdict")).alias("best"))
+    best = best.select(F.col("host").alias("of_host"), F.col("path").alias("of_path"), "best")
+    out = base.join(best, (base["host"] == best["of_host"]) & (base["path"] == best["of_path"]), "left")
+    out = out.withColumns({"rule": F.col("best.name"), "verdict": F.coalesce("best.verdict", F.lit(default))})
+    names = {url_col.lower(): "in0"} | {c.lower(): f"c{k}" for k, c in enumerate(rest)}
+    own = [c for c in pages.columns if c.lower() not in added]
+    return out.select(*(names[c.lower()] for c in own), *added).toDF(*own, *added)
