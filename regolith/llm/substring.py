@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._arrow import BLANK, flat_list, rolling, row_of, sliding_min, text_chunks, word_hashes
+from ._scratch import set_apart
 
 _CHECK_BASE = 0xA0761D6478BD642F
 
@@ -135,26 +136,25 @@ OUT = {"n_words": "bigint", "n_removed": "bigint", "removed_spans": "array<struc
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
     """docs with, as last columns, n_words, n_removed, removed_spans (maximal intervals of word numbers) and kept_text; a column of docs with
-    one of these names is replaced.
+    one of these names, in any case, is replaced.
 
     A null text has no words and stays null. Rows without an id neither lose words nor cost others any. Rows with the same id are one document:
     they don't cost each other words. Copies of a text lose all its windows but for the copy with the smallest id; texts of fewer words than a
     window lose nothing. An empty table gives an empty result. What stands between kept words stays as it was; a removed interval takes the blanks
     behind it along. Texts of any length are read whole; memory follows the longest text.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    rest = [c for c in docs.columns if c not in OUT]
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    own = [c for c in docs.columns if c.lower() not in OUT]
+    apart, rest = set_apart(docs, (id_col, text_col), OUT)
+    kind = apart.schema["in0"].dataType.simpleString()
+    slim = apart.where("in0 is not null").select(F.col("in0").alias("id"), F.col("in1").alias("text"))
     unique = (
         slim.mapInArrow(_anchors(window), f"anchor bigint, id {kind}")
         .groupBy("anchor").agg(F.min("id").alias("id"), F.max("id").alias("last"))
         .where(F.col("id") == F.col("last"))
         .groupBy("id").agg(F.collect_list("anchor").alias("unique_anchors"))
     )
-    packed = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *(F.col(c).alias(f"c{k}") for k, c in enumerate(rest) if c not in (id_col, text_col)))
-    packed = packed.join(unique, "id", "left")
-    columns = ["id", "text", "unique_anchors", *(c for c in packed.columns if c not in ("id", "text", "unique_anchors"))]
-    packed = packed.select(*columns)
+    held = [f"c{k}" for k in range(len(rest))]
+    packed = apart.withColumnsRenamed({"in0": "id", "in1": "text"}).join(unique, "id", "left").select("id", "text", "unique_anchors", *held)
     owned = (
         packed.mapInArrow(_counted(window), f"h bigint, check int, id {kind}")
         .where(F.col("id").isNotNull())
@@ -162,8 +162,8 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .groupBy("id").agg(F.collect_list("h").alias("owned"))
     )
     both = packed.join(owned, "id", "left")
-    back = {c: f"c{k}" for k, c in enumerate(rest)} | {id_col: "id", text_col: "text"}
-    both = both.select("id", "text", "unique_anchors", "owned", *(F.col(back[c]).alias(f"o{k}") for k, c in enumerate(rest)))
-    fields = [T.StructField(f"o{k}", docs.schema[c].dataType) for k, c in enumerate(rest)]
+    back = {c.lower(): f"c{k}" for k, c in enumerate(rest)} | {id_col.lower(): "id", text_col.lower(): "text"}
+    both = both.select("id", "text", "unique_anchors", "owned", *(F.col(back[c.lower()]).alias(f"o{k}") for k, c in enumerate(own)))
+    fields = [T.StructField(f"o{k}", both.schema[f"o{k}"].dataType) for k in range(len(own))]
     schema = T.StructType(fields + [T.StructField(c, T._parse_datatype_string(t)) for c, t in OUT.items()])
-    return both.mapInArrow(_cut(window, schema.names), schema).toDF(*rest, *OUT)
+    return both.mapInArrow(_cut(window, schema.names), schema).toDF(*own, *OUT)
