@@ -87,6 +87,8 @@ def inverse(sim: DataFrame) -> DataFrame:
 def leave_one_out(pairs: DataFrame, keys: Sequence[str], model: str = "similarity", least: int = 2) -> DataFrame:
     """keys, n, loo_rmse: each pair is predicted by the fit to the others, whose sums are the group's less its own; null with fewer than least + 1 pairs or
     where no fold can be fitted. No pair is joined with another."""
+    if model == "homography":
+        return _loo_homography(pairs, keys, least)
     sums = moments(pairs, keys)
     own = {k: f"{k} - {e}" for k, e in _MOMENTS.items()}
     both = pairs.join(sums, list(keys)).selectExpr(*keys, "x", "y", "u", "v", "n AS n_all", *(f"{e} AS {k}" for k, e in own.items()))
@@ -134,7 +136,46 @@ def homography(xy: np.ndarray, uv: np.ndarray) -> np.ndarray | None:
     if len(size) >= 9 and size[7] < 1e-10:
         return None
     h = np.linalg.inv(tb) @ vt[-1].reshape(3, 3) @ ta
-    return h / h[2, 2] if abs(h[2, 2]) > 1e-12 else None
+    return polished(h / h[2, 2], xy, uv) if abs(h[2, 2]) > 1e-12 else None
+
+
+def polished(h: np.ndarray, xy: np.ndarray, uv: np.ndarray, steps: int = 10) -> np.ndarray:
+    """h after up to `steps` damped Gauss-Newton steps on the distances in the target; with four points it is exact already."""
+    if len(xy) == 4:
+        return h
+    p, damp = np.column_stack([xy, np.ones(len(xy))]), 1e-3
+    off = lambda h: (p @ h.T)[:, :2] / (p @ h.T)[:, 2:] - uv
+    e = off(h)
+    for _ in range(steps):
+        q = p @ h.T
+        w, nil = p / q[:, 2:], np.zeros_like(p)
+        slope = np.concatenate([np.hstack([w, nil, -w[:, :2] * (q[:, :1] / q[:, 2:])]), np.hstack([nil, w, -w[:, :2] * (q[:, 1:2] / q[:, 2:])])])
+        normal, right = slope.T @ slope, slope.T @ e.T.ravel()
+        new = h - np.append(np.linalg.lstsq(normal + damp * np.diag(np.diag(normal)), right, rcond=None)[0], 0).reshape(3, 3)
+        fresh = off(new)
+        if not np.isfinite(fresh).all() or (fresh**2).sum() >= (e**2).sum():
+            damp *= 10
+        else:
+            h, e, damp = new, fresh, damp / 10
+    return h
+
+
+def _loo_homography(pairs: DataFrame, keys: Sequence[str], least: int) -> DataFrame:
+    """As leave_one_out(). A group is one image pair's matches."""
+    kinds = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        xy, uv = pdf[["x", "y"]].to_numpy(), pdf[["u", "v"]].to_numpy()
+        errors = []
+        for i in range(len(xy) if len(xy) > least else 0):
+            keep = np.arange(len(xy)) != i
+            h = homography(xy[keep], uv[keep])
+            if h is not None:
+                q = h @ [*xy[i], 1]
+                errors.append(((q[:2] / q[2] - uv[i]) ** 2).sum())
+        return pd.DataFrame([(*key, len(pdf), float(np.sqrt(np.mean(errors))) if errors else None)], columns=[*keys, "n", "loo_rmse"])
+
+    return pairs.groupBy(*keys).applyInPandas(run, f"{kinds}, n bigint, loo_rmse double")
 
 
 def fit_homography(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

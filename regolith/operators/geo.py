@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,19 +17,19 @@ def forward(lon: Column, lat: Column, lon0: Column, lat0: Column) -> tuple[Colum
 
 
 def backward(x: Column, y: Column, lon0: Column, lat0: Column) -> tuple[Column, Column]:
-    """lon, lat in degrees."""
+    """lon (0 up to 360), lat in degrees."""
     rho, q = F.sqrt(x * x + y * y), F.radians(lat0)
     c = 2.0 * F.atan(rho / (2.0 * RADIUS))
     safe = F.greatest(rho, F.lit(1e-12))
     lat = F.asin(F.cos(c) * F.sin(q) + y * F.sin(c) * F.cos(q) / safe)
     lon = lon0 + F.degrees(F.atan2(x * F.sin(c), safe * F.cos(q) * F.cos(c) - y * F.sin(q) * F.sin(c)))
-    return lon, F.degrees(lat)
+    return F.pmod(lon, F.lit(360.0)), F.degrees(lat)
 
 
 def centre(grid: DataFrame) -> DataFrame:
-    """image_id, lon0 (circular mean), lat0 (mean)."""
+    """image_id, lon0 (circular mean, 0 up to 360), lat0 (mean)."""
     turn = F.radians("lon")
-    return grid.groupBy("image_id").agg(F.degrees(F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn)))).alias("lon0"), F.avg("lat").alias("lat0"))
+    return grid.groupBy("image_id").agg(F.pmod(F.degrees(F.atan2(F.avg(F.sin(turn)), F.avg(F.cos(turn)))), F.lit(360.0)).alias("lon0"), F.avg("lat").alias("lat0"))
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
@@ -41,22 +39,54 @@ def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Colu
     return RADIUS * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
 
 
-def interpolated(points: DataFrame, grid: DataFrame, step: float = 100.0) -> DataFrame:
-    """points (image_id, point_id, px, py) with lon and lat, bilinear in the control grid (image_id, pixel, scan, lon, lat) of the given step; rows outside the
-    lattice are null. Interpolated are stereographic coordinates about the grid's centre."""
+def interpolated(points: DataFrame, grid: DataFrame) -> DataFrame:
+    """points (image_id, point_id, px, py) with lon and lat, bilinear in the control grid (image_id, pixel, scan, lon, lat) between whatever lines it has; outside
+    of them, and in a cell without all four corners, null. Interpolated are stereographic coordinates about the grid's centre.
+
+    The cells are made from each line and the next one of the grid's axes, of which there are few, and a point meets its cell in a join on image and interval.
+    """
     mid = centre(grid)
     g = grid.join(mid, "image_id")
     gx, gy = forward(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
     g = g.select(F.col("image_id").alias("of"), F.col("pixel").alias("gp"), F.col("scan").alias("gs"), gx.alias("gx"), gy.alias("gy"))
-    p = points.withColumns({"p0": F.floor(F.col("px") / step), "s0": F.floor(F.col("py") / step)})
-    fx, fy = F.col("px") / step - F.col("p0"), F.col("py") / step - F.col("s0")
-    corner = lambda a, b: F.struct(((F.col("p0") + a) * step).alias("p"), ((F.col("s0") + b) * step).alias("s"), ((fx if a else 1 - fx) * (fy if b else 1 - fy)).alias("w"))
-    spread = p.select("image_id", "point_id", F.explode(F.array(*(corner(a, b) for a in (0, 1) for b in (0, 1)))).alias("c"))
-    hit = spread.join(g, (F.col("image_id") == F.col("of")) & (F.col("c.p") == F.col("gp")) & (F.col("c.s") == F.col("gs")), "left")
-    whole = F.count_if(F.col("gx").isNotNull() | (F.col("c.w") == 0)) == 4
-    sums = hit.groupBy("image_id", "point_id").agg(*(F.when(whole, F.sum(F.col("c.w") * F.coalesce(c, F.lit(0.0)))).alias(n) for c, n in (("gx", "x"), ("gy", "y"))))
+    axis = lambda c: F.sort_array(F.collect_set(c))
+    axes = grid.groupBy("image_id").agg(axis("pixel").alias("ps"), axis("scan").alias("ss"))
+    p = points.join(axes, "image_id")
+    # The last line at or before the coordinate; at the last line of all, the one before.
+    low = lambda a, c: F.least(F.size(F.filter(a, lambda v: v <= F.col(c))), F.size(a) - 1)
+    p = p.withColumns({"a": low("ps", "px"), "b": low("ss", "py")}).where("a >= 1 and b >= 1")
+    at = lambda a, k: F.element_at(a, k)
+    p = p.withColumns({"p0": at("ps", F.col("a")), "p1": at("ps", F.col("a") + 1), "s0": at("ss", F.col("b")), "s1": at("ss", F.col("b") + 1)}).where("px <= p1 and py <= s1")
+    fx, fy = (F.col("px") - F.col("p0")) / (F.col("p1") - F.col("p0")), (F.col("py") - F.col("s0")) / (F.col("s1") - F.col("s0"))
+    corner = lambda i, j: F.struct(F.col(f"p{i}").alias("p"), F.col(f"s{j}").alias("s"), ((fx if i else 1 - fx) * (fy if j else 1 - fy)).alias("w"))
+    spread = p.select("image_id", "point_id", F.explode(F.array(*(corner(i, j) for i in (0, 1) for j in (0, 1)))).alias("c"))
+    hit = spread.join(g, (F.col("image_id") == F.col("of")) & (F.col("c.p") == F.col("gp")) & (F.col("c.s") == F.col("gs")))
+    sums = hit.groupBy("image_id", "point_id").agg(F.count("*").alias("n"), *(F.sum(F.col("c.w") * F.col(c)).alias(n) for c, n in (("gx", "x"), ("gy", "y")))).where("n = 4")
     lon, lat = backward(F.col("x"), F.col("y"), F.col("lon0"), F.col("lat0"))
-    return sums.join(mid, "image_id").select("image_id", "point_id", lon.alias("lon"), lat.alias("lat"))
+    found = sums.join(mid, "image_id").select("image_id", "point_id", lon.alias("lon"), lat.alias("lat"))
+    return points.select("image_id", "point_id").join(found, ["image_id", "point_id"], "left")
+
+
+def work_places(points: DataFrame, grid: DataFrame, frames: DataFrame) -> DataFrame:
+    """points (image_id, point_id, x, y) in work pixels with lon and lat. frames: image_id, orig_w, orig_h, scale (work pixels over original ones).
+
+    Work pixels become original ones by pixel centres, and these the grid's, which may be of another size: its last lines are the last pixels.
+    """
+    full = grid.groupBy("image_id").agg((F.max("pixel") + 1).alias("full_w"), (F.max("scan") + 1).alias("full_h"))
+    at = points.join(frames, "image_id").join(full, "image_id")
+    own = lambda c, full, size: ((F.col(c) + 0.5) / F.col("scale")) * F.col(full) / F.col(size) - 0.5
+    placed = at.select("image_id", "point_id", own("x", "full_w", "orig_w").alias("px"), own("y", "full_h", "orig_h").alias("py"))
+    return interpolated(placed, grid)
+
+
+def ground_distance(grid: DataFrame, frames: DataFrame) -> DataFrame:
+    """image_id, metres: of a work pixel at the middle of the image, from a step of ten pixels to the right. frames also with w and h of the work image."""
+    ends = frames.select("image_id", F.explode(F.array(*(F.struct(F.lit(k).alias("point_id"), (F.col("w") / 2 + 10.0 * k).alias("x"), (F.col("h") / 2).alias("y")) for k in (0, 1)))).alias("e")).select("image_id", "e.*")
+    mid = centre(grid)
+    placed = work_places(ends, grid, frames.drop("w", "h")).join(mid, "image_id")
+    x, y = forward(F.col("lon"), F.col("lat"), F.col("lon0"), F.col("lat0"))
+    both = placed.select("image_id", "point_id", x.alias("gx"), y.alias("gy")).groupBy("image_id").agg(*((F.max(F.when(F.col("point_id") == 1, F.col(c))) - F.max(F.when(F.col("point_id") == 0, F.col(c)))).alias(c) for c in ("gx", "gy")))
+    return both.select("image_id", (F.sqrt(F.col("gx") * F.col("gx") + F.col("gy") * F.col("gy")) / 10.0).alias("metres"))
 
 
 def lattice(frames: DataFrame, step: int = 100) -> DataFrame:
@@ -65,5 +95,15 @@ def lattice(frames: DataFrame, step: int = 100) -> DataFrame:
     return frames.select("image_id", F.explode(axis("w")).alias("px"), "h").select("image_id", "px", F.explode(axis("h")).alias("py"))
 
 
-def rotation(re: Column, im: Column) -> Column:
-    return F.atan2(im, re) * (180.0 / math.pi)
+def target_grid(lines: DataFrame, matrices: DataFrame, grid: DataFrame, ref_frames: DataFrame, tgt_frames: DataFrame) -> DataFrame:
+    """image_id, pixel, scan, lon, lat: the reference's grid carried to the target. lines: a lattice() of the target's original frame (image_id, px, py); matrices:
+    image_id and t00..t22 from the reference's work pixels to the target's, which are inverted here; tgt_frames: image_id, scale."""
+    at = lines.join(tgt_frames.select("image_id", "scale"), "image_id").join(matrices, "image_id")
+    u, v = ((F.col(c) + 0.5) * F.col("scale") - 0.5 for c in ("px", "py"))
+    t = {f"{i}{j}": F.col(f"t{i}{j}") for i in range(3) for j in range(3)}
+    minor = lambda a, b, c, d: t[a] * t[d] - t[b] * t[c]
+    rows = [(minor("11", "12", "21", "22"), -minor("01", "02", "21", "22"), minor("01", "02", "11", "12")), (-minor("10", "12", "20", "22"), minor("00", "02", "20", "22"), -minor("00", "02", "10", "12")),
+            (minor("10", "11", "20", "21"), -minor("00", "01", "20", "21"), minor("00", "01", "10", "11"))]
+    x, y, w = (a * u + b * v + c for a, b, c in rows)
+    points = at.select("image_id", F.struct("px", "py").alias("point_id"), (x / w).alias("x"), (y / w).alias("y"))
+    return work_places(points, grid, ref_frames).select("image_id", F.col("point_id.px").alias("pixel"), F.col("point_id.py").alias("scan"), "lon", "lat")

@@ -72,24 +72,31 @@ def facts(rows: DataFrame, patterns: dict[str, str] | None = None) -> DataFrame:
 
 
 def axis_pairs(rows: DataFrame) -> DataFrame:
-    """file, axis, elements: a leaf whose key ends in axis_name with the next leaf, if that one's ends in elements."""
+    """file, ord, axis, elements: a leaf whose key ends in axis_name with the next leaf, if that one's ends in elements."""
     w = Window.partitionBy("file").orderBy("ord")
     both = rows.withColumns({"next_key": F.lead("key").over(w), "next_value": F.lead("value").over(w)})
-    pairs = both.where(F.lower("key").endswith("axis_name") & F.lower("next_key").endswith("elements"))
-    return pairs.select("file", F.col("value").alias("axis"), F.col("next_value").try_cast("int").alias("elements"))
+    pairs = both.where(F.col("key").endswith("axis_name") & F.col("next_key").endswith("elements"))
+    return pairs.select("file", "ord", F.col("value").alias("axis"), first_number(F.col("next_value")).cast("int").alias("elements"))
+
+
+def image_size(rows: DataFrame) -> DataFrame:
+    """file, lines, samples: of the axes whose names begin with line and sample, the last ones in document order."""
+    axis = axis_pairs(rows).withColumn("name", F.lower("axis"))
+    last = lambda word: F.max(F.when(F.col("name").startswith(word), F.struct("ord", "elements"))).getField("elements")
+    return axis.groupBy("file").agg(last("line").alias("lines"), last("sample").alias("samples"))
 
 
 def instruments(rows: DataFrame) -> DataFrame:
     """file, instrument: the first leaf that names an orbiter as a part of the observing system (Chandrayaan's own name aside), or an instrument."""
     key, value = F.col("key"), F.lower("value")
-    orbiter = key.rlike("(?i)Observing_System_Component/name$") & ~value.contains("chandrayaan") & value.contains("orbiter")
+    orbiter = key.rlike("Observing_System_Component/name$") & ~value.contains("chandrayaan") & value.contains("orbiter")
     found = rows.where(orbiter | key.rlike("(?i)instrument.*name"))
     return found.groupBy("file").agg(F.min_by("value", "ord").alias("instrument"))
 
 
 def context(a: DataFrame, b: DataFrame) -> DataFrame:
     """Differences between two labels' facts joined on pair_id: days between the captures, and of sun angles (absolute, not wrapped)."""
-    time = lambda c: F.try_to_timestamp(F.regexp_replace(c, "Z$", ""))
+    time = lambda c: F.try_to_timestamp(F.regexp_replace(c, "[Zz]", ""))
     j = a.alias("a").join(b.alias("b"), "pair_id")
     days = (F.unix_micros(time(F.col("b.start_time"))) - F.unix_micros(time(F.col("a.start_time")))) / 86400e6
     return j.select("pair_id", F.abs(days).alias("days"), *(F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")).alias(f"d_{c}") for c in ("sun_elevation_deg", "sun_azimuth_deg", "incidence_angle_deg")))

@@ -4,33 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..checkpoints import settled
-from .fits import fit_similarity, moved
-from .spatial import nearest, one_to_one, sized
-from .triangles import corner_pairs, knn_triangles, lookalikes, top_hypotheses
+from . import consensus
+from .fits import choose_model, fit_affine, fit_homography, fit_similarity, leave_one_out, moved
+from .triangles import all_triangles, corner_pairs, knn_triangles, lookalikes, top_hypotheses
 
 KEY = ("image_id",)
 
 
-def _targets(tgt: DataFrame) -> DataFrame:
-    return tgt.select(*KEY, F.col("crater_id").alias("j"), "cx", "cy", "r")
-
-
 def thresholds(tgt: DataFrame) -> DataFrame:
     """image_id, thr: a tenth of the median target radius, at least 5."""
     return tgt.groupBy(*KEY).agg(F.greatest(F.lit(5.0), 0.1 * F.median("r")).alias("thr"))
 
 
-def collected(sims: DataFrame, ref: DataFrame, tgt: DataFrame, keys: Sequence[str], share: float = 0.3, low: float = 0.72, high: float = 1.39, factor: float = 1.0, floor: float = 0.0, cell: float = 64.0) -> DataFrame:
-    """keys, i, j, d: reference craters under each similarity with their nearest targets, tested for size, one to one. cell is at least every distance accepted:
-    share times the largest target radius (0.3 * 200) and the threshold."""
-    moving = sims.select(*keys, "re", "im", "tx", "ty", "s").join(ref.select(*KEY, F.col("crater_id").alias("i"), "cx", "cy", "r"), list(KEY))
-    points = moved(moving, "cx", "cy").drop("cx", "cy").withColumnsRenamed({"px": "cx", "py": "cy"}).select(*keys, "i", "cx", "cy", "r", "s")
-    near = nearest(points, _targets(tgt), keys, KEY, cell, ("i", "r", "s")).join(thresholds(tgt), list(KEY))
-    return one_to_one(sized(near, F.greatest(F.lit(floor), factor * F.col("thr")), share, low, high, F.col("s")), keys).select(*keys, "i", "j", "d")
+def collected(sims: DataFrame, ref: DataFrame, tgt: DataFrame, bounds: consensus.Bounds = consensus.FIRST, least: DataFrame | None = None) -> DataFrame:
+    """image_id, i, j, d: reference craters under each image's similarity with their nearest targets, tested for size, one to one."""
+    one = sims.select(*KEY, F.lit(0).cast("bigint").alias("hyp"), "re", "im", "tx", "ty")
+    return consensus.listed(consensus.blocks(one, ref, tgt, thresholds(tgt) if least is None else least), bounds).drop("hyp")
 
 
 def hypotheses(ref: DataFrame, tgt: DataFrame, most: int = 7000, k: int = 8, tol: float = 0.06, low: float = 0.05, high: float = 20.0) -> DataFrame:
@@ -41,7 +34,7 @@ def hypotheses(ref: DataFrame, tgt: DataFrame, most: int = 7000, k: int = 8, tol
 
 def votes(hyps: DataFrame, ref: DataFrame, tgt: DataFrame) -> DataFrame:
     """image_id, hyp, n_pairs: how many craters each hypothesis brings together."""
-    return collected(hyps, ref, tgt, [*KEY, "hyp"]).groupBy(*KEY, "hyp").agg(F.count("*").alias("n_pairs"))
+    return consensus.counted(consensus.blocks(hyps, ref, tgt, thresholds(tgt)))
 
 
 def winners(counted: DataFrame) -> DataFrame:
@@ -57,19 +50,11 @@ def coordinates(pairs: DataFrame, ref: DataFrame, tgt: DataFrame) -> DataFrame:
     return pairs.join(a, [*KEY, "i"]).join(b, [*KEY, "j"])
 
 
-def refitted(pairs: DataFrame, ref: DataFrame, tgt: DataFrame, rounds: int = 4) -> DataFrame:
-    """pairs (image_id, i, j) after up to `rounds` rounds of fitting and collecting anew within tighter bounds. An image stops where fewer than three pairs are
-    left or more than one is lost. Between rounds the pairs are checkpointed, so that plans stay short and lost executors cost little."""
-    now = pairs.select(*KEY, "i", "j").withColumn("done", F.lit(False))
-    for _ in range(rounds):
-        open_ = now.where("not done")
-        fresh = collected(fit_similarity(coordinates(open_, ref, tgt), KEY), ref, tgt, KEY, low=0.78, high=1.28, factor=0.6, floor=3.0).select(*KEY, "i", "j")
-        n = open_.groupBy(*KEY).agg(F.count("*").alias("n_old")).join(fresh.groupBy(*KEY).agg(F.count("*").alias("n_new")), list(KEY), "left")
-        verdict = n.select(*KEY, ((F.coalesce("n_new", F.lit(0)) >= 3) & (F.col("n_new") >= F.col("n_old") - 1)).alias("better")).withColumn("better", F.coalesce("better", F.lit(False)))
-        taken = fresh.join(verdict.where("better"), list(KEY), "left_semi").withColumn("done", F.lit(False))
-        left = now.join(verdict.where("better"), list(KEY), "left_anti").withColumn("done", F.lit(True))
-        now = settled(taken.unionByName(left))
-    return now.drop("done")
+def refitted(sims: DataFrame, ref: DataFrame, tgt: DataFrame, rounds: int = 4) -> DataFrame:
+    """image_id, i, j: the pairs of each image's similarity after up to `rounds` rounds of fitting and collecting anew within tighter bounds. An image stops where
+    fewer than three pairs are left or more than one is lost. An image's craters are one row, so the rounds need no shuffle."""
+    one = sims.select(*KEY, F.lit(0).cast("bigint").alias("hyp"), "re", "im", "tx", "ty")
+    return consensus.refined(consensus.blocks(one, ref, tgt, thresholds(tgt)), rounds)
 
 
 def residuals(pairs: DataFrame, sims: DataFrame) -> DataFrame:
@@ -83,30 +68,119 @@ def residual_stats(errors: DataFrame) -> DataFrame:
     return out.select(*KEY, "n", "rmse_tgt", (F.col("rmse_tgt") / F.col("s")).alias("rmse_ref"), "median_tgt", "max_tgt")
 
 
-def match_pairs(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4) -> DataFrame:
-    """image_id, n_inliers, scale, rotation_deg, tx, ty, rmse_tgt, rmse_ref for every pair of images with at least `least` craters on both sides and as many pairs.
+LEAST = {"similarity": 2, "affine": 3, "homography": 4}
+MATRIX = [f"t{i}{j}" for i in range(3) for j in range(3)]
+
+
+def matrices(fitted: DataFrame, model: str, keys: Sequence[str] = KEY) -> DataFrame:
+    """keys and t00..t22 of fits of one model."""
+    if model == "homography":
+        return fitted.select(*keys, *MATRIX)
+    rows = ["re", "-im", "tx", "im", "re", "ty"] if model == "similarity" else ["a00", "a01", "a02", "a10", "a11", "a12"]
+    return fitted.selectExpr(*keys, *(f"{e} AS {t}" for e, t in zip([*rows, "0e0", "0e0", "1e0"], MATRIX)))
+
+
+def models(placed: DataFrame, want: str = "auto", keys: Sequence[str] = KEY) -> DataFrame:
+    """keys, n, model, loo_rmse and t00..t22. placed: keys, x, y, u, v.
+
+    With `auto` the next model is taken if its leave-one-out error is below 0.85 of the current one's and there are 3 pairs more than it needs; otherwise the
+    wanted model is, where there are pairs enough for it, else the similarity.
+    """
+    loo = {m: leave_one_out(placed, keys, m, LEAST[m]) for m in LEAST}
+    if want == "auto":
+        chosen = choose_model(loo, keys, LEAST)
+    else:
+        chosen = loo[want].withColumn("model", F.when(F.col("n") >= LEAST[want], want).otherwise("similarity")).select(*keys, "n", "model", "loo_rmse")
+    fitted = {"similarity": fit_similarity(placed, keys), "affine": fit_affine(placed, keys), "homography": fit_homography(placed, keys)}
+    every = None
+    for m, df in fitted.items():
+        own = matrices(df, m, keys).withColumn("model", F.lit(m))
+        every = own if every is None else every.unionByName(own)
+    return chosen.join(every, [*keys, "model"]).select(*keys, "n", "model", "loo_rmse", *MATRIX)
+
+
+def mapped(df: DataFrame, x: str = "x", y: str = "y", to: tuple[str, str] = ("px", "py")) -> DataFrame:
+    """df, which has t00..t22, with the transformed point."""
+    w = f"(t20 * {x} + t21 * {y} + t22)"
+    return df.withColumns({to[0]: F.expr(f"(t00 * {x} + t01 * {y} + t02) / {w}"), to[1]: F.expr(f"(t10 * {x} + t11 * {y} + t12) / {w}")})
+
+
+def enough(ref: DataFrame, tgt: DataFrame, least: int = 4) -> tuple[DataFrame, DataFrame]:
+    """Both sides without the pairs of images that have fewer than `least` craters on either."""
+    many = lambda df: df.groupBy(*KEY).count().where(F.col("count") >= least)
+    both = many(ref).join(many(tgt), list(KEY), "left_semi").select(*KEY)
+    return ref.join(both, list(KEY), "left_semi"), tgt.join(both, list(KEY), "left_semi")
 
-    All pairs of images run at once: each step is a join or aggregate keyed by image. Empty catalogues give an empty result.
+
+def match_table(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4, seeds: DataFrame | None = None) -> DataFrame:
+    """image_id, i, j, n_best, n_second, seeded: the refined pairs of every pair of images in which a hypothesis finds at least `least`, with the best
+    hypothesis's number of pairs, that of the best one at another zoom (by over 0.25 in log scale), and whether it came from a seed.
+
+    seeds: image_id, re, im, tx, ty of similarities that are known already; they are tried before the triangles'. All pairs of images run at once.
+    """
+    ref, tgt = enough(ref, tgt, least)
+    hyps = hypotheses(ref, tgt, most).select(*KEY, F.col("hyp").cast("bigint").alias("hyp"), "re", "im", "tx", "ty", "s")
+    if seeds is not None:
+        turn = Window.partitionBy(*KEY).orderBy("re", "im", "tx", "ty")
+        hyps = hyps.unionByName(seeds.select(*KEY, (-F.row_number().over(turn)).cast("bigint").alias("hyp"), "re", "im", "tx", "ty", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("s")))
+    hyps = settled(hyps)
+    counted = settled(votes(hyps, ref, tgt).join(hyps, [*KEY, "hyp"]))
+    # Of equal numbers of pairs a seed goes first, then the closest look-alike.
+    order = F.struct("n_pairs", F.when(F.col("hyp") < 0, F.lit(1)).otherwise(0).alias("seeded"), (-F.col("hyp")).alias("turn"), "re", "im", "tx", "ty", "s")
+    best = counted.groupBy(*KEY).agg(F.max(order).alias("b")).select(*KEY, "b.*").where(F.col("n_pairs") >= least)
+    other = counted.join(best.select(*KEY, F.col("s").alias("s_best")), list(KEY)).where(F.abs(F.log(F.col("s") / F.col("s_best"))) > 0.25).groupBy(*KEY).agg(F.max("n_pairs").alias("n_second"))
+    told = best.join(other, list(KEY), "left").select(*KEY, F.col("n_pairs").alias("n_best"), F.coalesce("n_second", F.lit(0)).cast("bigint").alias("n_second"), (F.col("seeded") == 1).alias("seeded"))
+    return settled(refitted(best, ref, tgt, rounds).join(told, list(KEY)))
+
+
+def match_pairs(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4, model: str = "auto", seeds: DataFrame | None = None) -> DataFrame:
+    """image_id, model, n_inliers, scale, rotation_deg, tx, ty, rmse_tgt, rmse_ref, median_ref, max_ref, heldout_tgt, heldout_ref, uniqueness, seeded and t00..t22 for
+    every pair of images with at least `least` craters on both sides and as many pairs.
+
+    Empty catalogues give an empty result.
+    """
+    pairs = match_table(ref, tgt, most, rounds, least, seeds)
+    placed = settled(coordinates(pairs, ref, tgt))
+    chosen = models(placed, model)
+    scale = F.sqrt(F.abs(F.col("t00") * F.col("t11") - F.col("t01") * F.col("t10")))
+    errors = mapped(placed.join(chosen.drop("n"), list(KEY))).withColumn("e", F.sqrt((F.col("px") - F.col("u")) * (F.col("px") - F.col("u")) + (F.col("py") - F.col("v")) * (F.col("py") - F.col("v")))).withColumn("s", scale)
+    stats = residual_stats(errors).where(F.col("n") >= least)
+    told = pairs.groupBy(*KEY).agg(F.max("n_second").alias("n_second"), F.max("seeded").alias("seeded"))
+    out = stats.join(chosen.drop("n"), list(KEY)).join(told, list(KEY)).withColumn("s", scale)
+    return out.select(
+        *KEY, "model", F.col("n").alias("n_inliers"), F.col("s").alias("scale"), F.degrees(F.atan2("t10", "t00")).alias("rotation_deg"), F.col("t02").alias("tx"), F.col("t12").alias("ty"),
+        "rmse_tgt", "rmse_ref", (F.col("median_tgt") / F.col("s")).alias("median_ref"), (F.col("max_tgt") / F.col("s")).alias("max_ref"), F.col("loo_rmse").alias("heldout_tgt"), (F.col("loo_rmse") / F.col("s")).alias("heldout_ref"),
+        (F.col("n") / F.greatest("n", "n_second", F.lit(1))).alias("uniqueness"), "seeded", *MATRIX)
+
+
+def match_learned(ref: DataFrame, tgt: DataFrame, largest: int = 45, tol: float = 0.06, most: int = 4000, least: int = 4) -> DataFrame:
+    """image_id, n_inliers, scale, rotation_deg, tx, ty, rmse, inlier_ratio by the triangles of the `largest` craters of either side.
+
+    Every hypothesis counts the reference craters whose nearest target fits, without one-to-one; the best is fitted three times to those that fit within tighter
+    bounds. Images are rows with their craters, so the fits need no shuffle.
     """
-    enough = ref.groupBy(*KEY).count().where(F.col("count") >= least).join(tgt.groupBy(*KEY).count().where(F.col("count") >= least), list(KEY), "left_semi").select(*KEY)
-    ref, tgt = ref.join(enough, list(KEY), "left_semi"), tgt.join(enough, list(KEY), "left_semi")
-    hyps = hypotheses(ref, tgt, most)
-    # One pass: each hypothesis brings its pairs along, of which there are no more than an image has craters.
-    each = collected(hyps, ref, tgt, [*KEY, "hyp"]).groupBy(*KEY, "hyp").agg(F.count("*").alias("n"), F.collect_list(F.struct("i", "j")).alias("pairs"))
-    best = each.groupBy(*KEY).agg(F.max(F.struct("n", (-F.col("hyp")).alias("turn"), "pairs")).alias("b")).where(F.col("b.n") >= least)
-    pairs = settled(best.select(*KEY, F.explode("b.pairs").alias("p")).select(*KEY, "p.i", "p.j"))
-    placed = coordinates(refitted(pairs, ref, tgt, rounds), ref, tgt)
-    sims = fit_similarity(placed, KEY)
-    stats = residual_stats(residuals(placed, sims)).where(F.col("n") >= least)
-    out = stats.join(sims.drop("n"), list(KEY))
-    return out.select(*KEY, F.col("n").alias("n_inliers"), F.col("s").alias("scale"), F.degrees(F.atan2("im", "re")).alias("rotation_deg"), "tx", "ty", "rmse_tgt", "rmse_ref")
+    ref, tgt = enough(ref, tgt, least)
+    top = top_hypotheses(lookalikes(all_triangles(ref, largest), all_triangles(tgt, largest), KEY, tol), most)
+    hyps = fit_similarity(corner_pairs(top), [*KEY, "hyp"]).where("s > 0.1 and s < 10").select(*KEY, F.col("hyp").cast("bigint").alias("hyp"), "re", "im", "tx", "ty")
+    hyps = settled(hyps)
+    floor = tgt.select(*KEY).distinct().withColumn("thr", F.lit(3.0))
+    counted = consensus.counted(consensus.blocks(hyps, ref, tgt, floor), consensus.LEARNED)
+    best = winners(counted).where(F.col("n_pairs") >= least).drop("n_pairs")
+    rows = consensus.blocks(hyps.join(best, [*KEY, "hyp"]).withColumn("hyp", F.lit(0).cast("bigint")), ref, tgt, floor)
+    pairs = settled(consensus.learned(rows))
+    placed = coordinates(pairs, ref, tgt)
+    sims = pairs.groupBy(*KEY).agg(*(F.max(c).alias(c) for c in ("re", "im", "tx", "ty")))
+    stats = residual_stats(residuals(placed.select(*KEY, "i", "j", "x", "y", "u", "v"), sims.withColumns({"s": F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")), "n": F.lit(0)}))).where(F.col("n") >= least)
+    size = lambda df, name: df.groupBy(*KEY).agg(F.count("*").alias(name))
+    out = stats.join(sims, list(KEY)).join(size(ref, "a"), list(KEY)).join(size(tgt, "b"), list(KEY))
+    return out.select(*KEY, F.col("n").alias("n_inliers"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("scale"), F.degrees(F.atan2("im", "re")).alias("rotation_deg"), "tx", "ty", F.col("rmse_tgt").alias("rmse"), (F.col("n") / F.least("a", "b")).alias("inlier_ratio"))
 
 
 def visible(ref: DataFrame, sims: DataFrame, width: float, height: float, min_r: float = 8.0) -> DataFrame:
     """Reference craters with in_frame: their image lies in the target's frame, less a twentieth of its shorter side around, and is not too small."""
     margin = 0.05 * min(width, height)
     at = moved(ref.join(sims.select(*KEY, "re", "im", "tx", "ty", "s"), list(KEY)), "cx", "cy")
-    inside: Column = (F.col("px") >= -margin) & (F.col("px") <= width + margin) & (F.col("py") >= -margin) & (F.col("py") <= height + margin)
+    inside: Column = (F.col("px") > -margin) & (F.col("px") < width + margin) & (F.col("py") > -margin) & (F.col("py") < height + margin)
     return at.withColumn("in_frame", inside & (F.col("r") * F.col("s") >= 0.8 * min_r))
 
 

@@ -74,22 +74,25 @@ def knn(craters: DataFrame, k: int = 8, keys: Sequence[str] = ("image_id",), id_
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], target_keys: Sequence[str], cell: float, carry: Sequence[str] = ("i", "r")) -> DataFrame:
-    """points with the nearest target (j, rb, d) in reach of a cell; ties go to the smaller j. points: keys, i, cx, cy, r; targets: target_keys (a part of keys),
-    j, cx, cy, r. Targets farther than a cell are no partners, so cell must be at least the largest distance that later tests accept."""
-    a = _around(points, cell).alias("a")
-    b = _celled(targets, cell).alias("b")
+def nearest(points: DataFrame, targets: DataFrame, keys: Sequence[str], target_keys: Sequence[str], least: float, share: float, carry: Sequence[str] = ("i", "r")) -> DataFrame:
+    """points with the nearest target (j, rb, d) that could be accepted at all; ties go to the smaller j. points: keys, i, cx, cy, r; targets: target_keys (a part of
+    keys), j, cx, cy, r. Cells are as wide as the largest distance that later tests accept among a key's targets, max(least, share * r)."""
+    reach = targets.groupBy(*target_keys).agg(F.greatest(F.lit(float(least)), share * F.max("r")).alias("reach"))
+    near = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    cells = lambda df: df.join(reach, list(target_keys)).withColumns({"gx": F.floor(F.col("cx") / F.col("reach")), "gy": F.floor(F.col("cy") / F.col("reach"))})
+    a = cells(points).withColumn("step", F.explode(near)).withColumns({"gx": F.col("gx") + F.col("step.x"), "gy": F.col("gy") + F.col("step.y")}).alias("a")
+    b = cells(targets).alias("b")
     on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in (*target_keys, "gx", "gy")]
     d = distance(F.col("a.cx"), F.col("a.cy"), F.col("b.cx"), F.col("b.cy"))
     best = F.min(F.struct(d.alias("d"), F.col("b.j").alias("j"), F.col("b.r").alias("rb")))
-    joined = a.join(b, on).where(d <= cell)
+    joined = a.join(b, on).where(d <= F.col("a.reach"))
     return joined.groupBy(*(F.col(f"a.{k}") for k in keys), *(F.col(f"a.{c}") for c in carry)).agg(best.alias("best")).select(*keys, *carry, "best.j", "best.rb", "best.d")
 
 
 def sized(pairs: DataFrame, least: Column, share: float, low: float, high: float, scale: Column) -> DataFrame:
-    """Nearest pairs that fit: d below max(least, share * rb), and r * scale / rb between low and high. Chosen first, tested afterwards: a nearest target of the
-    wrong size hides others."""
-    ratio = F.col("r") * scale / F.col("rb")
+    """Nearest pairs that fit: d below max(least, share * rb), and rb / (r * scale) between low and high (strict). Chosen first, tested afterwards: a nearest target
+    of the wrong size hides others."""
+    ratio = F.col("rb") / (F.col("r") * scale)
     return pairs.where((F.col("d") < F.greatest(least, share * F.col("rb"))) & (ratio > low) & (ratio < high))
 
 
@@ -120,17 +123,16 @@ def nms(detections: DataFrame, k: float = 0.5, keys: Sequence[str] = ("image_id"
 
 
 def _assign(pdf_d: pd.DataFrame, pdf_t: pd.DataFrame, tol: float) -> pd.DataFrame:
-    used: set[int] = set()
     x, y, r, ids = (pdf_d[c].to_numpy() for c in ("cx", "cy", "r", "det_id"))
+    free = np.ones(len(ids), bool)
     rows = []
     for t in pdf_t.sort_values("crater_id").itertuples():
         d = np.hypot(x - t.cx, y - t.cy)
-        open_ = (np.abs(r / t.r - 1) < 0.3) & ~np.isin(ids, list(used))
-        at = np.flatnonzero(open_)
+        at = np.flatnonzero(free & (np.abs(r / t.r - 1) < 0.3))
         if len(at):
             n = at[np.lexsort((ids[at], d[at]))[0]]
             if d[n] < tol * t.r:
-                used.add(int(ids[n]))
+                free[n] = False
                 rows.append((t.image_id, t.crater_id, int(ids[n]), float(d[n])))
     return pd.DataFrame(rows, columns=["image_id", "crater_id", "det_id", "d"])
 
@@ -140,6 +142,15 @@ def score_detections(detections: DataFrame, truth: DataFrame, tol: float = 0.25)
     return detections.groupBy("image_id").cogroup(truth.groupBy("image_id")).applyInPandas(lambda d, t: _assign(d, t, tol), "image_id bigint, crater_id bigint, det_id bigint, d double")
 
 
+def detection_report(detections: DataFrame, truth: DataFrame, tol: float = 0.25) -> DataFrame:
+    """image_id, n_found, n_truth, n_extra (detections that no crater took), mean_d of those found."""
+    hit = score_detections(detections, truth, tol).groupBy("image_id").agg(F.count("*").alias("n_found"), F.avg("d").alias("mean_d"))
+    size = lambda df, name: df.groupBy("image_id").agg(F.count("*").alias(name))
+    both = size(truth, "n_truth").join(size(detections, "n_det"), "image_id", "full").join(hit, "image_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint")
+    return both.select("image_id", zero("n_found").alias("n_found"), zero("n_truth").alias("n_truth"), (zero("n_det") - zero("n_found")).alias("n_extra"), "mean_d")
+
+
 def select_pattern(craters: DataFrame, width: float, height: float, min_r: float = 8.0, max_frac: float = 0.35, most: int = 80) -> DataFrame:
     """The largest craters of an image that lie well inside its frame; ties go to the smaller id."""
     m = 0.7 * F.col("r")
@@ -155,3 +166,15 @@ def smallest_around(points: DataFrame, circles: DataFrame, reach: float = 1.1) -
     inside = distance(F.col("p.x"), F.col("p.y"), F.col("c.cx"), F.col("c.cy")) < reach * F.col("c.r")
     found = p.join(c, [F.col("p.image_id") == F.col("c.image_id"), inside])
     return found.groupBy("p.image_id", "p.point_id").agg(F.min(F.struct("c.r", "c.crater_id")).alias("m")).select("image_id", "point_id", F.col("m.crater_id").alias("crater_id"))
+
+
+def label_at(points: DataFrame, labels: DataFrame, reach: float = 1.2) -> DataFrame:
+    """For each point (image_id, point_id, x, y) the label (crater_id) whose centre is nearest among those within `reach` radii; ties go to the smaller id. An
+    equi-join on cells as wide as the image's widest reach."""
+    wide = labels.groupBy("image_id").agg((reach * F.max("r")).alias("reach"))
+    near = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    p = points.join(wide, "image_id").withColumn("step", F.explode(near)).withColumns({"gx": F.floor(F.col("x") / F.col("reach")) + F.col("step.x"), "gy": F.floor(F.col("y") / F.col("reach")) + F.col("step.y")}).alias("p")
+    c = labels.join(wide, "image_id").withColumns({"gx": F.floor(F.col("cx") / F.col("reach")), "gy": F.floor(F.col("cy") / F.col("reach"))}).alias("c")
+    d = distance(F.col("p.x"), F.col("p.y"), F.col("c.cx"), F.col("c.cy"))
+    hit = p.join(c, [F.col(f"p.{k}") == F.col(f"c.{k}") for k in ("image_id", "gx", "gy")]).where(d < reach * F.col("c.r"))
+    return hit.groupBy("p.image_id", "p.point_id").agg(F.min(F.struct(d.alias("d"), F.col("c.crater_id").alias("crater_id"))).alias("m")).select("image_id", "point_id", "m.crater_id", "m.d")

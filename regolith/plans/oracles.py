@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import math
+
 from ..operators.fits import affine_sql
 from ..operators.metrics import COARSE, GRADES
-from ..operators.raster import gauss
 from ..sources.adapters import PIXELS_SQL, sql_of
 from .queries import FRAME, HYPOTHESES
 
@@ -55,16 +56,17 @@ _TRUTH = "truth AS (SELECT DISTINCT image_id, 0.9396926207859084e0 * 0.8e0 AS re
 
 
 def _near(name: str, sims: str, keys: str, thr: str, low: float, high: float) -> str:
-    """CTEs: `name`_near (nearest, then tested) and `name` (one to one)."""
-    on = " AND ".join(f"p.{k} = t.{k}" for k in ("image_id",))
+    """CTEs: `name`_near (nearest, then tested) and `name` (one to one). Targets beyond the largest distance that any test accepts are left out early."""
+    own = ", ".join("p." + k for k in keys.split(", "))
     return f"""{name}_pts AS (SELECT {', '.join('s.' + k for k in keys.split(', '))}, c.crater_id AS i, s.re * c.cx - s.im * c.cy + s.tx AS px, s.im * c.cx + s.re * c.cy + s.ty AS py, c.r, s.s FROM {sims} s JOIN ref c ON s.image_id = c.image_id),
-{name}_all AS (SELECT {', '.join('p.' + k for k in keys.split(', '))}, p.i, t.crater_id AS j, p.r * p.s / t.r AS ratio, t.r AS rb, {_dist('p', 't', ('px', 'py'))} AS d FROM {name}_pts p JOIN tgt t ON {on}),
+{name}_all AS (SELECT {own}, p.i, t.crater_id AS j, t.r / (p.r * p.s) AS ratio, t.r AS rb, {_dist('p', 't', ('px', 'py'))} AS d FROM {name}_pts p JOIN thr h ON h.image_id = p.image_id
+    JOIN tgt t ON p.image_id = t.image_id AND abs(p.px - t.cx) <= h.reach AND abs(p.py - t.cy) <= h.reach),
 {name}_one AS (SELECT * FROM {name}_all QUALIFY row_number() OVER (PARTITION BY {keys}, i ORDER BY d, j) = 1),
 {name}_near AS (SELECT n.* FROM {name}_one n JOIN thr USING (image_id) WHERE d < greatest({thr}, 0.3 * rb) AND ratio > {low} AND ratio < {high}),
 {name} AS (SELECT * FROM {name}_near QUALIFY row_number() OVER (PARTITION BY {keys}, j ORDER BY d, i) = 1)"""
 
 
-_THR = "thr AS (SELECT image_id, greatest(5e0, 0.1 * median(r)) AS thr FROM tgt GROUP BY image_id)"
+_THR = "thr AS (SELECT image_id, greatest(5e0, 0.1 * median(r)) AS thr, greatest(5e0, 0.1 * median(r), 0.3 * max(r)) AS reach FROM tgt GROUP BY image_id)"
 _FIX = _near("m", "truth", "image_id", "5e0", 0.72, 1.39)
 _MATCH = _near("m", "truth", "image_id", "thr", 0.72, 1.39)
 put("nearest_join_sized", f"SELECT image_id, i, j, {fx('d')} AS d FROM m_near", _BASE, _TRUTH, _THR, _FIX)
@@ -139,16 +141,28 @@ _VOTES = (_BASE, _ALIKE, _HYP, _CORNERS, _sim("hs", "hc", "image_id, hyp"), "hv
           "votes AS (SELECT image_id, hyp, count(*) AS n_pairs FROM m GROUP BY image_id, hyp)", "best AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY n_pairs DESC, hyp) = 1)")
 put("hypothesis_votes", "SELECT * FROM votes", *_VOTES)
 put("hypothesis_winner", "SELECT * FROM best", *_VOTES)
-put("match_pair", f"""SELECT f2.image_id, st.n AS n_inliers, {fx('f2.s', '1e3')} AS scale, {fx('degrees(atan2(f2.im, f2.re))', '1e3')} AS rotation_deg, {fx('f2.tx', '1e3')} AS tx, {fx('f2.ty', '1e3')} AS ty,
-{fx('rmse_tgt', '1e3')} AS rmse_tgt, {fx('rmse_ref', '1e3')} AS rmse_ref FROM st JOIN f2 USING (image_id) WHERE st.n >= 4""", *_VOTES,
-    "w AS (SELECT m.* FROM m JOIN best USING (image_id, hyp) WHERE n_pairs >= 4)", _placed("p1", "w"), _sim("f1", "p1", "image_id"), _near("m2", "f1", "image_id", "greatest(3e0, 0.6 * thr)", 0.78, 1.28),
-    """ok AS (SELECT image_id FROM (SELECT image_id, count(*) AS a FROM w GROUP BY image_id) x JOIN (SELECT image_id, count(*) AS b FROM m2 GROUP BY image_id) y USING (image_id) WHERE b >= 3 AND b >= a - 1)""",
-    "fin AS (SELECT image_id, i, j FROM m2 WHERE image_id IN (FROM ok) UNION ALL SELECT image_id, i, j FROM w WHERE image_id NOT IN (FROM ok))", _placed("p2", "fin"), _sim("f2", "p2", "image_id"), _ERR.format("p2", "f2"), _STATS)
+put("zoom_uniqueness", f"""SELECT image_id, n_best, n_second, {fx('n_best / greatest(n_best, n_second, 1)')} AS uniqueness FROM (SELECT b.image_id, max(b.n_pairs) AS n_best,
+    coalesce(max(v.n_pairs) FILTER (abs(ln(o.s / h.s)) > 0.25), 0) AS n_second FROM best b JOIN hv h USING (image_id, hyp) JOIN votes v ON v.image_id = b.image_id JOIN hv o ON o.image_id = v.image_id AND o.hyp = v.hyp GROUP BY b.image_id) q""", *_VOTES)
+
+
+def _round(k: int) -> list[str]:
+    """CTEs of refit round k: p{k} are its pairs, and run{k} the images that go on."""
+    return [
+        _placed(f"pl{k}", f"(SELECT * FROM p{k - 1} WHERE image_id IN (FROM run{k - 1}))"), _sim(f"f{k}", f"pl{k}", "image_id"), _near(f"m{k}", f"f{k}", "image_id", "greatest(3e0, 0.6 * thr)", 0.78, 1.28),
+        f"run{k} AS (SELECT image_id FROM (SELECT image_id, count(*) AS a FROM p{k - 1} GROUP BY image_id) x JOIN (SELECT image_id, count(*) AS b FROM m{k} GROUP BY image_id) y USING (image_id) WHERE a >= 3 AND b >= 3 AND b >= a - 1)",
+        f"p{k} AS (SELECT image_id, i, j FROM m{k} WHERE image_id IN (FROM run{k}) UNION ALL SELECT image_id, i, j FROM p{k - 1} WHERE image_id NOT IN (FROM run{k}))"]
+
+
+put("match_pair", f"""SELECT f.image_id, st.n AS n_inliers, {fx('f.s', '1e3')} AS scale, {fx('degrees(atan2(f.im, f.re))', '1e3')} AS rotation_deg, {fx('f.tx', '1e3')} AS tx, {fx('f.ty', '1e3')} AS ty,
+{fx('rmse_tgt', '1e3')} AS rmse_tgt, {fx('rmse_ref', '1e3')} AS rmse_ref, {fx('loo_rmse', '1e3')} AS heldout_tgt, {fx('st.n / greatest(st.n, n_second, 1)')} AS uniqueness FROM st JOIN f USING (image_id) JOIN ls USING (image_id) JOIN sec USING (image_id) WHERE st.n >= 4""", *_VOTES,
+    "sec AS (SELECT b.image_id, coalesce(max(v.n_pairs) FILTER (abs(ln(o.s / h.s)) > 0.25), 0) AS n_second FROM best b JOIN hv h USING (image_id, hyp) JOIN votes v ON v.image_id = b.image_id JOIN hv o ON o.image_id = v.image_id AND o.hyp = v.hyp GROUP BY b.image_id)",
+    "p0 AS (SELECT m.image_id, i, j FROM m JOIN best USING (image_id, hyp) WHERE n_pairs >= 4)", "run0 AS (SELECT DISTINCT image_id FROM p0)", *(c for k in range(1, 5) for c in _round(k)),
+    _placed("pl", "p4"), _sim("f", "pl", "image_id"), _ERR.format("pl", "f"), _STATS, _FOLD, _LOO_S)
 put("confidence_ladder", f"""SELECT image_id, CAST(k AS BIGINT) AS rung, {fx('c')} AS conf_min, n FROM (SELECT image_id, k, c, count(*) AS n FROM det, (VALUES (0, 0.5e0), (1, 0.4e0), (2, 0.3e0), (3, 0.25e0)) b(k, c)
 WHERE conf >= c GROUP BY image_id, k, c HAVING count(*) >= 60) q QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k) = 1""", _DET)
 put("visible_inlier_ratio", f"""SELECT image_id, vis, n, {fx('n / greatest(1, least(vis, m))')} AS ratio FROM vis JOIN (SELECT image_id, count(*) AS m FROM tgt GROUP BY image_id) b USING (image_id)
 JOIN (SELECT image_id, count(*) AS n FROM m GROUP BY image_id) c USING (image_id)""", *_PAIRS,
-    f"""vis AS (SELECT image_id, count(*) FILTER (px BETWEEN -45 AND {FRAME} + 45 AND py BETWEEN -45 AND {FRAME} + 45 AND r * s >= 6.4) AS vis FROM m_pts GROUP BY image_id)""")
+    f"""vis AS (SELECT image_id, count(*) FILTER (px > -45 AND px < {FRAME} + 45 AND py > -45 AND py < {FRAME} + 45 AND r * s >= 6.4) AS vis FROM m_pts GROUP BY image_id)""")
 put("coverage_3x3", f"""SELECT image_id, count(DISTINCT floor(v * 3 / {FRAME}) * 3 + floor(u * 3 / {FRAME})) AS n_hit, {fx(f'count(DISTINCT floor(v * 3 / {FRAME}) * 3 + floor(u * 3 / {FRAME})) / 9e0')} AS coverage
 FROM pl WHERE u >= 0 AND u < {FRAME} AND v >= 0 AND v < {FRAME} GROUP BY image_id""", *_PAIRS)
 _TRIM = """e AS (SELECT *, sqrt(dx * dx + dy * dy) AS e FROM nodes), md AS (SELECT pair_id, median(e) AS med FROM e GROUP BY pair_id),
@@ -157,8 +171,15 @@ tr AS (SELECT pair_id, count(*) AS n, count(*) FILTER (e <= bound) AS n_kept, sq
     avg((e <= 0.5)::DOUBLE) FILTER (e <= bound) AS within_half, avg((e <= 1)::DOUBLE) FILTER (e <= bound) AS within_one FROM e JOIN bd USING (pair_id) GROUP BY pair_id)"""
 put("mad_trim", f"SELECT pair_id, n, n_kept, {_fixed('rms rms_all within_half within_one')} FROM tr", _NODES, _TRIM)
 put("quality_grade", f"SELECT pair_id, CASE {' '.join(f'WHEN px <= {b} THEN {chr(39)}{g}{chr(39)}' for b, g in GRADES)} ELSE '{COARSE}' END AS grade FROM (SELECT pair_id, CASE WHEN n_kept >= 8 THEN rms ELSE rms_all END AS px FROM tr) t", _NODES, _TRIM)
-put("pattern_signature", f"""SELECT pattern_id, m, CASE WHEN m = 0 THEN 0 ELSE {fx('(dy * ux - dx * uy) / (ud * ud)', '1e3')} END AS sx, CASE WHEN m = 0 THEN 0 ELSE {fx('-(dx * ux + dy * uy) / (ud * ud)', '1e3')} END AS sy, {fx('r / ud', '1e3')} AS sr FROM rel JOIN nr USING (pattern_id)""",
-    _BASE, "pt AS (SELECT CAST(floor(crater_id / 10e0) AS BIGINT) AS pattern_id, crater_id % 10 AS m, cx AS x, cy AS y, r FROM ref WHERE crater_id % 10 <= 5)",
+_CAND = ("nn AS (SELECT image_id, i, j, d, angle, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS n FROM (SELECT a.image_id, a.crater_id AS i, b.crater_id AS j, " + _dist("a", "b") + " AS d, atan2(b.cy - a.cy, b.cx - a.cx) AS angle "
+         "FROM ref a JOIN ref b ON a.image_id = b.image_id AND a.crater_id <> b.crater_id AND b.r >= 0.15 * a.r) q QUALIFY n <= 5)",
+         "gp AS (SELECT *, coalesce(lead(angle) OVER (PARTITION BY image_id, i ORDER BY angle), min(angle) OVER (PARTITION BY image_id, i) + 2 * pi()) - angle AS gap FROM nn)",
+         "rk AS (SELECT image_id, crater_id AS i, (row_number() OVER (PARTITION BY image_id ORDER BY r, crater_id) - 1) / greatest(count(*) OVER (PARTITION BY image_id) - 1, 1) AS k FROM ref)",
+         "cd AS (SELECT g.image_id, g.i, list(j ORDER BY n) AS members, max(d) AS extent, 0.45 * (1 - max(gap) / (2 * pi())) + 0.25 * least(1, count(*) / 5) + 0.30 * max(k) AS quality FROM gp g JOIN rk USING (image_id, i) GROUP BY g.image_id, g.i HAVING count(*) >= 3)")
+put("pattern_candidates", f"SELECT image_id, i, array_to_string(members, ',') AS members, {fx('quality')} AS quality, {fx('extent')} AS extent FROM cd", _BASE, *_CAND)
+put("pattern_signature", f"""SELECT pattern_id, CAST(m AS BIGINT) AS m, CASE WHEN m = 0 THEN 0 ELSE {fx('(dy * ux - dx * uy) / (ud * ud)', '1e3')} END AS sx, CASE WHEN m = 0 THEN 0 ELSE {fx('-(dx * ux + dy * uy) / (ud * ud)', '1e3')} END AS sy, {fx('r / ud', '1e3')} AS sr FROM rel JOIN nr USING (pattern_id)""",
+    _BASE, *_CAND, "pm AS (SELECT image_id, i AS pattern_id, unnest(list_prepend(i, members)) AS c, unnest(range(len(members) + 1)) AS m FROM cd)",
+    "pt AS (SELECT pattern_id, m, cx AS x, cy AS y, r FROM pm JOIN ref ON ref.image_id = pm.image_id AND crater_id = c)",
     "rel AS (SELECT p.pattern_id, p.m, p.r, p.x - a.x AS dx, p.y - a.y AS dy, sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) AS d FROM pt p JOIN pt a ON a.pattern_id = p.pattern_id AND a.m = 0)",
     "nr AS (SELECT pattern_id, dx AS ux, dy AS uy, d AS ud FROM rel WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY d, m) = 1)")
 put("star_select", """SELECT image_id, i AS centre, j, row_number() OVER (PARTITION BY image_id ORDER BY d, j) AS rank FROM pr JOIN be USING (image_id, i) WHERE i <> j QUALIFY rank <= 7""", _BASE,
@@ -168,37 +189,53 @@ put("star_select", """SELECT image_id, i AS centre, j, row_number() OVER (PARTIT
     "be AS (SELECT image_id, i FROM sc QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, i) = 1)")
 
 
-def _taps(name: str, src: str, weights: list[float], axis: str, col: str, out: str) -> str:
-    """CTE: a weighted sum along an axis, the edge replicated."""
-    other, half = ("x", len(weights) // 2) if axis == "y" else ("y", len(weights) // 2)
+def _gauss(sigma: float) -> list[float]:
+    """Weights of a Gaussian over 8 sigma + 1 pixels, rounded to an odd number."""
+    half = (round(sigma * 8 + 1) | 1) // 2
+    w = [math.exp(-k * k / (2 * sigma * sigma)) for k in range(-half, half + 1)]
+    return [x / sum(w) for x in w]
+
+
+def _mirror(e: str, n: str) -> str:
+    """An index within 0 .. n - 1 for one beyond: mirrored at the border pixels, which aren't repeated."""
+    period = f"greatest(2 * ({n} - 1), 1)"
+    m = f"(((({e}) % {period}) + {period}) % {period})"
+    return f"CASE WHEN {m} < {n} THEN {m} ELSE {period} - {m} END"
+
+
+_SIZE = "sz AS (SELECT image_id, max(y) + 1 AS hh, max(x) + 1 AS ww FROM px GROUP BY image_id)"
 
-    def at(k: int) -> str:
-        if not k:
-            return col
-        f = "lead" if k > 0 else "lag"
-        return f"coalesce({', '.join(f'{f}({col}, {n}) OVER w' for n in range(abs(k), 0, -1))}, {col})"
 
-    total = " + ".join(f"{w!r}::DOUBLE * {at(k - half)}" for k, w in enumerate(weights) if w)
-    return f"{name} AS (SELECT *, {total} AS {out} FROM {src} WINDOW w AS (PARTITION BY image_id, {other} ORDER BY {axis}))"
+def _taps(name: str, src: str, weights: list[float], axis: str, columns: dict[str, str]) -> str:
+    """CTE: weighted sums along an axis, for each of columns (new name: expression of the source s), beside the place."""
+    half, n = len(weights) // 2, "ww" if axis == "x" else "hh"
+    taps = ", ".join(f"({k - half}, {w!r}::DOUBLE)" for k, w in enumerate(weights) if w)
+    sums = ", ".join(f"sum(k.w * {e}) AS {c}" for c, e in columns.items())
+    other = "y" if axis == "x" else "x"
+    return f"""{name}_t AS (SELECT p.image_id, p.y, p.x, k.w, {_mirror(f'p.{axis} + k.o', f'z.{n}')} AS at FROM px p JOIN sz z USING (image_id), (VALUES {taps}) k(o, w)),
+{name} AS (SELECT k.image_id, k.y, k.x, {sums} FROM {name}_t k JOIN {src} s ON s.image_id = k.image_id AND s.{axis} = k.at AND s.{other} = k.{other} GROUP BY k.image_id, k.y, k.x)"""
 
 
-_SOBEL = (_PX, _taps("s1", "px", [-1.0, 0.0, 1.0], "x", "v", "dx"), _taps("s2", "s1", [1.0, 2.0, 1.0], "x", "v", "sx"), _taps("s3", "s2", [1.0, 2.0, 1.0], "y", "dx", "gx0"), _taps("s4", "s3", [-1.0, 0.0, 1.0], "y", "sx", "gy0"),
-          "sb AS (SELECT image_id, y, x, gx0 / 8 AS gx, gy0 / 8 AS gy, sqrt(gx0 / 8 * (gx0 / 8) + gy0 / 8 * (gy0 / 8)) AS mag FROM s4)")
+_SMOOTH, _SLOPE = [1.0, 2.0, 1.0], [-1.0, 0.0, 1.0]
+_SOBEL = (_PX, _SIZE, _taps("s1", "px", _SLOPE, "x", {"dx": "s.v"}), _taps("s2", "px", _SMOOTH, "x", {"sx": "s.v"}), _taps("s3", "s1", _SMOOTH, "y", {"gx0": "s.dx"}), _taps("s4", "s2", _SLOPE, "y", {"gy0": "s.sx"}),
+          "sb AS (SELECT image_id, y, x, gx0 / 8 AS gx, gy0 / 8 AS gy, sqrt(gx0 / 8 * (gx0 / 8) + gy0 / 8 * (gy0 / 8)) AS mag FROM s3 JOIN s4 USING (image_id, y, x))")
 put("sobel_gradient", f"SELECT image_id, y, x, {_fixed('gx gy mag', '1e6')} FROM sb", *_SOBEL)
 put("gradient_p95", f"SELECT image_id, {fx('quantile_cont(mag, 0.95) + 1e-6', '1e6')} AS g95 FROM sb GROUP BY image_id", *_SOBEL)
-put("gauss_blur", f"SELECT image_id, y, x, {fx('w', '1e6')} AS v FROM b2", _PX, _taps("b1", "px", gauss(1.2), "x", "v", "u"), _taps("b2", "b1", gauss(1.2), "y", "u", "w"))
+put("gauss_blur", f"SELECT image_id, y, x, {fx('w', '1e6')} AS v FROM b2", _PX, _SIZE, _taps("b1", "px", _gauss(1.2), "x", {"u": "s.v"}), _taps("b2", "b1", _gauss(1.2), "y", {"w": "s.u"}))
+put("local_contrast", f"SELECT image_id, y, x, {fx('(v - m) / sqrt(greatest(q - m * m, 4))', '1e6')} AS v FROM px JOIN b2 USING (image_id, y, x)", _PX, _SIZE,
+    _taps("b1", "px", _gauss(20.0), "x", {"m": "s.v", "q": "s.v * s.v"}), _taps("b2", "b1", _gauss(20.0), "y", {"m": "s.m", "q": "s.q"}))
 _FIVE = [1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16]
-put("pyramid_level", f"SELECT image_id, y // 2 AS y, x // 2 AS x, {fx('w', '1e6')} AS v FROM b2 WHERE x % 2 = 0 AND y % 2 = 0", _PX, _taps("b1", "px", _FIVE, "x", "v", "u"), _taps("b2", "b1", _FIVE, "y", "u", "w"))
+put("pyramid_level", f"SELECT image_id, y // 2 AS y, x // 2 AS x, {fx('w', '1e6')} AS v FROM b2 WHERE x % 2 = 0 AND y % 2 = 0", _PX, _SIZE, _taps("b1", "px", _FIVE, "x", {"u": "s.v"}), _taps("b2", "b1", _FIVE, "y", {"w": "s.u"}))
 put("erode_min", f"SELECT image_id, y, x, {fx('min(m) OVER (PARTITION BY image_id, x ORDER BY y ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)', '1e6')} AS v FROM r", _PX,
     "r AS (SELECT *, min(v) OVER (PARTITION BY image_id, y ORDER BY x ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING) AS m FROM px)")
-put("bilinear_sample", f"""SELECT point_id, {fx('CASE WHEN count(*) FILTER (v IS NOT NULL OR w = 0) = 4 THEN sum(w * coalesce(v, 0)) END', '1e6')} AS value FROM c LEFT JOIN px ON px.image_id = 0 AND px.x = c.xx AND px.y = c.yy GROUP BY point_id HAVING value IS NOT NULL""",
-    _BASE, _PX, "p AS (SELECT crater_id AS point_id, cx * 0.08e0 AS x, cy * 0.12e0 AS y FROM ref)",
-    "c AS (SELECT point_id, floor(x) + dx AS xx, floor(y) + dy AS yy, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM p, range(2) a(dx), range(2) b(dy))")
+put("bilinear_sample", f"""SELECT c.image_id, point_id, {fx('CASE WHEN count(v) = count(*) THEN sum(c.w * v) END', '1e6')} AS value FROM c LEFT JOIN px ON px.image_id = c.image_id AND px.x = c.xx AND px.y = c.yy WHERE c.w > 0 GROUP BY c.image_id, point_id""",
+    _BASE, _PX, "p AS (SELECT crater_id % 5 AS image_id, crater_id AS point_id, cx * 0.08e0 AS x, cy * 0.12e0 AS y FROM ref)",
+    "c AS (SELECT image_id, point_id, floor(x) + dx AS xx, floor(y) + dy AS yy, (CASE WHEN dx = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN dy = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM p, range(2) a(dx), range(2) b(dy))")
 _HARM = ", ".join(f"{fx(f'sqrt(pow(sum(v * cos(angle * (2 * pi() * {k} / 64))), 2) + pow(sum(v * sin(angle * (2 * pi() * {k} / 64))), 2)) / 64', '1e5')} AS h{k}" for k in range(1, 5))
 put("ring_harmonics", f"SELECT vec_id, {fx('avg(v)', '1e5')} AS mean, {fx('stddev_pop(v)', '1e5')} AS std, {_HARM} FROM (SELECT image_id * 100 + y AS vec_id, x AS angle, v FROM px) r GROUP BY vec_id", _PX)
 put("ncc_patches", f"SELECT vec_id, shift, {fx('score')} AS score FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, shift) = 1) b WHERE score >= 0.3", _PX,
     "r AS (SELECT image_id * 100 + y AS vec_id, x, v FROM px)", "sc AS (SELECT a.vec_id, shift, corr(a.v, b.v) AS score FROM r a JOIN r b ON b.vec_id = a.vec_id + 1, range(-8, 9) s(shift) WHERE a.x >= 16 AND a.x < 48 AND b.x = a.x + shift GROUP BY a.vec_id, shift)")
-put("descriptor_ratio_test", f"SELECT image_id, i, j, {fx('d')} AS d FROM (SELECT *, lead(d) OVER w AS second, row_number() OVER w AS n FROM di WINDOW w AS (PARTITION BY image_id, i ORDER BY d, j)) q WHERE n = 1 AND d < 0.95 * second", _PX,
+put("descriptor_ratio_test", f"SELECT image_id, i, j, {fx('d')} AS d FROM (SELECT *, lead(d) OVER w AS second, row_number() OVER w AS n FROM di WINDOW w AS (PARTITION BY image_id, i ORDER BY d, j)) q WHERE n = 1 AND d < 0.8 * second", _PX,
     "di AS (SELECT a.image_id, a.y AS i, b.y AS j, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND a.x = b.x GROUP BY a.image_id, a.y, b.y)")
 _KK = "2e0 * 1737400 / (1 + sin(radians(-60e0)) * sin(radians(lat)) + cos(radians(-60e0)) * cos(radians(lat)) * cos(radians(lon - 25)))"
 put("stereo_roundtrip", f"SELECT image_id, pixel, scan, {_fixed('x y', '1e0')}, {fx('lon * 1e4 + 0.06', '1e0')} AS lon, {fx('lat * 1e4 + 0.06', '1e0')} AS lat FROM f", _GRID,
@@ -206,6 +243,24 @@ put("stereo_roundtrip", f"SELECT image_id, pixel, scan, {_fixed('x y', '1e0')},
 put("circular_mean_lon", f"SELECT image_id, {fx('degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon)))))', '1e5')} AS lon0, {fx('avg(lat)', '1e5')} AS lat0 FROM grid GROUP BY image_id", _GRID)
 put("great_circle_diff", f"SELECT image_id, count(*) AS n, {fx('avg(m)', '1e1')} AS mean, {fx('median(m)', '1e1')} AS median, {fx('max(m)', '1e1')} AS most FROM g GROUP BY image_id", _GRID,
     "g AS (SELECT image_id, 1737400 * acos(least(1e0, greatest(-1e0, sin(radians(lat)) * sin(radians(lat + 0.02)) + cos(radians(lat)) * cos(radians(lat + 0.02)) * cos(radians(lon - (lon + 0.01)))))) AS m FROM grid)")
-put("capture_gap_days", "SELECT user_id, event_id, CAST(floor((t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id)) / 86400e6 * 1e4 + 0.5) AS BIGINT) AS days FROM (SELECT user_id, event_id, epoch_us(ts) AS t FROM events) e QUALIFY days IS NOT NULL")
+put("capture_gap_days", f"""SELECT event_id AS pair_id, {fx('abs(t - lag(t) OVER w) / 86400e6')} AS days, {fx('abs(sun - lag(sun) OVER w)')} AS d_sun_elevation_deg, CAST(NULL AS BIGINT) AS d_sun_azimuth_deg, {fx('abs(inc - lag(inc) OVER w)')} AS d_incidence_angle_deg
+FROM (SELECT user_id, event_id, epoch_us(ts) AS t, value % 90 AS sun, (event_id % 60)::DOUBLE AS inc FROM events) e WINDOW w AS (PARTITION BY user_id ORDER BY t, event_id) QUALIFY lag(t) OVER w IS NOT NULL""")
+put("training_assembly", f"""SELECT image_id, 'positive' AS origin, 6 * count(*) AS n, 6e0 * count(*) AS weight FROM ann WHERE label = 1 GROUP BY image_id UNION ALL
+SELECT image_id, 'negative', 4 * count(*), 4e0 * count(*) FROM ann WHERE label = 0 GROUP BY image_id UNION ALL
+SELECT image_id, 'unlabelled', n, round(CASE WHEN complete THEN 1e0 ELSE 0.3e0 END * n, 6) FROM (SELECT f.image_id, complete, least(count(*), CASE WHEN complete THEN greatest(200, 24 * p) ELSE greatest(30, 12 * p) END) AS n
+    FROM (SELECT * FROM det a WHERE NOT EXISTS (SELECT 1 FROM ann b WHERE a.image_id = b.image_id AND {_same(0.7)})) f
+    JOIN (SELECT image_id, count(*) FILTER (label = 1) AS p, bool_and(toxic = 0) AS complete FROM ann GROUP BY image_id) i USING (image_id) GROUP BY f.image_id, complete, p) u""", _DET, _ANN)
+_MID = "mid AS (SELECT image_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon0, avg(lat) AS lat0 FROM grid GROUP BY image_id)"
+_K = "2e0 * 1737400 / (1 + sin(radians(lat0)) * sin(radians(lat)) + cos(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0)))"
+put("grid_interpolate", f"""SELECT image_id, point_id, {fx('CASE WHEN lon < 0 THEN lon + 360 ELSE lon END', '1e5')} AS lon, {fx('lat', '1e5')} AS lat FROM ref_p LEFT JOIN ll USING (image_id, point_id)""", _BASE, _GRID, _MID,
+    f"xy AS (SELECT image_id, pixel, scan, {_K} * cos(radians(lat)) * sin(radians(lon - lon0)) AS gx, {_K} * (cos(radians(lat0)) * sin(radians(lat)) - sin(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0))) AS gy FROM grid JOIN mid USING (image_id))",
+    "ref_p AS (SELECT image_id, crater_id AS point_id, cx AS px, cy AS py FROM ref)",
+    "ax AS (SELECT image_id, list_sort(list(DISTINCT pixel)) AS ps, list_sort(list(DISTINCT scan)) AS ss FROM grid GROUP BY image_id)",
+    "lo AS (SELECT *, least(len(list_filter(ps, lambda v: v <= px)), len(ps) - 1) AS a, least(len(list_filter(ss, lambda v: v <= py)), len(ss) - 1) AS b FROM ref_p JOIN ax USING (image_id))",
+    "co AS (SELECT image_id, point_id, ps[a + i] AS p, ss[b + j] AS s, (CASE WHEN i = 1 THEN (px - ps[a]) / (ps[a + 1] - ps[a]) ELSE 1 - (px - ps[a]) / (ps[a + 1] - ps[a]) END) * (CASE WHEN j = 1 THEN (py - ss[b]) / (ss[b + 1] - ss[b]) ELSE 1 - (py - ss[b]) / (ss[b + 1] - ss[b]) END) AS w FROM lo, range(2) x(i), range(2) y(j) WHERE a >= 1 AND b >= 1 AND px <= ps[a + 1] AND py <= ss[b + 1])",
+    "su AS (SELECT co.image_id, point_id, sum(w * gx) AS x, sum(w * gy) AS y FROM co JOIN xy ON xy.image_id = co.image_id AND pixel = p AND scan = s GROUP BY ALL HAVING count(*) = 4)",
+    "cc AS (SELECT *, sqrt(x * x + y * y) AS rho, 2 * atan(sqrt(x * x + y * y) / (2 * 1737400e0)) AS c FROM su JOIN mid USING (image_id))",
+    """ll AS (SELECT image_id, point_id, lon0 + degrees(atan2(x * sin(c), greatest(rho, 1e-12) * cos(radians(lat0)) * cos(c) - y * sin(radians(lat0)) * sin(c))) AS lon,
+    degrees(asin(cos(c) * sin(radians(lat0)) + y * sin(c) * cos(radians(lat0)) / greatest(rho, 1e-12))) AS lat FROM cc)""")
 put("axis_pairs", "SELECT DISTINCT 'image' || image_id AS file, 'Line' AS axis, CAST(image_id * 10 AS INTEGER) AS elements FROM ref", _BASE)
 put("xml_facts", "SELECT DISTINCT 'image' || image_id AS file, 'urn:' || image_id AS product_id, 'Image ' || image_id AS title, '2020-01-' || lpad((image_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS start_time, image_id * 0.5e0 AS sun_elevation_deg, image_id::DOUBLE AS orbit FROM ref", _BASE)

@@ -44,7 +44,7 @@ def _truth(ref: DataFrame) -> DataFrame:
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
     ref, tgt = _ref(s, d), _tgt(s, d)
-    return matching.coordinates(matching.collected(_truth(ref), ref, tgt, KEY), ref, tgt)
+    return matching.coordinates(matching.collected(_truth(ref), ref, tgt), ref, tgt)
 
 
 @query
@@ -77,7 +77,7 @@ def knn_neighbours(s: SparkSession, d: str) -> DataFrame:
 def _nearest(s: SparkSession, d: str) -> DataFrame:
     ref, tgt = _ref(s, d), _tgt(s, d)
     at = fits.moved(ref.join(_truth(ref), "image_id"), "cx", "cy").selectExpr("image_id", "crater_id AS i", "px AS cx", "py AS cy", "r", "s")
-    near = spatial.nearest(at, tgt.withColumnRenamed("crater_id", "j"), KEY, KEY, 64.0, ("i", "r", "s"))
+    near = spatial.nearest(at, tgt.withColumnRenamed("crater_id", "j"), KEY, KEY, 5.0, 0.3, ("i", "r", "s"))
     return spatial.sized(near, F.lit(5.0), 0.3, 0.72, 1.39, F.col("s"))
 
 
@@ -150,8 +150,8 @@ def hypothesis_winner(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_pair(s: SparkSession, d: str) -> DataFrame:
-    out = matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES, rounds=1)
-    return out.select("image_id", "n_inliers", *(fixed(c, 1e3).alias(c) for c in ("scale", "rotation_deg", "tx", "ty", "rmse_tgt", "rmse_ref")))
+    out = matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES, model="similarity")
+    return out.select("image_id", "n_inliers", *(fixed(c, 1e3).alias(c) for c in ("scale", "rotation_deg", "tx", "ty", "rmse_tgt", "rmse_ref", "heldout_tgt")), fixed("uniqueness").alias("uniqueness"))
 
 
 @query
@@ -159,6 +159,11 @@ def match_pair_refined(s: SparkSession, d: str) -> DataFrame:
     return matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES)
 
 
+@query
+def match_learner(s: SparkSession, d: str) -> DataFrame:
+    return matching.match_learned(_ref(s, d), _tgt(s, d)).select("image_id", "n_inliers", *(fixed(c, 1e3).alias(c) for c in ("scale", "rotation_deg", "tx", "ty", "rmse", "inlier_ratio")))
+
+
 @query
 def residual_stats(s: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(s, d)
@@ -213,7 +218,8 @@ def hull_area(s: SparkSession, d: str) -> DataFrame:
 def zoom_uniqueness(s: SparkSession, d: str) -> DataFrame:
     ref, tgt = _ref(s, d), _tgt(s, d)
     hyps = settled(matching.hypotheses(ref, tgt, HYPOTHESES))
-    return metrics.uniqueness(matching.votes(hyps, ref, tgt).join(hyps.select("image_id", "hyp", "s"), ["image_id", "hyp"]))
+    out = metrics.uniqueness(matching.votes(hyps, ref, tgt).join(hyps.select("image_id", "hyp", "s"), ["image_id", "hyp"]))
+    return out.select("image_id", "n_best", "n_second", fixed("uniqueness").alias("uniqueness"))
 
 
 @query
@@ -249,12 +255,17 @@ def pattern_propose(s: SparkSession, d: str) -> DataFrame:
     return patterns.proposed(_ref(s, d))
 
 
+@query
+def pattern_candidates(s: SparkSession, d: str) -> DataFrame:
+    return patterns.candidates(_ref(s, d)).select("image_id", "i", F.array_join("members", ",").alias("members"), fixed("quality").alias("quality"), fixed("extent").alias("extent"))
+
+
 @query
 def pattern_signature(s: SparkSession, d: str) -> DataFrame:
-    # Anchors are every tenth crater, members the five after it: a plain rule that SQL can follow.
-    rows = _ref(s, d).selectExpr("CAST(floor(crater_id / 10e0) AS BIGINT) AS pattern_id", "crater_id % 10 AS m", "cx AS x", "cy AS y", "r").where("m <= 5")
-    out = patterns.signatures(rows)
-    return out.select("pattern_id", "m", *(F.coalesce(fixed(c, 1e3), F.lit(0)).alias(c) for c in ("sx", "sy", "sr")))
+    """Of the pattern around every crater that has neighbours enough."""
+    ref = _ref(s, d)
+    out = patterns.signatures(patterns.as_patterns(patterns.candidates(ref), ref))
+    return out.select("pattern_id", F.col("m").cast("bigint").alias("m"), *(F.coalesce(fixed(c, 1e3), F.lit(0)).alias(c) for c in ("sx", "sy", "sr")))
 
 
 @query
@@ -276,7 +287,7 @@ def sobel_gradient(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def gradient_p95(s: SparkSession, d: str) -> DataFrame:
-    return raster.strong_gradient(adapters.pixels(s, d)).select("image_id", fixed("g95", 1e6).alias("g95"))
+    return raster.gradient_bound(adapters.pixels(s, d)).select("image_id", fixed("g95", 1e6).alias("g95"))
 
 
 @query
@@ -286,7 +297,7 @@ def gauss_blur(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def local_contrast(s: SparkSession, d: str) -> DataFrame:
-    return raster.local_norm(adapters.pixels(s, d), 4.0).select("image_id", "y", "x", "v")
+    return raster.local_norm(adapters.pixels(s, d)).select("image_id", "y", "x", fixed("v", 1e6).alias("v"))
 
 
 @query
@@ -301,8 +312,8 @@ def erode_min(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def bilinear_sample(s: SparkSession, d: str) -> DataFrame:
-    points = _ref(s, d).selectExpr("CAST(0 AS BIGINT) AS image_id", "crater_id AS point_id", "cx * 0.08e0 AS x", "cy * 0.12e0 AS y")
-    return raster.sampled(points, adapters.pixels(s, d)).where("value IS NOT NULL").select("point_id", fixed("value", 1e6).alias("value"))
+    points = _ref(s, d).selectExpr("crater_id % 5 AS image_id", "crater_id AS point_id", "cx * 0.08e0 AS x", "cy * 0.12e0 AS y")
+    return raster.sampled(points, adapters.pixels(s, d)).select("image_id", "point_id", fixed("value", 1e6).alias("value"))
 
 
 @query
@@ -323,13 +334,9 @@ def ncc_patches(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def descriptor_ratio_test(s: SparkSession, d: str) -> DataFrame:
-    """Vectors of one raster against those of the next: the nearest, if it is nearer than 0.95 of the second."""
-    px = adapters.pixels(s, d)
-    a, b = px.alias("a"), px.withColumn("image_id", F.col("image_id") - 1).alias("b")
-    both = a.join(b, [F.col("a.image_id") == F.col("b.image_id"), F.col("a.x") == F.col("b.x")])
-    dist = both.groupBy("a.image_id", F.col("a.y").alias("i"), F.col("b.y").alias("j")).agg(F.sqrt(F.sum((F.col("a.v") - F.col("b.v")) * (F.col("a.v") - F.col("b.v")))).alias("d"))
-    two = dist.groupBy("image_id", "i").agg(F.sort_array(F.collect_list(F.struct("d", "j")))[0].alias("first"), F.sort_array(F.collect_list("d"))[1].alias("second"))
-    return two.where("first.d < 0.95 * second").select("image_id", "i", F.col("first.j").alias("j"), fixed("first.d").alias("d"))
+    """Vectors of one raster against those of the next: the nearest, if it is nearer than 0.8 of the second."""
+    vectors = s.read.parquet(f"{d}/embeddings.parquet").selectExpr("CAST(floor(vec_id / 100e0) AS BIGINT) AS image_id", "vec_id % 100 AS i", "CAST(embedding AS ARRAY<DOUBLE>) AS v")
+    return triangles.ratio_matches(vectors, vectors.selectExpr("image_id - 1 AS image_id", "i", "v")).select("image_id", "i", "j", fixed("d").alias("d"))
 
 
 def _grid(s: SparkSession, d: str) -> DataFrame:
@@ -352,7 +359,7 @@ def circular_mean_lon(s: SparkSession, d: str) -> DataFrame:
 @query
 def grid_interpolate(s: SparkSession, d: str) -> DataFrame:
     points = _ref(s, d).selectExpr("image_id", "crater_id AS point_id", "cx AS px", "cy AS py")
-    return geo.interpolated(points, _grid(s, d))
+    return geo.interpolated(points, _grid(s, d)).select("image_id", "point_id", fixed("lon", 1e5).alias("lon"), fixed("lat", 1e5).alias("lat"))
 
 
 @query
@@ -363,8 +370,16 @@ def great_circle_diff(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def capture_gap_days(s: SparkSession, d: str) -> DataFrame:
-    e = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "event_id", "unix_micros(CAST(ts AS TIMESTAMP)) AS t")
-    return e.selectExpr("user_id", "event_id", "lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS before", "t").selectExpr("user_id", "event_id", "CAST(floor((t - before) / 86400e6 * 1e4 + 0.5) AS BIGINT) AS days").where("days IS NOT NULL")
+    """Each event of a user against the one before, as labels of two captures."""
+    e = s.read.parquet(f"{d}/events.parquet").selectExpr("user_id", "event_id", "ts", "value % 90 AS sun_elevation_deg", "CAST(NULL AS DOUBLE) AS sun_azimuth_deg", "CAST(event_id % 60 AS DOUBLE) AS incidence_angle_deg")
+    order = "OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+    facts = ["ts", "sun_elevation_deg", "sun_azimuth_deg", "incidence_angle_deg"]
+    both = e.selectExpr("event_id AS pair_id", *facts, f"lag(struct({', '.join(facts)})) {order} AS before").where("before IS NOT NULL")
+    time = "date_format({}, \"yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'\") AS start_time"
+    b = both.selectExpr("pair_id", time.format("ts"), *facts[1:])
+    a = both.selectExpr("pair_id", time.format("before.ts"), *(f"before.{c} AS {c}" for c in facts[1:]))
+    out = labels.context(a, b)
+    return out.select("pair_id", fixed("days").alias("days"), *(fixed(f"d_{c}").alias(f"d_{c}") for c in facts[1:]))
 
 
 def _label_files(s: SparkSession, d: str) -> DataFrame:
@@ -385,7 +400,7 @@ def xml_facts(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def axis_pairs(s: SparkSession, d: str) -> DataFrame:
-    return labels.axis_pairs(labels.leaves(_label_files(s, d)))
+    return labels.axis_pairs(labels.leaves(_label_files(s, d))).select("file", "axis", "elements")
 
 
 def _examples(s: SparkSession, d: str) -> DataFrame:
@@ -407,4 +422,4 @@ def cv_report(s: SparkSession, d: str) -> DataFrame:
 @query
 def training_assembly(s: SparkSession, d: str) -> DataFrame:
     ann = adapters.relation(s, d, "annotations").selectExpr("ann_id AS crater_id", "image_id", "cx", "cy", "r", "label", "toxic = 0 AS complete")
-    return learning.training_set(ann, adapters.relation(s, d, "detections")).groupBy("image_id", "origin").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    return learning.training_set(ann, adapters.relation(s, d, "detections")).groupBy("image_id", "origin").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("weight"))
