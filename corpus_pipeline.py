@@ -1,7 +1,7 @@
 """A corpus made ready for training: quality rules, near-duplicate removal, substring removal, benchmark decontamination, mixing of sources.
 
 Each stage takes all rows that its predecessor kept, as Parquet in the cluster's shared folder, and its decisions take effect: rejected documents go,
-cut texts replace the texts. All but the last return the columns of documents.
+cut texts replace the texts. All but the last return the columns of documents, with whatever others the table has. An empty table passes through every stage.
 """
 
 from __future__ import annotations
@@ -17,17 +17,20 @@ NEAR = simhash.similar(5, 0.8)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that fail the base rules or come from a rejected host."""
+    """Without documents that fail the base rules or come from a rejected host. Null texts fail; a null source is a host; repeated rows are judged each for
+    itself, so all of them stay or none."""
     return quality.judged(docs).where("kept").select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest id, of each group of near copies."""
+    """One document, that with the smallest id, of each group of near copies. Of rows that repeat an id and a text one stays; rows without an id all stay;
+    null and empty texts are copies of each other."""
     return simhash.keep_one(docs, NEAR)
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the windows of 50 words that a document with a smaller id has too; documents of which no word is left go."""
+    """Texts without the windows of 50 words that a document with a smaller id has too; documents of which no word is
+    left go. Rows without an id are left as they are, rows with one id are one document; texts without words, null ones included, stay as they are."""
     cut = substring.cut_repeats(docs)
     changed = F.col("n_removed") > 0
     now = {"text": F.when(changed, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(changed, F.char_length("kept_text").cast("bigint")).otherwise(F.col("n_chars"))}
@@ -35,7 +38,7 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that hold a window of a benchmark item."""
+    """Without documents that hold a window of a benchmark item. Repeated rows, and rows without an id, go or stay each by its text; null texts stay."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     mark = fresh_name(docs, "row_mark")
     marked = docs.withColumn(mark, F.xxhash64("doc_id", "text"))
@@ -44,8 +47,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources in proportion to the square roots of their numbers of documents, by Poisson replication, in a random order."""
-    return mixing.mixed(docs, mixing.tempered(docs))
+    """Sources in proportion to the square roots of their numbers of documents, by Poisson replication, in a random
+    order; rows with one id, or none, are repeated equally often. New columns: rate, copy and shuffle_key."""
+    return mixing.mixed(docs, 0.5)
 
 
 STAGES = [
@@ -56,7 +60,7 @@ STAGES = [
     ("mixture", mixture),
 ]
 
-#: SQL has neither the hash behind the fingerprints nor a reachable plan for their groups; the tests hold the pipeline against a brute-force version.
+#: SQL has no reachable plan for the groups of near copies; tests/llm/test_pipeline.py holds the pipeline against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -1,19 +1,20 @@
-"""SimHash fingerprints, joined on shared blocks of bits, verified by Hamming distance or, for a wanted similarity, by the sets of shingles.
+"""SimHash fingerprints, joined on shared blocks of bits, verified by Hamming distance and, for a wanted similarity, by the sets of shingles.
 
-A fingerprint is cut into equal blocks; a table is a choice of blocks, and two fingerprints are compared if they agree on all blocks of some
-table. With 4 blocks and all tables of 2, fingerprints within 2 bits always share a table: at most 2 of 4 blocks differ. For wider distances
-the tables are many choices of few bits, which pairs at the wanted similarity miss with a small, stated probability. Their keys are as long as the
-logarithm of the number of fingerprints asks, so that each fingerprint meets about as many unrelated ones by chance, fewer than one, at any size.
-There the distance only finds candidates: families of texts that may be near copies. verified() links those whose sets of shingles are.
+A fingerprint is cut into blocks, and two fingerprints are compared if some block of theirs, or some choice of blocks, agrees. With four blocks of 16 bits
+and all choices of two, fingerprints within 2 of 64 bits always share one: at most two of the blocks differ.
+
+Where all shingles vote on every bit, texts at a similarity of 0.8 differ in about 15 of 100 bits, so that a block long enough to tell unrelated texts apart is
+hardly ever equal. For a wanted similarity each 64-bit block is therefore voted by three shingles only, those with the least hashes of the block's own: it is
+equal if these three are common, with a probability that depends on the similarity alone and neither on the texts' lengths nor on their number. Distance and
+blocks find families of candidates there; verified() links those whose sets of shingles are alike.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import random
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -21,60 +22,49 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._arrow import BLANK, flat_list, list_array, mix, text_chunks
-from ._scratch import written
+from ._arrow import BLANK, flat_list, list_array, mix, rolling, text_chunks, word_hashes
+from ._scratch import set_apart, written
 from .graph import components
 
 
 @dataclass(frozen=True)
 class SimHash:
-    """bits: of a fingerprint, a multiple of 64. distance: bits in which linked fingerprints differ at most. blocks: into which it is cut; tables:
-    choices of blocks, or none if they follow from flip, the probability that a bit of a wanted pair differs, and recall. small: a table's members
-    with equal blocks are compared with each other up to this number, beyond it as in_large() says. similarity: of the sets of shingles of linked
-    texts, at least, or 0 if fingerprints decide."""
+    """shingle: words of one. bits: of a fingerprint, a multiple of 64. distance: bits in which linked fingerprints differ at most. tables: choices of 16-bit
+    blocks of the first 64 bits; none: each 64 bits are a block. similarity: of the sets of shingles of linked texts, at least, or 0 if fingerprints decide."""
 
     shingle: int
     bits: int
     distance: int
-    blocks: int
     tables: tuple[tuple[int, ...], ...] = ()
-    flip: float = 0.0
-    recall: float = 0.97
-    small: int = 64
     similarity: float = 0.0
 
-    def with_keys(self, key_bits: int) -> SimHash:
-        """With tables of so many bits, as many as the recall asks: a table is shared by a wanted pair with probability (1 - flip)**key_bits."""
-        width, pick = self.bits // self.blocks, random.Random(17)
-        n = math.ceil(math.log(1 - self.recall) / math.log1p(-((1 - self.flip) ** key_bits)))
-        return replace(self, tables=tuple(tuple(sorted(pick.sample(range(self.blocks), key_bits // width))) for _ in range(n)))
-
-    def for_nodes(self, n: int) -> SimHash:
-        """With keys 8 bits longer than the logarithm of the number of fingerprints: in a table, one in 256 meets another by chance."""
-        return self if self.tables else self.with_keys(min(2 * math.ceil((math.log2(max(n, 1)) + 8) / 2), LONGEST_KEY))
+    @property
+    def lanes(self) -> int:
+        return self.bits // 64
 
 
-#: Bits of a key, beside which the table's number has room in 64.
-LONGEST_KEY = 48
-#: So many tables are tried before the others, if there are more than twice as many.
-AHEAD = 16
-#: By so many bits keys grow where blocks are too large to compare all members.
-LONGER = 6
+#: Exact to 2 of 64 bits.
+CLOSE = SimHash(3, 64, 2, tuple(itertools.combinations(range(4), 2)))
+#: Members of a block that are compared with each other in one list; members of larger ones are dealt out, see in_large().
+SMALL = 64
+#: Fingerprints on either side of a piece of a large block.
+PIECE = 1 << 12
 #: Shingles of a family that one task holds on either side, about.
 FAMILY = 1 << 21
-#: Exact to 2 of 64 bits.
-CLOSE = SimHash(3, 64, 2, 4, tuple(itertools.combinations(range(4), 2)))
 
 
-def similar(shingle: int = 5, similarity: float = 0.8, bits: int = 256) -> SimHash:
+def similar(shingle: int = 5, similarity: float = 0.8, lanes: int = 8) -> SimHash:
     """For texts whose sets of shingles have a Jaccard similarity of at least `similarity`.
 
-    Sets with similarity s have the cosine 2s/(1+s), so a bit differs with probability p = acos(2s/(1+s))/pi: 0.15 at 0.8, 39 of 256 bits, give or
-    take 6. The distance allowed lies three such deviations higher, as it only finds candidates. At 50,000 fingerprints, keys have 24 bits, each shared with probability
-    (1-p)**24 = 0.02, and 97 of 100 pairs at 0.8 share one of 163 tables, nearly all at 0.9. Unrelated texts differ in 128 bits, give or take 8.
+    With similarity s a block is equal with probability s**3 (all three least shingles of the union are common). At 0.8 that is 0.51, and of 1000 pairs 3
+    share none of 8 blocks. If one of the three differs, a quarter of the block's bits does; if more do, up to half of them. The distance allowed
+    lies three deviations above the mean at `similarity`: 151 of 512 bits at 0.8, where unrelated texts differ in 256, give or take 11.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return SimHash(shingle, bits, round(bits * p + 3 * math.sqrt(bits * p * (1 - p))), bits // 2, flip=p, small=512, similarity=similarity)
+    common = [math.comb(3, k) * similarity**k * (1 - similarity) ** (3 - k) for k in (3, 2, 1, 0)]
+    bits = [0.0, 16.0, 24.0, 32.0]
+    mean = sum(p * x for p, x in zip(common, bits))
+    spread = sum(p * (x * x + x * (1 - x / 64)) for p, x in zip(common, bits)) - mean * mean
+    return SimHash(shingle, 64 * lanes, round(lanes * mean + 3 * math.sqrt(lanes * spread)), similarity=similarity)
 
 
 def _hashes(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
@@ -92,86 +82,100 @@ def _hashes(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
             yield w.first + int(r), np.array([h64(body[s:e], 42) for s, e in zip(starts[: b - a - k + 1].tolist(), ends[k - 1 :].tolist())], np.uint64)
 
 
+def _sets_of(column: pa.Array, shingle: int) -> Iterator[tuple[int, np.ndarray]]:
+    """The number of each row that has words, and the sorted hashes of its distinct shingles."""
+    for w in text_chunks(column, BLANK, lower=True):
+        h = word_hashes(w)
+        whole = rolling(h, shingle)
+        for r in np.flatnonzero(np.diff(w.word_at)):
+            a, b = int(w.word_at[r]), int(w.word_at[r + 1])
+            yield w.first + int(r), np.unique(whole[a : b - shingle + 1] if b - a >= shingle else rolling(h[a:b], b - a) ^ np.uint64(b - a))
+
+
 def _digest(shingles: np.ndarray) -> np.uint64:
     """Of a set of shingles."""
     return mix(shingles).sum(dtype=np.uint64)
 
 
-def _fingerprints(shingle: int, bits: int):
+def _voted(shingles: np.ndarray, lanes: int) -> np.ndarray:
+    """For each lane, the bits that over half of its three least shingles have; of fewer than three, that over half of them have."""
+    seeds = mix(np.arange(1, lanes + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    own = mix(shingles[None, :] ^ seeds[:, None])
+    if own.shape[1] > 3:
+        own = np.partition(own, 2, axis=1)[:, :3]
+    own = mix(own + np.uint64(0x632BE59BD9B4E019))
+    if own.shape[1] < 3:
+        return np.bitwise_and.reduce(own, axis=1)
+    a, b, c = own.T
+    return a & b | a & c | b & c
+
+
+def _fingerprints(params: SimHash):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = bits // 64
         for batch in batches:
-            rows, digests = np.zeros((batch.num_rows, n * 8), np.uint8), np.zeros(batch.num_rows, np.uint64)
-            for r, h in _hashes(batch.column(0), shingle):
-                if n > 1:
-                    h = np.unique(h)
-                    digests[r] = _digest(h)
-                votes = np.zeros(bits, np.int64)
-                for at in range(0, len(h), 1 << 16):
-                    part = h[at : at + (1 << 16)]
-                    lanes = part[:, None] if n == 1 else np.stack([mix(part + np.uint64(j * 0x9E3779B97F4A7C15 & (2**64 - 1))) for j in range(n)], 1)
-                    votes += np.unpackbits(lanes.astype(">u8").view(np.uint8).reshape(len(part), -1), axis=1).sum(0, dtype=np.int64)
-                rows[r] = np.packbits(2 * votes > len(h))
-            lanes = rows.view(">u8").astype(np.uint64).view(np.int64)
-            fp = list_array(np.arange(len(lanes) + 1) * n, pa.array(lanes.ravel()))
-            more = {"digest": pa.array(digests.view(np.int64))} if n > 1 else {}
+            lanes, digests = np.zeros((batch.num_rows, params.lanes), np.uint64), np.zeros(batch.num_rows, np.uint64)
+            if params.similarity:
+                for r, h in _sets_of(batch.column(0), params.shingle):
+                    lanes[r], digests[r] = _voted(h, params.lanes), _digest(h)
+            else:
+                for r, h in _hashes(batch.column(0), params.shingle):
+                    votes = np.zeros(64, np.int64)
+                    for at in range(0, len(h), 1 << 16):
+                        part = h[at : at + (1 << 16)]
+                        votes += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(len(part), 8), axis=1).sum(0, dtype=np.int64)
+                    lanes[r] = np.packbits(2 * votes > len(h)).view(">u8").astype(np.uint64)
+            fp = list_array(np.arange(len(lanes) + 1) * params.lanes, pa.array(lanes.view(np.int64).ravel()))
+            more = {"digest": pa.array(digests.view(np.int64))} if params.similarity else {}
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(1, batch.num_columns)), fp, *more.values()], names=[*batch.schema.names[1:], "fp", *more])
 
     return run
 
 
 def fingerprints(docs: DataFrame, params: SimHash, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The columns in keep, and fp: array of bits/64 longs, the highest bits first. A bit is set if it is in over half of the shingles' hashes.
-    With more than 64 bits also digest, of the set of shingles.
+    """The columns in keep, and fp: array of bits/64 longs, the highest bits first. With a similarity also digest, of the set of shingles.
 
-    With 64 bits, shingles count as often as they occur and their XXH64 (seed 42) is the hash; with more, each distinct shingle counts once and
-    further hashes are mixed from it. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer words than a shingle is one shingle; an
-    empty or null text has the fingerprint zero.
+    Without a similarity, shingles count as often as they occur, their XXH64 (seed 42) is the hash, and a bit is set if it is in over half of the hashes; with
+    one, each distinct shingle counts once, and each 64 bits are voted as _voted() says. Words are `[^\\x20\\x09-\\x0D]+` with A-Z lower-cased; a text of fewer
+    words than a shingle is one shingle; an empty or null text has the fingerprint zero.
     """
     slim = docs.select(F.col(text_col).alias("text"), *keep)
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.schema.fields[1:])
-    return slim.mapInArrow(_fingerprints(params.shingle, params.bits), f"{kinds}, fp array<bigint>" + ", digest bigint" * (params.bits > 64))
+    return slim.mapInArrow(_fingerprints(params), f"{kinds}, fp array<bigint>" + ", digest bigint" * (params.similarity > 0))
 
 
 def hamming(a: Column, b: Column, params: SimHash) -> Column:
-    return sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(1, params.bits // 64)), F.bit_count(a[0].bitwiseXOR(b[0])))
+    return sum((F.bit_count(a[j].bitwiseXOR(b[j])) for j in range(1, params.lanes)), F.bit_count(a[0].bitwiseXOR(b[0])))
 
 
-def _keys(params: SimHash):
-    """A row for each table: the node, its component, and the table's number with its choice of blocks."""
-    width = params.bits // params.blocks
-    mask = np.uint64((1 << width) - 1)
-    step = max(1, (1 << 21) // len(params.tables))
+def _keys(params: SimHash) -> Column:
+    """The keys under which a fingerprint is filed: the number of the table, and its blocks."""
+    if not params.tables:
+        return F.array(*(F.xxhash64(F.lit(j), F.col("fp")[j]) for j in range(params.lanes)))
+    block = lambda j: F.shiftrightunsigned(F.col("fp")[0], 48 - 16 * j).bitwiseAND(F.lit(0xFFFF))
+    out = []
+    for t, table in enumerate(params.tables):
+        key = F.lit(t).cast("bigint")
+        for j in table:
+            key = F.shiftleft(key, 16).bitwiseOR(block(j))
+        out.append(key)
+    return F.array(*out)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(at, step) for whole in batches for at in range(0, whole.num_rows, step)):
-            n, lanes = batch.num_rows, params.bits // 64
-            fp = np.asarray(batch.column(1).flatten()).view(np.uint64).reshape(n, lanes)
-            blocks = [fp[:, j * width // 64] >> np.uint64(64 - width - j * width % 64) & mask for j in range(params.blocks)]
-            keys = np.empty((n, len(params.tables)), np.uint64)
-            for t, table in enumerate(params.tables):
-                key = np.full(n, t, np.uint64)
-                for j in table:
-                    key = key << np.uint64(width) | blocks[j]
-                keys[:, t] = key
-            rows = pa.array(np.repeat(np.arange(n), len(params.tables)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(rows), batch.column(2).take(rows), pa.array(keys.ravel().view(np.int64))], names=["node", "component", "key"])
 
-    return run
+def _bits(members: pa.StructArray, lanes: int) -> np.ndarray:
+    return np.asarray(members.field("fp").flatten()).view(np.uint64).reshape(-1, lanes)
 
 
 def _within(params: SimHash):
     """From lists of (node, fp), smallest first: a link from each node to the smallest that it reaches within its list, over links of near fingerprints."""
-    lanes = params.bits // 64
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at, members = flat_list(batch.column(0))
-            nodes, fp = members.field("node"), np.asarray(members.field("fp").flatten()).view(np.uint64).reshape(-1, lanes)
+            nodes, fp = members.field("node"), _bits(members, params.lanes)
             sizes = np.diff(at)
             firsts, others = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for n in np.unique(sizes[sizes > 1]).tolist():
-                begin, step = at[:-1][sizes == n], max(1, (1 << 20) // (n * n * lanes))
+                begin, step = at[:-1][sizes == n], max(1, (1 << 20) // (n * n * params.lanes))
                 for k in range(0, len(begin), step):
                     index = begin[k : k + step, None] + np.arange(n)
                     f = fp[index]
@@ -187,61 +191,84 @@ def _within(params: SimHash):
     return run
 
 
-def links(nodes: DataFrame, params: SimHash, key_bits: int = 0) -> DataFrame:
-    """(a, b): verified links that connect what all links connect. nodes: (node, fp), a written table with each fp once. key_bits: of tables that are
-    not given, if not as for_nodes() has it.
+def links(nodes: DataFrame, params: SimHash, small: int = SMALL) -> DataFrame:
+    """(a, b): verified links that connect what all links between members of a block connect. nodes: (node, fp), a written table.
 
-    The first tables go ahead: most copies in large groups are connected by them, and blocks that lie within one component need no comparing later.
+    Only keys are counted at first; those that several nodes have are few, and only then do fingerprints move. Up to `small` members are compared with
+    each other in one list, which leaves a link for each member and not for each pair. Larger blocks go by in_large(). No link is lost in either.
     """
-    filed = params.with_keys(key_bits) if key_bits else params.for_nodes(nodes.count())
-    bits = len(filed.tables[0]) * filed.bits // filed.blocks
-    alone = nodes.select("node", "fp", F.col("node").alias("component"))
-    if len(filed.tables) <= 2 * AHEAD:
-        return _links_by(alone, filed, bits).distinct()
-    found = components(_links_by(alone, replace(filed, tables=filed.tables[:AHEAD]), LONGEST_KEY))
-    part = written(nodes.join(found, "node", "left").select("node", "fp", F.coalesce("component", "node").alias("component")))
-    return found.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_links_by(part, filed, bits)).distinct()
+    kind = nodes.schema["node"].dataType.simpleString()
+    keyed = nodes.select("node", F.explode(_keys(params)).alias("key"))
+    shared = written(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    members = written(keyed.join(shared, "key").join(nodes.select("node", "fp"), "node").select("key", "node", "fp", "n"))
+    lists = members.where(F.col("n") <= small).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("members"))
+    near = lists.select("members").mapInArrow(_within(params), f"a {kind}, b {kind}")
+    return near.union(in_large(members.where(F.col("n") > small), params))
 
 
-def _links_by(nodes: DataFrame, params: SimHash, key_bits: int) -> DataFrame:
-    """Links in the blocks of params.tables that hold nodes of two or more components.
+def _in_piece(params: SimHash):
+    """From a piece's rows (left, node, fp): links that connect what the links of its left rows with its right rows connect."""
 
-    Blocks are judged by keys alone; keys of such blocks are few, and only then do fingerprints move. Up to params.small members are compared with
-    each other in one list, which leaves a link for each member and not for each pair. Larger blocks go by in_large().
-    """
-    kind = nodes.schema["node"].dataType.simpleString()
-    keyed = nodes.select("node", "fp", "component").mapInArrow(_keys(params), f"node {kind}, component {kind}, key bigint")
-    open_keys = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    shared = written(open_keys.select("key", "n"))
-    members = written(keyed.drop("component").join(shared, "key").join(nodes.select("node", "fp"), "node").select("key", "node", "fp", "n"))
-    lists = members.where(F.col("n") <= params.small).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("node", "fp"))).alias("members"))
-    near = lists.select("members").mapInArrow(_within(params), f"a {kind}, b {kind}")
-    return near.union(in_large(members.where(F.col("n") > params.small), params, key_bits))
+    def run(piece: pa.Table) -> pa.Table:
+        piece = piece.combine_chunks()
+        left = np.asarray(piece["left"])
+        fp = np.asarray(piece["fp"].combine_chunks().flatten()).view(np.uint64).reshape(-1, params.lanes)
+        lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+        # Groups of right rows that a left row has connected: later left rows need but one link to each.
+        group = np.arange(len(rights))
+        firsts, others = [], []
+        for i in lefts:
+            near = np.bitwise_count(fp[rights] ^ fp[i]).sum(-1, dtype=np.int64) <= params.distance
+            found, first = np.unique(group[near], return_index=True)
+            if len(found):
+                firsts += [i] * len(found)
+                others += rights[np.flatnonzero(near)[first]].tolist()
+                group[np.isin(group, found)] = found[0]
+        take = lambda x: piece["node"].take(pa.array(np.array(x, np.int64)))
+        return pa.table([take(firsts), take(others)], names=["a", "b"])
 
+    return run
 
-def in_large(members: DataFrame, params: SimHash, key_bits: int) -> DataFrame:
-    """Links among the members of blocks that are too large to compare all.
 
-    To 2 bits, exactly: two fingerprints are within 2 bits if and only if some number is within 1 bit of both. Each member is therefore filed under
+def in_large(members: DataFrame, params: SimHash) -> DataFrame:
+    """Links among the members of blocks that are too large for one list, exactly.
+
+    To 2 bits: two fingerprints are within 2 bits if and only if some number is within 1 bit of both. Each member is therefore filed under
     itself and under its 64 one-bit neighbours, a file holds 65 fingerprints at most, and its members are linked to the smallest of them.
 
-    For wider distances each member is compared with the block's smallest. If all are near, the block is one group, and no pair is missed.
-    Members of the other large blocks are filed again, under keys that are longer by LONGER bits, in as many more tables as the recall asks. Of blocks
-    with keys of LONGEST_KEY bits only links to the smallest member are found.
+    For wider distances each member is compared with the block's smallest, in a join that the planner can split. Copies are all near it, and then the block is
+    done. Members that aren't near it are compared with all others of the block, dealt out in pieces of PIECE fingerprints on either side: work
+    grows with their number times the block's, but no task, and no more links come out than a piece has rows.
     """
+    kind = members.schema["node"].dataType.simpleString()
     if params.bits == 64 and params.distance <= 2:
         flips = [0, *(1 << j if j < 63 else -(1 << 63) for j in range(64))]
         filed = members.select("node", F.col("fp")[0].alias("f")).distinct().select("node", F.explode(F.array(*(F.col("f").bitwiseXOR(F.lit(x)) for x in flips))).alias("file"))
         first = filed.groupBy("file").agg(F.min("node").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
         return filed.join(first, "file").where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
     heads = members.groupBy("key").agg(F.min(F.struct("node", "fp")).alias("head"))
-    judged = written(members.join(heads, "key").where("node <> head.node").select("key", "node", "fp", F.col("head.node").alias("first"), (hamming(F.col("fp"), F.col("head.fp"), params) <= params.distance).alias("near")))
-    found = judged.where("near").select(F.col("first").alias("a"), F.col("node").alias("b"))
-    if key_bits + LONGER > LONGEST_KEY:
-        return found
-    mixed = judged.where("not near").select("key").distinct()
-    rest = written(judged.join(mixed, "key", "left_semi").groupBy("node").agg(F.any_value("fp").alias("fp")))
-    return found.union(links(rest, params, key_bits + LONGER)) if not rest.isEmpty() else found
+    judged = written(members.join(heads, "key").select("key", "node", "fp", F.col("head.node").alias("first"), (hamming(F.col("fp"), F.col("head.fp"), params) <= params.distance).alias("near")))
+    found = judged.where("near and node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct()
+    mixed = judged.groupBy("key").agg(_pieces(F.count("*"), PIECE).alias("rights"), _pieces(F.count_if(~F.col("near")), PIECE).alias("lefts")).where("lefts > 0")
+    rest = _dealt(judged.join(mixed, "key").withColumn("at", F.xxhash64("node")), "key", ["node", "fp"]).groupBy("key", "i", "j").applyInArrow(_in_piece(params), f"a {kind}, b {kind}")
+    return found.union(rest.where("a <> b"))
+
+
+def _pieces(n: Column, most: int) -> Column:
+    return F.ceil(n / F.lit(float(most)))
+
+
+def _dealt(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """rows (with near, at, lefts, rights): those that aren't near as left rows and all as right rows of pieces (key, i, j), so that each left row meets each right
+    row of its key in one piece."""
+
+    def side(df: DataFrame, left: bool) -> DataFrame:
+        own, others = F.pmod("at", "lefts" if left else "rights"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rights" if left else "lefts") - 1))
+        out = df.select(key, F.lit(left).alias("left"), *columns, own.alias("own"), others.alias("other"))
+        return out.select(key, F.col("own" if left else "other").alias("i"), F.col("other" if left else "own").alias("j"), "left", *columns)
+
+    # Pieces are spread by all three numbers, or those of one key would follow the key's own shuffle into one task.
+    return side(rows.where("not near"), True).union(side(rows, False)).repartition(key, "i", "j")
 
 
 def _sets(shingle: int):
@@ -250,8 +277,8 @@ def _sets(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (whole.slice(at, 256) for whole in batches for at in range(0, whole.num_rows, 256)):
             sets = [np.zeros(0, np.uint64)] * batch.num_rows
-            for r, h in _hashes(batch.column(0), shingle):
-                sets[r] = np.unique(h)
+            for r, h in _sets_of(batch.column(0), shingle):
+                sets[r] = h
             at = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
             digests = np.array([_digest(x) for x in sets], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(digests.view(np.int64)), list_array(at, pa.array(np.concatenate(sets).view(np.int64)))], names=["node", "digest", "shingles"])
@@ -259,26 +286,11 @@ def _sets(shingle: int):
     return run
 
 
-def _alike(common: np.ndarray | int, a: np.ndarray | int, b: np.ndarray | int, similarity: float):
-    """Sets of a and b members, of which so many are common, have the similarity; two empty sets are equal."""
+def _alike(common, a, b, similarity: float):
+    """Sets of a and b members, of which so many are common, have the similarity; two empty sets are equal. Of numbers, arrays or columns."""
     return common >= similarity * (a + b - common) - 1e-9
 
 
-def _near_head(similarity: float):
-    """From (component, node, digest, shingles, head): near, whether the sets are alike."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            (at, own), (head_at, head) = (flat_list(batch.column(k)) for k in (3, 4))
-            own, head, near = np.asarray(own), np.asarray(head), np.zeros(batch.num_rows, bool)
-            for r in range(batch.num_rows):
-                x, y = own[at[r] : at[r + 1]], head[head_at[r] : head_at[r + 1]]
-                near[r] = _alike(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), similarity)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in range(4)), pa.array(near)], names=[*batch.schema.names[:4], "near"])
-
-    return run
-
-
 def _in_family(similarity: float):
     """From a unit's rows (left, near, node, shingles): links that connect what the links of its left rows with its right rows connect. Near rows are connected."""
 
@@ -321,26 +333,31 @@ def verified(families: DataFrame, docs: DataFrame, params: SimHash) -> DataFrame
     sets = texts.mapInArrow(_sets(params.shingle), f"node {kind}, digest bigint, shingles array<bigint>").dropDuplicates(["node", "digest"])
     members = written(families.join(sets, ["node", "digest"]).select("component", "node", "digest", "shingles"))
     heads = members.where("node = component").groupBy("component").agg(F.min_by("shingles", "digest").alias("head"))
-    judged = written(members.join(heads, "component").select("component", "node", "digest", "shingles", "head").mapInArrow(_near_head(params.similarity), f"component {kind}, node {kind}, digest bigint, shingles array<bigint>, near boolean"))
+    common = F.size(F.array_intersect("shingles", "head"))
+    near = _alike(common, F.size("shingles"), F.size("head"), params.similarity)
+    judged = written(members.join(heads, "component").select("component", "node", "digest", "shingles", near.alias("near")))
     found = judged.where("near and node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
     size = F.size("shingles").cast("bigint") + 8
-    piece = lambda n: F.ceil(n / F.lit(float(FAMILY)))
-    mixed = judged.groupBy("component").agg(F.count("*").alias("n"), piece(F.sum(size)).alias("rights"), piece(F.sum(F.when(~F.col("near"), size))).alias("lefts")).where("n > 2 and lefts is not null").drop("n")
-    open_ = judged.join(mixed, "component").withColumn("at", F.xxhash64("node", "digest"))
-    side = lambda df, left: df.select("component", F.lit(left).alias("left"), "near", "node", "shingles", F.pmod("at", "lefts" if left else "rights").alias("own"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("rights" if left else "lefts") - 1)).alias("other"))
-    rows = [side(df, left).select("component", (F.col("own") if left else F.col("other")).alias("i"), (F.col("other") if left else F.col("own")).alias("j"), "left", "near", "node", "shingles") for df, left in ((open_.where("not near"), True), (open_, False))]
-    rest = rows[0].union(rows[1]).groupBy("component", "i", "j").applyInArrow(_in_family(params.similarity), f"a {kind}, b {kind}")
+    mixed = judged.groupBy("component").agg(F.count("*").alias("n"), _pieces(F.sum(size), FAMILY).alias("rights"), _pieces(F.sum(F.when(~F.col("near"), size)), FAMILY).alias("lefts")).where("n > 2 and lefts is not null").drop("n")
+    rows = _dealt(judged.join(mixed, "component").withColumn("at", F.xxhash64("node", "digest")), "component", ["near", "node", "shingles"])
+    rest = rows.groupBy("component", "i", "j").applyInArrow(_in_family(params.similarity), f"a {kind}, b {kind}")
     return found.union(rest)
 
 
 def grouped(docs: DataFrame, params: SimHash, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per row of docs: id, the columns in keep, fp and component, the smallest id in reach over links.
+    """One row per row of docs: id, the columns in keep, fp and component, the smallest id in reach over links; a column in keep that has one of these
+    names, in any case, is replaced.
 
     Rows without an id have the component of their fingerprint's group; they are never its name. Repeated rows and exact copies share a fingerprint,
-    which is one node however many rows have it. An empty table gives an empty result. With a similarity, nodes are sets of shingles.
+    which is one node however many rows have it. An empty table gives an empty result. With a similarity, nodes are sets of shingles. Texts are read
+    whole; of a similarity, once more for the sets of the candidates.
     """
-    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *keep)
-    prints = written(fingerprints(slim, params, "text", ("id", *keep)))
+    slim, _ = set_apart(docs, (id_col, text_col), docs.columns)
+    kept = [c for c in keep if c.lower() not in ("id", "fp", "component")]
+    slim = set_apart(docs.select(id_col, text_col, *kept), (id_col, text_col), ())[0] if kept else slim
+    slim = slim.withColumnsRenamed({"in0": "id", "in1": "text"})
+    held = tuple(f"c{k}" for k in range(len(kept)))
+    prints = written(fingerprints(slim, params, "text", ("id", *held)))
     same = ["fp", "digest"] if params.similarity else ["fp"]
     nodes = written(prints.groupBy(*same).agg(F.min("id").alias("node")))
     found = components(links(nodes.where("node is not null").select("node", "fp"), params))
@@ -349,19 +366,21 @@ def grouped(docs: DataFrame, params: SimHash, id_col: str = "doc_id", text_col:
         families = written(nodes.join(found.union(roots), "node").select("node", "digest", "component"))
         found = components(verified(families, slim.select("id", "text"), params))
     named = nodes.join(found, "node", "left").select(*same, F.coalesce("component", "node").alias("component"))
-    return prints.join(named, same).select("id", *keep, "fp", "component")
+    return prints.join(named, same).select("id", *held, "fp", "component").toDF("id", *kept, "fp", "component")
 
 
 def keep_one(docs: DataFrame, params: SimHash, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each group of near copies: that with the smallest id. Columns stay as they are.
+    """docs with one row of each group of near copies: that with the smallest id. Columns stay as they are, whatever their names.
 
     Rows that repeat an id and its text are one document and leave one row; of different texts under one id in a group, that with the smallest hash
     stays. Rows without an id can't be told apart and stay. Rows with null or empty texts are copies of each other.
     """
-    mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    slim = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("body"), mark.alias("mark"))
+    apart, rest = set_apart(docs, (id_col, text_col), ())
+    marked = apart.withColumn("mark", F.xxhash64(F.coalesce("in1", F.lit(""))))
+    slim = marked.where("in0 is not null").select(F.col("in0").alias("id"), F.col("in1").alias("body"), "mark")
     kept = grouped(slim, params, "id", "body", ("mark",)).groupBy("component").agg(F.min(F.struct("id", "mark")).alias("k")).select(F.col("k.id").alias("kept_id"), F.col("k.mark").alias("kept_mark"))
-    packed = docs.select(F.col(id_col).alias("id"), mark.alias("mark"), F.struct(*(F.col(c) for c in docs.columns)).alias("row"))
-    named = packed.join(kept, (F.col("id") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark")))
-    once = named.withColumn("turn", F.row_number().over(Window.partitionBy("id", "mark").orderBy("id"))).where("turn = 1").select("row.*")
-    return once.union(docs.where(F.col(id_col).isNull()))
+    named = marked.join(kept, (F.col("in0") == F.col("kept_id")) & (F.col("mark") == F.col("kept_mark"))).drop("kept_id", "kept_mark")
+    once = named.withColumn("turn", F.row_number().over(Window.partitionBy("in0", "mark").orderBy("in0"))).where("turn = 1").drop("turn", "mark")
+    names = dict(zip(["in0", "in1", *(f"c{k}" for k in range(len(rest)))], [id_col, text_col, *rest]))
+    out = once.union(apart.where("in0 is null")).select(*[next(k for k, v in names.items() if v.lower() == c.lower()) for c in docs.columns])
+    return out.toDF(*docs.columns)
