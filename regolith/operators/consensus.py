@@ -73,7 +73,8 @@ def consensus(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least:
         yield k, hit, at, d
 
 
-def _matrix(column: pa.Array, names: Sequence[str], row: int) -> np.ndarray:
+def matrix_of(column: pa.Array, names: Sequence[str], row: int) -> np.ndarray:
+    """The structs of one row's list as a matrix."""
     items = column[row].values
     return np.stack([np.asarray(items.field(c), np.float64) for c in names], 1) if items is not None and len(items) else np.zeros((0, len(names)))
 
@@ -97,8 +98,8 @@ def counted(rows: DataFrame, b: Bounds = FIRST) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                points, targets = (_matrix(batch.column(c), ("x", "y", "r"), k) for c in (2, 3))
-                sims = _matrix(batch.column(1), ("re", "im", "tx", "ty"), k)
+                points, targets = (matrix_of(batch.column(c), ("x", "y", "r"), k) for c in (2, 3))
+                sims = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k)
                 n = np.zeros(len(sims), np.int64)
                 for at, hit, _, _ in consensus(sims, points, targets, batch.column(4)[k].as_py(), b):
                     n[at : at + len(hit)] = hit.sum(1)
@@ -116,8 +117,8 @@ def listed(rows: DataFrame, b: Bounds = FIRST) -> DataFrame:
         names = ["image_id", "hyp", "i", "j", "d"]
         for batch in batches:
             for k in range(batch.num_rows):
-                points, targets = (_matrix(batch.column(c), ("id", "x", "y", "r"), k) for c in (2, 3))
-                sims, hyps = _matrix(batch.column(1), ("re", "im", "tx", "ty"), k), np.asarray(batch.column(1)[k].values.field("hyp"))
+                points, targets = (matrix_of(batch.column(c), ("id", "x", "y", "r"), k) for c in (2, 3))
+                sims, hyps = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k), np.asarray(batch.column(1)[k].values.field("hyp"))
                 for at, hit, target, d in consensus(sims, points[:, 1:], targets[:, 1:], batch.column(4)[k].as_py(), b):
                     row, i = np.nonzero(hit)
                     image = pa.array([batch.column(0)[k].as_py()] * len(row), pa.int64())
@@ -145,8 +146,8 @@ def refined(rows: DataFrame, rounds: int = 4) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                points, targets = (_matrix(batch.column(c), ("id", "x", "y", "r"), k) for c in (2, 3))
-                sim, thr = _matrix(batch.column(1), ("re", "im", "tx", "ty"), k), batch.column(4)[k].as_py()
+                points, targets = (matrix_of(batch.column(c), ("id", "x", "y", "r"), k) for c in (2, 3))
+                sim, thr = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k), batch.column(4)[k].as_py()
 
                 def pairs(sim: np.ndarray, least: float, b: Bounds) -> tuple[np.ndarray, np.ndarray]:
                     _, hit, at, _ = next(consensus(sim[None], points[:, 1:], targets[:, 1:], least, b))
@@ -174,8 +175,8 @@ def learned(rows: DataFrame, rounds: int = 3) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                points, targets = (_matrix(batch.column(c), ("id", "x", "y", "r"), k) for c in (2, 3))
-                sim = _matrix(batch.column(1), ("re", "im", "tx", "ty"), k)[0]
+                points, targets = (matrix_of(batch.column(c), ("id", "x", "y", "r"), k) for c in (2, 3))
+                sim = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k)[0]
                 found = next(consensus(sim[None], points[:, 1:], targets[:, 1:], batch.column(4)[k].as_py(), LEARNED))
                 for _ in range(rounds):
                     i = np.flatnonzero(found[1][0])

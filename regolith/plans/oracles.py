@@ -168,8 +168,8 @@ FROM pl WHERE u >= 0 AND u < {FRAME} AND v >= 0 AND v < {FRAME} GROUP BY image_i
 _TRIM = """e AS (SELECT *, sqrt(dx * dx + dy * dy) AS e FROM nodes), md AS (SELECT pair_id, median(e) AS med FROM e GROUP BY pair_id),
 bd AS (SELECT pair_id, greatest(1.5e0, max(med) + 4 * greatest(1.4826e0 * median(abs(e - med)), 0.2e0)) AS bound FROM e JOIN md USING (pair_id) GROUP BY pair_id),
 tr AS (SELECT pair_id, count(*) AS n, count(*) FILTER (e <= bound) AS n_kept, sqrt(avg(e * e) FILTER (e <= bound)) AS rms, sqrt(avg(e * e)) AS rms_all,
-    avg((e <= 0.5)::DOUBLE) FILTER (e <= bound) AS within_half, avg((e <= 1)::DOUBLE) FILTER (e <= bound) AS within_one FROM e JOIN bd USING (pair_id) GROUP BY pair_id)"""
-put("mad_trim", f"SELECT pair_id, n, n_kept, {_fixed('rms rms_all within_half within_one')} FROM tr", _NODES, _TRIM)
+    median(e) AS median, max(e) FILTER (e <= bound) AS most, avg((e <= 0.5)::DOUBLE) AS within_half, avg((e <= 1)::DOUBLE) AS within_one FROM e JOIN bd USING (pair_id) GROUP BY pair_id)"""
+put("mad_trim", f"SELECT pair_id, n, n_kept, {_fixed('rms rms_all median most within_half within_one')} FROM tr", _NODES, _TRIM)
 put("quality_grade", f"SELECT pair_id, CASE {' '.join(f'WHEN px <= {b} THEN {chr(39)}{g}{chr(39)}' for b, g in GRADES)} ELSE '{COARSE}' END AS grade FROM (SELECT pair_id, CASE WHEN n_kept >= 8 THEN rms ELSE rms_all END AS px FROM tr) t", _NODES, _TRIM)
 _CAND = ("nn AS (SELECT image_id, i, j, d, angle, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS n FROM (SELECT a.image_id, a.crater_id AS i, b.crater_id AS j, " + _dist("a", "b") + " AS d, atan2(b.cy - a.cy, b.cx - a.cx) AS angle "
          "FROM ref a JOIN ref b ON a.image_id = b.image_id AND a.crater_id <> b.crater_id AND b.r >= 0.15 * a.r) q QUALIFY n <= 5)",
@@ -182,6 +182,14 @@ put("pattern_signature", f"""SELECT pattern_id, CAST(m AS BIGINT) AS m, CASE WHE
     "pt AS (SELECT pattern_id, m, cx AS x, cy AS y, r FROM pm JOIN ref ON ref.image_id = pm.image_id AND crater_id = c)",
     "rel AS (SELECT p.pattern_id, p.m, p.r, p.x - a.x AS dx, p.y - a.y AS dy, sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) AS d FROM pt p JOIN pt a ON a.pattern_id = p.pattern_id AND a.m = 0)",
     "nr AS (SELECT pattern_id, dx AS ux, dy AS uy, d AS ud FROM rel WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY d, m) = 1)")
+put("star_deviation", f"""SELECT image_id, centre, {fx('avg(sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)))')} AS deviation FROM (SELECT image_id, centre, (x * nx + y * ny) / (nx * nx + ny * ny) AS ax, (y * nx - x * ny) / (nx * nx + ny * ny) AS ay,
+    (u * nu + v * nv) / (nu * nu + nv * nv) AS bx, (v * nu - u * nv) / (nu * nu + nv * nv) AS by FROM (SELECT s.image_id, s.i AS centre, p.x - c.x AS x, p.y - c.y AS y, p.u - c.u AS u, p.v - c.v AS v, f.x - c.x AS nx, f.y - c.y AS ny, f.u - c.u AS nu, f.v - c.v AS nv
+    FROM ch s JOIN pl p ON p.image_id = s.image_id AND p.i = s.j JOIN pl c ON c.image_id = s.image_id AND c.i = s.i JOIN ch e ON e.image_id = s.image_id AND e.rank = 1 JOIN pl f ON f.image_id = e.image_id AND f.i = e.j) q) w GROUP BY image_id, centre""", *_PAIRS,
+    f"pr AS (SELECT a.image_id, a.i, a.ra AS r, b.i AS j, {_dist('a', 'b', ('x', 'y'), ('x', 'y'))} AS d FROM (SELECT pl.*, ref.r AS ra FROM pl JOIN ref ON ref.image_id = pl.image_id AND crater_id = i) a JOIN pl b ON a.image_id = b.image_id)",
+    "rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS n FROM pr), th AS (SELECT image_id, i, max(d) FILTER (n <= 4) AS third FROM rk GROUP BY image_id, i)",
+    "sc AS (SELECT image_id, i, count(*) FILTER (d < 4 * third + 1e-9) + 0.02e0 * max(r) AS score FROM rk JOIN th USING (image_id, i) GROUP BY image_id, i)",
+    "be AS (SELECT image_id, i FROM sc QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY score DESC, i) = 1)",
+    "ch AS (SELECT pr.image_id, pr.i, pr.j, row_number() OVER (PARTITION BY pr.image_id ORDER BY d, j) AS rank FROM pr JOIN be USING (image_id, i) WHERE pr.i <> pr.j QUALIFY rank <= 7)")
 put("star_select", """SELECT image_id, i AS centre, j, row_number() OVER (PARTITION BY image_id ORDER BY d, j) AS rank FROM pr JOIN be USING (image_id, i) WHERE i <> j QUALIFY rank <= 7""", _BASE,
     f"pr AS (SELECT a.image_id, a.crater_id AS i, a.r, b.crater_id AS j, {_dist('a', 'b')} AS d FROM ref a JOIN ref b ON a.image_id = b.image_id)",
     "rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS n FROM pr), th AS (SELECT image_id, i, max(d) FILTER (n <= 4) AS third FROM rk GROUP BY image_id, i)",

@@ -214,6 +214,14 @@ def hull_area(s: SparkSession, d: str) -> DataFrame:
     return metrics.hull_areas(_pairs(s, d), FRAME, FRAME)
 
 
+@query
+def pair_geometry(s: SparkSession, d: str) -> DataFrame:
+    pairs = _pairs(s, d)
+    sims = matching.matrices(fits.fit_similarity(pairs, KEY), "similarity")
+    frames = sims.select("image_id", *(F.lit(FRAME).alias(c) for c in ("wa", "ha", "wb", "hb")))
+    return metrics.geometry(pairs, sims, frames)
+
+
 @query
 def zoom_uniqueness(s: SparkSession, d: str) -> DataFrame:
     ref, tgt = _ref(s, d), _tgt(s, d)
@@ -225,7 +233,7 @@ def zoom_uniqueness(s: SparkSession, d: str) -> DataFrame:
 @query
 def mad_trim(s: SparkSession, d: str) -> DataFrame:
     out = metrics.trimmed(adapters.relation(s, d, "residual_nodes"))
-    return out.select("pair_id", "n", "n_kept", *(fixed(c).alias(c) for c in ("rms", "rms_all", "within_half", "within_one")))
+    return out.select("pair_id", "n", "n_kept", *(fixed(c).alias(c) for c in ("rms", "rms_all", "median", "most", "within_half", "within_one")))
 
 
 @query
@@ -271,7 +279,19 @@ def pattern_signature(s: SparkSession, d: str) -> DataFrame:
 @query
 def pattern_locate(s: SparkSession, d: str) -> DataFrame:
     ref = _ref(s, d)
-    return patterns.located(patterns.as_patterns(patterns.proposed(ref), ref), _tgt(s, d))
+    found = patterns.located(patterns.as_patterns(patterns.proposed(ref), ref).drop("image_id"), _tgt(s, d))
+    return found.select("pattern_id", "image_id", "found", "n", "n_hit", "n_probed", "score", "scale", "rotation_deg", F.col("members")[0]["cx"].alias("anchor_x"), F.col("members")[0]["cy"].alias("anchor_y"))
+
+
+@query
+def pattern_ambiguity(s: SparkSession, d: str) -> DataFrame:
+    ref = _ref(s, d)
+    return patterns.ambiguous(patterns.as_patterns(patterns.proposed(ref), ref), ref)
+
+
+@query
+def star_deviation(s: SparkSession, d: str) -> DataFrame:
+    return patterns.star_deviation(_pairs(s, d)).select("image_id", "centre", fixed("deviation").alias("deviation"))
 
 
 @query

@@ -9,6 +9,10 @@ from ..schema import ANNOTATIONS, GRID_COLUMNS, PATTERNS
 
 
 def annotations(spark: SparkSession, path: str) -> DataFrame:
+    """Labelled circles; empty where there is no file yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], ANNOTATIONS)
     return spark.read.schema(ANNOTATIONS).csv(path, header=True)
 
 
@@ -65,29 +69,3 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """file, content of XML labels, for operators.labels.leaves()."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))
-
-
-def write_matches(pairs: DataFrame, path: str) -> None:
-    """Matches as CSV, four decimals, one folder for each pair of images."""
-    rounded = [F.round(c, 4).alias(c) if t == "double" else F.col(c) for c, t in pairs.dtypes]
-    pairs.select(*rounded).write.mode("overwrite").partitionBy("image_id").csv(path, header=True)
-
-
-def write_transforms(sims: DataFrame, path: str) -> None:
-    """Similarities as JSON lines with their 3 x 3 matrices in both directions."""
-    re, im, tx, ty = (F.col(c) for c in ("re", "im", "tx", "ty"))
-    den = re * re + im * im
-    one, nil = F.lit(1.0), F.lit(0.0)
-    there = F.array(F.array(re, -im, tx), F.array(im, re, ty), F.array(nil, nil, one))
-    back = F.array(F.array(re / den, im / den, -(re * tx + im * ty) / den), F.array(-im / den, re / den, (im * tx - re * ty) / den), F.array(nil, nil, one))
-    sims.select("image_id", there.alias("T_reference_to_target"), back.alias("T_target_to_reference"), F.sqrt(den).alias("zoom")).write.mode("overwrite").json(path)
-
-
-def write_patterns(patterns_: DataFrame, path: str) -> None:
-    """Patterns as JSON lines: anchor and members in order."""
-    rows = patterns_.groupBy("pattern_id").agg(F.sort_array(F.collect_list(F.struct("m", F.array("x", "y", "r").alias("c")))).alias("s"))
-    rows.select(F.col("pattern_id").alias("id"), F.col("s")[0]["c"].alias("anchor"), F.transform(F.slice("s", 2, 100), lambda s: s["c"]).alias("members")).write.mode("overwrite").json(path)
-
-
-def write_summary(stats: DataFrame, path: str) -> None:
-    stats.orderBy("image_id").coalesce(1).write.mode("overwrite").csv(path, header=True)

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regolith.operators import fits, geo, labels, matching, metrics, patterns, raster, spatial, triangles
-from regolith.sources import tables
+from regolith.sources import outputs, tables
 
 CRATERS = "crater_id bigint, image_id bigint, cx double, cy double, r double"
 
@@ -18,7 +18,7 @@ def random_craters(n, seed=0, image=0):
 def test_nearest_is_chosen_before_its_size_is_tested(spark):
     pts = spark.createDataFrame([(0, 1, 0.0, 0.0, 10.0, 1.0)], "image_id bigint, i bigint, cx double, cy double, r double, s double")
     tgt = spark.createDataFrame([(0, 7, 1.0, 0.0, 50.0), (0, 8, 2.0, 0.0, 10.0)], "image_id bigint, j bigint, cx double, cy double, r double")
-    near = spatial.nearest(pts, tgt, ["image_id"], ["image_id"], 64.0, ("i", "r", "s"))
+    near = spatial.nearest(pts, tgt, ["image_id"], ["image_id"], 5.0, 0.3, ("i", "r", "s"))
     assert [r.j for r in near.collect()] == [7]
     assert spatial.sized(near, F.lit(5.0), 0.3, 0.72, 1.39, F.col("s")).count() == 0
 
@@ -105,11 +105,11 @@ def test_suppression_is_independent_and_maximal(spark):
 def test_rasters(spark):
     v = np.random.default_rng(2).normal(0, 5, (9, 11))
     px = spark.createDataFrame([(0, y, x, float(v[y, x])) for y in range(9) for x in range(11)], "image_id bigint, y bigint, x bigint, v double")
-    p = np.pad(v, 1, mode="edge")
+    p = np.pad(v, 1, mode="reflect")
     want = (p[:-2, 2:] + 2 * p[1:-1, 2:] + p[2:, 2:] - p[:-2, :-2] - 2 * p[1:-1, :-2] - p[2:, :-2]) / 8
     got = raster.sobel(px).orderBy("y", "x").toPandas()
     assert np.allclose(got["gx"].to_numpy().reshape(9, 11), want)
-    assert np.isclose(raster.strong_gradient(px).collect()[0].g95, np.percentile(got["mag"], 95) + 1e-6)
+    assert np.isclose(raster.gradient_bound(px).collect()[0].g95, np.percentile(got["mag"], 95) + 1e-6)
     at = spark.createDataFrame([(0, 0, 1.25, 2.5), (0, 1, 10.5, 2.0)], "image_id bigint, point_id bigint, x double, y double")
     value = {r.point_id: r.value for r in raster.sampled(at, px).collect()}
     assert np.isclose(value[0], 0.75 * (v[2, 1] + v[3, 1]) / 2 + 0.25 * (v[2, 2] + v[3, 2]) / 2) and value[1] is None
@@ -140,7 +140,7 @@ def test_labels_take_the_first_leaf_and_keep_errors(spark):
 
 def test_patterns_are_found_again(spark):
     ref = spark.createDataFrame(random_craters(30, 8), CRATERS)
-    pats = patterns.as_patterns(patterns.proposed(ref, 2), ref)
+    pats = patterns.as_patterns(patterns.proposed(ref, 2), ref).drop("image_id")
     turned = ref.selectExpr("crater_id", "image_id", "0.5 * cy + 40 AS cx", "-0.5 * cx + 700 AS cy", "0.5 * r AS r")
     out = patterns.located(pats, turned, rounds=1).collect()
     assert out and all(r.found and abs(r.scale - 0.5) < 1e-3 for r in out)
@@ -163,3 +163,202 @@ def test_registered_queries_try_all_hypotheses_up_to_the_default(spark):
     at = "/root/testdata/sf0.001"
     alike, tried = ({r.image_id: r["count"] for r in QUERIES[q](spark, at).groupBy("image_id").count().collect()} for q in ("lookalike_join", "top_hypotheses"))
     assert tried == {i: min(n, 7000) for i, n in alike.items()} and max(tried.values()) > 50
+
+
+def test_sizes_are_compared_target_over_reference(spark):
+    """1.385 passes and its inverse, 0.722, too, but 1 / 1.385 of the size the other way round lies on the other side of the bounds."""
+    pts = spark.createDataFrame([(0, i, 100.0 * i, 0.0, 10.0, 1.0) for i in range(2)], "image_id bigint, i bigint, cx double, cy double, r double, s double")
+    tgt = spark.createDataFrame([(0, 0, 0.0, 0.0, 7.195), (0, 1, 100.0, 0.0, 13.89)], "image_id bigint, j bigint, cx double, cy double, r double")
+    near = spatial.nearest(pts, tgt, ["image_id"], ["image_id"], 5.0, 0.3, ("i", "r", "s"))
+    assert spatial.sized(near, F.lit(5.0), 0.3, 0.72, 1.39, F.col("s")).select("j").collect() == [(1,)]
+    far = spark.createDataFrame([(0, 5, 250.0, 0.0, 900.0)], "image_id bigint, j bigint, cx double, cy double, r double")
+    wide = spark.createDataFrame([(0, 5, 0.0, 0.0, 900.0, 1.0)], "image_id bigint, i bigint, cx double, cy double, r double, s double")
+    assert spatial.nearest(wide, far, ["image_id"], ["image_id"], 5.0, 0.3, ("i", "r", "s")).first().d == 250.0
+
+
+def test_a_homography_is_chosen_where_it_is_better(spark):
+    g = np.random.default_rng(9)
+    h = np.array([[1.1, 0.1, 20], [-0.05, 0.95, 30], [4e-4, -3e-4, 1]])
+    rows = []
+    for k, m in enumerate((h, np.array([[1.2, 0.3, 5], [-0.1, 0.8, 9], [0, 0, 1]]), np.array([[0.8, -0.3, 5], [0.3, 0.8, 9], [0, 0, 1]]))):
+        xy = g.uniform(0, 800, (20, 2))
+        q = np.column_stack([xy, np.ones(20)]) @ m.T
+        rows += [(k, *map(float, (*a, *b))) for a, b in zip(xy, q[:, :2] / q[:, 2:] + g.normal(0, 0.2, (20, 2)))]
+    df = spark.createDataFrame(rows, "image_id bigint, x double, y double, u double, v double")
+    got = {r.image_id: r for r in matching.models(df).collect()}
+    assert [got[k].model for k in range(3)] == ["homography", "affine", "similarity"] and got[0].loo_rmse < 1 and abs(got[0].t20 - 4e-4) < 1e-4
+    assert {r.model for r in matching.models(df, "affine").collect()} == {"affine"}
+    own = df.where("image_id = 0").toPandas()[["x", "y", "u", "v"]].to_numpy()
+    errors = []
+    for i in range(20):
+        keep = np.arange(20) != i
+        m = fits.homography(own[keep, :2], own[keep, 2:])
+        q = m @ [*own[i, :2], 1]
+        errors.append(((q[:2] / q[2] - own[i, 2:]) ** 2).sum())
+    assert np.isclose(fits.leave_one_out(df.where("image_id = 0"), ["image_id"], "homography", 4).first().loo_rmse, math.sqrt(np.mean(errors)))
+
+
+def brute_match(ref, tgt, most, rounds):
+    """Votes over every hypothesis, and refits, one at a time, by the definition; for craters (id, x, y, r)."""
+    import itertools
+
+    def triangles_of(c):
+        out = {}
+        for i in range(len(c)):
+            near = sorted((math.dist(c[i][1:3], c[j][1:3]), j) for j in range(len(c)) if j != i)[:8]
+            for (_, a), (_, b) in itertools.combinations(near, 2):
+                t = tuple(sorted((i, a, b)))
+                side = sorted((math.dist(c[p][1:3], c[q][1:3]), o) for o, p, q in ((t[0], t[1], t[2]), (t[1], t[0], t[2]), (t[2], t[0], t[1])))
+                u, v = np.subtract(c[t[1]][1:3], c[t[0]][1:3]), np.subtract(c[t[2]][1:3], c[t[0]][1:3])
+                long = side[2][0]
+                if side[0][0] / long > 0.22 and abs(u[0] * v[1] - u[1] * v[0]) / 2 / long**2 > 0.05:
+                    out[t] = ([side[0][0] / long, side[1][0] / long, *(c[o][3] / long for _, o in side)], [o for _, o in side])
+        return [out[t] for t in sorted(out)]
+
+    def fit(pairs):
+        z, w = (np.array([complex(*c[k][1:3]) for c, k in side]) for side in ([(ref, i) for i, _ in pairs], [(tgt, j) for _, j in pairs]))
+        q = (np.conj(z - z.mean()) * (w - w.mean())).sum() / (abs(z - z.mean()) ** 2).sum()
+        return q, w.mean() - q * z.mean()
+
+    def collect(q, t, thr, low, high):
+        best = {}
+        for i, (_, x, y, r) in enumerate(ref):
+            p = q * complex(x, y) + t
+            d, j = min((abs(p - complex(*c[1:3])), j) for j, c in enumerate(tgt))
+            if d < max(thr, 0.3 * tgt[j][3]) and low < tgt[j][3] / (r * abs(q)) < high and (j not in best or d < best[j][0]):
+                best[j] = (d, i)
+        return sorted((i, j) for j, (_, i) in best.items())
+
+    a, b = triangles_of(ref), triangles_of(tgt)
+    close = sorted((d, i, j) for i, (p, _) in enumerate(a) for j, (q, _) in enumerate(b) if (d := max(abs(x - y) for x, y in zip(p, q))) <= 0.06)
+    thr = max(5.0, 0.1 * float(np.median([c[3] for c in tgt])))
+    tried = [collect(*fit(list(zip(a[i][1], b[j][1]))), thr, 0.72, 1.39) for _, i, j in close[:most]]
+    pairs = max(tried, key=len)
+    for _ in range(rounds):
+        new = collect(*fit(pairs), max(0.6 * thr, 3.0), 0.78, 1.28)
+        if len(new) < 3 or len(new) < len(pairs) - 1:
+            break
+        pairs = new
+    return len(close), [(ref[i][0], tgt[j][0]) for i, j in pairs]
+
+
+def test_matching_equals_brute_force(spark):
+    rows = random_craters(26, 13)
+    g = np.random.default_rng(14)
+    turn = 1.3 * np.exp(0.4j)
+    tgt = [(100 + i, 0, float(z.real), float(z.imag), float(r * 1.3 * g.uniform(0.9, 1.1))) for i, _, x, y, r in rows[4:] for z in [turn * complex(x, y) + complex(30, -20) + complex(*g.normal(0, 1.5, 2))]]
+    tgt += [(900 + k, 0, *map(float, c)) for k, c in enumerate(zip(g.uniform(-300, 900, 8), g.uniform(0, 1400, 8), g.uniform(12, 60, 8)))]
+    n, want = brute_match([r[:1] + r[2:] for r in rows], [r[:1] + r[2:] for r in tgt], 7000, 4)
+    a, b = (spark.createDataFrame(x, CRATERS) for x in (rows, tgt))
+    got = sorted((r.i, r.j) for r in matching.match_table(a, b).collect())
+    assert got == want and len(want) >= 18 and n > 100
+    seeds = spark.createDataFrame([(0, float(turn.real), float(turn.imag), 30.0, -20.0)], "image_id bigint, re double, im double, tx double, ty double")
+    assert matching.match_table(a, b, seeds=seeds).first().seeded
+    learned = matching.match_learned(a, b).first()
+    assert learned.n_inliers >= 16 and abs(learned.scale - 1.3) < 0.02 and abs(learned.rotation_deg - math.degrees(0.4)) < 1
+
+
+def test_patterns_with_a_probe_seeds_and_ambiguity(spark):
+    rows = random_craters(30, 21)
+    ref = spark.createDataFrame(rows, CRATERS)
+    pats = patterns.as_patterns(patterns.proposed(ref, 2), ref)
+    turned = ref.selectExpr("crater_id", "image_id", "0.7 * cx + 40 AS cx", "0.7 * cy + 70 AS cy", "0.7 * r AS r")
+    gone = {r.crater_id for r in pats.join(ref.withColumnsRenamed({"cx": "x", "cy": "y"}), ["image_id", "x", "y", "r"]).where("m = 2").collect()}
+    some = turned.where(~F.col("crater_id").isin(*gone))
+    plain = {r.pattern_id: r for r in patterns.located(pats.drop("image_id"), some).collect()}
+    probe = lambda c: c.select("image_id", "det_id", F.lit(0.9).alias("p"))
+    asked = {r.pattern_id: r for r in patterns.located(pats.drop("image_id"), some, probe=probe).collect()}
+    for k, r in plain.items():
+        assert r.found and r.n_probed == 0 and asked[k].n_probed == r.n - r.n_hit > 0 and asked[k].score == 1 and abs(r.scale - 0.7) < 1e-6
+    seeds = patterns.library_seeds(pats.drop("image_id"), ref, turned).collect()
+    assert len(seeds) == 2 and all(abs(s.re - 0.7) < 1e-6 and abs(s.im) < 1e-6 and abs(s.tx - 40) < 1e-3 for s in seeds)
+    twice = ref.union(ref.selectExpr("crater_id + 1000", "image_id", "cx + 2000", "cy", "r"))
+    assert {r.ambiguous for r in patterns.ambiguous(pats, twice).collect()} == {True}
+    assert {r.ambiguous for r in patterns.ambiguous(pats, ref).collect()} == {False}
+    pairs = ref.selectExpr("image_id", "crater_id AS i", "cx AS x", "cy AS y", "r AS ra", "-0.5 * cy AS u", "0.5 * cx AS v")
+    assert patterns.star_deviation(pairs).first().deviation < 1e-9
+
+
+def test_detections_are_scored_in_the_order_of_truth(spark):
+    truth = spark.createDataFrame([(1, 0, 0.0, 0.0, 10.0), (2, 0, 3.0, 0.0, 10.0), (3, 0, 50.0, 0.0, 10.0)], CRATERS)
+    det = spark.createDataFrame([(7, 0, 1.0, 0.0, 10.0), (8, 0, 5.0, 0.0, 10.0), (9, 0, 50.0, 0.0, 20.0)], "det_id bigint, image_id bigint, cx double, cy double, r double")
+    assert {(r.crater_id, r.det_id) for r in spatial.score_detections(det, truth).collect()} == {(1, 7), (2, 8)}
+    report = spatial.detection_report(det, truth).first()
+    assert (report.n_found, report.n_truth, report.n_extra) == (2, 3, 1)
+    points = spark.createDataFrame([(0, 1, 11.0, 0.0), (0, 2, 80.0, 0.0)], "image_id bigint, point_id bigint, x double, y double")
+    assert [(r.point_id, r.crater_id) for r in spatial.label_at(points, truth).collect()] == [(1, 2)]
+
+
+def test_grids_may_have_an_irregular_last_line_and_are_carried_to_the_target(spark):
+    lines = [0, 100, 200, 237]
+    grid = spark.createDataFrame([(0, p, s, 359.9 + p / 1000, -10 + s / 1000) for p in lines for s in lines], "image_id bigint, pixel int, scan int, lon double, lat double")
+    at = spark.createDataFrame([(0, 1, 220.0, 10.0), (0, 2, 237.0, 237.0), (0, 3, 238.0, 5.0), (0, 4, -1.0, 5.0), (0, 5, 150.0, 210.0)], "image_id bigint, point_id bigint, px double, py double")
+    got = {r.point_id: r for r in geo.interpolated(at, grid).collect()}
+    assert abs(got[1].lon - 0.12) < 1e-4 and abs(got[2].lat + 9.763) < 1e-6 and got[3].lon is None and got[4].lon is None and abs(got[5].lon - 0.05) < 1e-4
+    frames = spark.createDataFrame([(0, 238, 238, 0.5, 119, 119)], "image_id bigint, orig_w int, orig_h int, scale double, w int, h int")
+    metres = geo.ground_distance(grid, frames).first().metres
+    assert abs(metres - 2 * geo.RADIUS * math.radians(0.001) * math.cos(math.radians(-9.88))) < 0.1
+    lattice = geo.lattice(spark.createDataFrame([(0, 101, 50)], "image_id bigint, w int, h int"))
+    assert sorted((r.px, r.py) for r in lattice.collect()) == [(0, 0), (0, 49), (100, 0), (100, 49)]
+    m = spark.createDataFrame([(0, 1.0, 0.0, 10.0, 0.0, 1.0, 20.0, 0.0, 0.0, 1.0)], "image_id bigint, " + ", ".join(f"t{i}{j} double" for i in range(3) for j in range(3)))
+    out = {(r.pixel, r.scan): r for r in geo.target_grid(lattice, m, grid, frames.drop("w", "h"), frames.select("image_id", "scale")).collect()}
+    # The target's pixel (100, 49) is (49.75 + 0.5) * 2 - 0.5 = 79.5 less 20 in the reference's pixels, and so on.
+    assert abs(out[100, 49].lon - (359.9 + (100 - 20) / 1000 - 360 + 360) % 360) < 1e-3 and abs(out[100, 49].lat - (-10 + (49 - 40) / 1000)) < 1e-4
+
+
+def test_keys_of_labels_are_told_apart_by_case_where_they_are(spark):
+    text = "<a><Observing_System_Component><name>The Orbiter</name></Observing_System_Component><Axis><axis_name>Line</axis_name><elements>12 px</elements></Axis><B><Axis_Name>Sample</Axis_Name><elements>9</elements></B></a>"
+    rows = labels.leaves(spark.createDataFrame([("f", text)], "file string, content string"))
+    assert labels.instruments(rows).first().instrument == "The Orbiter"
+    assert labels.image_size(rows).first() == ("f", 12, None)
+
+
+def test_what_is_written_can_be_read(spark, tmp_path):
+    at = str(tmp_path)
+    assert tables.annotations(spark, f"{at}/none.csv").count() == 0 and outputs.read_project(spark, f"{at}/none").count() == 0 and outputs.read_model(spark, at) is None
+    outputs.write_annotations(spark.createDataFrame([("i.png", 1.23456, 2.0, 3.0, 1, "manual", 0.5)], "image string, cx double, cy double, r double, label int, source string, scale double"), f"{at}/ann")
+    assert tables.annotations(spark, f"{at}/ann").first().cx == 1.235
+    outputs.write_project(spark.createDataFrame([("a", True), ("b", False)], "image string, complete boolean"), f"{at}/project")
+    assert {(r.image, r.complete) for r in outputs.read_project(spark, f"{at}/project").collect()} == {("a", True), ("b", False)}
+    det = spark.createDataFrame([(0, 0, 10.0, 20.0, 6.0, 5.0, 30.0, 5.477, 0.9, "ml", 1.5)], "image_id bigint, id bigint, cx double, cy double, a double, b double, angle_deg double, r double, conf double, source string, rim_strength double")
+    outputs.write_craters(det, spark.createDataFrame([(0, 100, 90, 0.5)], "image_id bigint, w int, h int, scale double"), f"{at}/craters")
+    back = tables.craters(spark, f"{at}/craters/csv/image_id=0", 0.25).first()
+    assert abs(back.cx - (10.5 * 0.5 - 0.5)) < 1e-3 and abs(back.a - 3.0) < 1e-3 and back.confidence == 0.9
+    assert spark.read.json(f"{at}/craters/json").first().circles == [[10.0, 20.0, 5.48]]
+    members = spark.createDataFrame([("p", m, *c) for m, c in enumerate([(0.0, 0.0, 5.0), (10.0, 0.0, 2.0), (0.0, 20.0, 3.0), (-15.0, 0.0, 4.0)])], "pattern_id string, m int, x double, y double, r double")
+    facts = spark.createDataFrame([("p", "P1", "i.png", 0.5, 0.8, False, "new")], "pattern_id string, name string, image string, scale double, quality double, ambiguous boolean, status string")
+    outputs.write_patterns(members, facts, f"{at}/patterns")
+    line = spark.read.json(f"{at}/patterns").first()
+    assert "status" not in line.asDict() and line.signature.members_xy[0] == [0.0, -1.0] and line.signature.anchor_r == 0.5
+    assert tables.patterns(spark, f"{at}/patterns").count() == 4
+    ref = spark.createDataFrame(random_craters(14, 2), CRATERS)
+    tgt = ref.selectExpr("crater_id", "image_id", "2 * cx + 3 AS cx", "2 * cy + 4 AS cy", "2 * r AS r")
+    summary = matching.match_pairs(ref, tgt).withColumns({"inlier_ratio": F.lit(1.0), "coverage": F.lit(0.5)})
+    matches = matching.coordinates(matching.match_table(ref, tgt), ref, tgt).withColumn("e_ref", F.lit(0.0))
+    outputs.write_registration(matches, summary, spark.createDataFrame([(0, 0.5, 0.25)], "image_id bigint, scale_ref double, scale_tgt double"), f"{at}/reg", spark.createDataFrame([(0, 0, 0, 1.0, 2.0), (0, 0, 1, None, 2.0)], "image_id bigint, pixel int, scan int, lon double, lat double"))
+    t = spark.read.json(f"{at}/reg/transform").first()
+    assert np.allclose(np.array(t.T_reference_to_target) @ np.array(t.T_target_to_reference), np.eye(3), atol=1e-9) and abs(t.zoom_tgt_over_ref - 2) < 1e-9
+    assert len(spark.read.csv(f"{at}/reg/matches", header=True).columns) == 12 and spark.read.csv(f"{at}/reg/grid", header=True).count() == 1
+    outputs.write_batch(spark.createDataFrame([(0, "t0.png"), (1, "t1.png")], "image_id bigint, target string"), summary, f"{at}/batch")
+    assert [r.ok for r in spark.read.csv(f"{at}/batch", header=True, inferSchema=True).orderBy("target").collect()] == [True, False]
+    hits = patterns.located(members, ref.limit(0))
+    outputs.write_search(facts, hits, spark.createDataFrame([("p", 0)], "pattern_id string, image_id bigint"), f"{at}/search")
+    assert spark.read.csv(f"{at}/search", header=True, inferSchema=True).first().found is False
+    outputs.write_report(summary, f"{at}/report")
+    assert "<th>n_inliers</th><td>14</td>" in spark.read.text(f"{at}/report", wholetext=True).first().value
+    files = spark.createDataFrame([(f"/d/{n}",) for n in ("x_b_brw_1.png", "x_b_brw_1.xml", "x_g_grd_1.csv", "out/x_b_brw_1/craters.csv", "y.tif")], "path string")
+    found = {r.path: r for r in outputs.siblings(files).collect()}
+    assert found["/d/x_b_brw_1.png"][1:] == ("/d/x_b_brw_1.xml", "/d/x_g_grd_1.csv", "/d/out/x_b_brw_1/craters.csv") and found["/d/y.tif"][1:] == (None, None, None)
+
+
+def test_overlaps_and_qualities(spark):
+    """The target shows the right half of the reference at twice the scale."""
+    points = spark.createDataFrame([(0, 60.0, 10.0), (0, 90.0, 10.0), (0, 90.0, 90.0), (0, 60.0, 90.0)], "image_id bigint, x double, y double")
+    m = spark.createDataFrame([(0, 2.0, 0.0, -100.0, 0.0, 2.0, 0.0, 0.0, 0.0, 1.0)], "image_id bigint, " + ", ".join(f"t{i}{j} double" for i in range(3) for j in range(3)))
+    frames = spark.createDataFrame([(0, 100.0, 100.0, 100.0, 200.0)], "image_id bigint, wa double, ha double, wb double, hb double")
+    r = metrics.geometry(points, m, frames).first()
+    assert (r.overlap_area, r.overlap_share) == (5000.0, 0.5) and abs(r.hull_share - 0.48) < 1e-12 and abs(r.coverage - 4 / 9) < 1e-12
+    summary = spark.createDataFrame([(0, 1.0, 0.4, 2.0), (1, 3.0, None, 1.0)], "image_id bigint, rmse_tgt double, heldout_tgt double, scale double")
+    nodes = spark.createDataFrame([(0, 0.1, 0.0, False)] * 9 + [(0, 9.0, 0.0, True)], "image_id bigint, dx double, dy double, rejected boolean")
+    got = {r.image_id: r for r in metrics.quality(summary, nodes, spark.createDataFrame([(0, 0.5), (1, 0.5)], "image_id bigint, scale_tgt double")).collect()}
+    assert got[0].accuracy_src == 0.4 and got[0].quality.startswith("EXC") and got[0].dense_nodes == 9 and got[1].accuracy_src == 6.0 and got[1].quality.startswith("COARSE")
