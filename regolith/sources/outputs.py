@@ -105,7 +105,7 @@ def write_learned(matches: DataFrame, summary: DataFrame, path: str) -> None:
 def write_search(patterns: DataFrame, hits: DataFrame, images: DataFrame, path: str) -> None:
     """A line for each pattern and searched image, with nulls where the pattern wasn't found. patterns: pattern_id, name, image; hits: patterns.located(); images:
     pattern_id, image_id that were searched."""
-    all_ = images.join(patterns, "pattern_id").join(hits, ["pattern_id", "image_id"], "left")
+    all_ = images.join(patterns.select("pattern_id", "name", "image"), "pattern_id").join(hits, ["pattern_id", "image_id"], "left")
     if_found = lambda c, name: F.when(F.col("found"), c).alias(name)
     out = all_.select(
         F.col("name").alias("pattern"), F.col("image").alias("source_image"), "image_id", F.coalesce("found", F.lit(False)).alias("found"), if_found(F.col("n"), "n_pattern_craters"), if_found(F.col("n_hit"), "n_detected"), if_found(F.col("n_probed"), "n_pattern_guided"),
