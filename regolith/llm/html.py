@@ -2,8 +2,9 @@
 
 Markup is stripped and each block element becomes a line. What is never article text (menus, page headers, footers, sidebars, notices, adverts, forms,
 scripts, styles, reader comments) is stripped along with its content. Page headers, footers and menus leave a gap of empty lines, as do the borders of
-article and main elements; what is stripped inside those leaves none. A line weighs as much as its text outside links, and weights are summed over sliding windows of lines. The sums rise from zero and dive back to zero; the lines
-between are a stretch, and stretches whose sums surge are text. If none surges, the one with the highest sum is.
+article and main elements; what is stripped inside those leaves none. A line weighs as much as its text outside links, and weights are summed over
+sliding windows of lines. Where they stay at zero for a window's lines or more, or where there is a gap, the text dives; the lines between two dives are
+a stretch, and stretches whose sums surge are text. If none surges, the one with the highest sum is.
 """
 
 from __future__ import annotations
@@ -178,17 +179,20 @@ def _lines(page: str) -> _Lines:
 def _between(weight: np.ndarray, gap: np.ndarray, surge: int) -> np.ndarray:
     """Whether each line lies in a stretch of text. gap: of each line, whether it is one."""
     n = len(weight)
-    sums = np.convolve(weight, np.ones(WINDOW, np.int64))  # sums[k]: of the window that ends with line k
-    near = np.convolve(sums > 0, np.ones(WINDOW, np.int64))[WINDOW - 1 : WINDOW - 1 + n] > 0  # some window with the line in it isn't empty
-    stretch = np.cumsum(np.diff(near.astype(np.int8), prepend=0) == 1) - 1
-    if not near.any():
-        return near
+    # Runs of lines alike: with weight, of links alone, or gaps. A run of links as long as a window is a dive, a shorter one isn't.
+    kind = np.where(gap, 2, np.where(weight > 0, 1, 0))
+    begins = np.flatnonzero(np.diff(kind, prepend=-1))
+    runs = np.diff(np.append(begins, n))
+    text = np.repeat((kind[begins] == 1) | (kind[begins] == 0) & (runs < WINDOW), runs)
+    if not (text & (weight > 0)).any():
+        return np.zeros(n, bool)
+    starts = np.diff(text.astype(np.int8), prepend=0) == 1
+    stretch = np.cumsum(starts) - 1
+    sums = np.convolve(weight, np.ones(WINDOW, np.int64))[:n]  # of the window that ends with each line; none reaches across a dive or gap
     peak = np.zeros(stretch.max() + 1, np.int64)
-    # The window that ends with line k belongs to the stretch of that line, or ends in the last lines of the one before.
-    np.maximum.at(peak, np.maximum(stretch[near], 0), sums[:n][near])
-    text = peak >= surge if (peak >= surge).any() else peak == peak.max()
-    kept = near & text[np.maximum(stretch, 0)]
-    # Lines of links alone between two kept stretches are part of the text, unless something was stripped there.
+    np.maximum.at(peak, stretch[text], sums[text])
+    kept = text & (peak >= surge if (peak >= surge).any() else peak == peak.max())[np.maximum(stretch, 0)]
+    # A dive between two kept stretches is part of the text, unless a gap is.
     ends = np.flatnonzero(np.diff(kept.astype(np.int8), prepend=0, append=0))
     upto = np.concatenate([[0], np.cumsum(gap)])
     for a, b in zip(ends[1::2], ends[2::2]):
