@@ -248,6 +248,31 @@ def trained(base: DataFrame, labels: DataFrame, extra: DataFrame | None = None,
     return learning.train(settled(examples), trees, seed)
 
 
+def auto_labels(features: DataFrame, sizes: DataFrame, least_r: float = 8.0, most_r: float = 200.0, least_ring: float = 1.0, most: int = 40) -> DataFrame:
+    """image_id, crater_id, cx, cy, r, label, complete: the scan's strongest rings, suppressed, as first labels where nobody has drawn any: up to `most` of an image, whose
+    slopes reach `least_ring` of the image's strong gradient."""
+    found = scanned(features, sizes, least_r, most_r).where(F.col("ring") >= least_ring).withColumn("det_id", F.xxhash64("cx", "cy", "r"))
+    kept = spatial.nms(found.select("image_id", "det_id", "cx", "cy", "r", F.col("ring").alias("conf")))
+    order = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
+    top = kept.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
+    return top.select("image_id", F.col("det_id").alias("crater_id"), "cx", "cy", "r", F.lit(1).alias("label"), F.lit(False).alias("complete"))
+
+
+def quickly_trained(base: DataFrame, extra: DataFrame | None = None, least_r: float = 8.0, most_r: float = 200.0, trees: int = 400) -> RandomForestClassificationModel:
+    """A model from auto_labels() and the images' background, without anything drawn; extra: labels besides."""
+    ready = prepared(base)
+    labels = auto_labels(*ready, least_r, most_r)
+    columns = ["image_id", "crater_id", "cx", "cy", "r", "label", "complete"]
+    return trained(base, labels.unionByName(extra.select(*columns)) if extra is not None else labels, least_r=least_r, most_r=most_r, trees=trees, ready=ready)
+
+
+def with_catalogues(detections: DataFrame, catalogues: DataFrame) -> DataFrame:
+    """Craters of all images: those of the catalogue where an image has one, the detections elsewhere. Both: image_id, crater_id, cx, cy, a, b, angle_deg, r, conf."""
+    columns = ["image_id", "crater_id", "cx", "cy", "a", "b", "angle_deg", "r", "conf"]
+    rest = detections.join(catalogues.select("image_id").distinct(), "image_id", "left_anti")
+    return catalogues.select(*columns).unionByName(rest.select(*columns))
+
+
 def self_trained(base: DataFrame, model: RandomForestClassificationModel, rounds: int = 2, conf: float = 0.6, least_r: float = 8.0, most_r: float = 200.0, trees: int = 400) -> RandomForestClassificationModel:
     """The model after up to `rounds` rounds in which its own sure detections are the labels. A round counts only if the number of detections stays between 0.95 and
     1.4 of the last one's; else the model stays as it is. The rounds are a loop on the driver over jobs on all images."""

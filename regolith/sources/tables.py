@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tiles import PLACE, SIDE
 from ..schema import ANNOTATIONS, GRID_COLUMNS, PATTERNS
 
 
@@ -66,6 +71,25 @@ def images(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("image").option("dropInvalid", "false").load(path).select(F.col("image.origin").alias("file"), "image.width", "image.height", F.col("image.nChannels").alias("n_channels"), "image.data")
 
 
+def gray_tiles(pictures: DataFrame) -> DataFrame:
+    """images() as grey tiles of level 0 (operators.tiles); image_id is the file's hash. A picture that can't be read is an error that names it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, image, width, height, channels, data in zip(*(c.to_pylist() for c in batch.columns)):
+                if width < 1:
+                    raise ValueError(f"can't read {file}")
+                p = np.frombuffer(data, np.uint8).reshape(height, width, channels).astype(float)
+                grey = np.floor(p[..., :3] @ [0.114, 0.587, 0.299] + 0.5) if channels >= 3 else p[..., 0]
+                for ty in range(-(-height // SIDE)):
+                    for tx in range(-(-width // SIDE)):
+                        part = grey[ty * SIDE : (ty + 1) * SIDE, tx * SIDE : (tx + 1) * SIDE]
+                        numbers = (image, 0, ty, tx, *part.shape, height, width)
+                        yield pa.RecordBatch.from_arrays([*(pa.array([n], pa.int64()) for n in numbers), pa.array([part.ravel()], pa.list_(pa.float64()))], names=[*PLACE, "v"])
+
+    return pictures.select("file", F.xxhash64("file"), "width", "height", "n_channels", "data").mapInArrow(run, ", ".join([*(f"{c} bigint" for c in PLACE), "v array<double>"]))
+
+
 def labels(spark: SparkSession, path: str) -> DataFrame:
     """file, content of XML labels, for operators.labels.leaves()."""
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.col("value").alias("content"))

@@ -102,6 +102,10 @@ def test_a_trained_model_finds_craters_and_fits_their_rims(spark, terrain, base)
     report = spatial.detection_report(found, truth, 0.35).first()
     assert report.n_found >= 11 and report.n_extra <= 6
     assert all(r.a >= r.b and 0 <= r.angle_deg < 180 for r in found.collect())
+    first = detection.auto_labels(*ready, 10.0, 24.0)
+    assert first.count() >= 8 and {(r.label, r.complete) for r in first.collect()} == {(1, False)}
+    known_ = truth.selectExpr("image_id + 1 AS image_id", "crater_id", "cx", "cy", "r AS a", "r AS b", "0D AS angle_deg", "r", "1D AS conf")
+    assert detection.with_catalogues(found.withColumnRenamed("det_id", "crater_id"), known_).count() == found.count() + 14
     manual = truth.limit(2)
     assert {r.source for r in detection.final_list(found, manual, truth.where("crater_id = 3")).collect()} == {"manual", "ml"}
 

@@ -362,3 +362,23 @@ def test_overlaps_and_qualities(spark):
     nodes = spark.createDataFrame([(0, 0.1, 0.0, False)] * 9 + [(0, 9.0, 0.0, True)], "image_id bigint, dx double, dy double, rejected boolean")
     got = {r.image_id: r for r in metrics.quality(summary, nodes, spark.createDataFrame([(0, 0.5), (1, 0.5)], "image_id bigint, scale_tgt double")).collect()}
     assert got[0].accuracy_src == 0.4 and got[0].quality.startswith("EXC") and got[0].dense_nodes == 9 and got[1].accuracy_src == 6.0 and got[1].quality.startswith("COARSE")
+
+
+def test_members_and_anchors_are_changed_by_clicks(spark):
+    rows = [("p", 0, 0.0, 0.0, 10.0), ("p", 1, 50.0, 0.0, 8.0), ("p", 2, 0.0, 60.0, 9.0), ("q", 0, 5.0, 5.0, 4.0), ("q", 1, 30.0, 5.0, 4.0)]
+    pats = spark.createDataFrame(rows, "pattern_id string, m bigint, x double, y double, r double")
+    clicks = spark.createDataFrame([("p", 51.0, 1.0, 8.0), ("q", 90.0, 9.0, 5.0)], "pattern_id string, x double, y double, r double")
+    got = {(r.pattern_id, r.m): r.x for r in patterns.toggled(pats, clicks).collect()}
+    assert got == {("p", 0): 0.0, ("p", 1): 0.0, ("q", 0): 5.0, ("q", 1): 30.0, ("q", 2): 90.0}
+    got = {(r.pattern_id, r.m): r.x for r in patterns.anchored(pats, clicks.where("pattern_id = 'p'")).collect()}
+    assert got == {("p", 0): 51.0, ("p", 1): 0.0, ("q", 0): 5.0, ("q", 1): 30.0}
+
+
+def test_pictures_become_tiles(spark, tmp_path):
+    v = np.random.default_rng(1).integers(0, 256, (300, 270, 3)).astype(np.uint8)
+    pictures = spark.createDataFrame([("a.png", 270, 300, 3, v.tobytes())], "file string, width int, height int, n_channels int, data binary")
+    tiles = tables.gray_tiles(pictures).collect()
+    want = np.floor(v @ [0.114, 0.587, 0.299] + 0.5)
+    assert len(tiles) == 4 and all(np.array_equal(np.array(t.v).reshape(t.h, t.w), want[t.ty * 256 : t.ty * 256 + t.h, t.tx * 256 : t.tx * 256 + t.w]) for t in tiles)
+    with pytest.raises(Exception, match="can't read b.png"):
+        tables.gray_tiles(spark.createDataFrame([("b.png", -1, -1, -1, b"")], pictures.schema)).collect()
