@@ -18,7 +18,7 @@ OPERATORS = {
     "urls": lambda d, b: urls.judged(d, urls.PLACES + urls.WORDS, "text"), "decontam": lambda d, b: decontam.searched(d, b, ("doc_id", "HOST")), "simhash": lambda d, b: simhash.grouped(d, simhash.CLOSE, keep=("FP", "HOST")), "near": lambda d, b: simhash.keep_one(d, corpus_pipeline.NEAR),
     "warc": lambda d, b: warc.round_trip(d.withColumnsRenamed({"doc_id": "page_id", "source": "url", "text": "html"})), "chat": lambda d, b: chat.messages(d.withColumnsRenamed({"doc_id": "conv_id", "source": "role"}).selectExpr("*", "1 AS turn")),
 }
-EXPECTED = {"mixing": None, "near": 5}
+EXPECTED = {"mixing": None, "near": 3}
 
 
 @pytest.mark.parametrize("name", OPERATORS)
