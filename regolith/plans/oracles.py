@@ -182,8 +182,8 @@ put("pattern_signature", f"""SELECT pattern_id, CAST(m AS BIGINT) AS m, CASE WHE
     "pt AS (SELECT pattern_id, m, cx AS x, cy AS y, r FROM pm JOIN ref ON ref.image_id = pm.image_id AND crater_id = c)",
     "rel AS (SELECT p.pattern_id, p.m, p.r, p.x - a.x AS dx, p.y - a.y AS dy, sqrt((p.x - a.x) * (p.x - a.x) + (p.y - a.y) * (p.y - a.y)) AS d FROM pt p JOIN pt a ON a.pattern_id = p.pattern_id AND a.m = 0)",
     "nr AS (SELECT pattern_id, dx AS ux, dy AS uy, d AS ud FROM rel WHERE m > 0 QUALIFY row_number() OVER (PARTITION BY pattern_id ORDER BY d, m) = 1)")
-put("star_deviation", f"""SELECT image_id, centre, {fx('avg(sqrt((ax - bx) * (ax - bx) + (ay - by) * (ay - by)))')} AS deviation FROM (SELECT image_id, centre, (x * nx + y * ny) / (nx * nx + ny * ny) AS ax, (y * nx - x * ny) / (nx * nx + ny * ny) AS ay,
-    (u * nu + v * nv) / (nu * nu + nv * nv) AS bx, (v * nu - u * nv) / (nu * nu + nv * nv) AS by FROM (SELECT s.image_id, s.i AS centre, p.x - c.x AS x, p.y - c.y AS y, p.u - c.u AS u, p.v - c.v AS v, f.x - c.x AS nx, f.y - c.y AS ny, f.u - c.u AS nu, f.v - c.v AS nv
+put("star_deviation", f"""SELECT image_id, centre, {fx('avg(sqrt((ap - bp) * (ap - bp) + (aq - bq) * (aq - bq)))')} AS deviation FROM (SELECT image_id, centre, (x * nx + y * ny) / (nx * nx + ny * ny) AS ap, (y * nx - x * ny) / (nx * nx + ny * ny) AS aq,
+    (u * nu + v * nv) / (nu * nu + nv * nv) AS bp, (v * nu - u * nv) / (nu * nu + nv * nv) AS bq FROM (SELECT s.image_id, s.i AS centre, p.x - c.x AS x, p.y - c.y AS y, p.u - c.u AS u, p.v - c.v AS v, f.x - c.x AS nx, f.y - c.y AS ny, f.u - c.u AS nu, f.v - c.v AS nv
     FROM ch s JOIN pl p ON p.image_id = s.image_id AND p.i = s.j JOIN pl c ON c.image_id = s.image_id AND c.i = s.i JOIN ch e ON e.image_id = s.image_id AND e.rank = 1 JOIN pl f ON f.image_id = e.image_id AND f.i = e.j) q) w GROUP BY image_id, centre""", *_PAIRS,
     f"pr AS (SELECT a.image_id, a.i, a.ra AS r, b.i AS j, {_dist('a', 'b', ('x', 'y'), ('x', 'y'))} AS d FROM (SELECT pl.*, ref.r AS ra FROM pl JOIN ref ON ref.image_id = pl.image_id AND crater_id = i) a JOIN pl b ON a.image_id = b.image_id)",
     "rk AS (SELECT *, row_number() OVER (PARTITION BY image_id, i ORDER BY d, j) AS n FROM pr), th AS (SELECT image_id, i, max(d) FILTER (n <= 4) AS third FROM rk GROUP BY image_id, i)",
