@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 #: Hypotheses of a block.
 BLOCK = 512
-_CELLS = 1 << 21
+_CELLS = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -46,33 +46,52 @@ def moved_points(sims: np.ndarray, points: np.ndarray) -> tuple[np.ndarray, np.n
 
 def nearest_of(x: np.ndarray, y: np.ndarray, targets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For each point the number of the nearest target, ties to the first, and the distance."""
-    d = np.hypot(x[..., None] - targets[:, 0], y[..., None] - targets[:, 1])
-    at = d.argmin(-1)
-    return at, np.take_along_axis(d, at[..., None], -1)[..., 0]
+    square = x[..., None] - targets[:, 0]
+    square *= square
+    other = y[..., None] - targets[:, 1]
+    other *= other
+    square += other
+    at = square.argmin(-1)
+    return at, np.sqrt(np.take_along_axis(square, at[..., None], -1)[..., 0])
 
 
-def consensus(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first similarity, hit, target, distance) for some similarities at a time. The nearest target is chosen first and tested afterwards; of points
-    with one target the nearest counts, ties to the first."""
+def hits(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first similarity, hit, target, distance) for some similarities at a time, of every point. The nearest target is chosen first and tested afterwards."""
     step = max(1, _CELLS // max(1, len(points) * len(targets)))
     for k in range(0, len(sims), step):
         x, y, r = moved_points(sims[k : k + step], points)
         at, d = nearest_of(x, y, targets)
         size = targets[at, 2] / r
-        hit = (d < np.maximum(least, b.share * targets[at, 2])) & (size > b.low) & (size < b.high)
-        if not b.single:
-            yield k, hit, at, d
-            continue
-        # Sorted by similarity, target, distance and point, the first of each target stays.
-        row, i = np.nonzero(hit)
-        order = np.lexsort((i, d[row, i], at[row, i], row))
-        row, i = row[order], i[order]
-        later = np.zeros(len(row), bool)
-        later[1:] = (row[1:] == row[:-1]) & (at[row, i][1:] == at[row, i][:-1])
-        hit[row[later], i[later]] = False
+        yield k, (d < np.maximum(least, b.share * targets[at, 2])) & (size > b.low) & (size < b.high), at, d
+
+
+def consensus(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """hits() of which, of the points with one target, the nearest counts alone, ties to the first, if the bounds say so."""
+    for k, hit, at, d in hits(sims, points, targets, least, b):
+        if b.single:
+            # Sorted by similarity, target, distance and point, the first of each target stays.
+            row, i = np.nonzero(hit)
+            order = np.lexsort((i, d[row, i], at[row, i], row))
+            row, i = row[order], i[order]
+            later = np.zeros(len(row), bool)
+            later[1:] = (row[1:] == row[:-1]) & (at[row, i][1:] == at[row, i][:-1])
+            hit[row[later], i[later]] = False
         yield k, hit, at, d
 
 
+def n_pairs(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds) -> np.ndarray:
+    """How many pairs consensus() finds for each similarity: of single ones as many as targets are hit."""
+    out = np.zeros(len(sims), np.int64)
+    for k, hit, at, _ in hits(sims, points, targets, least, b):
+        if b.single:
+            taken = np.zeros((len(hit), len(targets)), bool)
+            row, i = np.nonzero(hit)
+            taken[row, at[row, i]] = True
+            hit = taken
+        out[k : k + len(hit)] = hit.sum(1)
+    return out
+
+
 def matrix_of(column: pa.Array, names: Sequence[str], row: int) -> np.ndarray:
     """The structs of one row's list as a matrix."""
     items = column[row].values
@@ -89,6 +108,8 @@ def blocks(sims: DataFrame, ref: DataFrame, tgt: DataFrame, thresholds: DataFram
     """image_id, sims (hyp, re, im, tx, ty), points, targets, thr: a row for each BLOCK of an image's similarities."""
     each = F.struct("hyp", "re", "im", "tx", "ty")
     block = sims.groupBy("image_id", F.floor(F.col("hyp") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(each)).alias("sims"))
+    # Blocks are few bytes and much work: their number of partitions is given, or they would be taken together by size.
+    block = block.repartition(int(sims.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "block")
     return block.join(craters_of(ref, "points"), "image_id").join(craters_of(tgt, "targets"), "image_id").join(thresholds, "image_id").select("image_id", "sims", "points", "targets", "thr")
 
 
@@ -100,9 +121,7 @@ def counted(rows: DataFrame, b: Bounds = FIRST) -> DataFrame:
             for k in range(batch.num_rows):
                 points, targets = (matrix_of(batch.column(c), ("x", "y", "r"), k) for c in (2, 3))
                 sims = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k)
-                n = np.zeros(len(sims), np.int64)
-                for at, hit, _, _ in consensus(sims, points, targets, batch.column(4)[k].as_py(), b):
-                    n[at : at + len(hit)] = hit.sum(1)
+                n = n_pairs(sims, points, targets, batch.column(4)[k].as_py(), b)
                 some = np.flatnonzero(n)
                 hyp = np.asarray(batch.column(1)[k].values.field("hyp"))[some]
                 yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(some), pa.int64()), pa.array(hyp, pa.int64()), pa.array(n[some])], names=["image_id", "hyp", "n_pairs"])
