@@ -61,9 +61,19 @@ def fresh_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Arrow batches of so many rows for the session, unless it has set another number than Spark's own 10,000: texts are long rows, and a batch is held several
+    times over, in the JVM outside of its heap and in Python. No result depends on it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, rows)
+
+
 def set_apart(df: DataFrame, inputs: Sequence[str | None], outputs: Iterable[str]) -> tuple[DataFrame, list[str]]:
     """df with the columns named in inputs as in0, in1, ... and its other columns as c0, c1, ..., and the names of these others. Others that have, in any
-    case, one of the names in outputs are left out, as Spark takes names without regard to case. So nothing an operator adds can clash."""
+    case, one of the names in outputs are left out, as Spark takes names without regard to case. So nothing an operator adds can clash. The operators that
+    begin with this read texts in tasks, so their batches are made small."""
+    small_batches(df.sparkSession)
     folded = [c.lower() for c in df.columns]
     at = {k: df.columns.index(c) if c in df.columns else folded.index(c.lower()) for k, c in enumerate(inputs) if c is not None}
     gone = {c.lower() for c in outputs}
