@@ -90,8 +90,8 @@ def judged(pages: DataFrame, rules: DataFrame | tuple[Rule, ...], url_col: str =
     subject = F.concat("host", "path")
     tokens = F.array_union(F.regexp_extract_all(F.lower(subject), F.lit("[a-z0-9]+"), F.lit(0)), F.array(F.lit("")))
     each = written(base.select("host", "path").distinct().select("host", "path", tokens.alias("tokens")))
-    literals = rules.select(F.explode("literals").alias("token")).distinct()
-    counts = each.select(F.explode("tokens").alias("token")).join(literals, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
+    # Counted before they meet the rules: a token that a third of all URLs have is combined where it lies.
+    counts = each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     index = written(filed(rules, counts))
     fetched = each.select("host", "path", F.explode("tokens").alias("token")).join(index, "token").where(F.regexp_like(subject, F.col("pattern")))
     best = fetched.groupBy("host", "path").agg(F.max(F.struct("rank", (-F.col("rule_id")).alias("turn"), "name", "verdict")).alias("best"))
