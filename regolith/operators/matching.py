@@ -160,7 +160,11 @@ def match_learned(ref: DataFrame, tgt: DataFrame, largest: int = 45, tol: float
     bounds. Images are rows with their craters, so the fits need no shuffle.
     """
     ref, tgt = enough(ref, tgt, least)
-    top = top_hypotheses(lookalikes(all_triangles(ref, largest), all_triangles(tgt, largest), KEY, tol), most)
+    a, b = settled(all_triangles(ref, largest)), settled(all_triangles(tgt, largest))
+    # Millions look alike and few are tried: only numbers go through the ranking, corners are fetched for the top.
+    top = top_hypotheses(lookalikes(a, b, KEY, tol, 3).select(*KEY, "i", "j", "diff"), most)
+    corners = lambda df, tri, side: df.select(*KEY, F.col("tri").alias(tri), *(F.struct(*(F.col(f"{c}{n}").alias(c) for c in "xy")).alias(f"{side}{n}") for n in range(3)))
+    top = top.join(corners(a, "i", "a"), [*KEY, "i"]).join(corners(b, "j", "b"), [*KEY, "j"])
     hyps = fit_similarity(corner_pairs(top), [*KEY, "hyp"]).where("s > 0.1 and s < 10").select(*KEY, F.col("hyp").cast("bigint").alias("hyp"), "re", "im", "tx", "ty")
     hyps = settled(hyps)
     floor = tgt.select(*KEY).distinct().withColumn("thr", F.lit(3.0))
