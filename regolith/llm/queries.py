@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html, lm, mixing, quality, simhash, substring, urls, warc
+from . import chat, decontam, html, languages, lm, merkle, mixing, periodic, quality, simhash, substring, urls, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,8 +64,52 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.scored(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def manifest_digest(docs: DataFrame, shape: merkle.Shape = merkle.Shape()) -> DataFrame:
+    """Of op11_merkle: the manifest of docs, and for every row the root that its path gives, where 7 divides the id's crc32 after n_chars has been raised by one."""
+    marks = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    fields = ("doc_id", "source", "lang", "n_chars", "text")
+    changed = docs.withColumn("raised", F.when(marks, merkle.digest(*(F.col(c) + 1 if c == "n_chars" else F.col(c) for c in fields))))
+    found = merkle.manifest(changed, fields=fields, keep=("doc_id", "raised"), shape=shape)
+    found = found.withColumn("folded_root", merkle.folded(F.coalesce("raised", "leaf"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.siblings(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_digest(table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text"))
+
+
+def planted(docs: DataFrame) -> DataFrame:
+    """doc_id, text: of op12_periodic, where 10 divides the id's crc32 the words from one on repeat a stretch of theirs; such texts are written anew with one space between words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    at = docs.select("doc_id", "text", (h % 10).alias("turn"), F.floor(h / 10).alias("g"))
+    some = at.withColumn("ws", F.when(F.col("turn") == 0, words)).withColumn("n", F.size("ws"))
+    some = some.withColumn("a", F.expr("if(n > 0, g % n, null)")).withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    moved = F.expr("array_join(transform(ws, (w, i) -> if(i < a, w, get(ws, cast(a + (i - a) % p AS int)))), ' ')")
+    return some.select("doc_id", F.when(F.col("n") > 0, moved).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_digest(planted(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
+def run_digest(docs: DataFrame) -> DataFrame:
+    found = periodic.collapsed(docs)
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    best = {c: F.col(f"strongest.{c}").alias(c) for c in ("start", "length", "period")}
+    milli = F.expr("1000 * strongest.length div strongest.period").alias("exponent_milli")
+    return found.select("doc_id", F.size("runs").cast("bigint").alias("n_runs"), *best.values(), milli, F.sha2(lines, 256).alias("runs_sha256"), F.sha2(F.coalesce("collapsed_text", F.lit("")), 256).alias("collapsed_sha256"))
+
+
+def op13_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 4 == 2
+    model = languages.trained(docs.where(~held_out))
+    return languages.identified(docs, model, keep=("doc_id",)).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_warc, op2_mixing, op3_html, op4_decontamination, op5_simhash, op6_quality, op7_urls, op8_chat, op9_substring, op10_lm)
+    f.__name__: f for f in (op1_warc, op2_mixing, op3_html, op4_decontamination, op5_simhash, op6_quality, op7_urls, op8_chat, op9_substring, op10_lm, op11_merkle, op12_periodic, op13_languages)
 }
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -85,6 +129,27 @@ ruled AS (SELECT *, CASE {cases} END AS rule FROM split)
 SELECT page_id, host, path, rule, CASE {verdicts} WHEN {words} THEN 'block' ELSE 'allow' END AS verdict FROM ruled"""
 
 
+#: CRC-32 of a whole number's digits, with its table made from the polynomial by the bit.
+_CRC_TABLE = "crc AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i)))"
+_CRC = "xor(list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+_FIELD = "coalesce(octet_length(encode(CAST({0} AS VARCHAR))) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "{0}", "text")) + ")"
+
+
+def _tree_sql(name: str, source: str) -> str:
+    """A recursive table of a tree's nodes (g, level, pos, hash) above source (g, pos, hash)."""
+    return f"""{name} AS (SELECT g, 0 AS level, pos, hash FROM {source} UNION ALL
+  SELECT g, level + 1, pos // 2, sha256(string_agg(hash, '' ORDER BY pos)) FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}) WHERE n > 1 GROUP BY g, level, pos // 2)"""
+
+
+def _fold_sql(name: str, tree: str, start: str, key: str) -> str:
+    """A recursive table that climbs a tree from start (key, g, pos, h, changed, proof), level by level."""
+    both = "CASE WHEN s.hash IS NULL THEN {0} WHEN f.pos % 2 = 0 THEN {0} || s.hash ELSE s.hash || {0} END"
+    return f"""{name} AS (SELECT {key}, g, 0 AS level, pos, h, changed, proof FROM {start} UNION ALL
+  SELECT {key}, f.g, f.level + 1, f.pos // 2, sha256({both.format("f.h")}), sha256({both.format("f.changed")}), f.proof || coalesce(s.hash, '')
+  FROM {name} f JOIN {tree}_height t ON f.g = t.g AND f.level < t.height LEFT JOIN {tree} s ON s.g = f.g AND s.level = f.level AND s.pos = xor(f.pos, 1))"""
+
+
 ORACLES: dict[str, str] = {
     "op1_warc": """
 WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS digest FROM pages),
@@ -148,4 +213,33 @@ w AS (SELECT doc_id, unnest(range(1, len(ws) + 1)) AS p, unnest(ws) AS word FROM
 k AS (SELECT w.doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY w.p) AS kept FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.p = gone.p GROUP BY w.doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (doc_id)""",
+    "op11_merkle": f"""
+WITH RECURSIVE {_CRC_TABLE},
+d AS (SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS pos, {_LEAF.format("n_chars")} AS hash,
+             {_LEAF.format(f"(n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END)")} AS changed FROM documents, crc),
+{_tree_sql("tree", "d")}, tree_height AS (SELECT g, max(level) AS height FROM tree GROUP BY g),
+subs AS (SELECT 0 AS g, row_number() OVER (ORDER BY tree.g) - 1 AS pos, hash, tree.g AS own FROM tree JOIN tree_height h ON tree.g = h.g AND level = height),
+{_tree_sql("upper", "subs")}, upper_height AS (SELECT g, max(level) AS height FROM upper GROUP BY g),
+first AS (SELECT doc_id, g, pos, hash AS h, changed, '' AS proof FROM d), {_fold_sql("low", "tree", "first", "doc_id")},
+second AS (SELECT low.doc_id, 0 AS g, subs.pos, h, changed, proof FROM low JOIN tree_height t ON low.g = t.g AND low.level = height JOIN subs ON subs.own = low.g), {_fold_sql("high", "upper", "second", "doc_id")}
+SELECT d.doc_id, d.hash AS leaf, s.h AS subroot, high.h AS root, sha256(high.proof) AS proof_sha256, high.changed AS folded_root, high.changed = high.h AS verified
+FROM d JOIN second s USING (doc_id) JOIN high USING (doc_id) JOIN upper_height u ON high.level = u.height""",
+    "op12_periodic": rf"""
+WITH {_CRC_TABLE},
+raw AS (SELECT doc_id, {_CRC} AS h, {_WORDS.format("text")} AS ws FROM documents, crc),
+drawn AS (SELECT doc_id, ws, h % 10 = 0 AND len(ws) > 0 AS turned, (h // 10) % greatest(len(ws), 1) AS a, 1 + (len(ws) - (h // 10) % greatest(len(ws), 1)) // (3 + (h // 10) % 8) AS p FROM raw),
+d AS (SELECT doc_id, CASE WHEN turned THEN list_transform(range(len(ws)), lambda i: ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) ELSE ws END AS ws FROM drawn),
+win AS (SELECT doc_id, unnest(range(1, len(ws) - 14)) - 1 AS s, unnest(list_transform(range(1, len(ws) - 14), lambda s: md5(array_to_string(ws[s:s + 15], ' ')))) AS k FROM d),
+pairs AS (SELECT x.doc_id, x.s, y.s - x.s AS q FROM win x JOIN win y ON x.doc_id = y.doc_id AND x.k = y.k AND x.s < y.s),
+parts AS (SELECT *, s - row_number() OVER (PARTITION BY doc_id, q ORDER BY s) AS island FROM pairs),
+long AS (SELECT doc_id, min(s) AS start, count(*) + 15 + q AS length, q FROM parts GROUP BY doc_id, q, island HAVING count(*) + 15 + q >= greatest(24, 3 * q)),
+runs AS (SELECT doc_id, start, length, min(q) AS period FROM long GROUP BY doc_id, start, length),
+told AS (SELECT doc_id, count(*) AS n_runs, first(start ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS start, first(length ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS length,
+                first(period ORDER BY CAST(length AS DOUBLE) / period DESC, start, period) AS period, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+w AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS word FROM d),
+kept AS (SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM w ANTI JOIN gone ON w.doc_id = gone.doc_id AND w.i = gone.i GROUP BY w.doc_id)
+SELECT doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(start AS BIGINT) AS start, CAST(length AS BIGINT) AS length, CAST(period AS BIGINT) AS period, CAST(1000 * length // period AS BIGINT) AS exponent_milli,
+       sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN told USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }

@@ -115,7 +115,8 @@ def clean(docs, bench):
         windows |= {tuple(ws[i : i + 10]) for i in range(max(1, len(ws) - 9))} if ws else set()
     sizes = {len(w) for w in windows}
     own = lambda ws: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(" ".join(ws)))
-    return [d for d in docs if not any(tuple((ws := own(d[1]))[i : i + n]) in windows for n in sizes for i in range(len(own(d[1])) - n + 1))]
+    words = [own(d[1]) for d in docs]
+    return [d for d, ws in zip(docs, words) if not any(tuple(ws[i : i + n]) in windows for n in sizes for i in range(len(ws) - n + 1))]
 
 
 def copies(docs):
