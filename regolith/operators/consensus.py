@@ -1,7 +1,8 @@
 """How many craters a similarity brings onto craters: counted for blocks of hypotheses at once, in tasks that hold two images' craters and one block.
 
-Spark joins each block of an image's hypotheses with the image's craters as two arrays, of which there are as many as an image has pattern craters; within
-a task numpy compares all of a block at once. Only counts leave it; pairs are listed for the few similarities that are asked for.
+Spark joins an image's hypotheses with the image's craters as two arrays, of which there are as many as an image has pattern craters; within a task numpy
+compares some hundred at once, in their order, until one is so good that none after it is tried. Each point meets only the targets in the cells
+around it. Only counts leave the task; pairs are listed for the few similarities that are asked for.
 """
 
 from __future__ import annotations
@@ -14,9 +15,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Hypotheses of a block.
-BLOCK = 512
 _CELLS = 1 << 16
+#: Cells of a lookup along either axis.
+_SIDE = 256
 
 
 @dataclass(frozen=True)
@@ -55,12 +56,61 @@ def nearest_of(x: np.ndarray, y: np.ndarray, targets: np.ndarray) -> tuple[np.nd
     return at, np.sqrt(np.take_along_axis(square, at[..., None], -1)[..., 0])
 
 
-def hits(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first similarity, hit, target, distance) for some similarities at a time, of every point. The nearest target is chosen first and tested afterwards."""
-    step = max(1, _CELLS // max(1, len(points) * len(targets)))
+@dataclass(frozen=True)
+class Stop:
+    """A hypothesis that isn't a seed ends its image's votes if it finds `pairs` pairs and `share` of the craters that could be found: the targets, or, if those are fewer, the points
+    that fall into the target's frame, less a twentieth of its shorter side around, with 0.8 of least_r."""
+
+    pairs: int = 14
+    share: float = 0.85
+    least_r: float = 8.0
+
+
+class Lookup:
+    """The nearest of some targets within `reach`. Cells are at least as wide, so a point meets the targets of the nine cells around it, by their numbers."""
+
+    def __init__(self, targets: np.ndarray, reach: float):
+        self.targets, n = targets, len(targets)
+        self.low = targets[:, :2].min(0)
+        self.width = max(reach, float((targets[:, :2].max(0) - self.low).max()) / (_SIDE - 3), 1e-9)
+        cell = np.floor((targets[:, :2] - self.low) / self.width).astype(np.int64) + 1
+        self.shape = cell.max(0) + 2
+        near = np.array([(i, j) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+        flat = ((cell[:, None, 1] + near[:, 1]) * self.shape[0] + cell[:, None, 0] + near[:, 0]).ravel()
+        order = np.argsort(flat, kind="stable")
+        flat, who = flat[order], np.repeat(np.arange(n), 9)[order]
+        start = np.searchsorted(flat, np.arange(self.shape.prod() + 1))
+        size = np.diff(start)
+        # One row more, empty, for all that lies outside.
+        self.table = np.full((len(size) + 1, max(1, int(size.max()))), n, np.int64)
+        self.table[flat, np.arange(len(flat)) - start[flat]] = who
+        self.x, self.y = (np.append(targets[:, c], np.inf) for c in (0, 1))
+
+    def nearest(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each point the number of the nearest target, ties to the first, and the distance, infinite where none is near."""
+        cx, cy = (np.floor((v - o) / self.width) + 1 for v, o in ((x, self.low[0]), (y, self.low[1])))
+        inside = (cx >= 0) & (cx < self.shape[0]) & (cy >= 0) & (cy < self.shape[1])
+        at = np.full(x.shape, len(self.table) - 1)
+        at[inside] = (cy[inside] * self.shape[0] + cx[inside]).astype(np.int64)
+        there = self.table[at]
+        square = (x[..., None] - self.x[there]) ** 2 + (y[..., None] - self.y[there]) ** 2
+        best = square.argmin(-1)[..., None]
+        who, square = np.take_along_axis(there, best, -1)[..., 0], np.take_along_axis(square, best, -1)[..., 0]
+        return np.where(who < len(self.targets), who, 0), np.sqrt(square)
+
+
+def lookup_of(targets: np.ndarray, least: float, b: Bounds) -> Lookup:
+    return Lookup(targets, max(least, b.share * float(targets[:, 2].max(initial=0.0))))
+
+
+def hits(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds, lookup: Lookup | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first similarity, hit, target, distance) for some similarities at a time, of every point. The nearest target is chosen first and tested afterwards;
+    what is further than any target may be is no hit whichever is nearest."""
+    lookup = lookup or lookup_of(targets, least, b)
+    step = max(1, _CELLS // max(1, len(points) * lookup.table.shape[1]))
     for k in range(0, len(sims), step):
         x, y, r = moved_points(sims[k : k + step], points)
-        at, d = nearest_of(x, y, targets)
+        at, d = lookup.nearest(x, y)
         size = targets[at, 2] / r
         yield k, (d < np.maximum(least, b.share * targets[at, 2])) & (size > b.low) & (size < b.high), at, d
 
@@ -79,10 +129,10 @@ def consensus(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least:
         yield k, hit, at, d
 
 
-def n_pairs(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds) -> np.ndarray:
+def n_pairs(sims: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds, lookup: Lookup | None = None) -> np.ndarray:
     """How many pairs consensus() finds for each similarity: of single ones as many as targets are hit."""
     out = np.zeros(len(sims), np.int64)
-    for k, hit, at, _ in hits(sims, points, targets, least, b):
+    for k, hit, at, _ in hits(sims, points, targets, least, b, lookup):
         if b.single:
             taken = np.zeros((len(hit), len(targets)), bool)
             row, i = np.nonzero(hit)
@@ -104,27 +154,57 @@ def craters_of(craters: DataFrame, name: str, keys: Sequence[str] = ("image_id",
     return craters.groupBy(*keys).agg(F.sort_array(F.collect_list(each)).alias(name))
 
 
-def blocks(sims: DataFrame, ref: DataFrame, tgt: DataFrame, thresholds: DataFrame) -> DataFrame:
-    """image_id, sims (hyp, re, im, tx, ty), points, targets, thr: a row for each BLOCK of an image's similarities."""
+def n_visible(sims: np.ndarray, points: np.ndarray, width: float, height: float, least_r: float) -> np.ndarray:
+    """How many points each similarity brings into a frame, see Stop."""
+    x, y, r = moved_points(sims, points)
+    m = 0.05 * min(width, height)
+    return ((x > -m) & (x < width + m) & (y > -m) & (y < height + m) & (r >= 0.8 * least_r)).sum(1)
+
+
+def n_pairs_until(sims: np.ndarray, seeded: np.ndarray, points: np.ndarray, targets: np.ndarray, least: float, b: Bounds, stop: Stop, width: float, height: float) -> np.ndarray:
+    """n_pairs() of the similarities up to the first that isn't seeded and ends the votes; ever more are tried at once, as the good ones mostly come first."""
+    lookup, out, k, size = lookup_of(targets, least, b), [], 0, 32
+    while k < len(sims):
+        part = sims[k : k + size]
+        n = n_pairs(part, points, targets, least, b, lookup)
+        good = np.flatnonzero((n >= stop.pairs) & ~seeded[k : k + size])
+        good = good[n[good] >= stop.share * np.minimum(len(targets), n_visible(part[good], points, width, height, stop.least_r))]
+        if len(good):
+            return np.concatenate([*out, n[: good[0] + 1]])
+        out.append(n)
+        k, size = k + size, min(2 * size, 1024)
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
+def blocks(sims: DataFrame, ref: DataFrame, tgt: DataFrame, thresholds: DataFrame, frames: DataFrame | None = None) -> DataFrame:
+    """image_id, sims (hyp, re, im, tx, ty) by hyp, points, targets, thr, width, height: a row for each image. frames: image_id, width, height of the targets; without,
+    they have no end."""
     each = F.struct("hyp", "re", "im", "tx", "ty")
-    block = sims.groupBy("image_id", F.floor(F.col("hyp") / BLOCK).alias("block")).agg(F.sort_array(F.collect_list(each)).alias("sims"))
-    # Blocks are few bytes and much work: their number of partitions is given, or they would be taken together by size.
-    block = block.repartition(int(sims.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id", "block")
-    return block.join(craters_of(ref, "points"), "image_id").join(craters_of(tgt, "targets"), "image_id").join(thresholds, "image_id").select("image_id", "sims", "points", "targets", "thr")
+    rows = sims.groupBy("image_id").agg(F.sort_array(F.collect_list(each)).alias("sims"))
+    # Rows are few bytes and much work: their number of partitions is given, or they would be taken together by size.
+    rows = rows.repartition(int(sims.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")
+    rows = rows.join(craters_of(ref, "points"), "image_id").join(craters_of(tgt, "targets"), "image_id").join(thresholds, "image_id")
+    end = F.lit(float("inf"))
+    rows = rows.join(frames.select("image_id", "width", "height"), "image_id", "left").withColumns({c: F.coalesce(F.col(c).cast("double"), end) for c in ("width", "height")}) if frames is not None else rows.withColumns({"width": end, "height": end})
+    return rows.select("image_id", "sims", "points", "targets", "thr", "width", "height")
 
 
-def counted(rows: DataFrame, b: Bounds = FIRST) -> DataFrame:
-    """image_id, hyp, n_pairs of blocks(); hypotheses without any pair are left out."""
+def counted(rows: DataFrame, b: Bounds = FIRST, stop: Stop | None = None) -> DataFrame:
+    """image_id, hyp, n_pairs of blocks(); hypotheses without any pair are left out. With a stop an image's hypotheses are tried by hyp, those below 0 being seeds, and
+    none after the first that ends the votes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
                 points, targets = (matrix_of(batch.column(c), ("x", "y", "r"), k) for c in (2, 3))
-                sims = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k)
-                n = n_pairs(sims, points, targets, batch.column(4)[k].as_py(), b)
+                sims, least = matrix_of(batch.column(1), ("re", "im", "tx", "ty"), k), batch.column(4)[k].as_py()
+                hyp = np.asarray(batch.column(1)[k].values.field("hyp"))
+                if stop:
+                    n = n_pairs_until(sims, hyp < 0, points, targets, least, b, stop, batch.column(5)[k].as_py(), batch.column(6)[k].as_py())
+                else:
+                    n = n_pairs(sims, points, targets, least, b)
                 some = np.flatnonzero(n)
-                hyp = np.asarray(batch.column(1)[k].values.field("hyp"))[some]
-                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(some), pa.int64()), pa.array(hyp, pa.int64()), pa.array(n[some])], names=["image_id", "hyp", "n_pairs"])
+                yield pa.RecordBatch.from_arrays([pa.array([batch.column(0)[k].as_py()] * len(some), pa.int64()), pa.array(hyp[some], pa.int64()), pa.array(n[some])], names=["image_id", "hyp", "n_pairs"])
 
     return rows.mapInArrow(run, "image_id bigint, hyp bigint, n_pairs bigint")
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..checkpoints import settled
 from . import consensus
 from .fits import choose_model, fit_affine, fit_homography, fit_similarity, leave_one_out, moved
-from .triangles import all_triangles, corner_pairs, knn_triangles, lookalikes, top_hypotheses
+from .triangles import all_triangles, corner_pairs, knn_triangles, lookalikes, top_hypotheses, with_corners
 
 KEY = ("image_id",)
 
@@ -28,13 +28,15 @@ def collected(sims: DataFrame, ref: DataFrame, tgt: DataFrame, bounds: consensus
 
 def hypotheses(ref: DataFrame, tgt: DataFrame, most: int = 7000, k: int = 8, tol: float = 0.06, low: float = 0.05, high: float = 20.0) -> DataFrame:
     """image_id, hyp and a similarity for each of the closest look-alike triangles."""
-    top = top_hypotheses(lookalikes(knn_triangles(ref, k), knn_triangles(tgt, k), KEY, tol), most)
+    a, b = settled(knn_triangles(ref, k)), settled(knn_triangles(tgt, k))
+    top = with_corners(top_hypotheses(lookalikes(a, b, KEY, tol), most), a, b)
     return fit_similarity(corner_pairs(top), [*KEY, "hyp"]).where((F.col("s") > low) & (F.col("s") < high))
 
 
-def votes(hyps: DataFrame, ref: DataFrame, tgt: DataFrame) -> DataFrame:
-    """image_id, hyp, n_pairs: how many craters each hypothesis brings together."""
-    return consensus.counted(consensus.blocks(hyps, ref, tgt, thresholds(tgt)))
+def votes(hyps: DataFrame, ref: DataFrame, tgt: DataFrame, frames: DataFrame | None = None, stop: consensus.Stop | None = consensus.Stop()) -> DataFrame:
+    """image_id, hyp, n_pairs: how many craters each hypothesis brings together, up to the first of its image that ends the votes. frames: image_id, width, height of the
+    targets. Without a stop all are tried."""
+    return consensus.counted(consensus.blocks(hyps, ref, tgt, thresholds(tgt), frames), consensus.FIRST, stop)
 
 
 def winners(counted: DataFrame) -> DataFrame:
@@ -161,10 +163,7 @@ def match_learned(ref: DataFrame, tgt: DataFrame, largest: int = 45, tol: float
     """
     ref, tgt = enough(ref, tgt, least)
     a, b = settled(all_triangles(ref, largest)), settled(all_triangles(tgt, largest))
-    # Millions look alike and few are tried: only numbers go through the ranking, corners are fetched for the top.
-    top = top_hypotheses(lookalikes(a, b, KEY, tol, 3).select(*KEY, "i", "j", "diff"), most)
-    corners = lambda df, tri, side: df.select(*KEY, F.col("tri").alias(tri), *(F.struct(*(F.col(f"{c}{n}").alias(c) for c in "xy")).alias(f"{side}{n}") for n in range(3)))
-    top = top.join(corners(a, "i", "a"), [*KEY, "i"]).join(corners(b, "j", "b"), [*KEY, "j"])
+    top = with_corners(top_hypotheses(lookalikes(a, b, KEY, tol), most), a, b)
     hyps = fit_similarity(corner_pairs(top), [*KEY, "hyp"]).where("s > 0.1 and s < 10").select(*KEY, F.col("hyp").cast("bigint").alias("hyp"), "re", "im", "tx", "ty")
     hyps = settled(hyps)
     floor = tgt.select(*KEY).distinct().withColumn("thr", F.lit(3.0))

@@ -63,13 +63,27 @@ def matching(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("image_id
     return near.union(left.where(F.col("r") > most_r).alias("a").join(right.alias("b"), [*on, rule], "left_anti"))
 
 
-def knn(craters: DataFrame, k: int = 8, keys: Sequence[str] = ("image_id",), id_col: str = "crater_id") -> DataFrame:
-    """keys, i, j, d, rank: the k nearest other craters of each; ties go to the smaller id. Images hold a bounded number of selected craters."""
-    a, b = craters.alias("a"), craters.alias("b")
-    on = [F.col(f"a.{x}") == F.col(f"b.{x}") for x in keys]
+def knn(craters: DataFrame, k: int = 8, keys: Sequence[str] = ("image_id",), id_col: str = "crater_id", carry: Sequence[str] = (), levels: int = 12) -> DataFrame:
+    """keys, i, j, d, rank: the k nearest other craters of each, exactly; ties go to the smaller id. carry: columns that come along as <name>_i and <name>_j.
+
+    An image is cut into cells that halve from level to level. The finest cell around a crater that holds k others has them within its diagonal, so cells of twice its
+    width hold the k nearest in the nine around the crater: it is joined with these. Dense and empty regions get cells of their own size, and no
+    image's craters are all compared with each other. Images of fewer than k + 1 craters are one cell.
+    """
+    base = craters.select(*keys, F.col(id_col).alias("id"), "cx", "cy", *carry)
+    box = base.groupBy(*keys).agg(F.min("cx").alias("x0"), F.min("cy").alias("y0"), F.greatest(F.max("cx") - F.min("cx"), F.max("cy") - F.min("cy"), F.lit(1e-9)).alias("side"))
+    base = base.join(box, list(keys))
+    cell = lambda c, o, level: F.floor((F.col(c) - F.col(o)) / F.col("side") * F.pow(F.lit(2.0), level) * (1 - 1e-12))
+    at = base.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels)))).withColumns({"gx": cell("cx", "x0", F.col("level")), "gy": cell("cy", "y0", F.col("level"))})
+    full = at.groupBy(*keys, "level", "gx", "gy").agg(F.count("*").alias("n")).where(F.col("n") > k).drop("n")
+    finest = at.select(*keys, "id", "level", "gx", "gy").join(full, [*keys, "level", "gx", "gy"]).groupBy(*keys, "id").agg(F.max("level").alias("finest"))
+    own = base.join(finest, [*keys, "id"], "left").withColumn("level", F.greatest(F.coalesce("finest", F.lit(0)) - 1, F.lit(0)))
+    near = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    a = own.withColumn("step", F.explode(near)).withColumns({"gx": cell("cx", "x0", F.col("level")) + F.col("step.x"), "gy": cell("cy", "y0", F.col("level")) + F.col("step.y")}).alias("a")
+    b = at.alias("b")
     d = distance(F.col("a.cx"), F.col("a.cy"), F.col("b.cx"), F.col("b.cy"))
-    pairs = a.join(b, [*on, F.col(f"a.{id_col}") != F.col(f"b.{id_col}")])
-    pairs = pairs.select(*(F.col(f"a.{x}") for x in keys), F.col(f"a.{id_col}").alias("i"), F.col(f"b.{id_col}").alias("j"), d.alias("d"))
+    pairs = a.join(b, [*(F.col(f"a.{x}") == F.col(f"b.{x}") for x in (*keys, "level", "gx", "gy")), F.col("a.id") != F.col("b.id")])
+    pairs = pairs.select(*(F.col(f"a.{x}") for x in keys), F.col("a.id").alias("i"), F.col("b.id").alias("j"), d.alias("d"), *(F.col(f"{s}.{c}").alias(f"{c}_{t}") for c in carry for s, t in (("a", "i"), ("b", "j"))))
     order = Window.partitionBy(*keys, "i").orderBy("d", "j")
     return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 

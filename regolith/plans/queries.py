@@ -111,6 +111,10 @@ def triangles_all(s: SparkSession, d: str) -> DataFrame:
     return _shown(triangles.all_triangles(_ref(s, d)))
 
 
+def _frames(craters: DataFrame) -> DataFrame:
+    return craters.select("image_id").distinct().select("image_id", F.lit(FRAME).alias("width"), F.lit(FRAME).alias("height"))
+
+
 def _alike(s: SparkSession, d: str) -> DataFrame:
     return triangles.lookalikes(triangles.knn_triangles(_ref(s, d)), triangles.knn_triangles(_tgt(s, d)))
 
@@ -139,13 +143,19 @@ def fit_affine(s: SparkSession, d: str) -> DataFrame:
 @query
 def hypothesis_votes(s: SparkSession, d: str) -> DataFrame:
     ref, tgt = _ref(s, d), _tgt(s, d)
-    return matching.votes(matching.hypotheses(ref, tgt, HYPOTHESES), ref, tgt).select("image_id", F.col("hyp").cast("bigint").alias("hyp"), "n_pairs")
+    return matching.votes(matching.hypotheses(ref, tgt, HYPOTHESES), ref, tgt, stop=None).select("image_id", F.col("hyp").cast("bigint").alias("hyp"), "n_pairs")
+
+
+def _disturbed(tgt: DataFrame) -> DataFrame:
+    """Targets of which in every second image three craters in ten stand elsewhere, too many for a hypothesis to end its votes."""
+    return tgt.withColumn("cx", F.expr("cx + CASE WHEN image_id % 2 = 1 AND crater_id % 10 <= 2 THEN 70e0 ELSE 0e0 END"))
 
 
 @query
 def hypothesis_winner(s: SparkSession, d: str) -> DataFrame:
-    ref, tgt = _ref(s, d), _tgt(s, d)
-    return matching.winners(matching.votes(matching.hypotheses(ref, tgt, HYPOTHESES), ref, tgt)).select("image_id", F.col("hyp").cast("bigint").alias("hyp"), "n_pairs")
+    """Up to the first hypothesis that is good enough, which is the first in some images, and in others there is none."""
+    ref, tgt = _ref(s, d), _disturbed(_tgt(s, d))
+    return matching.winners(matching.votes(matching.hypotheses(ref, tgt, HYPOTHESES), ref, tgt, _frames(tgt))).select("image_id", F.col("hyp").cast("bigint").alias("hyp"), "n_pairs")
 
 
 @query
@@ -224,9 +234,9 @@ def pair_geometry(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def zoom_uniqueness(s: SparkSession, d: str) -> DataFrame:
-    ref, tgt = _ref(s, d), _tgt(s, d)
+    ref, tgt = _ref(s, d), _disturbed(_tgt(s, d))
     hyps = settled(matching.hypotheses(ref, tgt, HYPOTHESES))
-    out = metrics.uniqueness(matching.votes(hyps, ref, tgt).join(hyps.select("image_id", "hyp", "s"), ["image_id", "hyp"]))
+    out = metrics.uniqueness(matching.votes(hyps, ref, tgt, _frames(tgt)).join(hyps.select("image_id", "hyp", "s"), ["image_id", "hyp"]))
     return out.select("image_id", "n_best", "n_second", fixed("uniqueness").alias("uniqueness"))
 
 

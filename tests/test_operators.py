@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -382,3 +383,63 @@ def test_pictures_become_tiles(spark, tmp_path):
     assert len(tiles) == 4 and all(np.array_equal(np.array(t.v).reshape(t.h, t.w), want[t.ty * 256 : t.ty * 256 + t.h, t.tx * 256 : t.tx * 256 + t.w]) for t in tiles)
     with pytest.raises(Exception, match="can't read b.png"):
         tables.gray_tiles(spark.createDataFrame([("b.png", -1, -1, -1, b"")], pictures.schema)).collect()
+
+
+def test_votes_end_at_the_first_good_hypothesis(spark):
+    """Counts, winner and the best at another zoom against a loop over the hypotheses in their order, with seeds that end nothing."""
+    g = np.random.default_rng(8)
+    rows, craters, targets, frames, want = [], [], [], [], {}
+    for image in range(6):
+        pts = np.column_stack([g.random((40, 2)) * 800 + 50, g.random(40) * 30 + 10])
+        keep = np.flatnonzero(g.random(40) < (0.6 if image % 2 else 0.97))
+        tgt = np.column_stack([pts[keep, :2] * 0.9 + [20, 30], pts[keep, 2] * 0.9])
+        if image % 2:
+            tgt = np.vstack([tgt, np.column_stack([g.random((20, 2)) * 800, g.random(20) * 30 + 10])])
+        good = np.array([0.9, 0.0, 20.0, 30.0])
+        sims = [good + g.normal(size=4) * [0.3, 0.3, 200, 200] for _ in range(150)]
+        for at in (5, 70, 90):
+            sims[at] = good + g.normal(size=4) * [0.001, 0.001, 0.5, 0.5]
+        hyps = [-2, -1, *range(1, 149)]
+        sims[0] = good  # a seed
+        craters += [(image, k, *map(float, p)) for k, p in enumerate(pts)]
+        targets += [(image, k, *map(float, p)) for k, p in enumerate(tgt)]
+        frames.append((image, 900.0, 700.0))
+        rows += [(image, h, *map(float, s), float(np.hypot(s[0], s[1]))) for h, s in zip(hyps, sims)]
+        least = max(5.0, 0.1 * np.median(tgt[:, 2]))
+        scored = []
+        for h, s in zip(hyps, sims):
+            x, y, r = s[0] * pts[:, 0] - s[1] * pts[:, 1] + s[2], s[1] * pts[:, 0] + s[0] * pts[:, 1] + s[3], np.hypot(s[0], s[1]) * pts[:, 2]
+            taken = set()
+            for k in range(40):
+                d = np.hypot(tgt[:, 0] - x[k], tgt[:, 1] - y[k])
+                j = int(d.argmin())
+                if d[j] < max(least, 0.3 * tgt[j, 2]) and 0.72 < tgt[j, 2] / r[k] < 1.39:
+                    taken.add(j)
+            seen = sum(-35 < x[k] < 935 and -35 < y[k] < 735 and r[k] >= 6.4 for k in range(40))
+            scored.append((h, len(taken)))
+            if h >= 0 and len(taken) >= 14 and len(taken) >= 0.85 * min(len(tgt), seen):
+                break
+        want |= {(image, h): n for h, n in scored if n}
+    frame = lambda r, c: spark.createDataFrame(r, c)
+    circle = "image_id bigint, crater_id bigint, cx double, cy double, r double"
+    hyps = frame(rows, "image_id bigint, hyp bigint, re double, im double, tx double, ty double, s double")
+    got = matching.votes(hyps, frame(craters, circle), frame(targets, circle), frame(frames, "image_id bigint, width double, height double"))
+    assert {(r.image_id, r.hyp): r.n_pairs for r in got.collect()} == want
+    last = {i: max(h for k, h in want if k == i) for i in range(6)}
+    assert min(last.values()) < 10 and max(last.values()) > 100
+
+
+def test_neighbours_of_a_hundred_thousand_craters_with_uneven_density(spark):
+    """Against a tree of cells in numpy on a sample; repeated places and an image of two craters."""
+    g = np.random.default_rng(1)
+    n = 100_000
+    xy = np.concatenate([g.random((n // 2, 2)) * 1e5, g.normal(size=(n // 2 - 50, 2)) * 300 + 4e4, np.full((50, 2), 7e4)])
+    at = spark.createDataFrame(pd.DataFrame({"image_id": 1, "crater_id": np.arange(n), "cx": xy[:, 0], "cy": xy[:, 1]}))
+    few = spark.createDataFrame([(2, 0, 1.0, 1.0), (2, 1, 5.0, 4.0), (3, 0, 0.0, 0.0)], "image_id bigint, crater_id bigint, cx double, cy double")
+    got = spatial.knn(at.unionByName(few), 8).where("image_id > 1 OR i % 997 = 3 OR i >= 99990").toPandas()
+    assert len(got[got.image_id == 2]) == 2 and not len(got[got.image_id == 3])
+    for i, rows in got[got.image_id == 1].groupby("i"):
+        d = np.hypot(*(xy - xy[i]).T)
+        d[i] = np.inf
+        first = np.lexsort((np.arange(n), d))[:8]
+        assert rows.sort_values("rank")["j"].tolist() == first.tolist()
