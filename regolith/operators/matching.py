@@ -114,19 +114,20 @@ def enough(ref: DataFrame, tgt: DataFrame, least: int = 4) -> tuple[DataFrame, D
     return ref.join(both, list(KEY), "left_semi"), tgt.join(both, list(KEY), "left_semi")
 
 
-def match_table(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4, seeds: DataFrame | None = None) -> DataFrame:
+def match_table(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4, seeds: DataFrame | None = None, frames: DataFrame | None = None, k: int = 8, tol: float = 0.06, least_r: float = 8.0) -> DataFrame:
     """image_id, i, j, n_best, n_second, seeded: the refined pairs of every pair of images in which a hypothesis finds at least `least`, with the best
     hypothesis's number of pairs, that of the best one at another zoom (by over 0.25 in log scale), and whether it came from a seed.
 
-    seeds: image_id, re, im, tx, ty of similarities that are known already; they are tried before the triangles'. All pairs of images run at once.
+    seeds: image_id, re, im, tx, ty of similarities that are known already; they are tried before the triangles'. The first good hypothesis ends an image's votes,
+    see consensus.Stop; frames: image_id, width, height of the targets, without which they have no end. All pairs of images run at once.
     """
     ref, tgt = enough(ref, tgt, least)
-    hyps = hypotheses(ref, tgt, most).select(*KEY, F.col("hyp").cast("bigint").alias("hyp"), "re", "im", "tx", "ty", "s")
+    hyps = hypotheses(ref, tgt, most, k, tol).select(*KEY, F.col("hyp").cast("bigint").alias("hyp"), "re", "im", "tx", "ty", "s")
     if seeds is not None:
         turn = Window.partitionBy(*KEY).orderBy("re", "im", "tx", "ty")
         hyps = hyps.unionByName(seeds.select(*KEY, (-F.row_number().over(turn)).cast("bigint").alias("hyp"), "re", "im", "tx", "ty", F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("s")))
     hyps = settled(hyps)
-    counted = settled(votes(hyps, ref, tgt).join(hyps, [*KEY, "hyp"]))
+    counted = settled(votes(hyps, ref, tgt, frames, consensus.Stop(least_r=least_r)).join(hyps, [*KEY, "hyp"]))
     # Of equal numbers of pairs a seed goes first, then the closest look-alike.
     order = F.struct("n_pairs", F.when(F.col("hyp") < 0, F.lit(1)).otherwise(0).alias("seeded"), (-F.col("hyp")).alias("turn"), "re", "im", "tx", "ty", "s")
     best = counted.groupBy(*KEY).agg(F.max(order).alias("b")).select(*KEY, "b.*").where(F.col("n_pairs") >= least)
@@ -135,26 +136,46 @@ def match_table(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int =
     return settled(refitted(best, ref, tgt, rounds).join(told, list(KEY)))
 
 
-def match_pairs(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4, model: str = "auto", seeds: DataFrame | None = None) -> DataFrame:
-    """image_id, model, n_inliers, scale, rotation_deg, tx, ty, rmse_tgt, rmse_ref, median_ref, max_ref, heldout_tgt, heldout_ref, uniqueness, seeded and t00..t22 for
-    every pair of images with at least `least` craters on both sides and as many pairs.
+def inverse_matrix() -> list[Column]:
+    """The inverse of t00..t22, row by row, with 1 at its end."""
+    t = {c: F.col(c) for c in MATRIX}
+    minor = lambda a, b, c, d: t[f"t{a}"] * t[f"t{d}"] - t[f"t{b}"] * t[f"t{c}"]
+    rows = [minor("11", "12", "21", "22"), -minor("01", "02", "21", "22"), minor("01", "02", "11", "12"), -minor("10", "12", "20", "22"), minor("00", "02", "20", "22"), -minor("00", "02", "10", "12"), minor("10", "11", "20", "21"), -minor("00", "01", "20", "21"), minor("00", "01", "10", "11")]
+    return [r / rows[8] for r in rows]
 
-    Empty catalogues give an empty result.
-    """
-    pairs = match_table(ref, tgt, most, rounds, least, seeds)
-    placed = settled(coordinates(pairs, ref, tgt))
+
+def scale_of_matrix() -> Column:
+    return F.sqrt(F.abs(F.col("t00") * F.col("t11") - F.col("t01") * F.col("t10")))
+
+
+def errors(placed: DataFrame, matrices: DataFrame) -> DataFrame:
+    """placed (coordinates()) with their image's t00..t22, its scale and the distance e in the target."""
+    at = mapped(placed.join(matrices.select(*KEY, *MATRIX), list(KEY))).withColumn("scale", scale_of_matrix())
+    return at.withColumn("e", F.sqrt((F.col("px") - F.col("u")) * (F.col("px") - F.col("u")) + (F.col("py") - F.col("v")) * (F.col("py") - F.col("v"))))
+
+
+def summarised(pairs: DataFrame, placed: DataFrame, model: str = "auto", matrices: DataFrame | None = None) -> DataFrame:
+    """image_id, model, n_inliers, scale, rotation_deg, tx, ty, rmse_tgt, rmse_ref, median_ref, max_ref, heldout_tgt, heldout_ref, uniqueness, seeded and t00..t22 of matches
+    (match_table()) and their coordinates. matrices: image_id, t00..t22 that are taken in place of the fit, where given."""
     chosen = models(placed, model)
-    scale = F.sqrt(F.abs(F.col("t00") * F.col("t11") - F.col("t01") * F.col("t10")))
-    errors = mapped(placed.join(chosen.drop("n"), list(KEY))).withColumn("e", F.sqrt((F.col("px") - F.col("u")) * (F.col("px") - F.col("u")) + (F.col("py") - F.col("v")) * (F.col("py") - F.col("v")))).withColumn("s", scale)
-    stats = residual_stats(errors).where(F.col("n") >= least)
+    if matrices is not None:
+        other = matrices.select(*KEY, F.struct(*MATRIX).alias("own"))
+        chosen = chosen.join(other, list(KEY), "left").select(*KEY, "n", "model", "loo_rmse", *(F.coalesce(F.col(f"own.{c}"), F.col(c)).alias(c) for c in MATRIX))
+    stats = residual_stats(errors(placed, chosen).withColumnRenamed("scale", "s"))
     told = pairs.groupBy(*KEY).agg(F.max("n_second").alias("n_second"), F.max("seeded").alias("seeded"))
-    out = stats.join(chosen.drop("n"), list(KEY)).join(told, list(KEY)).withColumn("s", scale)
+    out = stats.join(chosen.drop("n"), list(KEY)).join(told, list(KEY)).withColumn("s", scale_of_matrix())
     return out.select(
         *KEY, "model", F.col("n").alias("n_inliers"), F.col("s").alias("scale"), F.degrees(F.atan2("t10", "t00")).alias("rotation_deg"), F.col("t02").alias("tx"), F.col("t12").alias("ty"),
         "rmse_tgt", "rmse_ref", (F.col("median_tgt") / F.col("s")).alias("median_ref"), (F.col("max_tgt") / F.col("s")).alias("max_ref"), F.col("loo_rmse").alias("heldout_tgt"), (F.col("loo_rmse") / F.col("s")).alias("heldout_ref"),
         (F.col("n") / F.greatest("n", "n_second", F.lit(1))).alias("uniqueness"), "seeded", *MATRIX)
 
 
+def match_pairs(ref: DataFrame, tgt: DataFrame, most: int = 7000, rounds: int = 4, least: int = 4, model: str = "auto", seeds: DataFrame | None = None, frames: DataFrame | None = None) -> DataFrame:
+    """summarised() of every pair of images with at least `least` craters on both sides and as many pairs. Empty catalogues give an empty result."""
+    pairs = match_table(ref, tgt, most, rounds, least, seeds, frames)
+    return summarised(pairs, settled(coordinates(pairs, ref, tgt)), model).where(F.col("n_inliers") >= least)
+
+
 def match_learned(ref: DataFrame, tgt: DataFrame, largest: int = 45, tol: float = 0.06, most: int = 4000, least: int = 4) -> DataFrame:
     """image_id, n_inliers, scale, rotation_deg, tx, ty, rmse, inlier_ratio by the triangles of the `largest` craters of either side.
 
@@ -179,12 +200,25 @@ def match_learned(ref: DataFrame, tgt: DataFrame, largest: int = 45, tol: float
     return out.select(*KEY, F.col("n").alias("n_inliers"), F.sqrt(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("scale"), F.degrees(F.atan2("im", "re")).alias("rotation_deg"), "tx", "ty", F.col("rmse_tgt").alias("rmse"), (F.col("n") / F.least("a", "b")).alias("inlier_ratio"))
 
 
-def visible(ref: DataFrame, sims: DataFrame, width: float, height: float, min_r: float = 8.0) -> DataFrame:
-    """Reference craters with in_frame: their image lies in the target's frame, less a twentieth of its shorter side around, and is not too small."""
-    margin = 0.05 * min(width, height)
-    at = moved(ref.join(sims.select(*KEY, "re", "im", "tx", "ty", "s"), list(KEY)), "cx", "cy")
-    inside: Column = (F.col("px") > -margin) & (F.col("px") < width + margin) & (F.col("py") > -margin) & (F.col("py") < height + margin)
-    return at.withColumn("in_frame", inside & (F.col("r") * F.col("s") >= 0.8 * min_r))
+def visible(craters: DataFrame, matrices: DataFrame, frames: DataFrame, min_r: float = 8.0) -> DataFrame:
+    """craters (image_id, cx, cy, r) with in_frame: their image under t00..t22 lies in the other side's frame (image_id, width, height), less a twentieth of its shorter side
+    around, and its radius, by the matrix's scale, is at least 0.8 of min_r."""
+    at = mapped(craters.join(matrices.select(*KEY, *MATRIX), list(KEY)).join(frames.select(*KEY, "width", "height"), list(KEY)), "cx", "cy")
+    m = 0.05 * F.least("width", "height")
+    inside = (F.col("px") > -m) & (F.col("px") < F.col("width") + m) & (F.col("py") > -m) & (F.col("py") < F.col("height") + m)
+    return at.withColumn("in_frame", inside & (F.col("r") * scale_of_matrix() >= 0.8 * min_r))
+
+
+def visibility(ref: DataFrame, tgt: DataFrame, summary: DataFrame, frames: DataFrame, min_r: float = 8.0) -> DataFrame:
+    """image_id, n_visible_ref, n_visible_tgt and inlier_ratio, the matches over the smaller of the two. summary: image_id, n_inliers, t00..t22; frames: image_id, wa, ha, wb, hb."""
+    back = summary.select(*KEY, *(c.alias(n) for c, n in zip(inverse_matrix(), MATRIX)))
+    # Lengths shrink by the matrix's own scale, which that of the inverse, ending in 1, need not be the reciprocal of.
+    here = summary.select(*KEY, scale_of_matrix().alias("scale"))
+    a = visible(ref, summary, frames.select(*KEY, F.col("wb").alias("width"), F.col("hb").alias("height")), min_r)
+    b = visible(tgt, back, frames.select(*KEY, F.col("wa").alias("width"), F.col("ha").alias("height")), -1.0).join(here, list(KEY)).withColumn("in_frame", F.col("in_frame") & (F.col("r") / F.col("scale") >= 0.8 * min_r))
+    n = lambda df, name: df.groupBy(*KEY).agg(F.count_if("in_frame").alias(name))
+    out = summary.select(*KEY, "n_inliers").join(n(a, "n_visible_ref"), list(KEY)).join(n(b, "n_visible_tgt"), list(KEY))
+    return out.select(*KEY, "n_visible_ref", "n_visible_tgt", (F.col("n_inliers") / F.greatest(F.lit(1), F.least("n_visible_ref", "n_visible_tgt"))).alias("inlier_ratio"))
 
 
 def ladder(rungs: DataFrame, p: float = 0.5, least: int = 4) -> DataFrame:

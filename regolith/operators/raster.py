@@ -79,32 +79,42 @@ def best_shift(scores: DataFrame, keys: Sequence[str], least: float = 0.3) -> Da
 # ------------------------------------------------------------------ a target in its reference's frame
 
 
-def warped(target: DataFrame, matrices: DataFrame, frames: DataFrame) -> DataFrame:
-    """Tiles of the target's pixels in the reference's frame, with v (bilinear, 0 beyond the target) and valid (1 where the nearest pixel is the target's).
-
-    target: tiles of level 0; matrices: image_id and t00..t22 from the reference to the target; frames: image_id, height, width of the reference. Each new tile
-    meets those of the target under its corners' image, which hold all of its places.
-    """
-    axis = lambda n: F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col(n) / SIDE) - 1).cast("bigint"))
-    new = frames.select("image_id", "height", "width", F.explode(axis("height")).alias("ty")).select("*", F.explode(axis("width")).alias("tx"))
-    side = lambda t, n: F.least(F.lit(SIDE), F.col(n) - F.col(t) * SIDE).cast("bigint")
-    new = new.select("image_id", F.lit(0).cast("bigint").alias("level"), "ty", "tx", side("ty", "height").alias("h"), side("tx", "width").alias("w"), "height", "width").join(matrices, "image_id")
-    t = [f"t{i}{j}" for i in range(3) for j in range(3)]
+def tiles_under(new: DataFrame, target: DataFrame, matrices: DataFrame, slack: int = 2) -> DataFrame:
+    """Rows of new (PLACE columns and v, which becomes own) for each tile of the target (sy, sx, sh, sw, v; th, tw: the target's size) that lies under its corners' image and
+    `slack` pixels around; one row with nulls where none does. matrices: image_id, t00..t22 from new to target; they come along."""
+    new = new.select(*PLACE, F.col("v").alias("own")).join(matrices, "image_id")
 
     def at(x: Column, y: Column) -> tuple[Column, Column]:
-        m = [F.col(c) for c in t]
+        m = [F.col(c) for c in _MATRIX]
         w = m[6] * x + m[7] * y + m[8]
         return (m[0] * x + m[1] * y + m[2]) / w, (m[3] * x + m[4] * y + m[5]) / w
 
     ends = [at(F.col("tx") * SIDE + F.col("w") * i, F.col("ty") * SIDE + F.col("h") * j) for i in (0, 1) for j in (0, 1)]
     size = target.groupBy("image_id").agg(F.max("height").alias("th"), F.max("width").alias("tw"))
     last = lambda n: F.ceil(F.col(n) / SIDE) - 1
-    bound = lambda k, n: (F.greatest(F.lit(0), F.floor((F.least(*(e[k] for e in ends)) - 2) / SIDE)).cast("bigint"), F.least(last(n), F.floor((F.greatest(*(e[k] for e in ends)) + 2) / SIDE)).cast("bigint"))
+    bound = lambda k, n: (F.greatest(F.lit(0), F.floor((F.least(*(e[k] for e in ends)) - slack) / SIDE)).cast("bigint"), F.least(last(n), F.floor((F.greatest(*(e[k] for e in ends)) + slack) / SIDE)).cast("bigint"))
     (x0, x1), (y0, y1) = bound(0, "tw"), bound(1, "th")
     span = lambda a, b: F.when(a <= b, F.sequence(a, b)).otherwise(F.array(F.lit(-1).cast("bigint")))
     want = new.join(size, "image_id").withColumns({"xs": span(x0, x1), "ys": span(y0, y1)}).withColumn("sy", F.explode("ys")).withColumn("sx", F.explode("xs")).drop("xs", "ys")
     source = target.select("image_id", F.col("ty").alias("sy"), F.col("tx").alias("sx"), F.col("h").alias("sh"), F.col("w").alias("sw"), "v")
-    met = want.join(source, ["image_id", "sy", "sx"], "left")
+    return want.join(source, ["image_id", "sy", "sx"], "left")
+
+
+_MATRIX = [f"t{i}{j}" for i in range(3) for j in range(3)]
+
+
+def warped(target: DataFrame, matrices: DataFrame, frames: DataFrame) -> DataFrame:
+    """Tiles of the target's pixels in the reference's frame, with v (bilinear, 0 beyond the target) and valid (1 where the nearest pixel is the target's).
+
+    target: tiles of level 0; matrices: image_id and t00..t22 from the reference to the target; frames: image_id, height, width of the reference. Each new tile
+    meets those of the target under its corners' image, which hold all of its places.
+    """
+    axis = lambda n: F.sequence(F.lit(0).cast("bigint"), (F.ceil(F.col(n) / SIDE) - 1).cast("bigint"))
+    new = frames.select("image_id", "height", "width", F.explode(axis("height")).alias("ty")).select("*", F.explode(axis("width")).alias("tx"))
+    side = lambda t, n: F.least(F.lit(SIDE), F.col(n) - F.col(t) * SIDE).cast("bigint")
+    new = new.select("image_id", F.lit(0).cast("bigint").alias("level"), "ty", "tx", side("ty", "height").alias("h"), side("tx", "width").alias("w"), "height", "width", F.lit(None).cast("array<double>").alias("v"))
+    t = _MATRIX
+    met = tiles_under(new, target, matrices.select("image_id", *t)).drop("own")
 
     def run(key: tuple, unit: pa.Table) -> pa.Table:
         rows = unit.to_pylist()

@@ -165,11 +165,11 @@ def detection_report(detections: DataFrame, truth: DataFrame, tol: float = 0.25)
     return both.select("image_id", zero("n_found").alias("n_found"), zero("n_truth").alias("n_truth"), (zero("n_det") - zero("n_found")).alias("n_extra"), "mean_d")
 
 
-def select_pattern(craters: DataFrame, width: float, height: float, min_r: float = 8.0, max_frac: float = 0.35, most: int = 80) -> DataFrame:
-    """The largest craters of an image that lie well inside its frame; ties go to the smaller id."""
-    m = 0.7 * F.col("r")
-    inside = (F.col("cx") - m >= 0) & (F.col("cy") - m >= 0) & (F.col("cx") + m <= width) & (F.col("cy") + m <= height)
-    fit = craters.where((F.col("r") >= min_r) & (F.col("r") <= max_frac * min(width, height)) & inside)
+def select_pattern(craters: DataFrame, width: float | Column, height: float | Column, min_r: float = 8.0, max_frac: float = 0.35, most: int = 80) -> DataFrame:
+    """The largest craters of an image that lie well inside its frame, given for all or by columns; ties go to the smaller id."""
+    m, wide, high = 0.7 * F.col("r"), *(x if isinstance(x, Column) else F.lit(float(x)) for x in (width, height))
+    inside = (F.col("cx") - m >= 0) & (F.col("cy") - m >= 0) & (F.col("cx") + m <= wide) & (F.col("cy") + m <= high)
+    fit = craters.where((F.col("r") >= min_r) & (F.col("r") <= max_frac * F.least(wide, high)) & inside)
     order = Window.partitionBy("image_id").orderBy(F.desc("r"), "crater_id")
     return fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 

@@ -165,9 +165,10 @@ put("match_pair", f"""SELECT f.image_id, st.n AS n_inliers, {fx('f.s', '1e3')} A
     _placed("pl", "p4"), _sim("f", "pl", "image_id"), _ERR.format("pl", "f"), _STATS, _FOLD, _LOO_S)
 put("confidence_ladder", f"""SELECT image_id, CAST(k AS BIGINT) AS rung, {fx('c')} AS conf_min, n FROM (SELECT image_id, k, c, count(*) AS n FROM det, (VALUES (0, 0.5e0), (1, 0.4e0), (2, 0.3e0), (3, 0.25e0)) b(k, c)
 WHERE conf >= c GROUP BY image_id, k, c HAVING count(*) >= 60) q QUALIFY row_number() OVER (PARTITION BY image_id ORDER BY k) = 1""", _DET)
-put("visible_inlier_ratio", f"""SELECT image_id, vis, n, {fx('n / greatest(1, least(vis, m))')} AS ratio FROM vis JOIN (SELECT image_id, count(*) AS m FROM tgt GROUP BY image_id) b USING (image_id)
-JOIN (SELECT image_id, count(*) AS n FROM m GROUP BY image_id) c USING (image_id)""", *_PAIRS,
-    f"""vis AS (SELECT image_id, count(*) FILTER (px > -45 AND px < {FRAME} + 45 AND py > -45 AND py < {FRAME} + 45 AND r * s >= 6.4) AS vis FROM m_pts GROUP BY image_id)""")
+_INSIDE = f"{{0}} > -0.05 * {FRAME} AND {{0}} < 1.05 * {FRAME} AND {{1}} > -0.05 * {FRAME} AND {{1}} < 1.05 * {FRAME}"
+put("visible_inlier_ratio", f"""SELECT image_id, va.n AS n_visible_ref, vb.n AS n_visible_tgt, {fx('c.n / greatest(1, least(va.n, vb.n))')} AS inlier_ratio FROM va JOIN vb USING (image_id) JOIN (SELECT image_id, count(*) AS n FROM m GROUP BY image_id) c USING (image_id)""", *_PAIRS,
+    f"va AS (SELECT image_id, count(*) FILTER ({_INSIDE.format('re * cx - im * cy + tx', 'im * cx + re * cy + ty')} AND r * s >= 0.8 * 8) AS n FROM ref JOIN truth USING (image_id) GROUP BY image_id)",
+    f"vb AS (SELECT image_id, count(*) FILTER ({_INSIDE.format('(re * (cx - tx) + im * (cy - ty)) / (s * s)', '(re * (cy - ty) - im * (cx - tx)) / (s * s)')} AND r / s >= 0.8 * 8) AS n FROM tgt JOIN truth USING (image_id) GROUP BY image_id)")
 put("coverage_3x3", f"""SELECT image_id, count(DISTINCT floor(v * 3 / {FRAME}) * 3 + floor(u * 3 / {FRAME})) AS n_hit, {fx(f'count(DISTINCT floor(v * 3 / {FRAME}) * 3 + floor(u * 3 / {FRAME})) / 9e0')} AS coverage
 FROM pl WHERE u >= 0 AND u < {FRAME} AND v >= 0 AND v < {FRAME} GROUP BY image_id""", *_PAIRS)
 _TRIM = """e AS (SELECT *, sqrt(dx * dx + dy * dy) AS e FROM nodes), md AS (SELECT pair_id, median(e) AS med FROM e GROUP BY pair_id),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import settled
-from ..operators import fits, geo, labels, learning, matching, metrics, patterns, raster, spatial, triangles
+from ..operators import fits, geo, labels, learning, matching, metrics, patterns, raster, registration, spatial, triangles
 from ..sources import adapters
 
 FRAME = 900.0
@@ -160,13 +160,13 @@ def hypothesis_winner(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def match_pair(s: SparkSession, d: str) -> DataFrame:
-    out = matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES, model="similarity")
+    out = matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES, model="similarity", frames=_frames(_tgt(s, d)))
     return out.select("image_id", "n_inliers", *(fixed(c, 1e3).alias(c) for c in ("scale", "rotation_deg", "tx", "ty", "rmse_tgt", "rmse_ref", "heldout_tgt")), fixed("uniqueness").alias("uniqueness"))
 
 
 @query
 def match_pair_refined(s: SparkSession, d: str) -> DataFrame:
-    return matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES)
+    return matching.match_pairs(_ref(s, d), _tgt(s, d), HYPOTHESES, frames=_frames(_tgt(s, d)))
 
 
 @query
@@ -206,12 +206,24 @@ def confidence_ladder(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def visible_inlier_ratio(s: SparkSession, d: str) -> DataFrame:
+    """Of the true transforms: matches over the craters that could be seen from either side."""
     ref, tgt = _ref(s, d), _tgt(s, d)
-    seen = matching.visible(ref, _truth(ref), FRAME, FRAME).groupBy("image_id").agg(F.count_if("in_frame").alias("vis"))
-    n = _pairs(s, d).groupBy("image_id").agg(F.count("*").alias("n"))
-    size = tgt.groupBy("image_id").agg(F.count("*").alias("m"))
-    out = seen.join(size, "image_id").join(n, "image_id")
-    return out.select("image_id", "vis", "n", fixed(F.col("n") / F.greatest(F.lit(1), F.least("vis", "m"))).alias("ratio"))
+    n = _pairs(s, d).groupBy("image_id").agg(F.count("*").alias("n_inliers"))
+    summary = matching.matrices(_truth(ref), "similarity").join(n, "image_id")
+    out = matching.visibility(ref, tgt, summary, _sides(ref))
+    return out.select("image_id", "n_visible_ref", "n_visible_tgt", fixed("inlier_ratio").alias("inlier_ratio"))
+
+
+def _sides(ref: DataFrame) -> DataFrame:
+    return ref.select("image_id").distinct().select("image_id", *(F.lit(FRAME).alias(c) for c in ("wa", "ha", "wb", "hb")), F.lit(1.0).alias("scale_tgt"))
+
+
+@query
+def register_catalogues(s: SparkSession, d: str) -> DataFrame:
+    """The whole registration of catalogues whose craters are so unsure that images match on different rungs, and some on none."""
+    conf = lambda df: df.withColumn("conf", F.expr("(crater_id * 7919 % 1000) / 1000D * (0.3D + 0.1D * (image_id % 5))"))
+    ref, tgt = conf(_ref(s, d)), conf(_tgt(s, d))
+    return registration.from_catalogues(ref, tgt, _sides(ref))[0].drop(*matching.MATRIX)
 
 
 @query

@@ -8,7 +8,7 @@ from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.matching import MATRIX
+from ..operators.matching import MATRIX, inverse_matrix
 from ..operators.patterns import signatures
 from .tables import to_original
 
@@ -83,14 +83,6 @@ def read_project(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("complete map<string,boolean>").json(path).select(F.explode("complete").alias("image", "complete"))
 
 
-def inverse_matrix() -> list[Column]:
-    """The inverse of t00..t22, row by row, with 1 at its end."""
-    t = {c: F.col(c) for c in MATRIX}
-    minor = lambda a, b, c, d: t[f"t{a}"] * t[f"t{d}"] - t[f"t{b}"] * t[f"t{c}"]
-    rows = [minor("11", "12", "21", "22"), -minor("01", "02", "21", "22"), minor("01", "02", "11", "12"), -minor("10", "12", "20", "22"), minor("00", "02", "20", "22"), -minor("00", "02", "10", "12"), minor("10", "11", "20", "21"), -minor("00", "01", "20", "21"), minor("00", "01", "10", "11")]
-    return [r / rows[8] for r in rows]
-
-
 def _square(cells: list[Column]) -> Column:
     return F.array(*(F.array(*cells[k : k + 3]) for k in (0, 3, 6)))
 
