@@ -119,11 +119,15 @@ def _errors(name: Column, given: Column, tools: tuple[Tool, ...]) -> Column:
     return F.when(F.coalesce(_kind(given) != "object", F.lit(True)), F.array(F.lit("arguments are no object"))).otherwise(out)
 
 
+def _base(turns: DataFrame, *names: str) -> DataFrame:
+    base, _ = set_apart(turns, names, turns.columns)
+    return base.toDF("conv_id", "turn", "role", "text").withColumn("turn", F.col("turn").cast("bigint"))
+
+
 def parsed(turns: DataFrame, tools: tuple[Tool, ...] = TOOLS, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """conv_id, turn, role, text (without calls, if all could be read), calls (id, name, arguments as canonical JSON, depends_on, errors), n_malformed and, of
     results, result_of and result."""
-    base, _ = set_apart(turns, (conv_col, turn_col, role_col, text_col), turns.columns)
-    base = base.toDF("conv_id", "turn", "role", "text").withColumn("turn", F.col("turn").cast("bigint"))
+    base = _base(turns, conv_col, turn_col, role_col, text_col)
     blocks = F.when(F.contains("text", F.lit(OPEN)), F.regexp_extract_all("text", F.lit(_BLOCK), F.lit(1))).otherwise(_none())
     raw = base.withColumn("blocks", F.coalesce(blocks, _none()))
     read = F.filter(F.transform("blocks", F.try_parse_json), lambda v: F.try_variant_get(v, "$.name", "string").isNotNull())
@@ -211,14 +215,19 @@ def messages(turns: DataFrame, tools: tuple[Tool, ...] = TOOLS, conv_col: str =
 
     A result stands behind its call, and a turn with calls behind the results that they depend on; turns that depend on each other in a circle stay at their
     own places. Of an identifier that is called, or answered, more than once the first turn counts. Rows come sorted by conversation and order,
-    range-partitioned, so a conversation of any length is never gathered in one task or row. Null texts give messages without content, null turns come
+    range-partitioned, so a conversation of any length is never gathered in one task or row. Texts of any length are read whole. Null texts give messages without content, null turns come
     first, null conversations are one; rows that repeat give equal messages; an empty table gives an empty result. Other columns are not returned.
     """
-    read = parsed(turns, tools, conv_col, turn_col, role_col, text_col)
+    base = _base(turns, conv_col, turn_col, role_col, text_col)
+    # Only turns that can hold a call or a result are parsed, and that once.
+    special = F.coalesce(F.contains("text", F.lit(OPEN)) | (F.col("role") == "tool"), F.lit(False))
+    read = written(parsed(base.where(special), tools))
     called = _called(read)
     results = read.where("result_of is not null")
     answered = results.join(called, _on(results, called, "result_of"), "left").drop("of_conv", "call_id")
-    rows = answered.unionByName(read.where("result_of is null").withColumn("call_turn", F.lit(None).cast("bigint")))
+    none = {c: F.lit(None).cast(read.schema[c].dataType) for c in ("result_of", "result")}
+    plain = base.where(~special).withColumns({"calls": F.array().cast(read.schema["calls"].dataType), "n_malformed": F.lit(0).cast("bigint"), **none})
+    rows = answered.unionByName(read.where("result_of is null").unionByName(plain).withColumn("call_turn", F.lit(None).cast("bigint")))
     edges = written(_dependences(read))
     rows = rows.withColumns({"anchor_turn": F.col("turn"), "step": F.lit(0).cast("bigint")})
     if not edges.isEmpty():

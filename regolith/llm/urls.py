@@ -77,10 +77,10 @@ def judged(pages: DataFrame, rules: DataFrame | tuple[Rule, ...], url_col: str =
     """pages with host, path, rule (the winner's name, null if none fits) and verdict; columns of pages with these names, in any case, are replaced.
     rules: any number, as a table of the columns RULES, or a tuple; of fitting rules the highest rank wins, then the lowest rule_id.
 
-    Each rule is filed under that literal of its own which the fewest URLs have, counted over all URLs. Tokens of the distinct hosts and paths fetch the rules filed
-    under them, in a join that the planner broadcasts while the rules are few and splits where a token is in many URLs; only fetched rules run their expressions,
-    and only URLs that a rule fits are joined back. Rules without literals run on every URL. Null URLs and URLs without '://' have an empty host and path,
-    which no place fits. Rows that repeat are judged alike; an empty table, or no rules, gives an empty result, or the default.
+    Each rule is filed under that literal of its own which the fewest URLs have, counted over all URLs. URLs' tokens fetch the rules filed under them, in a
+    join that the planner broadcasts while the rules are few and splits where a token is in many URLs; only fetched rules run their expressions, and only
+    hosts and paths that a rule fits, each with its best, are shuffled and joined back. Rules without literals run on every URL. Null URLs and URLs without '://' have an empty host and path,
+    which no place fits. URLs of any length are read whole. Rows that repeat are judged alike; an empty table, or no rules, gives an empty result, or the default.
     """
     spark = pages.sparkSession
     rules = rule_table(spark, rules) if isinstance(rules, tuple) else rules.select(*(x.split()[0] for x in RULES.split(", ")))
@@ -88,8 +88,9 @@ def judged(pages: DataFrame, rules: DataFrame | tuple[Rule, ...], url_col: str =
     apart, rest = set_apart(pages, (url_col,), added)
     base = apart.withColumns({"host": host_of(F.col("in0")), "path": path_of(F.col("in0"))})
     subject = F.concat("host", "path")
-    tokens = F.array_union(F.regexp_extract_all(F.lower(subject), F.lit("[a-z0-9]+"), F.lit(0)), F.array(F.lit("")))
-    each = written(base.select("host", "path").distinct().select("host", "path", tokens.alias("tokens")))
+    # A-Z alone, as hosts: other capitals, such as the Kelvin sign, stay what rules take them for.
+    tokens = F.array_union(F.regexp_extract_all(F.translate(subject, _UPPER, _LOWER), F.lit("[a-z0-9]+"), F.lit(0)), F.array(F.lit("")))
+    each = base.select("host", "path", tokens.alias("tokens"))
     # Counted before they meet the rules: a token that a third of all URLs have is combined where it lies.
     counts = each.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     index = written(filed(rules, counts))

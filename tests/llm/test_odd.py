@@ -129,3 +129,11 @@ def test_mixing_against_brute_force_with_repeats(spark):
     for r in mixing.mixed(docs, 0.5).collect():
         got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + 1
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_only_the_letters_a_to_z_are_lowered_in_urls(spark):
+    """A Kelvin sign before a word is no letter of a word, for the rules' tokens as for their patterns; URLs of 100,000 signs."""
+    hosts = ["Kcasino.com", "CASINO.com", "kcasino.com", "casinoİ.net", "a." * 30_000 + "porn.org", "x.org"]
+    rows = [(k, f"http://{h}/{'p' * 50_000 if k == 5 else ''}", None) for k, h in enumerate(hosts)]
+    got = {r.page_id: r.verdict for r in urls.judged(spark.createDataFrame(rows, "page_id bigint, url string, html string"), urls.WORDS).collect()}
+    assert got == {0: "block", 1: "block", 2: "allow", 3: "block", 4: "block", 5: "allow"}
