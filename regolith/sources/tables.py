@@ -60,10 +60,19 @@ def geo_grid(spark: SparkSession, path: str) -> DataFrame:
 
 
 def patterns(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (pattern_id, name, image, m, x, y, r); m = 0 is the anchor."""
-    raw = spark.read.schema(PATTERNS).json(path, multiLine=True)
-    each = raw.select(F.col("id").alias("pattern_id"), "name", "image", F.posexplode(F.concat(F.array("anchor"), "members")).alias("m", "c"))
-    return each.select("pattern_id", "name", "image", "m", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), F.col("c")[2].alias("r"))
+    """Rows (pattern_id, name, image, scale, quality, ambiguous, m, x, y, r); m = 0 is the anchor. Files are lines of one pattern each, or one array of patterns each; a file of either kind is
+    one row for a moment. Empty where there is no file yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        raw = spark.createDataFrame([], PATTERNS)
+    else:
+        files = spark.read.text(path, wholetext=True)
+        whole = F.from_json("value", f"array<struct<{PATTERNS.replace(' ', ':').replace(',:', ',')}>>")
+        lines = F.transform(F.filter(F.split("value", "\n"), lambda x: F.trim(x) != ""), lambda x: F.from_json(x, PATTERNS))
+        raw = files.select(F.explode(F.when(F.ltrim("value").startswith("["), whole).otherwise(lines)).alias("p")).where("p.id is not null").select("p.*")
+    facts = ["name", "image", "scale", "quality", "ambiguous"]
+    each = raw.select(F.col("id").alias("pattern_id"), *facts, F.posexplode(F.concat(F.array("anchor"), F.coalesce("members", F.array().cast("array<array<double>>")))).alias("m", "c"))
+    return each.select("pattern_id", *facts, "m", F.col("c")[0].alias("x"), F.col("c")[1].alias("y"), F.col("c")[2].alias("r"))
 
 
 def images(spark: SparkSession, path: str) -> DataFrame:

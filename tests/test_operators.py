@@ -1,3 +1,4 @@
+import itertools
 import math
 
 import numpy as np
@@ -5,6 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from regolith.checkpoints import settled
 from regolith.operators import fits, geo, labels, matching, metrics, patterns, raster, spatial, triangles
 from regolith.sources import outputs, tables
 
@@ -273,6 +275,15 @@ def test_patterns_with_a_probe_seeds_and_ambiguity(spark):
         assert r.found and r.n_probed == 0 and asked[k].n_probed == r.n - r.n_hit > 0 and asked[k].score == 1 and abs(r.scale - 0.7) < 1e-6
     seeds = patterns.library_seeds(pats.drop("image_id"), ref, turned).collect()
     assert len(seeds) == 2 and all(abs(s.re - 0.7) < 1e-6 and abs(s.im) < 1e-6 and abs(s.tx - 40) < 1e-3 for s in seeds)
+    assert {(s.source, s.score) for s in seeds} == {(f"pattern {k} (found in both)", 1.0) for k in plain}
+    # Drawn on the reference, at half its scale, or on the target: looked up by the picture, and searched on the other side alone.
+    library = pats.drop("image_id").withColumns({"image": F.lit("a.png"), "scale": F.lit(0.5), "name": F.lit("P"), "x": F.col("x") / 2, "y": F.col("y") / 2, "r": F.col("r") / 2})
+    sides = spark.createDataFrame([(0, "a.png", "b.png", 1.0, 1.0)], "image_id bigint, ref_image string, tgt_image string, scale_ref double, scale_tgt double")
+    for names, how in ((("a.png", "b.png"), "reference -> target"), (("b.png", "a.png"), "target -> reference")):
+        here, there = (ref, turned) if names[0] == "a.png" else (turned, ref)
+        found = patterns.library_seeds(library, here, there, sides=sides.withColumns({"ref_image": F.lit(names[0]), "tgt_image": F.lit(names[1])})).collect()
+        factor = 0.7 if how.startswith("ref") else 1 / 0.7
+        assert {s.source for s in found} == {f"pattern P ({how})"} and len(found) == 2 and all(abs(s.re - factor) < 1e-6 and s.score == 1 for s in found)
     twice = ref.union(ref.selectExpr("crater_id + 1000", "image_id", "cx + 2000", "cy", "r"))
     assert {r.ambiguous for r in patterns.ambiguous(pats, twice).collect()} == {True}
     assert {r.ambiguous for r in patterns.ambiguous(pats, ref).collect()} == {False}
@@ -443,3 +454,84 @@ def test_neighbours_of_a_hundred_thousand_craters_with_uneven_density(spark):
         d[i] = np.inf
         first = np.lexsort((np.arange(n), d))[:8]
         assert rows.sort_values("rank")["j"].tolist() == first.tolist()
+
+
+def plain_located(q, p, tol=0.22, most=2500):
+    """Every two craters of a pattern against every two of an image, one by one; the best proposal, refitted."""
+    scored = []
+    for i, j in itertools.combinations(range(len(q)), 2):
+        length, some = math.dist(q[i][:2], q[j][:2]), []
+        for a, b in itertools.permutations(range(len(p)), 2):
+            d = math.dist(p[a][:2], p[b][:2])
+            la, lb, ld = math.log(p[a][2] / q[i][2]), math.log(p[b][2] / q[j][2]), math.log(d / length)
+            if abs(la - lb) < 0.45 and abs(ld - la) < 0.45 and abs(ld - lb) < 0.45:
+                some.append((abs(ld - la), a, b))
+        for _, a, b in sorted(some)[:most]:
+            z = complex(*np.subtract(p[b][:2], p[a][:2])) / complex(*np.subtract(q[j][:2], q[i][:2]))
+            scored.append((z, complex(*p[a][:2]) - z * complex(*q[i][:2])))
+
+    def look(z, t):
+        out = []
+        for x, y, r in q:
+            at = z * complex(x, y) + t
+            d, k = min((abs(at - complex(*c[:2])), k) for k, c in enumerate(p))
+            out.append((d, k, d < max(tol * r * abs(z), 2.5) and 0.65 < p[k][2] / (r * abs(z)) < 1.55))
+        return out
+
+    counted = [(sum(h for *_, h in o), z, t, o) for z, t in scored for o in [look(z, t)]]
+    counted = [c for c in counted if c[0] >= 3]
+    if not counted:
+        return None
+    n, z, t, o = min(counted, key=lambda c: (-c[0], np.mean([d for d, _, h in c[3] if h]), c[1].real, c[1].imag, c[2].real, c[2].imag))
+    for _ in range(3):
+        on = [(complex(*q[m][:2]), complex(*p[k][:2])) for m, (_, k, h) in enumerate(o) if h]
+        a, b = (np.array(v) for v in zip(*on))
+        z2 = (np.conj(a - a.mean()) * (b - b.mean())).sum() / (abs(a - a.mean()) ** 2).sum()
+        o2 = look(z2, b.mean() - z2 * a.mean())
+        if sum(h for *_, h in o2) < sum(h for *_, h in o):
+            break
+        z, o = z2, o2
+    hit = sum(h for *_, h in o)
+    return hit, abs(z), hit >= max(3, math.ceil(0.6 * len(q)))
+
+
+def test_patterns_in_many_images_against_all_pairs(spark):
+    """Forty patterns, in two blocks, in three images: places, counts and verdicts as from every pair of craters; and where only some are asked for."""
+    g = np.random.default_rng(2)
+    ref = spark.createDataFrame([(k, i, *map(float, (g.uniform(0, 600), g.uniform(0, 600), g.uniform(8, 40)))) for i in range(12) for k in range(i * 100, i * 100 + 25)], CRATERS)
+    pats = settled(patterns.as_patterns(patterns.proposed(ref, 4), ref).drop("image_id"))
+    images = ref.where("image_id < 3 and crater_id % 7 > 0").selectExpr("crater_id", "image_id", "0.8 * cx - 0.3 * cy + 50 AS cx", "0.3 * cx + 0.8 * cy AS cy", "r * sqrt(0.73) AS r")
+    shapes, scenes = {}, {}
+    for r in pats.orderBy("pattern_id", "m").collect():
+        shapes.setdefault(r.pattern_id, []).append((r.x, r.y, r.r))
+    for r in images.orderBy("crater_id").collect():
+        scenes.setdefault(r.image_id, []).append((r.cx, r.cy, r.r))
+    got = {(r.pattern_id, r.image_id): (r.n_hit, r.scale, r.found) for r in patterns.located(pats, images).collect()}
+    want = {(k, i): plain_located(q, p) for k, q in shapes.items() for i, p in scenes.items()}
+    want = {k: v for k, v in want.items() if v}
+    assert set(got) == set(want) and len(shapes) > 32 and {v[2] for v in want.values()} == {True, False}
+    for k, (hit, scale, found) in want.items():
+        assert got[k][0] == hit and got[k][2] == found and abs(got[k][1] - scale) < 1e-9
+    some = [k for n, k in enumerate(sorted(want)) if n % 5 == 0]
+    part = patterns.located(pats, images, asked=spark.createDataFrame(some, "pattern_id bigint, image_id bigint"))
+    assert {(r.pattern_id, r.image_id): (r.n_hit, r.scale, r.found) for r in part.collect()} == {k: got[k] for k in some}
+
+
+def test_a_library_comes_back_from_its_file(spark, tmp_path):
+    """Many patterns, written in several files, as lines; and as one array; an absent file; a pattern without members."""
+    ref = spark.createDataFrame(random_craters(120, 4), CRATERS)
+    members = patterns.as_patterns(patterns.proposed(ref, 40), ref).drop("image_id").withColumn("pattern_id", F.col("pattern_id").cast("string"))
+    members = members.unionByName(spark.createDataFrame([("alone", 0, 1.0, 2.0, 3.0)], members.schema))
+    facts = members.select("pattern_id").distinct().selectExpr("pattern_id", "'P' || pattern_id AS name", "'i.png' AS image", "0.5D AS scale", "0.8D AS quality", "false AS ambiguous")
+    outputs.write_patterns(members.repartition(3), facts, str(tmp_path / "lines"))
+    back = tables.patterns(spark, str(tmp_path / "lines"))
+    key = ["pattern_id", "m", "x", "y", "r"]
+    want = {tuple(r) for r in members.select(*key).collect()}
+    assert len({r[0] for r in want}) > 6 and {tuple(r) for r in back.select(*key).collect()} == want
+    assert {tuple(r) for r in back.select("pattern_id", "name", "image", "scale", "quality", "ambiguous").distinct().collect()} == {tuple(r) for r in facts.collect()}
+    lines = [x for f in sorted((tmp_path / "lines").glob("part-*")) for x in f.read_text().splitlines()]
+    (tmp_path / "patterns.json").write_text("[\n" + ",\n".join(lines) + "\n]")
+    assert {tuple(r) for r in tables.patterns(spark, str(tmp_path / "patterns.json")).select(*key).collect()} == want
+    assert tables.patterns(spark, str(tmp_path / "none.json")).count() == 0
+    found = patterns.located(back.where("pattern_id <> 'alone'").select(*key), ref.selectExpr("crater_id", "image_id", "cx + 9 AS cx", "cy", "r")).collect()
+    assert all(r.found for r in found) and len(found) == len({r[0] for r in want}) - 1
