@@ -301,8 +301,15 @@ def final_list(detections: DataFrame, manual: DataFrame, removed: DataFrame) ->
     return both.withColumn("id", (F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("r"), "cy", "cx")) - 1).cast("bigint"))
 
 
-def pooled(manual: DataFrame, detections: DataFrame, least: float = 0.25) -> DataFrame:
-    """image_id, cx, cy, r, source: a user's craters and detections of at least `least` that are none of them."""
+def pooled(labels: DataFrame, detections: DataFrame, least: float = 0.25) -> DataFrame:
+    """image_id, cx, cy, r, source: every crater known in an image. labels: image_id, cx, cy, r, label (1 a crater, 0 none); detections: image_id, det_id, cx, cy, r, conf.
+
+    All craters that a user has drawn; of the detections of at least `least` (a null conf counts as 1), in the order of det_id, each that is the same as nothing marked as no crater,
+    as no drawn crater and as no detection taken before it.
+    """
     cols = ["image_id", "cx", "cy", "r"]
-    rest = spatial.matching(detections.where(F.col("conf") >= least), manual, keep=False)
-    return manual.select(*cols, F.lit("manual").alias("source")).unionByName(rest.select(*cols, F.lit("ml").alias("source")))
+    sure = detections.where(F.coalesce("conf", F.lit(1.0)) >= least)
+    rest = spatial.matching(sure, labels, keep=False)
+    # Suppression goes by falling conf, so the order becomes the conf.
+    kept = spatial.nms(rest.select(*cols, "det_id", (-F.col("det_id")).cast("double").alias("conf")), of_new=True)
+    return labels.where("label = 1").select(*cols, F.lit("manual").alias("source")).unionByName(kept.select(*cols, F.lit("ml").alias("source")))

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -60,8 +58,15 @@ def scored(model: RandomForestClassificationModel, examples: DataFrame) -> DataF
     return out.withColumn("p", vector_to_array("probability")[1]).drop("vector", "rawPrediction", "probability", "prediction")
 
 
-def report(model_of, examples: DataFrame, folds: int, id_col: str) -> DataFrame:
-    """auc, precision and recall at 0.5, n over stratified folds: each is scored by a model of the others. model_of: a function of a training frame."""
+def report(model_of, examples: DataFrame, folds: int | None = None, id_col: str = "det_id") -> DataFrame:
+    """auc, precision and recall of p above 0.5, n and folds, over stratified folds: each is scored by a model of the others. model_of: a function of a training frame. folds: else as
+    many as five, one more than a sixth of the positives, or the negatives, whichever is least. Under two folds the figures are null."""
+    if folds is None:
+        n = examples.agg(F.count_if(F.col("label") == 1).alias("p"), F.count_if(F.col("label") == 0).alias("n")).first()
+        folds = min(5, n["p"] // 6 + 1, n["n"])
+    none = F.lit(None).cast("double")
+    if folds < 2:
+        return examples.agg(F.count("*").alias("n")).select(none.alias("auc"), none.alias("precision"), none.alias("recall"), "n", F.lit(folds).alias("folds"))
     order = Window.partitionBy("label").orderBy(F.xxhash64(id_col), id_col)
     cut = examples.withColumn("fold", F.pmod(F.row_number().over(order), F.lit(folds)))
     parts = [scored(model_of(cut.where(F.col("fold") != k)), cut.where(F.col("fold") == k)) for k in range(folds)]
@@ -69,10 +74,7 @@ def report(model_of, examples: DataFrame, folds: int, id_col: str) -> DataFrame:
     for p in parts[1:]:
         every = every.unionByName(p)
     auc = BinaryClassificationEvaluator(rawPredictionCol="p", labelCol="label").evaluate(every.withColumn("label", F.col("label").cast("double")))
-    hit = (F.col("p") >= 0.5).cast("int")
+    hit = (F.col("p") > 0.5).cast("int")
     sums = every.agg(F.sum(hit * F.col("label")).alias("tp"), F.sum(hit).alias("called"), F.sum("label").alias("real"), F.count("*").alias("n"))
-    return sums.select(F.lit(round(auc, 3)).alias("auc"), F.round(F.col("tp") / F.col("called"), 3).alias("precision"), F.round(F.col("tp") / F.col("real"), 3).alias("recall"), "n")
-
-
-def features_of(harmonics: DataFrame, columns: Sequence[str]) -> DataFrame:
-    return harmonics.withColumn("features", F.array(*columns))
+    part = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 3)).otherwise(0.0)
+    return sums.select(F.lit(round(auc, 3)).alias("auc"), part("tp", "called").alias("precision"), part("tp", "real").alias("recall"), "n", F.lit(folds).alias("folds"))

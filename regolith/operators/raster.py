@@ -162,9 +162,18 @@ def relit(px: DataFrame, seed: int = 0) -> DataFrame:
     ramp = 1 + between(3, 0.15, 0.7) * ((F.col("x") * F.cos(turn) + F.col("y") * F.sin(turn)) / (F.col("most") + 1) - 0.5)
     v = (F.pow(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("v") / 255.0)), between(1, 0.6, 1.7)) * ramp - 0.5) * between(4, 0.6, 1.4) + 0.5
     lit = g.select("image_id", "y", "x", v.alias("v"))
-    soft = _pixels(tiles.blurred(tiles.tiled(lit), 0.75)).withColumnRenamed("v", "soft")
+    # Each image's own blur, drawn from 0 to 1.2 and left out up to 0.3.
+    drawn = tiles.tiled(lit).withColumn("sigma", between(5, 0.0, 1.2))
+    margin = len(tiles.gauss(1.2)) // 2
+
+    def soften(a: np.ndarray, place: dict) -> list[np.ndarray]:
+        w = tiles.gauss(place["sigma"])
+        cut = margin - len(w) // 2
+        return [tiles.smooth(a[cut : a.shape[0] - cut, cut : a.shape[1] - cut], w)]
+
+    soft = _pixels(tiles.mapped(drawn.where("sigma > 0.3"), soften, margin, extra=("sigma",))).withColumnRenamed("v", "soft")
     normal = F.sqrt(-2.0 * F.log(unit(6, "y", "x"))) * F.cos(2 * math.pi * unit(7, "y", "x"))
-    both = lit.join(soft, ["image_id", "y", "x"]).withColumn("w", F.when(between(5, 0.0, 1.2) > 0.3, F.col("soft")).otherwise(F.col("v")) + normal * between(8, 0.0, 0.03))
+    both = lit.join(soft, ["image_id", "y", "x"], "left").withColumn("w", F.coalesce("soft", "v") + normal * between(8, 0.0, 0.03))
     return both.select("image_id", "y", "x", F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("w"))) * 255).alias("v"))
 
 

@@ -116,24 +116,37 @@ def one_to_one(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return pairs.withColumn("turn", F.row_number().over(order)).where("turn = 1").drop("turn")
 
 
-def _suppress(k: float):
+def _suppress(k: float, of_new: bool = False):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["conf", "det_id"], ascending=[False, True], kind="stable")
         x, y, r = (pdf[c].to_numpy() for c in ("cx", "cy", "r"))
+        # Kept circles by cell and size class: those of one crater have radii in ratios up to 1.67 and centres nearer than k of the larger.
+        size = np.floor(np.log(r) / np.log(1.67)).astype(int)
+        cells: dict[tuple[int, int, int], list[int]] = {}
         kept: list[int] = []
         for n in range(len(pdf)):
-            at = np.array(kept, int)
-            d, ratio = np.hypot(x[at] - x[n], y[at] - y[n]), r[at] / r[n]
+            near = []
+            for c in (size[n] - 1, size[n], size[n] + 1):
+                wide = k * 1.67 ** (max(c, size[n]) + 1)
+                side = k * 1.67 ** (c + 2)
+                for cx in range(int((x[n] - wide) // side), int((x[n] + wide) // side) + 1):
+                    for cy in range(int((y[n] - wide) // side), int((y[n] + wide) // side) + 1):
+                        near += cells.get((c, cx, cy), ())
+            at = np.array(near, int)
+            d, ratio = np.hypot(x[at] - x[n], y[at] - y[n]), r[n] / r[at] if of_new else r[at] / r[n]
             if not ((d < k * np.maximum(r[at], r[n])) & (ratio > 0.6) & (ratio < 1.67)).any():
                 kept.append(n)
+                side = k * 1.67 ** (size[n] + 2)
+                cells.setdefault((size[n], int(x[n] // side), int(y[n] // side)), []).append(n)
         return pdf.iloc[kept]
 
     return run
 
 
-def nms(detections: DataFrame, k: float = 0.5, keys: Sequence[str] = ("image_id",)) -> DataFrame:
-    """Greedy suppression: by falling conf (ties: smaller det_id), a detection stays unless it is the same crater as one that stays. A group is one image."""
-    return detections.groupBy(*keys).applyInPandas(_suppress(k), detections.schema)
+def nms(detections: DataFrame, k: float = 0.5, keys: Sequence[str] = ("image_id",), of_new: bool = False) -> DataFrame:
+    """Greedy suppression: by falling conf (ties: smaller det_id), a detection stays unless it is the same crater as one that stays, its radius being taken over the other's if of_new,
+    else the other's over its own (the bounds, 0.6 and 1.67, aren't quite each other's inverse). A group is one image."""
+    return detections.groupBy(*keys).applyInPandas(_suppress(k, of_new), detections.schema)
 
 
 def _assign(pdf_d: pd.DataFrame, pdf_t: pd.DataFrame, tol: float) -> pd.DataFrame:

@@ -1,7 +1,7 @@
 """Rasters as tiles: rows (image_id, level, ty, tx, h, w, height, width, v) with a tile's pixels in v, row by row.
 
-A filter runs on a tile with a margin of its neighbours' pixels, which meet in one group of bounded size; beyond the image's border pixels are mirrored without
-repeating the border's own. Images of any size are so many groups.
+A filter runs on a tile with a margin of its neighbours' pixels: strips as wide as the margin, which meet in one group of bounded size; beyond the image's border
+pixels are mirrored without repeating the border's own. Images of any size are so many groups.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..checkpoints import settled
+
 #: Pixels of a tile's side.
 SIDE = 256
 KEYS = ["image_id", "level", "ty", "tx"]
@@ -36,23 +38,23 @@ def pixels_of(tiles: DataFrame, columns: Sequence[str] = ("v",)) -> DataFrame:
     return each.select("image_id", "level", (F.col("ty") * SIDE + F.expr("k div w")).alias("y"), (F.col("tx") * SIDE + F.expr("k % w")).alias("x"), *(F.col(f"p.{c}").alias(c) for c in columns))
 
 
-def _assembled(unit: pa.Table, own: tuple[int, int], margin: int, fill: str, value: str) -> tuple[np.ndarray, dict[str, int]]:
-    """The tile `own` with a margin, from the rows of its neighbourhood. fill: mirror, edge or a number for what lies beyond the image."""
-    cols = {c: unit[c].to_pylist() for c in ("ty", "tx", "h", "w", "height", "width")}
+def _assembled(unit: pa.Table, own: tuple[int, int], margin: int, fill: str, value: str, extra: Sequence[str]) -> tuple[np.ndarray, dict]:
+    """The tile `own` with a margin, from its pixels and the strips of its neighbourhood. fill: mirror, edge or a number for what lies beyond the image."""
+    cols = {c: unit[c].to_pylist() for c in ("ty", "tx", "h", "w", "height", "width", "cy", "cx", "ch", "cw", *extra)}
     k = next(n for n in range(unit.num_rows) if (cols["ty"][n], cols["tx"][n]) == own)
-    place = {c: cols[c][k] for c in cols}
-    top, left = min(cols["ty"]) * SIDE, min(cols["tx"]) * SIDE
-    bottom, right = (max(t * SIDE + n for t, n in zip(cols[t], cols[n])) for t, n in (("ty", "h"), ("tx", "w")))
+    place = {c: cols[c][k] for c in ("ty", "tx", "h", "w", "height", "width", *extra)}
+    ys, xs = ([t * SIDE + c for t, c in zip(cols[t], cols[c])] for t, c in (("ty", "cy"), ("tx", "cx")))
+    top, left = min(ys), min(xs)
+    bottom, right = (max(c + n for c, n in zip(at, cols[size])) for at, size in ((ys, "ch"), (xs, "cw")))
     whole = np.zeros((bottom - top, right - left))
-    for n in range(unit.num_rows):
-        y, x = cols["ty"][n] * SIDE - top, cols["tx"][n] * SIDE - left
-        whole[y : y + cols["h"][n], x : x + cols["w"][n]] = np.asarray(unit[value][n].values, np.float64).reshape(cols["h"][n], cols["w"][n])
+    for n, (y, x) in enumerate(zip(ys, xs)):
+        whole[y - top :, x - left :][: cols["ch"][n], : cols["cw"][n]] = np.asarray(unit[value][n].values, np.float64).reshape(cols["ch"][n], cols["cw"][n])
     y0, x0 = own[0] * SIDE, own[1] * SIDE
     want = (y0 - margin, y0 + place["h"] + margin, x0 - margin, x0 + place["w"] + margin)
     have = (max(want[0], 0), min(want[1], place["height"]), max(want[2], 0), min(want[3], place["width"]))
     before, after = (have[0] - want[0], have[2] - want[2]), (want[1] - have[1], want[3] - have[3])
     mode = {"mirror": {"mode": "reflect"}, "edge": {"mode": "edge"}}.get(fill) or {"mode": "constant", "constant_values": float(fill)}
-    # Mirroring may need more of the image than the margin, where that is short on the other side.
+    # Mirroring may need more of the image than the margin, where that is short on the other side; then the strips hold all of it.
     if fill == "mirror" and (max(before[0], after[0]) >= have[1] - have[0] or max(before[1], after[1]) >= have[3] - have[2]):
         have = (max(top, 0), min(bottom, place["height"]), max(left, 0), min(right, place["width"]))
         cut = np.pad(whole[have[0] - top : have[1] - top, have[2] - left : have[3] - left], ((max(0, have[0] - want[0]), max(0, want[1] - have[1])), (max(0, have[2] - want[2]), max(0, want[3] - have[3]))), mode="reflect")
@@ -62,22 +64,41 @@ def _assembled(unit: pa.Table, own: tuple[int, int], margin: int, fill: str, val
     return np.pad(cut, ((before[0], after[0]), (before[1], after[1])), **mode), place
 
 
-def mapped(tiles: DataFrame, kernel: Callable[[np.ndarray, dict], Iterable[np.ndarray]], margin: int, columns: Sequence[str] = ("v",), fill: str = "mirror", value: str = "v") -> DataFrame:
-    """tiles with new columns for v: kernel takes a tile with its margin and the tile's numbers, and returns one array
-    for each column."""
+def _strips(tiles: DataFrame, margin: int, value: str, extra: Sequence[str]) -> DataFrame:
+    """Each tile for itself, whole, and for every tile around it that its pixels are a margin of (oy, ox) the part that is: value from row cy, ch rows, and column cx, cw columns."""
     reach = max(1, math.ceil(margin / SIDE))
     steps = range(-reach, reach + 1)
-    around = F.array(*(F.struct(F.lit(y).cast("bigint").alias("y"), F.lit(x).cast("bigint").alias("x")) for y in steps for x in steps))
+    around = F.array(*(F.struct(F.lit(y).cast("bigint").alias("y"), F.lit(x).cast("bigint").alias("x")) for y in steps for x in steps if margin or not (y or x)))
     last = lambda n: F.ceil(F.col(n) / SIDE) - 1
-    spread = tiles.withColumn("s", F.explode(around)).withColumns({"oy": F.col("ty") + F.col("s.y"), "ox": F.col("tx") + F.col("s.x")}).where((F.col("oy") >= 0) & (F.col("oy") <= last("height")) & (F.col("ox") >= 0) & (F.col("ox") <= last("width"))).drop("s")
+    spread = tiles.select(*PLACE, value, *extra, F.explode(around).alias("s")).withColumns({"oy": F.col("ty") + F.col("s.y"), "ox": F.col("tx") + F.col("s.x")})
+    spread = spread.where((F.col("oy") >= 0) & (F.col("oy") <= last("height")) & (F.col("ox") >= 0) & (F.col("ox") <= last("width")))
+
+    def part(step: str, size: str) -> tuple[Column, Column]:
+        """First and number of the pixels along an axis. The other tile begins `step` tiles on: what is nearer than the margin to it counts."""
+        gap = F.abs(F.col(step)) - 1
+        most = F.least(F.col(size), F.greatest(F.lit(0), margin - gap * SIDE))
+        after = F.greatest(F.lit(0), F.col(size) - F.greatest(F.lit(0), margin - gap * SIDE - (SIDE - F.col(size))))
+        first = F.when(F.col(step) > 0, after).otherwise(F.lit(0))
+        return first, F.when(F.col(step) == 0, F.col(size)).when(F.col(step) > 0, F.col(size) - after).otherwise(most)
+
+    (cy, ch), (cx, cw) = part("s.y", "h"), part("s.x", "w")
+    cut = spread.withColumns({"cy": cy.cast("bigint"), "ch": ch.cast("bigint"), "cx": cx.cast("bigint"), "cw": cw.cast("bigint")}).where("ch > 0 and cw > 0")
+    rows = F.sequence(F.col("cy"), F.col("cy") + F.col("ch") - 1)
+    some = F.flatten(F.transform(rows, lambda y: F.slice(value, (y * F.col("w") + F.col("cx") + 1).cast("int"), F.col("cw").cast("int"))))
+    return cut.withColumn(value, F.when((F.col("ch") == F.col("h")) & (F.col("cw") == F.col("w")), F.col(value)).otherwise(some)).drop("s")
+
+
+def mapped(tiles: DataFrame, kernel: Callable[[np.ndarray, dict], Iterable[np.ndarray]], margin: int, columns: Sequence[str] = ("v",), fill: str = "mirror", value: str = "v", extra: Sequence[str] = ()) -> DataFrame:
+    """tiles with new columns for v: kernel takes a tile with its margin and the tile's numbers, with those of the columns in extra, and returns one array for
+    each column. A tile sends its neighbours no more than the margin needs."""
 
     def run(key: tuple, unit: pa.Table) -> pa.Table:
         image, level, oy, ox = (k.as_py() for k in key)
-        a, place = _assembled(unit, (oy, ox), margin, fill, value)
+        a, place = _assembled(unit, (oy, ox), margin, fill, value, extra)
         out = [image, level, oy, ox, *(place[c] for c in PLACE[4:])]
         return pa.table([*(pa.array([x], pa.int64()) for x in out), *(pa.array([np.ascontiguousarray(x, np.float64).ravel()], pa.list_(pa.float64())) for x in kernel(a, place))], names=[*PLACE, *columns])
 
-    return spread.groupBy("image_id", "level", "oy", "ox").applyInArrow(run, ", ".join([_SCHEMA, *(f"{c} array<double>" for c in columns)]))
+    return _strips(tiles, margin, value, extra).groupBy("image_id", "level", "oy", "ox").applyInArrow(run, ", ".join([_SCHEMA, *(f"{c} array<double>" for c in columns)]))
 
 
 # ------------------------------------------------------------------ kernels
@@ -153,19 +174,32 @@ FIVE = (1 / 16, 4 / 16, 6 / 16, 4 / 16, 1 / 16)
 
 
 def halved(tiles: DataFrame) -> DataFrame:
-    """The next pyramid level: 5-tap blur, then every second pixel."""
-    soft = mapped(tiles, lambda a, _: [smooth(a, FIVE)], 2)
-    px = pixels_of(soft).where("x % 2 = 0 and y % 2 = 0").select("image_id", "level", F.expr("y div 2").alias("y"), F.expr("x div 2").alias("x"), "v")
-    level = px.groupBy("image_id").agg((F.max("level") + 1).alias("next"))
-    return tiled(px.drop("level")).join(level, "image_id").withColumn("level", F.col("next")).drop("next").select(*PLACE, "v")
+    """The next pyramid level: 5-tap blur, then every second pixel; four tiles become one."""
+    half = SIDE // 2
+    soft = mapped(tiles, lambda a, _: [smooth(a, FIVE)[::2, ::2]], 2)
+
+    def run(key: tuple, unit: pa.Table) -> pa.Table:
+        image, level, qy, qx = (k.as_py() for k in key)
+        rows = unit.to_pylist()
+        height, width = (-(-rows[0][c] // 2) for c in ("height", "width"))
+        out = np.zeros((min(SIDE, height - qy * SIDE), min(SIDE, width - qx * SIDE)))
+        for r in rows:
+            part = np.asarray(r["v"]).reshape(-(-r["h"] // 2), -(-r["w"] // 2))
+            out[r["ty"] % 2 * half :, r["tx"] % 2 * half :][: part.shape[0], : part.shape[1]] = part
+        numbers = (image, level + 1, qy, qx, *out.shape, height, width)
+        return pa.table([*(pa.array([n], pa.int64()) for n in numbers), pa.array([out.ravel()], pa.list_(pa.float64()))], names=[*PLACE, "v"])
+
+    return soft.groupBy("image_id", "level", F.expr("ty div 2").alias("qy"), F.expr("tx div 2").alias("qx")).applyInArrow(run, f"{_SCHEMA}, v array<double>")
 
 
 def pyramid(tiles: DataFrame, most: int = 6, least_side: int = 200) -> DataFrame:
-    """Level 0 and, while the last one's shorter side is over least_side, the next, up to `most` levels. Images stop each at its own level."""
+    """Level 0 and, while the last one's shorter side is over least_side, the next, up to `most` levels. Images stop each at its own level; each level is
+    kept, so none is computed again for those above."""
     out = now = tiles
     for _ in range(most - 1):
-        now = now.where((F.col("height") > least_side) & (F.col("width") > least_side))
-        now = halved(now)
+        now = settled(halved(now.where((F.col("height") > least_side) & (F.col("width") > least_side))))
+        if now.isEmpty():
+            break
         out = out.unionByName(now)
     return out
 

@@ -250,7 +250,8 @@ put("ring_harmonics", f"SELECT vec_id, {fx('avg(v)', '1e5')} AS mean, {fx('stdde
 put("ncc_patches", f"SELECT vec_id, shift, {fx('score')} AS score FROM (SELECT * FROM sc QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY score DESC, shift) = 1) b WHERE score >= 0.3", _PX,
     "r AS (SELECT image_id * 100 + y AS vec_id, x, v FROM px)", "sc AS (SELECT a.vec_id, shift, corr(a.v, b.v) AS score FROM r a JOIN r b ON b.vec_id = a.vec_id + 1, range(-8, 9) s(shift) WHERE a.x >= 16 AND a.x < 48 AND b.x = a.x + shift GROUP BY a.vec_id, shift)")
 put("descriptor_ratio_test", f"SELECT image_id, i, j, {fx('d')} AS d FROM (SELECT *, lead(d) OVER w AS second, row_number() OVER w AS n FROM di WINDOW w AS (PARTITION BY image_id, i ORDER BY d, j)) q WHERE n = 1 AND d < 0.8 * second", _PX,
-    "di AS (SELECT a.image_id, a.y AS i, b.y AS j, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM px a JOIN px b ON b.image_id = a.image_id + 1 AND a.x = b.x GROUP BY a.image_id, a.y, b.y)")
+    "other AS (SELECT image_id, y, x, v + CASE WHEN y % 3 = 0 THEN 9e-1 ELSE 1e-2 END * ((y * 7 + x * 13) % 11 - 5) AS v FROM px)",
+    "di AS (SELECT a.image_id, a.y AS i, b.y AS j, sqrt(sum((a.v - b.v) * (a.v - b.v))) AS d FROM px a JOIN other b ON b.image_id = a.image_id AND a.x = b.x GROUP BY a.image_id, a.y, b.y)")
 _KK = "2e0 * 1737400 / (1 + sin(radians(-60e0)) * sin(radians(lat)) + cos(radians(-60e0)) * cos(radians(lat)) * cos(radians(lon - 25)))"
 put("stereo_roundtrip", f"SELECT image_id, pixel, scan, {_fixed('x y', '1e0')}, {fx('lon * 1e4 + 0.06', '1e0')} AS lon, {fx('lat * 1e4 + 0.06', '1e0')} AS lat FROM f", _GRID,
     f"f AS (SELECT image_id, pixel, scan, lon, lat, {_KK} * cos(radians(lat)) * sin(radians(lon - 25)) AS x, {_KK} * (cos(radians(-60e0)) * sin(radians(lat)) - sin(radians(-60e0)) * cos(radians(lat)) * cos(radians(lon - 25))) AS y FROM grid)")

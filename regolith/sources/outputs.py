@@ -95,13 +95,12 @@ def write_learned(matches: DataFrame, summary: DataFrame, path: str) -> None:
 
 
 def write_search(patterns: DataFrame, hits: DataFrame, images: DataFrame, path: str) -> None:
-    """A line for each pattern and searched image, with nulls where the pattern wasn't found. patterns: pattern_id, name, image; hits: patterns.located(); images:
-    pattern_id, image_id that were searched."""
-    all_ = images.join(patterns.select("pattern_id", "name", "image"), "pattern_id").join(hits, ["pattern_id", "image_id"], "left")
-    if_found = lambda c, name: F.when(F.col("found"), c).alias(name)
-    out = all_.select(
-        F.col("name").alias("pattern"), F.col("image").alias("source_image"), "image_id", F.coalesce("found", F.lit(False)).alias("found"), if_found(F.col("n"), "n_pattern_craters"), if_found(F.col("n_hit"), "n_detected"), if_found(F.col("n_probed"), "n_pattern_guided"),
-        if_found(F.round("score", 3), "score"), if_found(F.round("scale", 5), "zoom"), if_found(F.round("rotation_deg", 3), "rotation_deg"), if_found(F.round(F.col("members")[0]["cx"], 2), "anchor_x"), if_found(F.round(F.col("members")[0]["cy"], 2), "anchor_y"))
+    """A line for each pattern and searched image: zoom with four decimals, rotation and places with two, score with three. A weak find has its figures and found false; where no place was found
+    they are empty. patterns: tables.patterns(); hits: patterns.located(); images: pattern_id, image_id that were searched."""
+    size = patterns.groupBy("pattern_id").agg(F.max("name").alias("pattern"), F.max("image").alias("source_image"), F.count("*").alias("n_pattern_craters"))
+    figures = hits.select("pattern_id", "image_id", "found", F.col("n_hit").alias("n_detected"), F.col("n_probed").alias("n_pattern_guided"), F.round("score", 3).alias("score"), F.round("scale", 4).alias("zoom"), F.round("rotation_deg", 2).alias("rotation_deg"), F.round(F.col("members")[0]["cx"], 2).alias("anchor_x"), F.round(F.col("members")[0]["cy"], 2).alias("anchor_y"))
+    all_ = images.join(size, "pattern_id").join(figures, ["pattern_id", "image_id"], "left")
+    out = all_.select("pattern", "source_image", "image_id", F.coalesce("found", F.lit(False)).alias("found"), "n_pattern_craters", *figures.columns[3:])
     _csv(out, path, "image_id")
 
 

@@ -144,3 +144,33 @@ def test_shrinking_takes_means_by_area(spark):
     lit = raster.relit(frame_of(spark, a * 10), 3)
     assert lit.count() == 24 and lit.where("v < 0 or v > 255").count() == 0 and lit.exceptAll(raster.relit(frame_of(spark, a * 10).repartition(3), 3)).count() == 0
     assert raster.gray(frame_of(spark, a).select("image_id", "y", "x", F.lit(10).alias("b"), F.lit(20).alias("g"), F.lit(30).alias("r"))).first().v == 22
+
+
+def test_tiles_send_each_other_strips_alone(spark):
+    """An image of many tiles with margins below and above a tile's side, thin rests at its edges, and images smaller than the margin."""
+    g = np.random.default_rng(0)
+    for shape, margins in (((530, 515), (1, 40, 300)), ((257, 100), (5, 99)), ((7, 300), (9,))):
+        a = g.random(shape)
+        base = tiles.tiled(frame_of(spark, a))
+        for margin in margins:
+            if margin < min(shape):
+                pad = np.pad(a, margin, mode="reflect")
+                got = whole(tiles.pixels_of(tiles.mapped(base, lambda x, _, m=margin: [x[2 * m :, 2 * m :] + x[: -2 * m, : -2 * m]], margin)))
+                assert np.allclose(got, pad[2 * margin :, 2 * margin :] + pad[: -2 * margin, : -2 * margin])
+            else:
+                got = whole(tiles.pixels_of(tiles.mapped(base, lambda x, _, m=margin: [x[m:-m, m:-m]], margin)))
+                assert np.array_equal(got, a)
+    a = g.random((530, 515))
+    base = tiles.tiled(frame_of(spark, a))
+    sent = tiles._strips(base, 1, "v", ()).selectExpr("sum(size(v)) AS n").first().n
+    assert sent < 1.03 * a.size
+    assert np.allclose(whole(tiles.pixels_of(tiles.halved(base))), mirrored(a, tiles.FIVE)[::2, ::2])
+
+
+def test_relit_pictures_have_their_own_blur(spark):
+    g = np.random.default_rng(1)
+    plain = g.random((60, 50)) * 255
+    lit = raster.relit(frame_of(spark, *[plain] * 12), 5).toPandas()
+    rough = [lit[lit.image_id == k].sort_values(["y", "x"])["v"].to_numpy().reshape(60, 50) for k in range(12)]
+    edges = sorted(np.abs(np.diff(r, axis=1)).mean() / r.std() for r in rough)
+    assert len({round(e, 2) for e in edges}) > 4 and edges[-1] > 1.3 * edges[0]
