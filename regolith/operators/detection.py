@@ -127,6 +127,7 @@ def scanned(features: DataFrame, sizes: DataFrame, least_r: float, most_r: float
             for tile in batch.to_pylist():
                 scale = 2.0 ** tile["level"]
                 maps, x0, y0 = _maps(tile), tile["tx"] * SIDE, tile["ty"] * SIDE
+                found: list[np.ndarray] = []
                 for r in radii:
                     if min(max(math.floor(math.log2(r / 14.0)), 0), tile["top"]) != tile["level"]:
                         continue
@@ -137,8 +138,12 @@ def scanned(features: DataFrame, sizes: DataFrame, least_r: float, most_r: float
                         part = slice(at, at + 4096)
                         _, out, _ = _polar(maps, x[part] - x0 + MARGIN, y[part] - y0 + MARGIN, np.full(len(x[part]), r / scale), np.array([0.9, 1.0, 1.1]))
                         ring = np.abs(out).max(1).mean(1) / tile["g95"]
-                        n = len(ring)
-                        yield pa.RecordBatch.from_arrays([pa.array([tile["image_id"]] * n, pa.int64()), *(pa.array(v) for v in ((x[part] + 0.5) * scale - 0.5, (y[part] + 0.5) * scale - 0.5, np.full(n, r), ring))], names=["image_id", "cx", "cy", "r", "ring"])
+                        found.append(np.stack([(x[part] + 0.5) * scale - 0.5, (y[part] + 0.5) * scale - 0.5, np.full(len(ring), r), ring], 1))
+                if found:
+                    # No more than `keep` of a tile can be among the image's.
+                    every = np.concatenate(found)
+                    every = every[np.lexsort((every[:, 2], every[:, 0], every[:, 1], -every[:, 3]))[:keep]]
+                    yield pa.RecordBatch.from_arrays([pa.array([tile["image_id"]] * len(every), pa.int64()), *(pa.array(v) for v in every.T)], names=["image_id", "cx", "cy", "r", "ring"])
 
     every = features.join(tops, "image_id").select(*PLACE, "ln", "gx", "gy", "g95", "top").mapInArrow(run, "image_id bigint, cx double, cy double, r double, ring double")
     order = Window.partitionBy("image_id").orderBy(F.desc("ring"), "cy", "cx", "r")
@@ -248,22 +253,100 @@ def trained(base: DataFrame, labels: DataFrame, extra: DataFrame | None = None,
     return learning.train(settled(examples), trees, seed)
 
 
-def auto_labels(features: DataFrame, sizes: DataFrame, least_r: float = 8.0, most_r: float = 200.0, least_ring: float = 1.0, most: int = 40) -> DataFrame:
-    """image_id, crater_id, cx, cy, r, label, complete: the scan's strongest rings, suppressed, as first labels where nobody has drawn any: up to `most` of an image, whose
-    slopes reach `least_ring` of the image's strong gradient."""
-    found = scanned(features, sizes, least_r, most_r).where(F.col("ring") >= least_ring).withColumn("det_id", F.xxhash64("cx", "cy", "r"))
-    kept = spatial.nms(found.select("image_id", "det_id", "cx", "cy", "r", F.col("ring").alias("conf")))
-    order = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
-    top = kept.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most)
-    return top.select("image_id", F.col("det_id").alias("crater_id"), "cx", "cy", "r", F.lit(1).alias("label"), F.lit(False).alias("complete"))
+def _voted(out: np.ndarray, dx: np.ndarray, dy: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray, r: float) -> None:
+    """Adds to out what each pixel votes for on both sides along its slope, r away."""
+    for sign in (-1, 1):
+        cx, cy = np.rint(x + sign * r * dx).astype(int), np.rint(y + sign * r * dy).astype(int)
+        inside = (cx >= 0) & (cx < out.shape[1]) & (cy >= 0) & (cy < out.shape[0])
+        out += np.bincount(cy[inside] * out.shape[1] + cx[inside], weight[inside], out.size).reshape(out.shape)
+
+
+def _longest(covered: np.ndarray) -> np.ndarray:
+    """Of rows of truth values around a circle the longest run of true ones, in values."""
+    n = covered.shape[1]
+    run, best = np.zeros(len(covered), int), np.zeros(len(covered), int)
+    for k in range(2 * n):
+        run = np.where(covered[:, k % n], run + 1, 0)
+        best = np.maximum(best, run)
+    return np.minimum(best, n)
+
+
+def voted_circles(features: DataFrame, sizes: DataFrame, least_r: float = 8.0, most_r: float = 200.0, strong: float = 0.5, least_votes: float = 0.25, ratio: float = 1.1) -> DataFrame:
+    """image_id, det_id, cx, cy, r, votes, arc and score: circles that the pixels' slopes agree on, without any model. features: feature_tiles() with g95.
+
+    Pixels whose slope is at least `strong` of the image's strong gradient vote for the centres along it at each radius, on the level that suits the radius; votes are the share of
+    the circumference that has voted, smoothed over neighbouring centres. Peaks among neighbouring centres and radii with at least `least_votes` are circles. arc: the
+    longest stretch of the rim, of 24 parts, over which the slope across it reaches 0.6; score: that slope's mean along the rim times the share that reaches it.
+    A tile's margin holds all of its centres' voters, so tiles leave no trace. det_id is a hash of the circle.
+    """
+    radii = least_r * ratio ** np.arange(max(0, math.floor(math.log(most_r / least_r) / math.log(ratio) + 1e-9) + 1)) if most_r >= least_r else np.zeros(0)
+    tops = sizes.select("image_id", (tiles.n_levels(F.col("height"), F.col("width")) - 1).alias("top"))
+    names = ["image_id", "cx", "cy", "r", "votes", "arc", "score"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for tile in batch.to_pylist():
+                scale = 2.0 ** tile["level"]
+                level_of = lambda r: min(max(math.floor(math.log2(r / 14.0)), 0), tile["top"])  # noqa: B023, E731
+                own = [k for k, r in enumerate(radii) if level_of(r) == tile["level"] and r / scale < MARGIN - 2]
+                if not own:
+                    continue
+                ln, gx, gy = _maps(tile)
+                mag = np.hypot(gx, gy) / tile["g95"]
+                y, x = np.nonzero(mag >= strong)
+                m = mag[y, x]
+                dx, dy, weight = gx[y, x] / (m * tile["g95"]), gy[y, x] / (m * tile["g95"]), np.minimum(m, 1.0)
+                # One radius more on either side, for the peaks.
+                steps = [radii[own[0]] / ratio, *radii[own], radii[own[-1]] * ratio]
+                acc = np.zeros((len(steps), *mag.shape))
+                for k, r in enumerate(steps):
+                    _voted(acc[k], dx, dy, x, y, weight, r / scale)
+                    acc[k] /= 2 * np.pi * r / scale
+                soft = np.zeros_like(acc)
+                for i in (-1, 0, 1):
+                    for j in (-1, 0, 1):
+                        soft[:, 1:-1, 1:-1] += acc[:, 1 + i : acc.shape[1] - 1 + i, 1 + j : acc.shape[2] - 1 + j]
+                core = soft[1:-1, MARGIN : MARGIN + tile["h"], MARGIN : MARGIN + tile["w"]]
+                near = [soft[1 + a : soft.shape[0] - 1 + a, MARGIN + b : MARGIN + b + tile["h"], MARGIN + c : MARGIN + c + tile["w"]] for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if a or b or c]
+                k, cy, cx = np.nonzero((core >= least_votes) & np.logical_and.reduce([core >= o for o in near]))
+                if not len(k):
+                    continue
+                r = np.array(steps)[k + 1]
+                _, out, _ = _polar((ln, gx, gy), cx + float(MARGIN), cy + float(MARGIN), r / scale, np.array([0.9, 1.0, 1.1]))
+                across = np.abs(out).max(1) / tile["g95"]
+                covered = across > 0.6
+                score = across.mean(1) * covered.mean(1)
+                places = ((cx + tile["tx"] * SIDE + 0.5) * scale - 0.5, (cy + tile["ty"] * SIDE + 0.5) * scale - 0.5)
+                yield pa.RecordBatch.from_arrays([pa.array([tile["image_id"]] * len(k), pa.int64()), *(pa.array(v) for v in (*places, r, core[k, cy, cx])), pa.array(_longest(covered), pa.int64()), pa.array(score)], names=names)
+
+    found = features.join(tops, "image_id").select(*PLACE, "ln", "gx", "gy", "g95", "top").mapInArrow(run, "image_id bigint, cx double, cy double, r double, votes double, arc bigint, score double")
+    return found.withColumn("det_id", F.xxhash64("cx", "cy", "r"))
+
+
+def classic_candidates(features: DataFrame, sizes: DataFrame, least_r: float = 8.0, most_r: float = 200.0, least_score: float = 0.06, least_arc: int = 6, most: int = 60) -> tuple[DataFrame, DataFrame]:
+    """All voted_circles() of the images, and the final list (image_id, det_id, cx, cy, r, votes, arc, score): those with a score and an arc of at least so much, suppressed by score, and of
+    these the `most` best of each image (ties: smaller det_id)."""
+    every = settled(voted_circles(features, sizes, least_r, most_r))
+    good = every.where((F.col("score") >= least_score) & (F.col("arc") >= least_arc))
+    kept = spatial.nms(good.withColumn("conf", F.col("score"))).drop("conf")
+    order = Window.partitionBy("image_id").orderBy(F.desc("score"), "det_id")
+    return every, kept.withColumn("turn", F.row_number().over(order)).where(F.col("turn") <= most).drop("turn")
+
+
+def auto_labels(features: DataFrame, sizes: DataFrame, least_r: float = 8.0, most_r: float = 200.0) -> DataFrame:
+    """image_id, crater_id, cx, cy, r, label, complete: the final list of classic_candidates(), as first labels where nobody has drawn any."""
+    _, final = classic_candidates(features, sizes, least_r, most_r)
+    return final.select("image_id", F.col("det_id").alias("crater_id"), "cx", "cy", "r", F.lit(1).alias("label"), F.lit(False).alias("complete"))
 
 
 def quickly_trained(base: DataFrame, extra: DataFrame | None = None, least_r: float = 8.0, most_r: float = 200.0, trees: int = 400) -> RandomForestClassificationModel:
-    """A model from auto_labels() and the images' background, without anything drawn; extra: labels besides."""
+    """A model from first labels and the images' background, without anything drawn. extra: labels of whole images, which get no others."""
     ready = prepared(base)
-    labels = auto_labels(*ready, least_r, most_r)
-    columns = ["image_id", "crater_id", "cx", "cy", "r", "label", "complete"]
-    return trained(base, labels.unionByName(extra.select(*columns)) if extra is not None else labels, least_r=least_r, most_r=most_r, trees=trees, ready=ready)
+    every, final = classic_candidates(*ready, least_r, most_r)
+    labels = final.select("image_id", F.col("det_id").alias("crater_id"), "cx", "cy", "r", F.lit(1).alias("label"), F.lit(False).alias("complete"))
+    if extra is not None:
+        labels = labels.join(extra.select("image_id").distinct(), "image_id", "left_anti").unionByName(extra.select(*labels.columns))
+    return trained(base, labels, every, least_r=least_r, most_r=most_r, trees=trees, ready=ready)
 
 
 def with_catalogues(detections: DataFrame, catalogues: DataFrame) -> DataFrame:

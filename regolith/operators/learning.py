@@ -44,10 +44,12 @@ def training_set(labels: DataFrame, candidates: DataFrame, positives: int = 5, n
 
 
 def train(examples: DataFrame, trees: int = 400, seed: int = 0) -> RandomForestClassificationModel:
-    """examples: features (array), label, weight. At least two positives and three negatives."""
+    """examples: features (array), label, weight. At least two positives and three negatives. Weights are scaled so that both classes weigh alike."""
     n = {r["label"]: r["count"] for r in examples.groupBy("label").count().collect()}
     if n.get(1, 0) < 2 or n.get(0, 0) < 3:
         raise ValueError("training takes at least 2 craters and 3 other places")
+    whole = sum(n.values())
+    examples = examples.withColumn("weight", F.col("weight") * F.when(F.col("label") == 1, whole / (2.0 * n[1])).otherwise(whole / (2.0 * n[0])))
     forest = RandomForestClassifier(featuresCol="vector", labelCol="label", weightCol="weight", numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed)
     return forest.fit(examples.withColumns({"vector": array_to_vector(F.col("features").cast("array<double>")), "label": F.col("label").cast("double")}))
 

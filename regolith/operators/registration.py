@@ -117,7 +117,7 @@ def craters_of_sides(base_ref: DataFrame, base_tgt: DataFrame, catalogues: tuple
     """Craters (image_id, crater_id, cx, cy, a, b, angle_deg, r, conf) of both sides, and the model they came from.
 
     base_ref, base_tgt: tiles of level 0 by the pairs' image_id. An image with a catalogue has its craters; the others are searched with the model, or, without
-    one, with a model that is trained first on all catalogues and, in images without one, on their strongest rings. One model serves all pairs of
+    one, with a model that is trained first on all catalogues and, in images without one, on the circles that slopes vote for. One model serves all pairs of
     the call. Without any image that lacks a catalogue nothing is searched or trained. Detections come surest first.
     """
     # Sides are told apart by the image's number: even for references, odd for targets.
@@ -135,7 +135,9 @@ def craters_of_sides(base_ref: DataFrame, base_tgt: DataFrame, catalogues: tuple
         if model is None:
             labels = given.select("image_id", "crater_id", "cx", "cy", "r", F.lit(1).alias("label"), F.lit(False).alias("complete")) if given is not None else None
             model = detection.quickly_trained(base, labels, options.least_r * 0.75, most_r, trees)
-        found = detection.detected(bare, model, min(options.rungs), options.least_r * 0.75, most_r, fit=fit)
+        ready = detection.prepared(bare)
+        extra, _ = detection.classic_candidates(*ready, options.least_r * 0.75, most_r)
+        found = detection.detected(bare, model, min(options.rungs), options.least_r * 0.75, most_r, extra, fit, ready)
         order = Window.partitionBy("image_id").orderBy(F.desc("conf"), "det_id")
         found = found.withColumn("crater_id", (F.row_number().over(order) - 1).cast("bigint")).select(*columns)
     every = settled(found if given is None else given if found is None else detection.with_catalogues(found, given))

@@ -104,6 +104,8 @@ def test_a_trained_model_finds_craters_and_fits_their_rims(spark, terrain, base)
     assert all(r.a >= r.b and 0 <= r.angle_deg < 180 for r in found.collect())
     first = detection.auto_labels(*ready, 10.0, 24.0)
     assert first.count() >= 8 and {(r.label, r.complete) for r in first.collect()} == {(1, False)}
+    report = spatial.detection_report(first.withColumnRenamed("crater_id", "det_id"), truth, 0.35).first()
+    assert report.n_found >= 10
     known_ = truth.selectExpr("image_id + 1 AS image_id", "crater_id", "cx", "cy", "r AS a", "r AS b", "0D AS angle_deg", "r", "1D AS conf")
     assert detection.with_catalogues(found.withColumnRenamed("det_id", "crater_id"), known_).count() == found.count() + 14
     manual = truth.limit(2)
@@ -174,3 +176,34 @@ def test_relit_pictures_have_their_own_blur(spark):
     rough = [lit[lit.image_id == k].sort_values(["y", "x"])["v"].to_numpy().reshape(60, 50) for k in range(12)]
     edges = sorted(np.abs(np.diff(r, axis=1)).mean() / r.std() for r in rough)
     assert len({round(e, 2) for e in edges}) > 4 and edges[-1] > 1.3 * edges[0]
+
+
+def plain_votes(a, r):
+    """The share of the circumference that votes for each pixel, by a loop over pixels of the whole image."""
+    ln, gx, gy = plain_maps(a)
+    g95 = np.percentile(np.hypot(gx, gy), 95) + 1e-6
+    out = np.zeros(a.shape)
+    for y, x in zip(*np.nonzero(np.hypot(gx, gy) / g95 >= 0.5)):
+        m = np.hypot(gx[y, x], gy[y, x])
+        for s in (-1, 1):
+            cx, cy = int(np.rint(x + s * r * gx[y, x] / m)), int(np.rint(y + s * r * gy[y, x] / m))
+            if 0 <= cx < a.shape[1] and 0 <= cy < a.shape[0]:
+                out[cy, cx] += min(m / g95, 1.0) / (2 * np.pi * r)
+    return sum(np.roll(np.roll(out, i, 0), j, 1) for i in (-1, 0, 1) for j in (-1, 0, 1))
+
+
+def test_voted_circles_are_the_planted_ones(spark, terrain, base):
+    """Votes as a loop over the whole image counts them, away from its border, and nine in ten planted craters on the final list."""
+    ready = detection.prepared(base)
+    every, final = detection.classic_candidates(*ready, 10.0, 24.0)
+    inner = [r for r in every.collect() if 60 < r.cx < 220 and 60 < r.cy < 240]
+    assert len(inner) > 10
+    for radius in {r.r for r in inner if r.r < 24}:
+        votes = plain_votes(terrain[0], radius)
+        for r in inner:
+            if r.r == radius:
+                assert r.votes == pytest.approx(votes[int(r.cy), int(r.cx)])
+    truth = spark.createDataFrame([(0, k, *c) for k, c in enumerate(terrain[1])], "image_id bigint, crater_id bigint, cx double, cy double, r double")
+    report = spatial.detection_report(final, truth, 0.35).first()
+    assert report.n_found >= 0.9 * len(terrain[1]) and final.where("arc < 6 or score < 0.06").count() == 0 and final.count() <= 60
+    assert detection.classic_candidates(ready[0], ready[1], 30.0, 20.0)[1].count() == 0
