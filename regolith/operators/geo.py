@@ -33,10 +33,10 @@ def centre(grid: DataFrame) -> DataFrame:
 
 
 def great_circle(lon1: Column, lat1: Column, lon2: Column, lat2: Column) -> Column:
-    """Metres between two places."""
+    """Metres between two places; null where one is unknown."""
     a, b, d = F.radians(lat1), F.radians(lat2), F.radians(lon1 - lon2)
     cosine = F.sin(a) * F.sin(b) + F.cos(a) * F.cos(b) * F.cos(d)
-    return RADIUS * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    return F.when(cosine.isNotNull(), RADIUS * F.acos(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine))))
 
 
 def interpolated(points: DataFrame, grid: DataFrame) -> DataFrame:
@@ -95,11 +95,19 @@ def lattice(frames: DataFrame, step: int = 100) -> DataFrame:
     return frames.select("image_id", F.explode(axis("w")).alias("px"), "h").select("image_id", "px", F.explode(axis("h")).alias("py"))
 
 
-def target_grid(lines: DataFrame, matrices: DataFrame, grid: DataFrame, ref_frames: DataFrame, tgt_frames: DataFrame) -> DataFrame:
-    """image_id, pixel, scan, lon, lat: the reference's grid carried to the target. lines: a lattice() of the target's original frame (image_id, px, py); matrices:
-    image_id and t00..t22 from the reference's work pixels to the target's, which are inverted here; tgt_frames: image_id, scale."""
-    at = lines.join(tgt_frames.select("image_id", "scale"), "image_id").join(matrices, "image_id")
-    u, v = ((F.col(c) + 0.5) * F.col("scale") - 0.5 for c in ("px", "py"))
+def _target_nodes(lines: DataFrame, tgt_frames: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """lines (image_id, px, py) with u, v, the target's work pixels. full: image_id, full_w, full_h of the frame that the lines count in, where it isn't the original's."""
+    at = lines.join(tgt_frames, "image_id")
+    at = at.join(full, "image_id").withColumns({"rw": F.col("orig_w") / F.col("full_w"), "rh": F.col("orig_h") / F.col("full_h")}) if full is not None else at.withColumns({"rw": F.lit(1.0), "rh": F.lit(1.0)})
+    return at.select("image_id", "px", "py", ((F.col("px") + 0.5) * F.col("rw") * F.col("scale") - 0.5).alias("u"), ((F.col("py") + 0.5) * F.col("rh") * F.col("scale") - 0.5).alias("v"))
+
+
+def target_grid(lines: DataFrame, matrices: DataFrame, grid: DataFrame, ref_frames: DataFrame, tgt_frames: DataFrame, full: DataFrame | None = None) -> DataFrame:
+    """image_id, pixel, scan, lon, lat: the reference's grid carried to the target. lines: a lattice() of the target's original frame (image_id, px, py), or of full, the frame of a grid of
+    its own (image_id, full_w, full_h), for which tgt_frames has orig_w and orig_h; matrices: image_id and t00..t22 from the reference's work pixels to the target's,
+    which are inverted here; tgt_frames: image_id, scale."""
+    at = _target_nodes(lines, tgt_frames, full).join(matrices, "image_id")
+    u, v = F.col("u"), F.col("v")
     t = {f"{i}{j}": F.col(f"t{i}{j}") for i in range(3) for j in range(3)}
     minor = lambda a, b, c, d: t[a] * t[d] - t[b] * t[c]
     rows = [(minor("11", "12", "21", "22"), -minor("01", "02", "21", "22"), minor("01", "02", "11", "12")), (-minor("10", "12", "20", "22"), minor("00", "02", "20", "22"), -minor("00", "02", "10", "12")),
@@ -107,3 +115,18 @@ def target_grid(lines: DataFrame, matrices: DataFrame, grid: DataFrame, ref_fram
     x, y, w = (a * u + b * v + c for a, b, c in rows)
     points = at.select("image_id", F.struct("px", "py").alias("point_id"), (x / w).alias("x"), (y / w).alias("y"))
     return work_places(points, grid, ref_frames).select("image_id", F.col("point_id.px").alias("pixel"), F.col("point_id.py").alias("scan"), "lon", "lat")
+
+
+def compared_with_official(matrices: DataFrame, ref_grid: DataFrame, tgt_grid: DataFrame, ref_frames: DataFrame, tgt_frames: DataFrame, step: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The estimated grid of each target, and image_id, n, mean, median, largest: metres between it and the target's official one.
+
+    The lattice is that of the official grid's own frame, which may be of another size than the image. Nodes outside either grid don't count; a target without any
+    common node has n 0 and nulls. frames: image_id, orig_w, orig_h, scale.
+    """
+    full = tgt_grid.groupBy("image_id").agg((F.max("pixel") + 1).alias("full_w"), (F.max("scan") + 1).alias("full_h"))
+    lines = lattice(full.join(matrices.select("image_id"), "image_id", "left_semi").select("image_id", F.col("full_w").alias("w"), F.col("full_h").alias("h")), step)
+    mine = target_grid(lines, matrices, ref_grid, ref_frames, tgt_frames, full)
+    nodes = _target_nodes(lines, tgt_frames, full).select("image_id", F.struct("px", "py").alias("point_id"), F.col("u").alias("x"), F.col("v").alias("y"))
+    official = work_places(nodes, tgt_grid, tgt_frames).select("image_id", F.col("point_id.px").alias("pixel"), F.col("point_id.py").alias("scan"), F.col("lon").alias("official_lon"), F.col("lat").alias("official_lat"))
+    both = mine.join(official, ["image_id", "pixel", "scan"]).withColumn("m", great_circle(F.col("official_lon"), F.col("official_lat"), F.col("lon"), F.col("lat")))
+    return mine, both.groupBy("image_id").agg(F.count("m").alias("n"), F.avg("m").alias("mean"), F.median("m").alias("median"), F.max("m").alias("largest"))

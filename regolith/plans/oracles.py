@@ -265,17 +265,36 @@ SELECT image_id, 'negative', 4 * count(*), 4e0 * count(*) FROM ann WHERE label =
 SELECT image_id, 'unlabelled', n, round(CASE WHEN complete THEN 1e0 ELSE 0.3e0 END * n, 6) FROM (SELECT f.image_id, complete, least(count(*), CASE WHEN complete THEN greatest(200, 24 * p) ELSE greatest(30, 12 * p) END) AS n
     FROM (SELECT * FROM det a WHERE NOT EXISTS (SELECT 1 FROM ann b WHERE a.image_id = b.image_id AND {_same(0.7)})) f
     JOIN (SELECT image_id, count(*) FILTER (label = 1) AS p, bool_and(toxic = 0) AS complete FROM ann GROUP BY image_id) i USING (image_id) GROUP BY f.image_id, complete, p) u""", _DET, _ANN)
-_MID = "mid AS (SELECT image_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon0, avg(lat) AS lat0 FROM grid GROUP BY image_id)"
+
 _K = "2e0 * 1737400 / (1 + sin(radians(lat0)) * sin(radians(lat)) + cos(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0)))"
-put("grid_interpolate", f"""SELECT image_id, point_id, {fx('CASE WHEN lon < 0 THEN lon + 360 ELSE lon END', '1e5')} AS lon, {fx('lat', '1e5')} AS lat FROM ref_p LEFT JOIN ll USING (image_id, point_id)""", _BASE, _GRID, _MID,
-    f"xy AS (SELECT image_id, pixel, scan, {_K} * cos(radians(lat)) * sin(radians(lon - lon0)) AS gx, {_K} * (cos(radians(lat0)) * sin(radians(lat)) - sin(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0))) AS gy FROM grid JOIN mid USING (image_id))",
-    "ref_p AS (SELECT image_id, crater_id AS point_id, cx AS px, cy AS py FROM ref)",
-    "ax AS (SELECT image_id, list_sort(list(DISTINCT pixel)) AS ps, list_sort(list(DISTINCT scan)) AS ss FROM grid GROUP BY image_id)",
-    "lo AS (SELECT *, least(len(list_filter(ps, lambda v: v <= px)), len(ps) - 1) AS a, least(len(list_filter(ss, lambda v: v <= py)), len(ss) - 1) AS b FROM ref_p JOIN ax USING (image_id))",
-    "co AS (SELECT image_id, point_id, ps[a + i] AS p, ss[b + j] AS s, (CASE WHEN i = 1 THEN (px - ps[a]) / (ps[a + 1] - ps[a]) ELSE 1 - (px - ps[a]) / (ps[a + 1] - ps[a]) END) * (CASE WHEN j = 1 THEN (py - ss[b]) / (ss[b + 1] - ss[b]) ELSE 1 - (py - ss[b]) / (ss[b + 1] - ss[b]) END) AS w FROM lo, range(2) x(i), range(2) y(j) WHERE a >= 1 AND b >= 1 AND px <= ps[a + 1] AND py <= ss[b + 1])",
-    "su AS (SELECT co.image_id, point_id, sum(w * gx) AS x, sum(w * gy) AS y FROM co JOIN xy ON xy.image_id = co.image_id AND pixel = p AND scan = s GROUP BY ALL HAVING count(*) = 4)",
-    "cc AS (SELECT *, sqrt(x * x + y * y) AS rho, 2 * atan(sqrt(x * x + y * y) / (2 * 1737400e0)) AS c FROM su JOIN mid USING (image_id))",
-    """ll AS (SELECT image_id, point_id, lon0 + degrees(atan2(x * sin(c), greatest(rho, 1e-12) * cos(radians(lat0)) * cos(c) - y * sin(radians(lat0)) * sin(c))) AS lon,
-    degrees(asin(cos(c) * sin(radians(lat0)) + y * sin(c) * cos(radians(lat0)) / greatest(rho, 1e-12))) AS lat FROM cc)""")
+
+
+def _placed_ll(name: str, points: str, grid: str) -> list[str]:
+    """CTEs up to name (image_id, point_id, lon, lat): points (image_id, point_id, px, py) bilinear in a grid."""
+    return [
+        f"{name}_mid AS (SELECT image_id, degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon))))) AS lon0, avg(lat) AS lat0 FROM {grid} GROUP BY image_id)",
+        f"{name}_xy AS (SELECT image_id, pixel, scan, {_K} * cos(radians(lat)) * sin(radians(lon - lon0)) AS gx, {_K} * (cos(radians(lat0)) * sin(radians(lat)) - sin(radians(lat0)) * cos(radians(lat)) * cos(radians(lon - lon0))) AS gy FROM {grid} JOIN {name}_mid USING (image_id))",
+        f"{name}_ax AS (SELECT image_id, list_sort(list(DISTINCT pixel)) AS ps, list_sort(list(DISTINCT scan)) AS ss FROM {grid} GROUP BY image_id)",
+        f"{name}_lo AS (SELECT *, least(len(list_filter(ps, lambda v: v <= px)), len(ps) - 1) AS a, least(len(list_filter(ss, lambda v: v <= py)), len(ss) - 1) AS b FROM {points} JOIN {name}_ax USING (image_id))",
+        f"{name}_co AS (SELECT image_id, point_id, ps[a + i] AS p, ss[b + j] AS s, (CASE WHEN i = 1 THEN (px - ps[a]) / (ps[a + 1] - ps[a]) ELSE 1 - (px - ps[a]) / (ps[a + 1] - ps[a]) END) * (CASE WHEN j = 1 THEN (py - ss[b]) / (ss[b + 1] - ss[b]) ELSE 1 - (py - ss[b]) / (ss[b + 1] - ss[b]) END) AS w FROM {name}_lo, range(2) x(i), range(2) y(j) WHERE a >= 1 AND b >= 1 AND px <= ps[a + 1] AND py <= ss[b + 1])",
+        f"{name}_su AS (SELECT c.image_id, point_id, sum(w * gx) AS x, sum(w * gy) AS y FROM {name}_co c JOIN {name}_xy g ON g.image_id = c.image_id AND pixel = p AND scan = s GROUP BY ALL HAVING count(*) = 4)",
+        f"{name}_cc AS (SELECT *, sqrt(x * x + y * y) AS rho, 2 * atan(sqrt(x * x + y * y) / (2 * 1737400e0)) AS c FROM {name}_su JOIN {name}_mid USING (image_id))",
+        f"""{name} AS (SELECT image_id, point_id, lon0 + degrees(atan2(x * sin(c), greatest(rho, 1e-12) * cos(radians(lat0)) * cos(c) - y * sin(radians(lat0)) * sin(c))) AS lon,
+        degrees(asin(cos(c) * sin(radians(lat0)) + y * sin(c) * cos(radians(lat0)) / greatest(rho, 1e-12))) AS lat FROM {name}_cc)"""]
+
+
+put("grid_interpolate", f"""SELECT image_id, point_id, {fx('CASE WHEN lon < 0 THEN lon + 360 ELSE lon END', '1e5')} AS lon, {fx('lat', '1e5')} AS lat FROM ref_p LEFT JOIN ll USING (image_id, point_id)""", _BASE, _GRID,
+    "ref_p AS (SELECT image_id, crater_id AS point_id, cx AS px, cy AS py FROM ref)", *_placed_ll("ll", "ref_p", "grid"))
+# A node of the target's frame of 501 x 501 in work pixels (u, v), taken back to the reference's (x, y) by the transform's inverse, and both to their grids' own pixels.
+_NODE = "unnest(list_distinct(range(0, 501, 50) || [500]))"
+put("official_grid_difference", f"""SELECT image_id, count(m) AS n, {_fixed("mean median largest", "1e0")} FROM (SELECT image_id, m, avg(m) OVER w AS mean, median(m) OVER w AS median, max(m) OVER w AS largest FROM apart WINDOW w AS (PARTITION BY image_id)) q GROUP BY ALL""", _BASE, _GRID, _TRUTH,
+    "off AS (SELECT image_id, pixel // 2 AS pixel, scan // 2 AS scan, lon + 0.01e0 + pixel * 0.00001e0 AS lon, lat - 0.02e0 AS lat FROM grid)",
+    f"lines AS (SELECT image_id, px, {_NODE} AS py FROM (SELECT image_id, {_NODE} AS px FROM truth) t)",
+    "uv AS (SELECT image_id, px * 1000 + py AS point_id, (px + 0.5) * 1200 / 501e0 * 0.8e0 - 0.5 AS u, (py + 0.5) * 1100 / 501e0 * 0.8e0 - 0.5 AS v FROM lines)",
+    "own AS (SELECT image_id, point_id, ((re * (u - tx) + im * (v - ty)) / (s * s) + 0.5) / 0.9e0 - 0.5 AS px, ((re * (v - ty) - im * (u - tx)) / (s * s) + 0.5) / 0.9e0 - 0.5 AS py FROM uv JOIN truth USING (image_id))",
+    "their AS (SELECT image_id, point_id, (u + 0.5) / 0.8e0 * 501 / 1200e0 - 0.5 AS px, (v + 0.5) / 0.8e0 * 501 / 1100e0 - 0.5 AS py FROM uv)",
+    *_placed_ll("mine", "own", "grid"), *_placed_ll("official", "their", "off"),
+    """apart AS (SELECT uv.image_id, CASE WHEN m.lat IS NOT NULL AND o.lat IS NOT NULL THEN 1737400 * acos(least(1e0, greatest(-1e0, sin(radians(o.lat)) * sin(radians(m.lat)) + cos(radians(o.lat)) * cos(radians(m.lat)) * cos(radians(o.lon - m.lon))))) END AS m
+    FROM uv LEFT JOIN mine m USING (image_id, point_id) LEFT JOIN official o USING (image_id, point_id))""")
 put("axis_pairs", "SELECT DISTINCT 'image' || image_id AS file, 'Line' AS axis, CAST(image_id * 10 AS INTEGER) AS elements FROM ref", _BASE)
 put("xml_facts", "SELECT DISTINCT 'image' || image_id AS file, 'urn:' || image_id AS product_id, 'Image ' || image_id AS title, '2020-01-' || lpad((image_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS start_time, image_id * 0.5e0 AS sun_elevation_deg, image_id::DOUBLE AS orbit FROM ref", _BASE)

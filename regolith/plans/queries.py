@@ -411,6 +411,17 @@ def great_circle_diff(s: SparkSession, d: str) -> DataFrame:
     return g.groupBy("image_id").agg(F.count("*").alias("n"), fixed(F.avg("m"), 10.0).alias("mean"), fixed(F.median("m"), 10.0).alias("median"), fixed(F.max("m"), 10.0).alias("most"))
 
 
+@query
+def official_grid_difference(s: SparkSession, d: str) -> DataFrame:
+    """The reference's grid carried to the target by the true transform, against an official grid of another size and spacing."""
+    grid = _grid(s, d)
+    official = grid.selectExpr("image_id", "pixel DIV 2 AS pixel", "scan DIV 2 AS scan", "lon + 0.01D + pixel * 0.00001D AS lon", "lat - 0.02D AS lat")
+    images = grid.select("image_id").distinct()
+    frame = lambda w, h, scale: images.select("image_id", F.lit(w).alias("orig_w"), F.lit(h).alias("orig_h"), F.lit(scale).alias("scale"))
+    _, apart = geo.compared_with_official(matching.matrices(_truth(images), "similarity"), grid, official, frame(1001, 1001, 0.9), frame(1200, 1100, 0.8), 50)
+    return apart.select("image_id", "n", *(fixed(c, 1.0).alias(c) for c in ("mean", "median", "largest")))
+
+
 @query
 def capture_gap_days(s: SparkSession, d: str) -> DataFrame:
     """Each event of a user against the one before, as labels of two captures."""
