@@ -140,7 +140,7 @@ def warped(target: DataFrame, matrices: DataFrame, frames: DataFrame) -> DataFra
 
 
 def products(ref: DataFrame, registered: DataFrame) -> DataFrame:
-    """image_id, y, x, grey (reference), red (the registered target where it is valid, else the reference), checker (tiles of 48 pixels of either) and difference (of
+    """image_id, y, x, registered (the target where it is valid, else 0), grey (reference), red (the registered target where it is valid, else the reference), checker (tiles of 48 pixels of either) and difference (of
     local contrast, 0 to 255; 0 where the target is not valid). ref: tiles of level 0; registered: warped()."""
     both = tiles.pixels_of(ref.join(registered.select(*KEYS, F.col("v").alias("t"), "valid"), KEYS), ("v", "t", "valid"))
     norm = lambda df, name: tiles.pixels_of(tiles.local_norm(df)).withColumnRenamed("v", name)
@@ -149,7 +149,7 @@ def products(ref: DataFrame, registered: DataFrame) -> DataFrame:
     there = F.col("valid") > 0
     odd = (F.expr("y div 48") + F.expr("x div 48")) % 2 == 1
     difference = F.floor(F.least(F.lit(255.0), F.abs(F.col("a") - F.col("b")) / 3 * 255))
-    return p.select("image_id", "y", "x", F.col("v").alias("grey"), F.when(there, F.col("t")).otherwise(F.col("v")).alias("red"), F.when(there & odd, F.col("t")).otherwise(F.col("v")).alias("checker"), F.when(there, difference).otherwise(0.0).alias("difference"))
+    return p.select("image_id", "y", "x", F.col("v").alias("grey"), F.when(there, F.col("t")).otherwise(F.col("v")).alias("red"), F.when(there & odd, F.col("t")).otherwise(F.col("v")).alias("checker"), F.when(there, F.col("t")).otherwise(0.0).alias("registered"), F.when(there, difference).otherwise(0.0).alias("difference"))
 
 
 def relit(px: DataFrame, seed: int = 0) -> DataFrame:

@@ -7,7 +7,7 @@ pixels are mirrored without repeating the border's own. Images of any size are s
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterable, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -261,3 +261,62 @@ def shrunk(px: DataFrame, scale: float) -> DataFrame:
     rows = rows.where((F.col("r.w") > 1e-9) & (F.col("c.w") > 1e-9))
     w = F.col("r.w") * F.col("c.w")
     return rows.groupBy("image_id", F.col("r.at").alias("y"), F.col("c.at").alias("x")).agg((F.sum(w * F.col("v")) / F.sum(w)).alias("v"))
+
+
+def _shares(first: int, n: int, old: int, new: int) -> tuple[int, np.ndarray]:
+    """The first new pixel that the old ones from first on reach, and a matrix (new, old) of the shares of each old one, along an axis of `old` pixels made `new`."""
+    f = new / old
+    low, high = np.arange(first, first + n) * f, np.arange(first + 1, first + n + 1) * f
+    at = np.floor(low + 1e-9).astype(int)
+    split = np.minimum(high, at + 1)
+    start = int(at[0])
+    out = np.zeros((min(int(at[-1]) + 2, new) - start, n))
+    np.add.at(out, (at - start, np.arange(n)), split - low)
+    rest = high - split
+    more = rest > 1e-9
+    np.add.at(out, (np.minimum(at[more] + 1, new - 1) - start, np.flatnonzero(more)), rest[more])
+    return start, out
+
+
+def shrunk_to(tiles: DataFrame, max_side: int) -> DataFrame:
+    """Tiles of level 0 of the images made smaller by area, each by its own scale, so that no side is over max_side; images that fit stay as they are. With scale, work pixels over
+    original ones, as a last column.
+
+    Each old tile gives its share to the new tiles under it, weighted sums of at most as many pixels as it has; those that meet in a new tile are added up. Nothing
+    is ever a row for each pixel.
+    """
+    longest = F.greatest("height", "width")
+    fit = tiles.where(longest <= max_side).select(*PLACE, "v", F.lit(1.0).alias("scale"))
+    names = ["image_id", "ty", "tx", "height", "width", "old", "y", "x", "ph", "pw", "v", "n"]
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.to_pylist():
+                scale = max_side / max(t["height"], t["width"])
+                nh, nw = (max(1, math.floor(t[c] * scale + 0.5)) for c in ("height", "width"))
+                (y0, wy), (x0, wx) = _shares(t["ty"] * SIDE, t["h"], t["height"], nh), _shares(t["tx"] * SIDE, t["w"], t["width"], nw)
+                value = wy @ np.asarray(t["v"]).reshape(t["h"], t["w"]) @ wx.T
+                weight = wy.sum(1)[:, None] * wx.sum(1)
+                for ty in range(y0 // SIDE, (y0 + len(wy) - 1) // SIDE + 1):
+                    for tx in range(x0 // SIDE, (x0 + len(wx) - 1) // SIDE + 1):
+                        a, b = max(y0, ty * SIDE), min(y0 + len(wy), (ty + 1) * SIDE)
+                        c, d = max(x0, tx * SIDE), min(x0 + len(wx), (tx + 1) * SIDE)
+                        own = slice(a - y0, b - y0), slice(c - x0, d - x0)
+                        numbers = (t["image_id"], ty, tx, nh, nw, max(t["height"], t["width"]), a - ty * SIDE, c - tx * SIDE, b - a, d - c)
+                        yield pa.RecordBatch.from_arrays([*(pa.array([n], pa.int64()) for n in numbers), *(pa.array([m[own].ravel()], pa.list_(pa.float64())) for m in (value, weight))], names=names)
+
+    def add(key: tuple, unit: pa.Table) -> pa.Table:
+        rows = unit.to_pylist()
+        p = rows[0]
+        shape = min(SIDE, p["height"] - p["ty"] * SIDE), min(SIDE, p["width"] - p["tx"] * SIDE)
+        sums, weights = np.zeros(shape), np.zeros(shape)
+        # In one order, so that sums don't depend on how rows have come.
+        for r in sorted(rows, key=lambda r: (r["y"], r["x"], r["ph"], r["pw"], r["v"][0])):
+            at = slice(r["y"], r["y"] + r["ph"]), slice(r["x"], r["x"] + r["pw"])
+            sums[at] += np.asarray(r["v"]).reshape(r["ph"], r["pw"])
+            weights[at] += np.asarray(r["n"]).reshape(r["ph"], r["pw"])
+        numbers = (p["image_id"], 0, p["ty"], p["tx"], *shape, p["height"], p["width"])
+        return pa.table([*(pa.array([n], pa.int64()) for n in numbers), pa.array([(sums / weights).ravel()], pa.list_(pa.float64())), pa.array([max_side / p["old"]])], names=[*PLACE, "v", "scale"])
+
+    parts = tiles.where(longest > max_side).select(*PLACE, "v").mapInArrow(part, ", ".join([*(f"{c} bigint" for c in names[:-2]), "v array<double>, n array<double>"]))
+    return fit.unionByName(parts.groupBy("image_id", "ty", "tx").applyInArrow(add, f"{_SCHEMA}, v array<double>, scale double"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml.classification import RandomForestClassificationModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,8 +72,8 @@ def read_model(spark: SparkSession, path: str) -> RandomForestClassificationMode
 
 
 def write_project(complete: DataFrame, path: str) -> None:
-    """complete: image, complete. One line with a map."""
-    complete.agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("image", "complete")))).alias("complete")).write.mode("overwrite").json(path)
+    """complete: image, complete. Lines of a map with one image each, so that a project of any size is never one row."""
+    complete.select(F.create_map("image", "complete").alias("complete")).write.mode("overwrite").json(path)
 
 
 def read_project(spark: SparkSession, path: str) -> DataFrame:
@@ -132,12 +132,74 @@ def write_batch(pairs: DataFrame, summary: DataFrame, path: str) -> None:
     _csv(out.repartitionByRange("target").sortWithinPartitions("target"), path)
 
 
-def write_report(summary: DataFrame, path: str) -> None:
-    """An HTML page for each pair: its figures as a table, made from expressions; one text file for each pair."""
-    shown = [c for c in summary.columns if c not in ("image_id", *MATRIX)]
-    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("-")), "&", "&amp;"), "<", "&lt;")
-    lines = [F.concat(F.lit(f"<tr><th>{c}</th><td>"), escaped(c), F.lit("</td></tr>")) for c in shown]
-    page = F.concat(F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>Pair "), F.col("image_id").cast("string"), F.lit("</title></head><body><h1>Registration</h1><table>"), *lines, F.lit("</table></body></html>"))
+#: Pixels of a band of an image file.
+BAND = 1 << 20
+
+
+def write_rasters(pixels: DataFrame, path: str, columns: Mapping[str, Sequence[str]]) -> None:
+    """Pictures of all pairs as portable grey or colour maps in plain text, in bands: path/image_id=.../picture=.../band=..., band being a file's first row. A band has as many rows as
+    BAND pixels allow, one at least, so no image is ever in one task.
+
+    pixels: image_id, y, x and values from 0 to 255, which are rounded; columns: for each picture's name its value columns, one, or three in the order red, green, blue.
+    """
+    size = pixels.groupBy("image_id").agg((F.max("x") + 1).alias("w"), (F.max("y") + 1).alias("h"))
+    for name, values in columns.items():
+        each = F.concat_ws(" ", *(F.least(F.lit(255), F.greatest(F.lit(0), F.floor(F.col(c) + 0.5))).cast("string") for c in values))
+        lines = pixels.select("image_id", "y", F.struct("x", each.alias("v")).alias("p")).groupBy("image_id", "y").agg(F.array_join(F.transform(F.sort_array(F.collect_list("p")), lambda p: p["v"]), " ").alias("line"))
+        at = lines.join(size, "image_id").withColumn("rows", F.greatest(F.lit(1), F.floor(F.lit(BAND) / F.col("w"))))
+        bands = at.withColumn("band", F.floor(F.col("y") / F.col("rows")) * F.col("rows")).groupBy("image_id", "band", "w").agg(F.sort_array(F.collect_list(F.struct("y", "line"))).alias("s"))
+        head = F.concat(F.lit("P3 " if len(values) == 3 else "P2 "), F.concat_ws(" ", "w", F.size("s")), F.lit(" 255\n"))
+        text = bands.select("image_id", F.lit(name).alias("picture"), "band", F.concat(head, F.array_join(F.transform("s", lambda p: p["line"]), "\n")).alias("value"))
+        text.repartition("image_id", "band").write.mode("overwrite" if name == next(iter(columns)) else "append").partitionBy("image_id", "picture", "band").text(path)
+
+
+#: What the registered pair is shown as: pictures and the columns of raster.products().
+PICTURES = {"registered": ("registered",), "overlay": ("red", "grey", "grey"), "checker": ("checker",), "difference": ("difference",)}
+
+
+def write_products(products: DataFrame, path: str) -> None:
+    """raster.products() as PICTURES."""
+    write_rasters(products, path, PICTURES)
+
+
+def read_rasters(spark: SparkSession, path: str) -> DataFrame:
+    """image_id, picture, y, x, k (0, or the number of the colour) and v of what write_rasters() has written."""
+    files = spark.read.text(path, wholetext=True)
+    parts = files.select("image_id", "picture", "band", F.split(F.regexp_replace("value", "\\s+", " "), " ").alias("t"))
+    parts = parts.select("image_id", "picture", "band", F.when(F.col("t")[0] == "P3", 3).otherwise(1).alias("n"), F.col("t")[1].cast("bigint").alias("w"), F.posexplode(F.slice("t", 5, F.size("t"))).alias("at", "v")).where("v <> ''")
+    return parts.selectExpr("image_id", "picture", "CAST(band AS BIGINT) + at DIV (w * n) AS y", "at DIV n % w AS x", "at % n AS k", "CAST(v AS BIGINT) AS v")
+
+
+#: The report's sections and their figures; whatever else a summary has comes last.
+SECTIONS = {
+    "Match": ("model", "n_inliers", "n_craters_ref", "n_craters_tgt", "n_pattern_ref", "n_pattern_tgt", "n_visible_ref", "n_visible_tgt", "inlier_ratio", "uniqueness", "conf_used", "seeded", "source", "star_deviation"),
+    "Transform": ("scale", "rotation_deg", "tx", "ty", "ecc_used", "cc"),
+    "Accuracy": ("quality", "accuracy_src", "accuracy_basis", "rmse_src", "heldout_src", "dense_src", "rmse_tgt", "rmse_ref", "median_ref", "max_ref", "heldout_tgt", "heldout_ref", "dense_nodes", "n_kept", "rms", "rms_all", "median", "most", "within_half", "within_one"),
+    "Overlap": ("overlap_area", "overlap_share", "hull_share", "coverage"),
+    "Baseline": ("matches", "inliers", "median_disagreement", "agrees", "note"),
+}
+
+
+def write_report(summary: DataFrame, path: str, pictures: Sequence[str] = ()) -> None:
+    """An HTML page for each pair, made from expressions, one text file for each: a heading that says whether it was registered and how well, a section of figures for each of SECTIONS that the
+    summary has columns of, the matrix, and links to the pictures of write_rasters() beside it."""
+    escaped = lambda c: F.regexp_replace(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("-")), "&", "&amp;"), "<", "&lt;")
+    have = [c for c in summary.columns if c not in ("image_id", "ok", *MATRIX)]
+    known = {c for cs in SECTIONS.values() for c in cs}
+    parts = [F.lit("<!DOCTYPE html><html><head><meta charset='utf-8'><title>Pair "), F.col("image_id").cast("string"), F.lit("</title></head><body><h1>Registration of pair "), F.col("image_id").cast("string"), F.lit("</h1>")]
+    if "ok" in summary.columns:
+        told = F.concat(F.lit("Registered"), F.concat(F.lit(": "), escaped(F.col("quality"))) if "quality" in have else F.lit(""))
+        parts += [F.lit("<p class='verdict'>"), F.when(F.col("ok"), told).otherwise("No consistent crater pattern: fewer than four craters line up under any zoom and turn."), F.lit("</p>")]
+    for title, names in {**SECTIONS, "Further figures": [c for c in have if c not in known]}.items():
+        if rows := [c for c in names if c in have]:
+            parts += [F.lit(f"<h2>{title}</h2><table>"), *(F.concat(F.lit(f"<tr><th>{c}</th><td>"), escaped(F.col(c)), F.lit("</td></tr>")) for c in rows), F.lit("</table>")]
+    if set(MATRIX) <= set(summary.columns):
+        cell = lambda c: F.concat(F.lit("<td>"), escaped(F.col(c)), F.lit("</td>"))
+        parts += [F.lit("<h2>From reference to target</h2><table class='matrix'>"), *(F.concat(F.lit("<tr>"), *map(cell, MATRIX[k : k + 3]), F.lit("</tr>")) for k in (0, 3, 6)), F.lit("</table>")]
+    if pictures:
+        link = lambda n: F.concat(F.lit(f"<li>{n}: <a href='../image_id="), F.col("image_id").cast("string"), F.lit(f"/picture={n}'>bands</a></li>"))
+        parts += [F.lit("<h2>Pictures</h2><ul>"), *map(link, pictures), F.lit("</ul>")]
+    page = F.concat(*parts, F.lit("</body></html>"))
     summary.select("image_id", page.alias("value")).repartition("image_id").write.mode("overwrite").partitionBy("image_id").text(path)
 
 

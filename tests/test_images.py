@@ -6,7 +6,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from regolith.checkpoints import settled
 from regolith.operators import detection, raster, spatial, tiles
+from regolith.sources import outputs
 
 PX = "image_id bigint, y bigint, x bigint, v double"
 
@@ -117,7 +119,7 @@ def test_a_search_ends_at_the_least_value():
     assert np.allclose(at, [1, -2, 3], atol=1e-3) and value < 1e-6
 
 
-def test_a_registered_target_shows_the_shift_that_is_left(spark, terrain):
+def test_a_registered_target_shows_the_shift_that_is_left(spark, terrain, tmp_path, monkeypatch):
     """The target is the reference turned, scaled and shifted; its matrix is given with an error of (0.6, -0.4) pixels."""
     a, m = terrain[0], np.array([[0.9, -0.2, 40], [0.2, 0.9, 5], [0, 0, 1]])
     inverse = np.linalg.inv(m)
@@ -135,7 +137,19 @@ def test_a_registered_target_shows_the_shift_that_is_left(spark, terrain):
     ref = tiles.tiled(frame_of(spark, a))
     nodes = raster.residual_nodes(ref, got).where("not rejected").toPandas()
     assert len(nodes) > 40 and abs(nodes.dx.median() - 0.6) < 0.15 and abs(nodes.dy.median() + 0.4) < 0.15
-    p = raster.products(ref, got).where("y between 100 and 110 and x between 100 and 150").toPandas()
+    made = settled(raster.products(ref, got))
+    monkeypatch.setattr(outputs, "BAND", 280 * 90)
+    outputs.write_products(made, str(tmp_path / "pictures"))
+    back = outputs.read_rasters(spark, str(tmp_path / "pictures")).toPandas()
+    want = made.orderBy("y", "x").toPandas()
+    byte = lambda c: np.clip(np.floor(want[c].to_numpy() + 0.5), 0, 255).astype(int)
+    for picture, columns in outputs.PICTURES.items():
+        for k, c in enumerate(columns):
+            assert np.array_equal(back[(back.picture == picture) & (back.k == k)].sort_values(["y", "x"])["v"].to_numpy(), byte(c))
+    assert len(list((tmp_path / "pictures").glob("image_id=0/picture=overlay/band=*"))) == 4
+    first = next((tmp_path / "pictures").glob("image_id=0/picture=overlay/band=270/*.txt")).read_text()
+    assert first.startswith("P3 280 30 255\n") and len(first.split()) == 4 + 280 * 30 * 3
+    p = made.where("y between 100 and 110 and x between 100 and 150").toPandas()
     assert (p.grey.to_numpy() == a[100:111, 100:151].ravel()).sum() > 0 and p.difference.between(0, 255).all()
 
 
@@ -207,3 +221,17 @@ def test_voted_circles_are_the_planted_ones(spark, terrain, base):
     report = spatial.detection_report(final, truth, 0.35).first()
     assert report.n_found >= 0.9 * len(terrain[1]) and final.where("arc < 6 or score < 0.06").count() == 0 and final.count() <= 60
     assert detection.classic_candidates(ready[0], ready[1], 30.0, 20.0)[1].count() == 0
+
+
+def test_images_shrink_each_by_its_own_scale_tile_by_tile(spark):
+    """As shrunk() on rows of pixels, for sizes of one and several tiles, with whole and odd scales; what fits stays."""
+    g = np.random.default_rng(3)
+    images = [g.random(s) for s in ((530, 300), (90, 260), (400, 800), (60, 50))]
+    base = tiles.tiled(frame_of(spark, *images))
+    got = settled(tiles.shrunk_to(base, 200))
+    assert {(r.image_id, round(r.scale, 12)) for r in got.select("image_id", "scale").collect()} == {(k, round(min(1.0, 200 / max(a.shape)), 12)) for k, a in enumerate(images)}
+    for k, a in enumerate(images):
+        mine = whole(tiles.pixels_of(got.where(f"image_id = {k}")))
+        scale = 200 / max(a.shape)
+        want = a if scale >= 1 else whole(tiles.shrunk(frame_of(spark, a), scale))
+        assert mine.shape == want.shape and np.allclose(mine, want)

@@ -361,7 +361,11 @@ def test_what_is_written_can_be_read(spark, tmp_path):
     assert [lines[0][c] for c in ("pattern", "found", "n_pattern_craters", "score", "zoom", "rotation_deg", "anchor_x")] == ["P1", True, members.count(), 0.988, 1.2346, 33.33, 7.78]
     assert lines[1].found is False and lines[1].n_detected == 3 and lines[1].zoom == 0.9 and lines[2].found is False and lines[2].zoom is None and lines[2].n_pattern_craters == members.count()
     outputs.write_report(summary, f"{at}/report")
-    assert "<th>n_inliers</th><td>14</td>" in spark.read.text(f"{at}/report", wholetext=True).first().value
+    page = spark.read.text(f"{at}/report", wholetext=True).first().value
+    assert "<th>n_inliers</th><td>14</td>" in page and "<h2>Match</h2>" in page and "<h2>Overlap</h2>" in page and "<table class='matrix'>" in page and page.index("<h2>Match") < page.index("<h2>Transform")
+    outputs.write_report(summary.withColumns({"ok": F.lit(False), "quality": F.lit("a<b")}), f"{at}/failed", ("overlay",))
+    page = spark.read.text(f"{at}/failed", wholetext=True).first().value
+    assert "No consistent crater pattern" in page and "a&lt;b" in page and "picture=overlay" in page
     files = spark.createDataFrame([(f"/d/{n}",) for n in ("x_b_brw_1.png", "x_b_brw_1.xml", "x_g_grd_1.csv", "out/x_b_brw_1/craters.csv", "y.tif")], "path string")
     found = {r.path: r for r in outputs.siblings(files).collect()}
     assert found["/d/x_b_brw_1.png"][1:] == ("/d/x_b_brw_1.xml", "/d/x_g_grd_1.csv", "/d/out/x_b_brw_1/craters.csv") and found["/d/y.tif"][1:] == (None, None, None)
