@@ -34,8 +34,8 @@ _DET, _ANN = f"det AS ({sql_of('detections')})", f"ann AS ({sql_of('annotations'
 _NODES, _GRID, _PX = f"nodes AS ({sql_of('residual_nodes')})", f"grid AS ({sql_of('geo_grid')})", f"px AS ({PIXELS_SQL})"
 
 
-def put(name: str, select: str, *ctes: str) -> None:
-    ORACLES[name] = f"WITH {', '.join(ctes)} {select}" if ctes else select
+def put(name: str, select: str, *ctes: str, recursive: bool = False) -> None:
+    ORACLES[name] = f"WITH {'RECURSIVE ' * recursive}{', '.join(ctes)} {select}" if ctes else select
 
 
 put("crater_select_pattern", f"""SELECT image_id, crater_id, row_number() OVER (PARTITION BY image_id ORDER BY r DESC, crater_id) AS rank FROM ref
@@ -298,3 +298,59 @@ put("official_grid_difference", f"""SELECT image_id, count(m) AS n, {_fixed("mea
     FROM uv LEFT JOIN mine m USING (image_id, point_id) LEFT JOIN official o USING (image_id, point_id))""")
 put("axis_pairs", "SELECT DISTINCT 'image' || image_id AS file, 'Line' AS axis, CAST(image_id * 10 AS INTEGER) AS elements FROM ref", _BASE)
 put("xml_facts", "SELECT DISTINCT 'image' || image_id AS file, 'urn:' || image_id AS product_id, 'Image ' || image_id AS title, '2020-01-' || lpad((image_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS start_time, image_id * 0.5e0 AS sun_elevation_deg, image_id::DOUBLE AS orbit FROM ref", _BASE)
+
+# One detection after the other, by rank, joins the list of those kept unless it is one crater with some of them.
+_AT = "sqrt((a[j].x - a[k + 1].x) * (a[j].x - a[k + 1].x) + (a[j].y - a[k + 1].y) * (a[j].y - a[k + 1].y)) < 0.5 * greatest(a[j].r, a[k + 1].r) AND a[j].r / a[k + 1].r > 0.6 AND a[j].r / a[k + 1].r < 1.67"
+put("nms_detections", "SELECT image_id, d.id AS det_id, d.conf AS conf FROM (SELECT g.image_id, unnest(list_transform(kept, lambda j: a[j])) AS d FROM go g JOIN arr USING (image_id) WHERE k = len(a)) q", _DET,
+    "arr AS (SELECT image_id, list({'x': cx, 'y': cy, 'r': r, 'id': det_id, 'conf': conf} ORDER BY conf DESC, det_id) AS a FROM det GROUP BY image_id)",
+    f"go AS (SELECT image_id, 1 AS k, [1] AS kept FROM arr UNION ALL SELECT g.image_id, k + 1, CASE WHEN len(list_filter(kept, lambda j: {_AT})) > 0 THEN kept ELSE list_append(kept, k + 1) END FROM go g JOIN arr USING (image_id) WHERE k < len(a))", recursive=True)
+
+# One crater after the other takes the nearest free detection of about its size, if that is near enough.
+_FREE = "list_sort(list_transform(list_filter(dets, lambda x: abs(x.r / t[k + 1].r - 1) < 0.3 AND NOT list_contains(used, x.id)), lambda x: {'d': sqrt((x.x - t[k + 1].x) * (x.x - t[k + 1].x) + (x.y - t[k + 1].y) * (x.y - t[k + 1].y)), 'id': x.id}))[1]"
+put("score_detections", f"SELECT image_id, crater_id, det_id, {fx('d')} AS d FROM go WHERE det_id IS NOT NULL", _BASE, _DET,
+    "arr AS (SELECT image_id, (SELECT list({'x': cx, 'y': cy, 'r': r, 'id': det_id}) FROM det WHERE det.image_id = ref.image_id) AS dets, list({'x': cx, 'y': cy, 'r': r, 'id': crater_id} ORDER BY crater_id) AS t FROM ref GROUP BY image_id)",
+    f"""go AS (SELECT image_id, 0 AS k, CAST([] AS BIGINT[]) AS used, CAST(NULL AS BIGINT) AS crater_id, CAST(NULL AS BIGINT) AS det_id, CAST(NULL AS DOUBLE) AS d FROM arr UNION ALL
+    SELECT image_id, k + 1, CASE WHEN best.d < 0.25 * t[k + 1].r THEN list_append(used, best.id) ELSE used END, t[k + 1].id, CASE WHEN best.d < 0.25 * t[k + 1].r THEN best.id END, best.d
+    FROM (SELECT g.*, t, {_FREE} AS best FROM go g JOIN arr USING (image_id) WHERE k < len(t)) q)""", recursive=True)
+
+# One candidate after the other, by falling quality, is taken while there are fewer than four, if it shares at most one crater with each taken and stands apart.
+_APART = "len(list_intersect(list_prepend(c[j].i, c[j].members), list_prepend(c[k + 1].i, c[k + 1].members))) >= 2 OR sqrt((c[j].x - c[k + 1].x) * (c[j].x - c[k + 1].x) + (c[j].y - c[k + 1].y) * (c[j].y - c[k + 1].y)) < 0.6 * greatest(c[j].extent, c[k + 1].extent)"
+put("pattern_propose", f"SELECT image_id, p.i AS i, array_to_string(p.members, ',') AS members, {fx('p.quality')} AS quality, {fx('p.extent')} AS extent FROM (SELECT image_id, unnest(list_transform(kept, lambda j: c[j])) AS p FROM go JOIN arr USING (image_id) WHERE k = len(c)) q", _BASE, *_CAND,
+    "arr AS (SELECT cd.image_id, list({'i': i, 'members': members, 'quality': quality, 'extent': extent, 'x': cx, 'y': cy} ORDER BY quality DESC, i) AS c FROM cd JOIN ref ON ref.image_id = cd.image_id AND ref.crater_id = cd.i GROUP BY cd.image_id)",
+    f"go AS (SELECT image_id, 1 AS k, [1] AS kept FROM arr UNION ALL SELECT g.image_id, k + 1, CASE WHEN len(kept) = 4 OR len(list_filter(kept, lambda j: {_APART})) > 0 THEN kept ELSE list_append(kept, k + 1) END FROM go g JOIN arr USING (image_id) WHERE k < len(c))", recursive=True)
+
+
+def _turn(a: str, b: str, c: str) -> str:
+    """Positive where c lies to the left of the way from a to b."""
+    return f"(({b}.x - {a}.x) * ({c}.y - {a}.y) - ({b}.y - {a}.y) * ({c}.x - {a}.x))"
+
+
+def _hull(name: str, points: str) -> list[str]:
+    """CTEs: name_e (image_id, ux, uy, wx, wy), the hull's sides, each from a point to the next on it, and name (image_id, area). A side has all points on its left."""
+    return [
+        f"{name}_p AS (SELECT DISTINCT image_id, round(x, 9) AS x, round(y, 9) AS y FROM {points})",
+        f"{name}_s AS (SELECT a.image_id, a.x AS ux, a.y AS uy, b.x AS wx, b.y AS wy FROM {name}_p a JOIN {name}_p b ON a.image_id = b.image_id AND (a.x <> b.x OR a.y <> b.y) JOIN {name}_p c ON c.image_id = a.image_id GROUP BY ALL HAVING min({_turn('a', 'b', 'c')}) > -1e-6)",
+        f"{name}_e AS (SELECT * FROM {name}_s QUALIFY row_number() OVER (PARTITION BY image_id, ux, uy ORDER BY (wx - ux) * (wx - ux) + (wy - uy) * (wy - uy)) = 1)",
+        f"{name} AS (SELECT image_id, abs(sum(ux * wy - wx * uy)) / 2 AS area FROM {name}_e GROUP BY image_id)"]
+
+
+def _cut(name: str, points: str, hull: str, w: str, h: str) -> str:
+    """A CTE of the corners of a hull's part in a frame: points inside, the frame's corners inside the hull, and crossings of its sides with the frame's."""
+    inside = lambda x, y: f"{x} >= 0 AND {x} <= {w} AND {y} >= 0 AND {y} <= {h}"
+    cross = lambda at, a, b, u, v: f"SELECT image_id, {u} AS x, {v} AS y FROM (SELECT *, ({at} - {a}) / ({b} - {a}) AS t FROM {hull}_e WHERE ({a} < {at}) <> ({b} < {at})) q"
+    way_x, way_y = "ux + t * (wx - ux)", "uy + t * (wy - uy)"
+    sides = " UNION ALL ".join([cross("0", "ux", "wx", "0e0", way_y), cross(w, "ux", "wx", w, way_y), cross("0", "uy", "wy", way_x, "0e0"), cross(h, "uy", "wy", way_x, h)])
+    return f"""{name} AS (SELECT image_id, x, y FROM {points} WHERE {inside("x", "y")} UNION ALL SELECT image_id, x, y FROM ({sides}) s WHERE {inside("x", "y")} UNION ALL
+    SELECT image_id, x, y FROM {hull}_e e, (VALUES (0e0, 0e0), ({w}, 0e0), ({w}, {h}), (0e0, {h})) c(x, y) GROUP BY ALL HAVING min((wx - ux) * (y - uy) - (wy - uy) * (x - ux)) >= 0)"""
+
+
+_W = f"{FRAME:.1f}e0".replace(".0e0", "e0")
+put("hull_area", f"SELECT image_id, n, {fx('coalesce(area, 0)', '1e1')} AS hull_area, {fx(f'coalesce(area, 0) / ({_W} * {_W})')} AS frame_share FROM (SELECT image_id, count(*) AS n FROM pl GROUP BY image_id) c LEFT JOIN part USING (image_id)", *_PAIRS,
+    "uv AS (SELECT image_id, u AS x, v AS y FROM pl)", *_hull("whole", "uv"), _cut("corners", "uv", "whole", _W, _W), *_hull("part", "corners"))
+put("pair_geometry", f"SELECT image_id, {fx('o.area', '1e1')} AS overlap_area, {fx(f'o.area / ({_W} * {_W})')} AS overlap_share, {fx('h.area / o.area')} AS hull_share, {fx('hit / n_cells')} AS coverage FROM over o JOIN hull h USING (image_id) JOIN cov USING (image_id)", *_PAIRS, _sim("sim", "pl", "image_id"),
+    f"quad AS (SELECT image_id, (re * (x - tx) + im * (y - ty)) / (s * s) AS x, (re * (y - ty) - im * (x - tx)) / (s * s) AS y FROM sim, (VALUES (0e0, 0e0), ({_W}, 0e0), ({_W}, {_W}), (0e0, {_W})) c(x, y))",
+    *_hull("target", "quad"), _cut("corners", "quad", "target", _W, _W), *_hull("over", "corners"), "xy AS (SELECT image_id, x, y FROM pl)", *_hull("hull", "xy"),
+    "box AS (SELECT image_id, min(x) AS x0, min(y) AS y0, (max(x) - min(x)) / 3 AS w, (max(y) - min(y)) / 3 AS h FROM corners GROUP BY image_id)",
+    "cells AS (SELECT image_id, i, j, x0 + i * w AS x, y0 + j * h AS y, w, h FROM box, range(3) a(i), range(3) b(j))",
+    "good AS (SELECT c.image_id, i, j, x, y, w, h FROM cells c JOIN over_e e USING (image_id) GROUP BY ALL HAVING min((wx - ux) * (y + h / 2 - uy) - (wy - uy) * (x + w / 2 - ux)) >= -1e-6)",
+    "cov AS (SELECT image_id, count(*) AS n_cells, count(*) FILTER (EXISTS (SELECT 1 FROM pl p WHERE p.image_id = g.image_id AND p.x >= g.x AND p.x < g.x + g.w AND p.y >= g.y AND p.y < g.y + g.h))::DOUBLE AS hit FROM good g GROUP BY image_id)")

@@ -233,7 +233,7 @@ def coverage_3x3(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def hull_area(s: SparkSession, d: str) -> DataFrame:
-    return metrics.hull_areas(_pairs(s, d), FRAME, FRAME)
+    return metrics.hull_areas(_pairs(s, d), FRAME, FRAME).select("image_id", "n", fixed("hull_area", 10.0).alias("hull_area"), fixed("frame_share").alias("frame_share"))
 
 
 @query
@@ -241,7 +241,7 @@ def pair_geometry(s: SparkSession, d: str) -> DataFrame:
     pairs = _pairs(s, d)
     sims = matching.matrices(fits.fit_similarity(pairs, KEY), "similarity")
     frames = sims.select("image_id", *(F.lit(FRAME).alias(c) for c in ("wa", "ha", "wb", "hb")))
-    return metrics.geometry(pairs, sims, frames)
+    return metrics.geometry(pairs, sims, frames).select("image_id", fixed("overlap_area", 10.0).alias("overlap_area"), *(fixed(c).alias(c) for c in ("overlap_share", "hull_share", "coverage")))
 
 
 @query
@@ -272,7 +272,7 @@ def nms_detections(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def score_detections(s: SparkSession, d: str) -> DataFrame:
-    return spatial.score_detections(adapters.relation(s, d, "detections"), _ref(s, d))
+    return spatial.score_detections(adapters.relation(s, d, "detections"), _ref(s, d)).select("image_id", "crater_id", "det_id", fixed("d").alias("d"))
 
 
 @query
@@ -282,7 +282,7 @@ def fit_homography(s: SparkSession, d: str) -> DataFrame:
 
 @query
 def pattern_propose(s: SparkSession, d: str) -> DataFrame:
-    return patterns.proposed(_ref(s, d))
+    return patterns.proposed(_ref(s, d)).select("image_id", "i", F.array_join("members", ",").alias("members"), fixed("quality").alias("quality"), fixed("extent").alias("extent"))
 
 
 @query
