@@ -354,3 +354,16 @@ put("pair_geometry", f"SELECT image_id, {fx('o.area', '1e1')} AS overlap_area, {
     "cells AS (SELECT image_id, i, j, x0 + i * w AS x, y0 + j * h AS y, w, h FROM box, range(3) a(i), range(3) b(j))",
     "good AS (SELECT c.image_id, i, j, x, y, w, h FROM cells c JOIN over_e e USING (image_id) GROUP BY ALL HAVING min((wx - ux) * (y + h / 2 - uy) - (wy - uy) * (x + w / 2 - ux)) >= -1e-6)",
     "cov AS (SELECT image_id, count(*) AS n_cells, count(*) FILTER (EXISTS (SELECT 1 FROM pl p WHERE p.image_id = g.image_id AND p.x >= g.x AND p.x < g.x + g.w AND p.y >= g.y AND p.y < g.y + g.h))::DOUBLE AS hit FROM good g GROUP BY image_id)")
+
+put("shrunk_images", f"SELECT image_id, CAST(ny AS BIGINT) AS y, CAST(nx AS BIGINT) AS x, {fx('sum(wy * wx * v) / sum(wy * wx)', '1e6')} AS v FROM over GROUP BY image_id, ny, nx", _PX,
+    "size AS (SELECT image_id, max(y) + 1 AS h, max(x) + 1 AS w, least(1e0, 45e0 / greatest(max(y) + 1, max(x) + 1)) AS f FROM px GROUP BY image_id)",
+    "part AS (SELECT image_id, floor(h * f + 0.5) / h AS fy, floor(w * f + 0.5) / w AS fx FROM size)",
+    "axis AS (SELECT px.image_id, y, x, v, fy, fx, unnest([floor(y * fy + 1e-9), floor(y * fy + 1e-9) + 1]) AS ny FROM px JOIN part USING (image_id))",
+    "axes AS (SELECT *, unnest([floor(x * fx + 1e-9), floor(x * fx + 1e-9) + 1]) AS nx FROM axis)",
+    "over AS (SELECT *, least((y + 1) * fy, ny + 1) - greatest(y * fy, ny) AS wy, least((x + 1) * fx, nx + 1) - greatest(x * fx, nx) AS wx FROM axes WHERE least((y + 1) * fy, ny + 1) - greatest(y * fy, ny) > 1e-9 AND least((x + 1) * fx, nx + 1) - greatest(x * fx, nx) > 1e-9)")
+# As for suppression, but by number, and what is drawn or marked counts first; here the radius of the newer one stands above.
+_KNOWN = "sqrt((p.x - a[k + 1].x) * (p.x - a[k + 1].x) + (p.y - a[k + 1].y) * (p.y - a[k + 1].y)) < 0.5 * greatest(p.r, a[k + 1].r) AND a[k + 1].r / p.r > 0.6 AND a[k + 1].r / p.r < 1.67"
+put("known_craters", f"SELECT image_id, {fx('cx')} AS cx, {fx('cy')} AS cy, {fx('r')} AS r, 'manual' AS source FROM ann WHERE label = 1 UNION ALL SELECT image_id, {fx('p.x')}, {fx('p.y')}, {fx('p.r')}, 'ml' FROM (SELECT image_id, unnest(kept) AS p FROM go JOIN arr USING (image_id) WHERE k = len(a)) q", _DET, _ANN,
+    "drawn AS (SELECT image_id, list({'x': cx, 'y': cy, 'r': r}) AS d FROM ann GROUP BY image_id)",
+    "arr AS (SELECT det.image_id, list({'x': cx, 'y': cy, 'r': r} ORDER BY det_id) AS a, any_value(coalesce(d, [])) AS d FROM det LEFT JOIN drawn USING (image_id) WHERE conf >= 0.25 GROUP BY det.image_id)",
+    f"go AS (SELECT image_id, 0 AS k, a[1:0] AS kept FROM arr UNION ALL SELECT g.image_id, k + 1, CASE WHEN len(list_filter(kept || d, lambda p: {_KNOWN})) > 0 THEN kept ELSE list_append(kept, a[k + 1]) END FROM go g JOIN arr USING (image_id) WHERE k < len(a))", recursive=True)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..checkpoints import settled
-from ..operators import fits, geo, labels, learning, matching, metrics, patterns, raster, registration, spatial, triangles
+from ..operators import correlation, detection, fits, geo, keypoints, labels, learning, matching, metrics, patterns, raster, registration, spatial, tiles, triangles
 from ..sources import adapters
 
 FRAME = 900.0
@@ -270,6 +270,14 @@ def nms_detections(s: SparkSession, d: str) -> DataFrame:
     return spatial.nms(adapters.relation(s, d, "detections")).select("image_id", "det_id", "conf")
 
 
+@query
+def known_craters(s: SparkSession, d: str) -> DataFrame:
+    """Drawn craters and the detections that are none of them, nothing marked as no crater, and none before."""
+    labels = adapters.relation(s, d, "annotations").select("image_id", "cx", "cy", "r", "label")
+    out = detection.pooled(labels, adapters.relation(s, d, "detections"), 0.25)
+    return out.select("image_id", *(fixed(c).alias(c) for c in ("cx", "cy", "r")), "source")
+
+
 @query
 def score_detections(s: SparkSession, d: str) -> DataFrame:
     return spatial.score_detections(adapters.relation(s, d, "detections"), _ref(s, d)).select("image_id", "crater_id", "det_id", fixed("d").alias("d"))
@@ -347,6 +355,48 @@ def pyramid_level(s: SparkSession, d: str) -> DataFrame:
     return raster.halved(adapters.pixels(s, d)).select("image_id", "y", "x", fixed("v", 1e6).alias("v"))
 
 
+@query
+def shrunk_images(s: SparkSession, d: str) -> DataFrame:
+    """Images of at most 45 pixels a side, by area."""
+    small = tiles.shrunk_to(tiles.tiled(adapters.pixels(s, d)), 45)
+    return tiles.pixels_of(small).select("image_id", "y", "x", fixed("v", 1e6).alias("v"))
+
+
+def _shown_pixels(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Tiles of the rasters as greys, and of their part that begins at (2, 1)."""
+    grey = adapters.pixels(s, d).withColumn("v", F.least(F.lit(255.0), F.greatest(F.lit(0.0), 128 + 500 * F.col("v"))))
+    return settled(tiles.tiled(grey)), settled(tiles.tiled(grey.where("x >= 2 and y >= 1").withColumns({"x": F.col("x") - 2, "y": F.col("y") - 1})))
+
+
+def _shift(images: DataFrame, dx: float, dy: float) -> DataFrame:
+    values = [1.0, 0.0, dx, 0.0, 1.0, dy, 0.0, 0.0, 1.0]
+    return images.select("image_id").distinct().select("image_id", F.lit("affine").alias("model"), *(F.lit(v).alias(c) for v, c in zip(values, matching.MATRIX)))
+
+
+@query
+def keypoint_baseline(s: SparkSession, d: str) -> DataFrame:
+    """Rasters against their own part: the homography that keypoints find, against the true shift."""
+    ref, tgt = _shown_pixels(s, d)
+    out = keypoints.baseline(ref, tgt, _shift(ref, -2.0, -1.0))
+    return out.select("image_id", "matches", "inliers", "inlier_ratio", "median_disagreement", "agrees", "note")
+
+
+@query
+def correlation_refined(s: SparkSession, d: str) -> DataFrame:
+    """Rasters against their own part from a shift that is half a pixel off."""
+    ref, tgt = _shown_pixels(s, d)
+    lattice = ref.select("image_id").distinct().selectExpr("image_id", "explode(sequence(8, 56, 8)) AS x").selectExpr("image_id", "x", "explode(sequence(8, 88, 16)) AS y")
+    placed = lattice.selectExpr("image_id", "CAST(x AS DOUBLE) AS x", "CAST(y AS DOUBLE) AS y", "x - 2D AS u", "y - 1D AS v")
+    out = correlation.refined(ref, tgt, _shift(ref, -1.6, -1.3), placed)
+    return out.select("image_id", "used", fixed("cc", 1e2).alias("cc"), fixed("before", 1e2).alias("before"), (F.col("after") < 0.2).alias("close"))
+
+
+@query
+def voted_circles(s: SparkSession, d: str) -> DataFrame:
+    ready = detection.prepared(_shown_pixels(s, d)[0])
+    return detection.classic_candidates(*ready, 6.0, 24.0)[0].select("image_id", "cx", "cy", "r", "votes", "arc", "score")
+
+
 @query
 def erode_min(s: SparkSession, d: str) -> DataFrame:
     return raster.eroded(adapters.pixels(s, d)).select("image_id", "y", "x", fixed("v", 1e6).alias("v"))
