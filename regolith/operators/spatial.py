@@ -187,21 +187,23 @@ def select_pattern(craters: DataFrame, width: float | Column, height: float | Co
     return fit.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= most)
 
 
-def smallest_around(points: DataFrame, circles: DataFrame, reach: float = 1.1) -> DataFrame:
-    """For each point (image_id, point_id, x, y) the smallest circle (crater_id) that holds it, within `reach` radii."""
-    p, c = points.alias("p"), circles.alias("c")
-    inside = distance(F.col("p.x"), F.col("p.y"), F.col("c.cx"), F.col("c.cy")) < reach * F.col("c.r")
-    found = p.join(c, [F.col("p.image_id") == F.col("c.image_id"), inside])
-    return found.groupBy("p.image_id", "p.point_id").agg(F.min(F.struct("c.r", "c.crater_id")).alias("m")).select("image_id", "point_id", F.col("m.crater_id").alias("crater_id"))
-
-
-def label_at(points: DataFrame, labels: DataFrame, reach: float = 1.2) -> DataFrame:
-    """For each point (image_id, point_id, x, y) the label (crater_id) whose centre is nearest among those within `reach` radii; ties go to the smaller id. An
+def _holding(points: DataFrame, circles: DataFrame, reach: float) -> DataFrame:
+    """points (alias p: image_id, point_id, x, y) with the circles (alias c: image_id, crater_id, cx, cy, r) that hold them within `reach` radii, and the distance d. An
     equi-join on cells as wide as the image's widest reach."""
-    wide = labels.groupBy("image_id").agg((reach * F.max("r")).alias("reach"))
+    wide = circles.groupBy("image_id").agg((reach * F.max("r")).alias("reach"))
     near = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
     p = points.join(wide, "image_id").withColumn("step", F.explode(near)).withColumns({"gx": F.floor(F.col("x") / F.col("reach")) + F.col("step.x"), "gy": F.floor(F.col("y") / F.col("reach")) + F.col("step.y")}).alias("p")
-    c = labels.join(wide, "image_id").withColumns({"gx": F.floor(F.col("cx") / F.col("reach")), "gy": F.floor(F.col("cy") / F.col("reach"))}).alias("c")
+    c = circles.join(wide, "image_id").withColumns({"gx": F.floor(F.col("cx") / F.col("reach")), "gy": F.floor(F.col("cy") / F.col("reach"))}).alias("c")
     d = distance(F.col("p.x"), F.col("p.y"), F.col("c.cx"), F.col("c.cy"))
     hit = p.join(c, [F.col(f"p.{k}") == F.col(f"c.{k}") for k in ("image_id", "gx", "gy")]).where(d < reach * F.col("c.r"))
-    return hit.groupBy("p.image_id", "p.point_id").agg(F.min(F.struct(d.alias("d"), F.col("c.crater_id").alias("crater_id"))).alias("m")).select("image_id", "point_id", "m.crater_id", "m.d")
+    return hit.select("p.image_id", "p.point_id", "c.crater_id", "c.r", d.alias("d"))
+
+
+def smallest_around(points: DataFrame, circles: DataFrame, reach: float = 1.1) -> DataFrame:
+    """For each point (image_id, point_id, x, y) the smallest circle (crater_id) that holds it, within `reach` radii; ties go to the smaller id."""
+    return _holding(points, circles, reach).groupBy("image_id", "point_id").agg(F.min(F.struct("r", "crater_id")).alias("m")).select("image_id", "point_id", F.col("m.crater_id").alias("crater_id"))
+
+
+def label_at(points: DataFrame, labels: DataFrame, reach: float = 1.2) -> DataFrame:
+    """For each point (image_id, point_id, x, y) the label (crater_id) whose centre is nearest among those within `reach` radii; ties go to the smaller id."""
+    return _holding(points, labels, reach).groupBy("image_id", "point_id").agg(F.min(F.struct("d", "crater_id")).alias("m")).select("image_id", "point_id", "m.crater_id", "m.d")

@@ -377,7 +377,7 @@ def _shift(images: DataFrame, dx: float, dy: float) -> DataFrame:
 def keypoint_baseline(s: SparkSession, d: str) -> DataFrame:
     """Rasters against their own part: the homography that keypoints find, against the true shift."""
     ref, tgt = _shown_pixels(s, d)
-    out = keypoints.baseline(ref, tgt, _shift(ref, -2.0, -1.0))
+    out = keypoints.baseline(ref, tgt, _shift(ref, -2.0, -1.0), contrast=0.004)
     return out.select("image_id", "matches", "inliers", "inlier_ratio", "median_disagreement", "agrees", "note")
 
 

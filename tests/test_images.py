@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from regolith.checkpoints import settled
-from regolith.operators import detection, raster, spatial, tiles
+from regolith.operators import detection, learning, raster, spatial, tiles
 from regolith.sources import outputs
 
 PX = "image_id bigint, y bigint, x bigint, v double"
@@ -235,3 +235,22 @@ def test_images_shrink_each_by_its_own_scale_tile_by_tile(spark):
         scale = 200 / max(a.shape)
         want = a if scale >= 1 else whole(tiles.shrunk(frame_of(spark, a), scale))
         assert mine.shape == want.shape and np.allclose(mine, want)
+
+
+def test_a_model_teaches_itself_and_comes_back_from_disk(spark, terrain, base, tmp_path):
+    """From eight drawn craters: the rounds keep the number of detections within bounds, and a saved model scores as before."""
+    ready = detection.prepared(base)
+    known = [(0, k, *c, 1, False) for k, c in enumerate(terrain[1][:8])]
+    labels = spark.createDataFrame(known, "image_id bigint, crater_id bigint, cx double, cy double, r double, label int, complete boolean")
+    model = detection.trained(base, labels, least_r=10.0, most_r=24.0, trees=15, ready=ready)
+    n = detection.detected(base, model, 0.5, 10.0, 24.0, fit=False, ready=ready).count()
+    new = detection.self_trained(base, model, rounds=1, least_r=10.0, most_r=24.0, trees=15)
+    m = detection.detected(base, new, 0.5, 10.0, 24.0, fit=False, ready=ready).count()
+    assert m == n or 0.95 * n <= m <= 1.4 * n
+    report = spark.createDataFrame([(40, 8, 32, 0.9)], "n_samples int, n_positive int, n_negative int, cv_auc double")
+    assert outputs.read_model(spark, str(tmp_path / "none")) is None
+    outputs.write_model(model, report, str(tmp_path / "m"))
+    back = outputs.read_model(spark, str(tmp_path / "m"))
+    circles = detection.described(spark.createDataFrame([(0, k, *map(float, c)) for k, c in enumerate(terrain[1])], "image_id bigint, det_id bigint, cx double, cy double, r double"), *ready)
+    p = [{r.det_id: r.p for r in learning.scored(x, circles).collect()} for x in (model, back)]
+    assert p[0] == p[1] and spark.read.json(str(tmp_path / "m/train_report")).first().cv_auc == 0.9

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from regolith.checkpoints import settled
 from regolith.operators import correlation, matching, raster, registration, tiles
+from regolith.schema import CRATERS
+from regolith.sources import outputs
+from regolith.streaming import register
 from tests.test_images import frame_of, rings, whole
 
 CIRCLE = "image_id bigint, crater_id bigint, cx double, cy double, r double, conf double"
@@ -230,3 +233,25 @@ def test_two_pairs_of_images_from_detection_to_grade(spark):
     shown = whole(tiles.pixels_of(registered.where("image_id = 1")))
     inner = np.abs(shown - a)[100:300, 100:300]
     assert np.median(inner) < 4
+
+
+def test_catalogues_that_arrive_as_files(spark, tmp_path):
+    """Two files, registered as they come: the results of one call on both, and a second start adds nothing. Matches and transforms of the learner's folder are read back."""
+    g = np.random.default_rng(12)
+    scenes = {i: scene(g, i, 24, 1.0, 3) for i in range(2)}
+    rows = [[(int(k), i, *map(float, c[:3])) for i, s in scenes.items() for k, *c in s[n]] for n in (0, 1)]
+    ref, tgt = (spark.createDataFrame(r, CRATERS) for r in rows)
+    for i in (0, 1):
+        tgt.where(f"image_id = {i}").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    for _ in range(2):
+        register.registered(spark, ref, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(300)
+    got = {r.image_id: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.image_id: r for r in matching.match_pairs(ref, tgt).collect()}
+    assert set(got) == set(want) == {0, 1} and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    assert all(got[i].n_inliers == want[i].n_inliers and got[i].scale == pytest.approx(want[i].scale) for i in want)
+    pairs = matching.match_table(ref, tgt)
+    placed = matching.errors(matching.coordinates(pairs, ref, tgt), matching.match_pairs(ref, tgt))
+    outputs.write_learned(placed, matching.match_learned(ref, tgt), str(tmp_path / "learned"))
+    lines = spark.read.csv(str(tmp_path / "learned/matches"), header=True, inferSchema=True)
+    assert lines.columns == ["crater_A", "crater_B", "xA", "yA", "rA", "xB", "yB", "rB", "residual_px", "image_id"] and lines.count() == pairs.count()
+    assert {r.image_id for r in spark.read.json(str(tmp_path / "learned/transform")).collect()} == {0, 1}
