@@ -28,9 +28,9 @@ def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontam.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    found = decontam.searched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=2)
     names = F.concat_ws(",", F.array_sort(F.transform("items", lambda x: x.cast("string"))))
-    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("bigint").alias("n_items"), F.sha2(names, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.size("near_items").cast("bigint").alias("n_near"))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,10 +177,18 @@ sizes AS (SELECT DISTINCT size FROM iw),
 dw AS (SELECT doc_id, size, unnest(range(1, len(ws) - size + 2)) AS s, unnest(list_transform(range(1, len(ws) - size + 2), lambda s: array_to_string(ws[s:s + size - 1], ' '))) AS k FROM d, sizes),
 m AS (SELECT doc_id, s, iw.size, item_id FROM dw JOIN iw ON dw.k = iw.k AND dw.size = iw.size),
 hit AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS p FROM m) GROUP BY doc_id),
-items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id)
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM m) GROUP BY doc_id),
+occ AS (SELECT doc_id, unnest(ws) AS w, unnest(range(len(ws))) AS p FROM d),
+tf AS (SELECT w, count(*) AS n FROM occ GROUP BY w),
+win AS (SELECT item_id, k, size, row_number() OVER () AS win_id FROM (SELECT DISTINCT item_id, k, size FROM iw)),
+parts AS (SELECT win_id, item_id, size, unnest(string_split(k, ' ')) AS w, unnest(range(size)) AS o FROM win),
+anchor AS (SELECT parts.* FROM parts JOIN tf USING (w) QUALIFY row_number() OVER (PARTITION BY win_id ORDER BY n, o) = 1 AND count(*) OVER (PARTITION BY win_id) = size),
+base AS (SELECT win_id, item_id, doc_id, occ.p - a.o AS z FROM anchor a JOIN occ USING (w)),
+close AS (SELECT DISTINCT b.win_id, b.item_id, b.doc_id, b.z, parts.o, parts.size FROM base b JOIN parts ON parts.win_id = b.win_id JOIN occ q ON q.doc_id = b.doc_id AND q.w = parts.w AND q.p BETWEEN b.z + parts.o - 2 AND b.z + parts.o + 2),
+nears AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT win_id, item_id, doc_id, z FROM close GROUP BY win_id, item_id, doc_id, z, size HAVING count(*) = size) GROUP BY doc_id)
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
-       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)""",
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, CAST(coalesce(n_near, 0) AS BIGINT) AS n_near
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id) LEFT JOIN nears USING (doc_id)""",
     "op6_quality": rf"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, {_WORDS.format('text')} AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents),
