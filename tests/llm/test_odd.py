@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from regolith.llm import chat, decontam, html, lm, mixing, quality, simhash, substring, urls, warc
+from regolith.llm import chat, decontam, html, languages, lm, merkle, mixing, periodic, quality, simhash, substring, urls, warc
 
 
 def words(n, seed=0):
@@ -17,6 +17,7 @@ OPERATORS = {
     "mixing": lambda d, b: mixing.mixed(d, 0.5), "html": lambda d, b: html.extracted(d, "text"), "quality": lambda d, b: quality.judged(d), "substring": lambda d, b: substring.cut_repeats(d), "lm": lambda d, b: lm.scored(d),
     "urls": lambda d, b: urls.judged(d, urls.PLACES + urls.WORDS, "text"), "decontam": lambda d, b: decontam.searched(d, b, ("doc_id", "HOST")), "simhash": lambda d, b: simhash.grouped(d, simhash.CLOSE, keep=("FP", "HOST")), "near": lambda d, b: simhash.keep_one(d, corpus_pipeline.NEAR),
     "warc": lambda d, b: warc.round_trip(d.withColumnsRenamed({"doc_id": "page_id", "source": "url", "text": "html"})), "chat": lambda d, b: chat.messages(d.withColumnsRenamed({"doc_id": "conv_id", "source": "role"}).selectExpr("*", "1 AS turn")),
+    "periodic": lambda d, b: periodic.collapsed(d), "languages": lambda d, b: languages.identified(d, languages.trained(d, lang_col="source")), "merkle": lambda d, b: merkle.manifest(d, "source", "doc_id", ("doc_id", "text", "N_words"), ("doc_id", "FP", "ID2", "mark", "Text2")),
 }
 EXPECTED = {"mixing": None, "near": 3}
 
@@ -29,8 +30,12 @@ def test_clashing_names_nulls_ties_and_repeats(spark, name):
     bench = spark.createDataFrame([(7, words(300)[70:200]), (7, "again"), (None, "one"), (9, None)], "item_id bigint, text string")
     out = OPERATORS[name](docs, bench)
     assert len({c.lower() for c in out.columns}) == len(out.columns)
-    n = out.count()
-    assert n == EXPECTED.get(name, len(base)) or name == "mixing"
+    rows = out.collect()
+    assert len(rows) == EXPECTED.get(name, len(base)) or name == "mixing"
+    # What an operator hands on has the caller's values, whatever it calls its own columns.
+    given = {"ID2": 2, "mark": 5, "c0": "y", "in0": "x", "Text2": "t", "FP": "f"}
+    for c in {"ID2", "mark", "c0", "in0", "Text2"} & set(out.columns):
+        assert {r[c] for r in rows} == {given[c]}
     assert OPERATORS[name](docs.limit(0), bench).count() == 0
 
 
