@@ -44,3 +44,13 @@ def test_winner_is_the_best_of_every_hypothesis(spark, folder, tried):
     assert got == {i: max(v)[:2] for i, v in tried.items()} and sorted(got) == [*IMAGES]
     first = min(-h for n, h, _ in tried[41] if n >= 75)
     assert first < -got[41][1]
+
+
+def test_uniqueness_counts_every_hypothesis_at_another_zoom(spark, folder, tried):
+    want = {}
+    for i, v in tried.items():
+        best, _, s = max(v)
+        second = max((n for n, _, z in v if abs(np.log(z / s)) > 0.25), default=0)
+        want[i] = (best, second, int(np.floor(best / max(best, second, 1) * 1e4 + 0.5)))
+    got = {r.image_id: (r.n_best, r.n_second, r.uniqueness) for r in QUERIES["zoom_uniqueness"](spark, folder).collect()}
+    assert got == want and all(n > 0 for _, n, _ in got.values())
