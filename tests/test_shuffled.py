@@ -19,3 +19,7 @@ def broadcasts(df) -> list[str]:
 
 def test_neighbours_are_not_broadcast(spark, folder):
     assert broadcasts(QUERIES["knn_neighbours"](spark, folder)) == []
+
+
+def test_nearest_targets_are_not_broadcast(spark, folder):
+    assert broadcasts(QUERIES["nearest_join_sized"](spark, folder)) == []
