@@ -23,3 +23,7 @@ def test_neighbours_are_not_broadcast(spark, folder):
 
 def test_nearest_targets_are_not_broadcast(spark, folder):
     assert broadcasts(QUERIES["nearest_join_sized"](spark, folder)) == []
+
+
+def test_pairs_made_single_are_not_broadcast(spark, folder):
+    assert broadcasts(QUERIES["one_to_one_pairs"](spark, folder)) == []
