@@ -27,3 +27,7 @@ def test_nearest_targets_are_not_broadcast(spark, folder):
 
 def test_pairs_made_single_are_not_broadcast(spark, folder):
     assert broadcasts(QUERIES["one_to_one_pairs"](spark, folder)) == []
+
+
+def test_points_in_circles_are_not_broadcast(spark, folder):
+    assert broadcasts(QUERIES["point_in_circle"](spark, folder)) == []
