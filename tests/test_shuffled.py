@@ -31,3 +31,7 @@ def test_pairs_made_single_are_not_broadcast(spark, folder):
 
 def test_points_in_circles_are_not_broadcast(spark, folder):
     assert broadcasts(QUERIES["point_in_circle"](spark, folder)) == []
+
+
+def test_triangles_of_neighbours_are_not_broadcast(spark, folder):
+    assert broadcasts(QUERIES["triangles_knn"](spark, folder)) == []
