@@ -27,3 +27,11 @@ def test_mean_longitudes_lie_within_half_a_turn(spark, folder):
     got = {r.image_id: r.lon0 for r in QUERIES["circular_mean_lon"](spark, folder).collect()}
     want = {i: int(np.floor(((degrees(i)[0].mean() + 180) % 360 - 180) * 1e5 + 0.5)) for i in IMAGES}
     assert got == want and min(got.values()) < 0
+
+
+def test_longitudes_come_back_on_their_own_turn(spark, folder):
+    got = {(r.image_id, r.pixel // 100, r.scan // 100): (r.lon, r.lat) for r in QUERIES["stereo_roundtrip"](spark, folder).collect()}
+    assert len(got) == 121 * len(IMAGES)
+    for i in IMAGES:
+        lon, lat = (np.floor(v * 1e4 + 0.06 + 0.5).astype(int) for v in degrees(i))
+        assert all(got[i, p, s] == (lon[p, s], lat[p, s]) for p in range(11) for s in range(11))
