@@ -2,6 +2,8 @@
 
 import pytest
 
+from regolith.operators import matching, patterns
+from regolith.plans import queries
 from regolith.plans.queries import QUERIES
 
 
@@ -35,3 +37,17 @@ def test_points_in_circles_are_not_broadcast(spark, folder):
 
 def test_triangles_of_neighbours_are_not_broadcast(spark, folder):
     assert broadcasts(QUERIES["triangles_knn"](spark, folder)) == []
+
+
+@pytest.fixture
+def settled_plans(monkeypatch):
+    """What is computed before the end."""
+    plans = []
+    for module in (matching, patterns, queries):
+        monkeypatch.setattr(module, "settled", lambda df, f=module.settled: (plans.append(df), f(df))[1])
+    return plans
+
+
+@pytest.mark.parametrize("name", ["lookalike_join", "top_hypotheses", "hypothesis_votes", "hypothesis_winner", "zoom_uniqueness", "match_pair", "match_pair_refined"])
+def test_what_grows_with_triangles_is_not_broadcast(spark, folder, settled_plans, name):
+    assert [b for df in (QUERIES[name](spark, folder), *settled_plans) for b in broadcasts(df)] == []
