@@ -48,6 +48,6 @@ def settled_plans(monkeypatch):
     return plans
 
 
-@pytest.mark.parametrize("name", ["lookalike_join", "top_hypotheses", "hypothesis_votes", "hypothesis_winner", "zoom_uniqueness", "match_pair", "match_pair_refined", "pattern_ambiguity"])
+@pytest.mark.parametrize("name", ["lookalike_join", "top_hypotheses", "hypothesis_votes", "hypothesis_winner", "zoom_uniqueness", "match_pair", "match_pair_refined", "pattern_ambiguity", "match_learner"])
 def test_what_grows_with_triangles_is_not_broadcast(spark, folder, settled_plans, name):
     assert [b for df in (QUERIES[name](spark, folder), *settled_plans) for b in broadcasts(df)] == []
